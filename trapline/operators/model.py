@@ -318,7 +318,7 @@ def grid_marginal_loglik(candidates: DataFrame, positions: DataFrame, space: Dat
         F.broadcast(space), "site_num").withColumn("alpha1", alpha1_from_sigma(F.col("sigma")))
 
     def log_p(place: Column, trap: Column, day: Column, caught: Column) -> Column:
-        d = place - trap["pos"]
+        d = place - trap
         return (-F.log1p(F.exp(-(day["alpha0"] + F.col("alpha2") * caught)))
                 - F.col("alpha1") * d * d)
 
@@ -326,7 +326,7 @@ def grid_marginal_loglik(candidates: DataFrame, positions: DataFrame, space: Dat
         """Per day the sum over traps of log(1 - p)."""
         return F.transform("days", lambda day: F.aggregate(
             "traps", F.lit(0.0), lambda total, trap: total + F.log1p(
-                -F.exp(log_p(place, trap, day, F.lit(caught))))))
+                -F.exp(log_p(place, trap["pos"], day, F.lit(caught))))))
 
     place = F.transform(F.sequence(F.lit(0), F.lit(mesh - 1)), lambda q: F.col("xlim1")
                         + (q + 0.5) / mesh * (F.col("xlim2") - F.col("xlim1")))
@@ -334,14 +334,15 @@ def grid_marginal_loglik(candidates: DataFrame, positions: DataFrame, space: Dat
     rows = rows.withColumn("points", F.transform("_places", lambda s: F.struct(
         s.alias("s"), miss(s, 0.0).alias("fresh"), miss(s, 1.0).alias("again"))))
     never = _log_mean_exp(F.transform("points", lambda pt: _total(pt["fresh"])), mesh)
-    rows = settle(rows.withColumn("log_never", never).drop("_places", "xlim1", "xlim2"))
+    rows = settle(rows.withColumn("log_never", never).withColumn(
+        "placed", F.map_from_entries("traps")).drop("_places", "xlim1", "xlim2", "traps"))
 
     def gain(pt: Column, key: Column) -> Column:
-        """log p - log(1 - p) of one captured cell."""
+        """log p - log(1 - p) of one captured cell; a trap without a known place adds nothing."""
         day = F.element_at("days", (key % 1000).cast("int"))
-        trap = F.element_at("traps", F.floor(key / 1000).cast("int"))
-        lp = log_p(pt["s"], trap, day, ((key % 1000) > F.col("first_day")).cast("double"))
-        return lp - F.log1p(-F.exp(lp))
+        place = F.try_element_at("placed", F.floor(key / 1000).cast("int"))
+        lp = log_p(pt["s"], place, day, ((key % 1000) > F.col("first_day")).cast("double"))
+        return F.coalesce(lp - F.log1p(-F.exp(lp)), F.lit(0.0))
 
     def at_point(pt: Column) -> Column:
         until = F.slice(pt["fresh"], F.lit(1), F.col("first_day"))

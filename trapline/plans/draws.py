@@ -134,7 +134,7 @@ def draw_statistics(t: Inputs):
 
 
 @query("abundance_check", "draws per_site", """
-    SELECT p.species, d.site_num, 0 AS n_null, minimum, q1, median, q3, maximum, mean, p.n,
+    SELECT p.species, d.site_num, CAST(0 AS BIGINT) AS n_null, minimum, q1, median, q3, maximum, mean, p.n,
       minimum >= p.n AS "check"
     FROM (SELECT CAST(parameter[3] AS INTEGER) AS site_num, min(value) AS minimum,
             quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,

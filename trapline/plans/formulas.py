@@ -268,9 +268,9 @@ MARGINAL = f"""
       CROSS JOIN (SELECT unnest(range(0, 20)) AS q)),
     points AS (
       SELECT m.*, t.trap, {logistic('m.alpha0')}
-          * exp(-(m.s - t.pos) ** 2 / (2 * m.sigma ** 2)) AS p_fresh,
+          * exp(-((m.s - t.pos) ** 2) / (2 * m.sigma ** 2)) AS p_fresh,
         {logistic('m.alpha0 + m.alpha2')}
-          * exp(-(m.s - t.pos) ** 2 / (2 * m.sigma ** 2)) AS p_again
+          * exp(-((m.s - t.pos) ** 2) / (2 * m.sigma ** 2)) AS p_again
       FROM mesh m JOIN positions t ON t.site_num = m.site_num),
     seen AS (
       SELECT h.species, h.site_num, h.id_site, h.trap, h.day, least(h.count, 1) AS y, f.recap

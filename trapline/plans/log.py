@@ -348,7 +348,7 @@ def older_augmentation_size(t: Inputs):
       CASE WHEN count(mass) = count(*) THEN avg(mass) END AS mass,
       count(*) AS n_measurements, avg(trap) AS mean_trap
     FROM captures WHERE sex <> 'U' AND sex IS NOT NULL GROUP BY ALL""",
-       "carapace mass mean_trap", 4)
+       "carapace mass mean_trap", 9)
 def individual_covariates(t: Inputs):
     return histories.individual_covariates(filters.sexed_only(t.captures))
 

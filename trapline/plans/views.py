@@ -188,7 +188,7 @@ VIEWS: dict[str, tuple[str, str]] = {
     "cells": ("latent params positions", f"""
         SELECT l.*, t.trap, k.day, k.sigma, k.sigma_f, k.alpha3, k.alpha0, k.alpha2,
           abs(l.s - t.pos) AS d, {logistic('k.alpha0')} AS p0,
-          {logistic('k.alpha0')} * exp(-(l.s - t.pos) ** 2 / (2 * k.sigma ** 2)) AS p
+          {logistic('k.alpha0')} * exp(-((l.s - t.pos) ** 2) / (2 * k.sigma ** 2)) AS p
         FROM latent l JOIN params k ON k.chain = l.chain AND k.iteration = l.iteration
           AND k.site_num = l.site_num
         JOIN positions t ON t.site_num = l.site_num"""),
