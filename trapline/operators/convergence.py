@@ -6,6 +6,8 @@ block by block; ranks come from ``ranks``, which cuts hot parameters into ranges
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -178,64 +180,60 @@ def split_rhat(halves: DataFrame) -> DataFrame:
         (F.col("n") - 1) / F.col("n") * F.col("w") + F.col("vm"), F.col("w"))).alias("rhat"))
 
 
-def rank_normalized_rhat(draws: DataFrame) -> DataFrame:
-    """The larger of R-hat on normal scores and on normal scores of |x - median|."""
-    halves = settle(split_halves(draws))
+def rank_normalized_rhat(halves: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """The larger of R-hat on normal scores and on normal scores of |x - median|. ``halves`` are
+    split chains; pass their normal scores when they are at hand."""
     median = exact_quantiles(halves, ["parameter"], "value", {"_median": 0.5})
     folded = attach(halves, median, ["parameter"]).withColumn(
         "value", F.abs(F.col("value") - F.col("_median"))).drop("_median")
-    bulk = split_rhat(normal_scores(halves)).withColumnRenamed("rhat", "rhat_bulk")
+    bulk = split_rhat(normal_scores(halves) if scores is None else scores)
     tails = split_rhat(normal_scores(folded)).withColumnRenamed("rhat", "rhat_folded")
-    return bulk.join(tails, "parameter").withColumn(
+    return bulk.withColumnRenamed("rhat", "rhat_bulk").join(tails, "parameter").withColumn(
         "rhat", F.greatest("rhat_bulk", "rhat_folded"))
 
 
-def split_ess(halves: DataFrame) -> DataFrame:
-    """Effective size over split chains by the initial monotone sequence. Lags are computed in
-    growing batches until every parameter has met its first negative pair, so no lag is cut."""
+def split_ess(halves: DataFrame, keys: list[str]) -> DataFrame:
+    """Effective size per ``keys`` over split chains by the initial monotone sequence; a series
+    without variance gets none. Lags are worked out in growing batches until every series has met
+    its first negative pair, so no lag is cut off."""
     halves = settle(halves)
-    parts = halves.groupBy("parameter", "chain", "half").agg(
+    parts = halves.groupBy(*keys, "chain", "half").agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"),
         F.var_samp("value").alias("s2"))
-    base = settle(parts.groupBy("parameter").agg(
+    base = settle(parts.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("chains"), F.min("n").alias("n"), F.avg("s2").alias("w"),
         F.var_samp("mean").alias("vm")).where("w > 0"))
     longest = base.agg(F.max("n")).first()[0]
     if longest is None:
-        return base.select("parameter", F.lit(None).cast("double").alias("ess"))
-    pending, done, low = halves, [], 0
-    high = FIRST_LAGS
+        return base.select(*keys, F.lit(None).cast("double").alias("ess"))
+    pending, done, low, high = halves, [], 0, FIRST_LAGS
     while True:
-        lags = autocovariance(pending, ["parameter", "chain", "half"], min(high, longest) - 1,
-                              low)
-        mean = lags.groupBy("parameter", "lag").agg(F.avg("autocovariance").alias("acov"))
-        pairs = settle(attach(mean, base, ["parameter"]).select(
-            "parameter", F.floor(F.col("lag") / 2).alias("pair"),
-            correlation().alias("rho")).groupBy("parameter", "pair").agg(
-            F.sum("rho").alias("p"), F.count(F.lit(1)).alias("terms")).where("terms = 2"))
+        lags = autocovariance(pending, [*keys, "chain", "half"], min(high, longest) - 1, low)
+        mean = lags.groupBy(*keys, "lag").agg(F.avg("autocovariance").alias("acov"))
+        pairs = settle(attach(mean, base, keys).select(
+            *keys, F.floor(F.col("lag") / 2).alias("pair"), correlation().alias("rho")).groupBy(
+            *keys, "pair").agg(F.sum("rho").alias("p"), F.count(F.lit(1)).alias("terms"))
+            .where("terms = 2"))
         done.append(pairs)
         if high >= longest:
             break
-        met = pairs.groupBy("parameter").agg(F.min("p").alias("least")).where("least < 0")
-        pending = settle(attach(pending, base.select("parameter").join(
-            met, "parameter", "left_anti"), ["parameter"]))
-        if pending.isEmpty():
+        met = pairs.groupBy(*keys).agg(F.min("p").alias("least")).where("least < 0")
+        waiting = settle(base.select(*keys).join(met, keys, "left_anti"))
+        if waiting.isEmpty():
             break
+        pending = settle(attach(pending, waiting, keys))
         low, high = high, high * 4
-    every = done[0]
-    for more in done[1:]:
-        every = every.unionByName(more)
-    cut = every.groupBy("parameter").agg(
-        F.min(F.when(F.col("p") < 0, F.col("pair"))).alias("_cut"))
-    kept = attach(every, cut, ["parameter"]).where(
+    every = reduce(DataFrame.unionByName, done)
+    cut = every.groupBy(*keys).agg(F.min(F.when(F.col("p") < 0, F.col("pair"))).alias("_cut"))
+    kept = attach(every, cut, keys).where(
         F.col("_cut").isNull() | (F.col("pair") < F.col("_cut")))
-    running = Window.partitionBy("parameter").orderBy("pair").rowsBetween(
+    running = Window.partitionBy(*keys).orderBy("pair").rowsBetween(
         Window.unboundedPreceding, 0)
-    sums = kept.withColumn("p", F.min("p").over(running)).groupBy("parameter").agg(
+    sums = kept.withColumn("p", F.min("p").over(running)).groupBy(*keys).agg(
         F.sum("p").alias("_sum"))
     total = (F.col("chains") * F.col("n")).cast("double")
     tau = F.greatest(-1 + 2 * F.coalesce("_sum", F.lit(0.0)), 1 / F.log10(total))
-    return base.join(sums, "parameter", "left").select("parameter", (total / tau).alias("ess"))
+    return base.join(sums, keys, "left").select(*keys, (total / tau).alias("ess"))
 
 
 def correlation() -> Column:
@@ -245,27 +243,42 @@ def correlation() -> Column:
         1 - (F.col("w") - F.col("acov")) / plus)
 
 
-def bulk_ess(draws: DataFrame) -> DataFrame:
-    return split_ess(normal_scores(split_halves(draws))).withColumnRenamed("ess", "bulk_ess")
+def bulk_ess(scores: DataFrame) -> DataFrame:
+    """Effective size of the normal scores of split chains."""
+    return split_ess(scores, ["parameter"]).withColumnRenamed("ess", "bulk_ess")
+
+
+def tail_marks(halves: DataFrame) -> DataFrame:
+    """Indicators of lying at or below the 5 % and the 95 % point, as two series (``side``)."""
+    limits = exact_quantiles(halves, ["parameter"], "value", {"_low": 0.05, "_high": 0.95})
+    rows = attach(halves, limits, ["parameter"])
+    sides = F.array(*[F.struct(F.lit(name).alias("side"), (F.col("value") <= F.col(limit)).cast(
+        "double").alias("mark")) for name, limit in (("low", "_low"), ("high", "_high"))])
+    return rows.withColumn("_s", F.explode(sides)).select(
+        "parameter", "_s.side", "chain", "half", "iteration", F.col("_s.mark").alias("value"))
 
 
-def tail_ess(draws: DataFrame) -> DataFrame:
-    """The smaller effective size of the indicators of the outer 5 % on either side."""
+def tail_ess(halves: DataFrame) -> DataFrame:
+    """The smaller effective size of the two tail indicators of split chains."""
+    return split_ess(tail_marks(halves), ["parameter", "side"]).groupBy("parameter").agg(
+        F.min("ess").alias("tail_ess"))
+
+
+def monitor(draws: DataFrame) -> DataFrame:
+    """R-hat, bulk and tail ESS per parameter. Halves and scores are made once and the three
+    series of the two sizes (scores, low tail, high tail) share their lag passes."""
     halves = settle(split_halves(draws))
-    limits = exact_quantiles(halves, ["parameter"], "value", {"_q05": 0.05, "_q95": 0.95})
-    rows = settle(attach(halves, limits, ["parameter"]))
-    sides = [split_ess(rows.withColumn("value", (F.col("value") <= F.col(q)).cast("double"))
-                       .drop("_q05", "_q95")) for q in ("_q05", "_q95")]
-    low = sides[0].withColumnRenamed("ess", "_low")
-    high = sides[1].withColumnRenamed("ess", "_high")
-    return low.join(high, "parameter").select(
-        "parameter", F.least("_low", "_high").alias("tail_ess"))
-
-
-def convergence_gate(rhat: DataFrame, bulk: DataFrame, tail: DataFrame,
-                     target: float = 1.05) -> DataFrame:
+    scores = settle(normal_scores(halves))
+    series = scores.withColumn("side", F.lit("bulk")).unionByName(tail_marks(halves))
+    sizes = split_ess(series, ["parameter", "side"]).groupBy("parameter").agg(
+        F.max(F.when(F.col("side") == "bulk", F.col("ess"))).alias("bulk_ess"),
+        F.min(F.when(F.col("side") != "bulk", F.col("ess"))).alias("tail_ess"))
+    return rank_normalized_rhat(halves, scores).join(sizes, "parameter", "left")
+
+
+def convergence_gate(monitored: DataFrame, target: float = 1.05) -> DataFrame:
     """Worst values over the parameters and whether R-hat meets its target."""
-    joined = rhat.join(bulk, "parameter", "left").join(tail, "parameter", "left")
-    return joined.agg(F.max("rhat").alias("max_rhat"), F.min("bulk_ess").alias("min_bulk_ess"),
-                      F.min("tail_ess").alias("min_tail_ess")).withColumn(
+    return monitored.agg(
+        F.max("rhat").alias("max_rhat"), F.min("bulk_ess").alias("min_bulk_ess"),
+        F.min("tail_ess").alias("min_tail_ess")).withColumn(
         "converged", F.col("max_rhat") < target)

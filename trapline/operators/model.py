@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trapline.functions import probability as pr
-from trapline.session import attach, settle
+from trapline.session import attach, settle, spread
+from trapline.sources.lookups import MAX_TRAPS, N_DAYS
 
 DRAW = ["chain", "iteration"]
 DRAW_SITE = ["chain", "iteration", "site_num"]
@@ -305,17 +306,19 @@ def _total(values: Column) -> Column:
 
 
 def grid_marginal_loglik(candidates: DataFrame, positions: DataFrame, space: DataFrame,
-                         sizes: DataFrame, histories: DataFrame, mesh: int = 20) -> DataFrame:
+                         sizes: DataFrame, histories: DataFrame, mesh: int = 20,
+                         n_traps: int = MAX_TRAPS, n_days: int = N_DAYS) -> DataFrame:
     """Marginal log likelihood per species, candidate and site: activity centres integrated over
     a mesh of the state space, membership summed out.
 
     ``candidates`` are params rows (chain, iteration name a candidate, plus psi). For a mesh point
-    the no-capture terms of a day depend only on whether the individual was caught before, so they
-    are summed over traps once per candidate and site; a pattern then adds up one term per day and
-    one per captured cell. The mesh stays an array inside the row, so the only shuffle after the
-    pairing of candidates and patterns is the final sum."""
+    the no-capture terms depend only on the first capture day and the gain of a captured cell only
+    on whether the individual was caught before, so both are worked out once per candidate and
+    site; a pattern then adds one number plus one per captured cell. The mesh stays an array inside
+    the row, so the only shuffle after pairing candidates and patterns is the final sum."""
     rows = nested_params(candidates).join(F.broadcast(nested_traps(positions)), "site_num").join(
         F.broadcast(space), "site_num").withColumn("alpha1", alpha1_from_sigma(F.col("sigma")))
+    rows = spread(rows, *DRAW_SITE).withColumn("placed", F.map_from_entries("traps"))
 
     def log_p(place: Column, trap: Column, day: Column, caught: Column) -> Column:
         d = place - trap
@@ -328,29 +331,36 @@ def grid_marginal_loglik(candidates: DataFrame, positions: DataFrame, space: Dat
             "traps", F.lit(0.0), lambda total, trap: total + F.log1p(
                 -F.exp(log_p(place, trap["pos"], day, F.lit(caught))))))
 
-    place = F.transform(F.sequence(F.lit(0), F.lit(mesh - 1)), lambda q: F.col("xlim1")
-                        + (q + 0.5) / mesh * (F.col("xlim2") - F.col("xlim1")))
-    rows = rows.withColumn("_places", place)
-    rows = rows.withColumn("points", F.transform("_places", lambda s: F.struct(
-        s.alias("s"), miss(s, 0.0).alias("fresh"), miss(s, 1.0).alias("again"))))
-    never = _log_mean_exp(F.transform("points", lambda pt: _total(pt["fresh"])), mesh)
-    rows = settle(rows.withColumn("log_never", never).withColumn(
-        "placed", F.map_from_entries("traps")).drop("_places", "xlim1", "xlim2", "traps"))
-
-    def gain(pt: Column, key: Column) -> Column:
-        """log p - log(1 - p) of one captured cell; a trap without a known place adds nothing."""
-        day = F.element_at("days", (key % 1000).cast("int"))
-        place = F.try_element_at("placed", F.floor(key / 1000).cast("int"))
-        lp = log_p(pt["s"], place, day, ((key % 1000) > F.col("first_day")).cast("double"))
+    def gain(place: Column, slot: Column) -> Column:
+        """log p - log(1 - p) of a captured cell; a trap without a known place adds nothing."""
+        trap = F.try_element_at("placed", F.floor(slot / (2 * n_days)).cast("int") + 1)
+        day = F.element_at("days", (F.floor(slot / 2) % n_days).cast("int") + 1)
+        lp = log_p(place, trap, day, (slot % 2).cast("double"))
         return F.coalesce(lp - F.log1p(-F.exp(lp)), F.lit(0.0))
 
+    q = F.sequence(F.lit(0), F.lit(mesh - 1))
+    rows = rows.withColumn("points", F.transform(q, lambda i: F.col("xlim1") + (
+        i + 0.5) / mesh * (F.col("xlim2") - F.col("xlim1"))))
+    cells = F.sequence(F.lit(0), F.lit(2 * n_days * n_traps - 1))
+    rows = rows.withColumn("points", F.transform("points", lambda s: F.struct(
+        miss(s, 0.0).alias("fresh"), miss(s, 1.0).alias("again"),
+        F.transform(cells, lambda slot: gain(s, slot)).alias("gain"))))
+    rows = rows.withColumn("points", F.transform("points", lambda pt: F.struct(
+        F.transform(F.sequence(F.lit(1), F.lit(n_days)), lambda first: _total(F.slice(
+            pt["fresh"], F.lit(1), first)) + _total(F.slice(
+                pt["again"], first + 1, F.lit(n_days)))).alias("miss"), pt["gain"].alias("gain"))))
+    never = _log_mean_exp(F.transform("points", lambda pt: F.element_at(pt["miss"], n_days)), mesh)
+    rows = settle(rows.withColumn("log_never", never).select(
+        *DRAW_SITE, "psi", "log_never", "points"))
+
     def at_point(pt: Column) -> Column:
-        until = F.slice(pt["fresh"], F.lit(1), F.col("first_day"))
-        later = F.slice(pt["again"], F.col("first_day") + 1, F.size(pt["again"]))
-        return _total(until) + _total(later) + F.aggregate(
-            "caught", F.lit(0.0), lambda total, key: total + gain(pt, key))
+        return F.aggregate("slots", F.element_at(pt["miss"], F.col("first_day")),
+                           lambda total, slot: total + F.element_at(pt["gain"], slot + 1))
 
-    paired = attach(rows, history_patterns(histories), ["site_num"])
+    patterns = history_patterns(histories).withColumn("slots", F.transform(
+        "caught", lambda key: (((F.floor(key / 1000) - 1) * n_days + key % 1000 - 1) * 2
+                               + (key % 1000 > F.col("first_day")).cast("int")).cast("int")))
+    paired = attach(rows, patterns.drop("caught"), ["site_num"])
     scored = paired.select("species", *DRAW_SITE, "copies", "psi",
                            F.transform("points", at_point).alias("_ll"))
     observed = scored.groupBy("species", *DRAW_SITE).agg(F.sum(
@@ -363,14 +373,19 @@ def grid_marginal_loglik(candidates: DataFrame, positions: DataFrame, space: Dat
         "species", *DRAW_SITE, (F.coalesce("observed", F.lit(0.0)) + augmented).alias("loglik"))
 
 
-def candidate_weights(per_site: DataFrame) -> DataFrame:
-    """Grid weights per species: total log likelihood of a candidate under equal prior weight,
-    exponentiated relative to the best and normalised to one."""
+def candidate_weights(per_site: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """Grid weights per species: log likelihood of a candidate over its sites plus its log prior
+    (equal when none is given), exponentiated relative to the best and normalised to one.
+    ``prior`` holds chain, iteration and log_prior."""
     totals = per_site.groupBy("species", *DRAW).agg(F.sum("loglik").alias("loglik"))
-    best = totals.groupBy("species").agg(F.max("loglik").alias("_best"))
-    scaled = attach(totals, best, ["species"]).withColumn(
-        "_w", F.exp(F.col("loglik") - F.col("_best")))
+    score = F.col("loglik")
+    if prior is not None:
+        totals = totals.join(prior.select(*DRAW, "log_prior"), DRAW)
+        score = score + F.col("log_prior")
+    totals = settle(totals.withColumn("_score", score))
+    best = totals.groupBy("species").agg(F.max("_score").alias("_best"))
+    scaled = settle(attach(totals, best, ["species"]).withColumn(
+        "_w", F.exp(F.col("_score") - F.col("_best"))))
     mass = scaled.groupBy("species").agg(F.sum("_w").alias("_mass"))
     return attach(scaled, mass, ["species"]).select(
         "species", *DRAW, "loglik", (F.col("_w") / F.col("_mass")).alias("weight"))
-

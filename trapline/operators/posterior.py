@@ -6,13 +6,18 @@ so nothing here gathers a parameter in one task: aggregates are partial first, q
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trapline.functions.probability import (erlang_cdf, gamma_density, normal_quantile, uniform)
 from trapline.operators.model import home_range, sigma_from_alpha1
 from trapline.operators.ranks import exact_quantiles
-from trapline.session import attach, settle
+from trapline.session import attach, settle, spread
+
+# Grid points of a density handled by one row of work.
+CHUNK = 32
 
 
 def thin(draws: DataFrame, burn: int, every: int, renumber: bool = True) -> DataFrame:
@@ -35,11 +40,9 @@ def _bins(draws: DataFrame, groups: list[str], bins: int) -> DataFrame:
                                       F.count("value").alias("_rows"))
     placed = attach(draws.where(F.col("value").isNotNull()), span, groups)
     width = (F.col("_high") - F.col("_low")) / bins
-    place = F.least(F.floor(F.try_divide(F.col("value") - F.col("_low"), width)).cast("int"),
-                    F.lit(bins - 1))
-    return placed.groupBy(*groups, "_low", "_rows", width.alias("_width"),
-                          F.coalesce(place, F.lit(0)).alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"))
+    place = F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("_low"), width)), F.lit(0))
+    return placed.groupBy(*groups, "_low", "_rows", width.alias("_width"), F.least(
+        place.cast("int"), F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def histogram(draws: DataFrame, groups: list[str], bins: int = 30) -> DataFrame:
@@ -82,8 +85,10 @@ def kde(draws: DataFrame, groups: list[str], points: int = 512) -> DataFrame:
     weights = placed.select(*groups, F.explode(shares).alias("x")).groupBy(
         *groups, F.col("x.k").alias("k")).agg(F.sum("x.w").alias("w"))
     held = weights.groupBy(*groups).agg(F.collect_list(F.struct("k", "w")).alias("weights"))
-    grid = attach(held, setup, groups).withColumn(
-        "point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    chunks = attach(held, setup, groups).withColumn("_chunk", F.explode(
+        F.sequence(F.lit(0), F.lit((points - 1) // CHUNK))))
+    grid = spread(chunks, *groups, "_chunk").withColumn("point", F.explode(F.sequence(
+        F.col("_chunk") * CHUNK, F.least((F.col("_chunk") + 1) * CHUNK, F.lit(points)) - 1)))
     ratio = F.col("step") / F.col("bw")
 
     def kernel(total: Column, x: Column) -> Column:
@@ -188,10 +193,12 @@ def prior_against_posterior(draws: DataFrame, parameter: str = "sigma", shape: i
 def prior_pushforward(keys: DataFrame, key: str, seed: int = 7, mean: float = 1.5,
                       sd: float = 2.0, least: float = 0.02) -> DataFrame:
     """One normal draw of alpha1 per key, kept above ``least``, pushed to sigma and home range.
-    Draws depend on the key only, so they do not change with the partitioning."""
+    Draws depend on the key only, so they do not change with the partitioning. The cut is made on
+    the uniform, where it is one comparison."""
     u = uniform(seed, F.col(key)) * (1 - 2.0 ** -52) + 2.0 ** -53
-    drawn = keys.select(key, (mean + sd * normal_quantile(u)).alias("alpha1")).where(
-        F.col("alpha1") >= least)
+    floor = 0.5 * math.erfc((mean - least) / sd / math.sqrt(2.0))
+    kept = keys.select(key, u.alias("_u")).where(F.col("_u") >= floor)
+    drawn = kept.select(key, (mean + sd * normal_quantile(F.col("_u"))).alias("alpha1"))
     sigma = drawn.withColumn("sigma", sigma_from_alpha1(F.col("alpha1")))
     return sigma.withColumn("home_range", 4.0 * F.col("sigma") * 100.0)
 

@@ -11,27 +11,41 @@ from pyspark.sql import functions as F
 from trapline.session import settle
 
 
-def running_total(df: DataFrame, groups: list[str], order: list[str], weight: str) -> DataFrame:
-    """Add ``before``, the sum of ``weight`` over the earlier rows of the group, and ``total``.
+def _ranges(df: DataFrame, groups: list[str], order: list[str],
+            weight: str) -> tuple[DataFrame, DataFrame]:
+    """Rows put into ranges of the sort order, and per range and group the weight in it
+    (``_size``), in earlier ranges (``_offset``) and in the whole group (``total``).
 
-    ``df`` is unique on groups + order; groups and order are not null. The ranges are cut by a
-    sample, so they are settled once: both passes below must see the same ranges."""
+    The ranges are cut by a sample, so they are settled once: every later pass must see the same
+    ranges. The second table holds one row per range and group present in it."""
     ranged = settle(
         df.repartitionByRange(*groups, *order).withColumn("_range", F.spark_partition_id()))
     sizes = ranged.groupBy("_range", *groups).agg(F.sum(weight).alias("_size"))
     per_group = Window.partitionBy(*groups)
-    offsets = sizes.select(
-        "_range", *groups,
+    return ranged, sizes.select(
+        "_range", *groups, "_size",
         F.coalesce(F.sum("_size").over(
             per_group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)),
             F.lit(0)).alias("_offset"),
         F.sum("_size").over(per_group).alias("total"))
-    inside = Window.partitionBy("_range", *groups).orderBy(*order).rowsBetween(
+
+
+def _inside(ranged: DataFrame, offsets: DataFrame, groups: list[str], order: list[str],
+            weight: str) -> DataFrame:
+    """Finish the running total inside each (range, group) that has an offset."""
+    keys = ["_range", *groups]
+    window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1)
-    local = ranged.withColumn("_local", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-    return (local.join(offsets, ["_range", *groups])
-            .withColumn("before", F.col("_offset") + F.col("_local"))
-            .drop("_range", "_offset", "_local"))
+    local = F.coalesce(F.sum(weight).over(window), F.lit(0))
+    return ranged.join(offsets.drop("_size"), keys).withColumn(
+        "before", F.col("_offset") + local).drop("_range", "_offset")
+
+
+def running_total(df: DataFrame, groups: list[str], order: list[str], weight: str) -> DataFrame:
+    """Add ``before``, the sum of ``weight`` over the earlier rows of the group, and ``total``.
+    ``df`` is unique on groups + order; groups and order are not null."""
+    ranged, offsets = _ranges(df, groups, order, weight)
+    return _inside(ranged, offsets, groups, order, weight)
 
 
 def dense_ids(df: DataFrame, groups: list[str], key: str, name: str,
@@ -43,34 +57,46 @@ def dense_ids(df: DataFrame, groups: list[str], key: str, name: str,
     return numbered.select(*groups, key, (F.col("before") + 1).cast(type_).alias(name))
 
 
+def _distinct_values(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    return (df.where(F.col(value).isNotNull()).groupBy(*groups, value)
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
 def value_positions(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """One row per group and distinct value: ``n`` rows with it, ``before`` rows with a smaller
     one, ``total`` rows in the group. Ties collapse before anything is sorted."""
-    counted = (df.where(F.col(value).isNotNull()).groupBy(*groups, value)
-               .agg(F.count(F.lit(1)).alias("n")))
-    return running_total(counted, groups, [value], "n")
+    return running_total(_distinct_values(df, groups, value), groups, [value], "n")
+
+
+def _places(p: float) -> tuple[Column, Column, Column]:
+    """0-based positions of the order statistics around a quantile and the way between them."""
+    place = (F.col("total") - 1) * F.lit(float(p))
+    low = F.floor(place)
+    return low, F.ceil(place), place - low
 
 
-def quantile_columns(value: str, probs: dict[str, float]) -> list[Column]:
-    """Aggregates over ``value_positions`` rows giving quantiles with linear interpolation
-    between order statistics (position (n - 1) p)."""
+def exact_quantiles(df: DataFrame, groups: list[str], value: str,
+                    probs: dict[str, float]) -> DataFrame:
+    """One row per group with a column per probability: linear interpolation between the order
+    statistics around position (n - 1) p.
+
+    Only the ranges that hold a wanted position, at most two per group and probability, are
+    sorted; all others are skipped by their totals."""
+    ranged, offsets = _ranges(_distinct_values(df, groups, value), groups, [value], "n")
+    wanted = F.lit(False)
+    for p in probs.values():
+        low, high, _ = _places(p)
+        for k in (low, high):
+            wanted = wanted | ((F.col("_offset") <= k) & (k < F.col("_offset") + F.col("_size")))
+    places = _inside(ranged, offsets.where(wanted), groups, [value], "n")
     columns = []
     for name, p in probs.items():
-        place = (F.col("total") - 1) * F.lit(float(p))
-        low, high = F.floor(place), F.ceil(place)
+        low, high, share = _places(p)
         after = F.col("before") + F.col("n")
         below = F.max(F.when((F.col("before") <= low) & (low < after), F.col(value)))
         above = F.max(F.when((F.col("before") <= high) & (high < after), F.col(value)))
-        share = F.max(place - low)
-        columns.append((below + share * (above - below)).alias(name))
-    return columns
-
-
-def exact_quantiles(df: DataFrame, groups: list[str], value: str,
-                    probs: dict[str, float]) -> DataFrame:
-    """One row per group with a column per probability."""
-    places = value_positions(df, groups, value)
-    return places.groupBy(*groups).agg(*quantile_columns(value, probs))
+        columns.append((below + F.max(share) * (above - below)).alias(name))
+    return places.groupBy(*groups).agg(*columns)
 
 
 def average_ranks(places: DataFrame) -> DataFrame:

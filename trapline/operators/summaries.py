@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trapline.operators.ranks import dense_ids, quantile_columns, value_positions
+from trapline.operators.ranks import dense_ids, exact_quantiles
+from trapline.session import attach
 from trapline.sources.lookups import MAX_TRAPS, N_DAYS
 
-SIX = {"minimum": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "maximum": 1.0}
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
 def unpivoted(df: DataFrame, ids: list[str], columns: list[str], name: str = "variable",
@@ -20,12 +21,11 @@ def unpivoted(df: DataFrame, ids: list[str], columns: list[str], name: str = "va
 
 def summary_table(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """Minimum, quartiles, median, mean, maximum and number of nulls per group."""
-    places = value_positions(df, groups, value)
-    spread = places.groupBy(*groups).agg(
-        *quantile_columns(value, SIX),
-        (F.sum(F.col(value) * F.col("n")) / F.max("total")).alias("mean"))
-    nulls = df.groupBy(*groups).agg(F.count_if(F.col(value).isNull()).alias("n_null"))
-    return nulls.join(spread, groups, "left")
+    quartiles = exact_quantiles(df, groups, value, QUARTILES)
+    rest = df.groupBy(*groups).agg(
+        F.count_if(F.col(value).isNull()).alias("n_null"), F.min(value).alias("minimum"),
+        F.max(value).alias("maximum"), F.avg(value).alias("mean"))
+    return rest.join(quartiles, groups, "left")
 
 
 def column_summary(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -133,12 +133,11 @@ def first_match(grid: DataFrame, found: DataFrame, keys: list[str], order: list[
 
 def coded(df: DataFrame, groups: list[str], key: str, name: str) -> DataFrame:
     """Attach the dense code of ``key`` inside ``groups`` (globally without groups)."""
-    return df.join(dense_ids(df, groups, key, name), [*groups, key], "left")
+    return attach(df, dense_ids(df, groups, key, name), [*groups, key], "left")
 
 
 def trap_blocks(effort: DataFrame) -> DataFrame:
     """First and last running trap number per site in letter order, from the site lookup."""
-    from pyspark.sql import Window
     running = F.sum("max_traps").over(Window.orderBy("site"))
     return effort.select("site", (running - F.col("max_traps") + 1).alias("first_trap"),
                          running.alias("last_trap"))

@@ -8,6 +8,11 @@ from trapline.operators import convergence, posterior
 from trapline.plans.inputs import Inputs
 from trapline.plans.registry import query
 from trapline.plans.views import ess_sql, rhat_sql
+from trapline.session import settle
+
+
+def _halves(t: Inputs):
+    return settle(convergence.split_halves(t.draws))
 
 
 @query("psrf", "draws", """
@@ -60,7 +65,7 @@ def effective_size_histogram(t: Inputs):
 def posterior_summary_checked(t: Inputs):
     """The printed summary: two digits, with R-hat."""
     table = posterior.posterior_summary(t.draws).join(
-        convergence.rank_normalized_rhat(t.draws), "parameter")
+        convergence.rank_normalized_rhat(_halves(t)), "parameter")
     return table.select("parameter", *[F.round(c, 2).alias(c) for c in (
         "mean", "sd", "q2_5", "q50", "q97_5")], F.round("rhat", 4).alias("rhat"))
 
@@ -70,12 +75,12 @@ def posterior_summary_checked(t: Inputs):
     FROM ({rhat_sql('ranked', 'rhat_bulk')}) b JOIN ({rhat_sql('folded', 'rhat_folded')}) f
       ON f.parameter = b.parameter""", "rhat_bulk rhat_folded rhat")
 def rank_normalized_rhat(t: Inputs):
-    return convergence.rank_normalized_rhat(t.draws)
+    return convergence.rank_normalized_rhat(_halves(t))
 
 
 @query("bulk_ess", "ranked", ess_sql("ranked", "bulk_ess"), "bulk_ess", 4)
 def bulk_ess(t: Inputs):
-    return convergence.bulk_ess(t.draws)
+    return convergence.bulk_ess(convergence.normal_scores(_halves(t)))
 
 
 TAIL = f"""
@@ -85,7 +90,7 @@ TAIL = f"""
 
 @query("tail_ess", "marks", TAIL, "tail_ess", 4)
 def tail_ess(t: Inputs):
-    return convergence.tail_ess(t.draws)
+    return convergence.tail_ess(_halves(t))
 
 
 @query("convergence_gate", "ranked folded marks", f"""
@@ -96,6 +101,4 @@ def tail_ess(t: Inputs):
     JOIN ({ess_sql('ranked', 'bulk_ess')}) e ON e.parameter = b.parameter
     JOIN ({TAIL}) t ON t.parameter = b.parameter""", "max_rhat min_bulk_ess min_tail_ess", 4)
 def convergence_gate(t: Inputs):
-    return convergence.convergence_gate(convergence.rank_normalized_rhat(t.draws),
-                                        convergence.bulk_ess(t.draws),
-                                        convergence.tail_ess(t.draws))
+    return convergence.convergence_gate(convergence.monitor(t.draws))

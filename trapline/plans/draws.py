@@ -30,10 +30,10 @@ def _bins_sql(source: str, keys: str, bins: int, place: str, name: str) -> str:
     SELECT {keys}, bin, low + (bin{place}) * width AS {name}, n,
       n / (total * nullif(width, 0)) AS density FROM (
       SELECT {', '.join('d.' + k.strip() for k in keys.split(','))}, low, width, total,
-        CAST(coalesce(least(floor((value - low) / nullif(width, 0)), {bins - 1}), 0) AS INTEGER)
+        CAST(least(coalesce(floor((value - low) / nullif(width, 0)), 0), {bins - 1}) AS INTEGER)
           AS bin, count(*) AS n
-      FROM {source} d JOIN (SELECT {keys}, min(value) AS low,
-          (max(value) - min(value)) / {bins} AS width, count(*) AS total
+      FROM (SELECT * FROM {source} WHERE value IS NOT NULL) d JOIN (SELECT {keys}, min(value) AS low,
+          (max(value) - min(value)) / {bins} AS width, count(value) AS total
         FROM {source} GROUP BY ALL) r ON {on} GROUP BY ALL)"""
 
 
@@ -140,7 +140,7 @@ def draw_statistics(t: Inputs):
             quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
             quantile_cont(value, 0.75) AS q3, max(value) AS maximum, avg(value) AS mean
           FROM draws WHERE parameter LIKE 'N[%' GROUP BY 1) d
-    JOIN per_site p ON p.site_num = d.site_num""", "minimum q1 median q3 maximum mean")
+    JOIN per_site p ON p.site_num = d.site_num""", "minimum q1 median q3 maximum mean", 9)
 def abundance_check(t: Inputs):
     return posterior.abundance_check(t.draws, t.per_site)
 
@@ -157,7 +157,7 @@ def proportion_captured(t: Inputs):
 
 @query("proportion_histogram", f"draws per_site", f"""
     WITH shares AS (SELECT species, site_num, p AS value FROM ({PROPORTION}))
-    {_bins_sql("shares", "species, site_num", 50, "", "bin_start")}""", "bin_start density")
+    {_bins_sql("shares", "species, site_num", 50, "", "bin_start")}""", "bin_start density", 10)
 def proportion_histogram(t: Inputs):
     shares = posterior.proportion_captured(t.draws, t.per_site).withColumnRenamed("p", "value")
     return posterior.histogram(shares, ["species", "site_num"], 50)

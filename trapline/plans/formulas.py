@@ -14,7 +14,7 @@ from trapline.plans.views import logistic, num
     SELECT l.site_num, t.trap, count(*) AS n, min(abs(l.s - t.pos)) AS nearest,
       max(abs(l.s - t.pos)) AS farthest, avg(abs(l.s - t.pos)) AS mean
     FROM latent l JOIN positions t ON t.site_num = l.site_num GROUP BY ALL""",
-       "nearest farthest mean")
+       "nearest farthest mean", 4)
 def trap_distances(t: Inputs):
     return model.trap_distance(t.latent, t.positions).groupBy("site_num", "trap").agg(
         F.count(F.lit(1)).alias("n"), F.min("d").alias("nearest"),
@@ -37,7 +37,7 @@ def baseline_detection(t: Inputs):
 
 @query("detection", "cells", """
     SELECT chain, iteration, site_num, trap, day, count(*) AS n, avg(p) AS p, max(p) AS highest
-    FROM cells GROUP BY ALL""", "p highest")
+    FROM cells GROUP BY ALL""", "p highest", 5)
 def detection(t: Inputs):
     return model.detection(t.latent, t.positions, t.params).groupBy(
         "chain", "iteration", "site_num", "trap", "day").agg(
@@ -50,7 +50,7 @@ P_SEX = (f"{logistic('alpha0 + alpha3 * sex')} * exp(-d * d / (2 * "
 
 @query("detection_by_sex", "cells", f"""
     SELECT chain, iteration, site_num, sex, day, count(*) AS n, avg({P_SEX}) AS p
-    FROM cells GROUP BY ALL""", "p")
+    FROM cells GROUP BY ALL""", "p", 5)
 def detection_by_sex(t: Inputs):
     return model.detection_by_sex(t.latent, t.positions, t.params).groupBy(
         "chain", "iteration", "site_num", "sex", "day").agg(
@@ -76,19 +76,19 @@ def alpha1_by_sex(t: Inputs):
         F.col("psi") - F.col("sigma"), F.lit(0.4), F.col("sex")).alias("alpha1"))
 
 
-@query("observed_loglik", "observed_ll", "SELECT * FROM observed_ll", "loglik")
+@query("observed_loglik", "observed_ll", "SELECT * FROM observed_ll", "loglik", 3)
 def observed_loglik(t: Inputs):
     return model.observed_loglik(t.latent, t.params, t.positions, t.per_site, t.known)
 
 
-@query("zeros_loglik", "zeros_ll", "SELECT * FROM zeros_ll", "loglik")
+@query("zeros_loglik", "zeros_ll", "SELECT * FROM zeros_ll", "loglik", 3)
 def zeros_loglik(t: Inputs):
     return model.zeros_loglik(t.latent, t.params, t.positions, t.per_site)
 
 
 @query("augmented_loglik", "observed_ll zeros_ll", """
     SELECT species, chain, iteration, site_num, sum(loglik) AS loglik FROM (
-      SELECT * FROM observed_ll UNION ALL SELECT * FROM zeros_ll) GROUP BY ALL""", "loglik")
+      SELECT * FROM observed_ll UNION ALL SELECT * FROM zeros_ll) GROUP BY ALL""", "loglik", 3)
 def augmented_loglik(t: Inputs):
     return model.augmented_loglik(t.latent, t.params, t.positions, t.per_site, t.known)
 
@@ -111,10 +111,6 @@ def log_prior(t: Inputs):
         F.count("log_prior").alias("n"), F.sum("log_prior").alias("log_prior"))
 
 
-PRIOR_ROWS = """SELECT chain, iteration, site_num, id_site,
-    s / 6 AS share, s AS spread, z FROM latent"""
-
-
 @query("other_priors", "latent", """
     SELECT chain, site_num, sum(ln(2 / (pi() * 1.5e0)) - ln(1 + (s / 1.5e0) ** 2)) AS half_cauchy,
       sum(CASE WHEN s < 5 THEN -ln(5e0) END) AS uniform,
@@ -216,12 +212,13 @@ def mean_detection_by_day(t: Inputs):
     return model.mean_detection_by_day(model.detection(t.latent, t.positions, t.params))
 
 
-@query("mean_baseline_by_sex", "cells", f"""
+@query("mean_baseline_by_sex", "latent params", f"""
     SELECT chain, iteration, sex_code, avg(p0) AS p_cap FROM (
       SELECT chain, iteration, site_num, sex_code, avg(p0) AS p0 FROM (
         SELECT chain, iteration, site_num, id_site, sex_code,
           avg({logistic('alpha0 + alpha3 * sex_code')}) AS p0
-        FROM cells CROSS JOIN (VALUES (0), (1)) AS x(sex_code) GROUP BY ALL) GROUP BY ALL)
+        FROM latent JOIN params USING (chain, iteration, site_num)
+        CROSS JOIN (VALUES (0), (1)) AS x(sex_code) GROUP BY ALL) GROUP BY ALL)
     GROUP BY ALL""", "p_cap")
 def mean_baseline_by_sex(t: Inputs):
     return model.mean_baseline_by_sex(t.latent, t.params)
@@ -308,7 +305,7 @@ MARGINAL_VIEWS = "params space positions history flags sizes"
 
 
 @query("grid_marginal_loglik", MARGINAL_VIEWS, f"""
-    WITH {MARGINAL} SELECT * FROM marginal""", "loglik", 5)
+    WITH {MARGINAL} SELECT * FROM marginal""", "loglik", 4)
 def grid_marginal_loglik(t: Inputs):
     return _marginal(t)
 
@@ -318,6 +315,6 @@ def grid_marginal_loglik(t: Inputs):
       FROM marginal GROUP BY ALL),
     scaled_w AS (SELECT *, exp(loglik - max(loglik) OVER (PARTITION BY species)) AS w FROM totals)
     SELECT species, chain, iteration, loglik, w / sum(w) OVER (PARTITION BY species) AS weight
-    FROM scaled_w""", "loglik weight", 5)
+    FROM scaled_w""", "loglik weight", 4)
 def candidate_weights(t: Inputs):
     return model.candidate_weights(_marginal(t))

@@ -370,7 +370,7 @@ def observed_activity_centres(t: Inputs):
     FROM (SELECT 'carapace' AS variable, carapace AS value FROM captures
           UNION ALL SELECT 'mass', mass FROM captures
           UNION ALL SELECT 'trap', CAST(trap AS DOUBLE) FROM captures)
-    GROUP BY 1""", "minimum q1 median q3 maximum mean")
+    GROUP BY 1""", "minimum q1 median q3 maximum mean", 9)
 def capture_summary(t: Inputs):
     return summaries.column_summary(t.captures, ["carapace", "mass", "trap"])
 

@@ -199,7 +199,7 @@ def start_membership_drawn(t: Inputs):
       + 150e0 + 150e0) / 100 * {uniform(2, 's.species', 's.site_num', 's.id_site')}) AS s
     FROM (SELECT *, (SELECT min(max_traps) FROM sizes) AS least_traps FROM slots) s
     LEFT JOIN centres c ON c.species = s.species AND c.site_num = s.site_num
-      AND c.id_site = s.id_site""", "s")
+      AND c.id_site = s.id_site""", "s", 3)
 def start_activity_centres(t: Inputs):
     return starts.init_activity_centres(
         t.sizes, histories.observed_activity_centres(t.known))
@@ -210,7 +210,7 @@ def start_activity_centres(t: Inputs):
       * {uniform(2, 's.species', 's.site_num', 's.id_site')}) AS s
     FROM slots s JOIN space x ON x.site_num = s.site_num
     LEFT JOIN centres c ON c.species = s.species AND c.site_num = s.site_num
-      AND c.id_site = s.id_site""", "s")
+      AND c.id_site = s.id_site""", "s", 3)
 def start_centres_own_site(t: Inputs):
     return starts.init_activity_centres(
         t.sizes, histories.observed_activity_centres(t.known), state_space=t.space)
@@ -223,7 +223,7 @@ def start_centres_own_site(t: Inputs):
     LEFT JOIN (SELECT e.species, e.site_num, e.id_site, sum(e.count * p.pos) / sum(e.count) AS loc
                FROM em e JOIN positions p ON p.site_num = e.site_num AND p.trap = e.trap
                GROUP BY ALL) c
-      ON c.species = s.species AND c.site_num = s.site_num AND c.id_site = s.id_site""", "s")
+      ON c.species = s.species AND c.site_num = s.site_num AND c.id_site = s.id_site""", "s", 3)
 def older_activity_centres(t: Inputs):
     return starts.older_activity_centres(t.sizes, t.numbered, t.positions, t.space)
 

@@ -22,24 +22,24 @@ def first_traps(t: Inputs):
 
 
 @query("distance_to_first_trap", "distances", """
-    SELECT trap_id, site_num, distance FROM distances""", "distance")
+    SELECT trap_id, site_num, distance FROM distances""", "distance", 3)
 def distance_to_first_trap(t: Inputs):
     return t.distances.select("trap_id", "site_num", "distance")
 
 
-@query("trap_positions", "positions", "SELECT * FROM positions", "pos")
+@query("trap_positions", "positions", "SELECT * FROM positions", "pos", 4)
 def trap_positions(t: Inputs):
     return t.positions
 
 
-@query("state_space", "space", "SELECT * FROM space", "xlim1 xlim2")
+@query("state_space", "space", "SELECT * FROM space", "xlim1 xlim2", 4)
 def state_space(t: Inputs):
     return t.space
 
 
 @query("older_state_space", "distances", """
     SELECT site_num, (min(distance) - 150) / 100 AS xlim1, (max(distance) + 150) / 100 AS xlim2
-    FROM distances GROUP BY 1""", "xlim1 xlim2")
+    FROM distances GROUP BY 1""", "xlim1 xlim2", 4)
 def older_state_space(t: Inputs):
     return spatial.state_space(t.distances, spatial.OLDER_BUFFER)
 
@@ -72,7 +72,7 @@ MATRIX = ", ".join(f"max(pos) FILTER (trap = {j}) AS trap_{j}" for j in range(1,
 
 @query("position_matrix", "positions", f"""
     SELECT site_num, {MATRIX} FROM positions GROUP BY 1""",
-       " ".join(f"trap_{j}" for j in range(1, 15)))
+       " ".join(f"trap_{j}" for j in range(1, 15)), 4)
 def position_matrix(t: Inputs):
     return spatial.position_matrix(t.positions, 14)
 

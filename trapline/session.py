@@ -49,6 +49,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a small table whose rows are expensive to work on the full parallelism of the session
+    (a number is stated because adaptive execution would merge small partitions again)."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def attach(facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner",
            max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a lookup that is unique on ``on`` to a fact table in which one key may hold a large
