@@ -72,9 +72,31 @@ def test_run_settings():
     assert chain_settings(RunConfig("CPIC", "x", True)).iterations == 700
 
 
-def test_shared_folder_is_taken_from_the_session(spark, folder):
-    spark.conf.set("spark.checkpoint.dir", folder)
-    try:
-        assert shared_folder(spark) == folder
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+class Session:
+    """Just enough of a session to ask for its shared folder."""
+
+    def __init__(self, settings, master):
+        self.master, self.settings, self.checkpoints = master, settings, None
+        self.conf = self.sparkContext = self
+
+    def get(self, name, default=None):
+        return self.settings.get(name, default)
+
+    def getConf(self):
+        return self
+
+    def getCheckpointDir(self):
+        return self.checkpoints
+
+    def setCheckpointDir(self, folder):
+        self.checkpoints = folder
+
+
+def test_shared_folder_is_taken_from_the_session():
+    session = Session({"spark.checkpoint.dir": "hdfs://shared/cuts"}, "yarn")
+    assert shared_folder(session) == session.checkpoints == "hdfs://shared/cuts"
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    with pytest.raises(RuntimeError):
+        shared_folder(Session({}, "yarn"))

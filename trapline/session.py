@@ -32,7 +32,8 @@ def build_session(cores: str = "8", app: str = "trapline") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the session; a temporary one only for a local master."""
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    folder = (spark.conf.get("spark.checkpoint.dir", None)
+              or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir())
     if folder is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
