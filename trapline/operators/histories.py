@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trapline.operators.ranks import dense_ids
+from trapline.session import settle
 from trapline.sources.lookups import MAX_TRAPS, N_DAYS
 
 INDIVIDUAL = ["species", "site_num", "ind", "id_site"]
@@ -48,9 +49,11 @@ def individual_ids(counts: DataFrame) -> DataFrame:
 
 
 def numbered_counts(captures: DataFrame) -> DataFrame:
-    """Counts with ``id_site``; an unknown individual keeps a null number."""
-    counts = capture_counts(captures)
-    return counts.join(individual_ids(counts), ["species", "site_num", "ind"], "left")
+    """Counts with ``id_site``; an unknown individual keeps a null number. The log is read once:
+    the counts are settled before ids are taken from them, and the result is settled for the
+    tables that are built on it (sizes, histories, placeholders, start values)."""
+    counts = settle(capture_counts(captures))
+    return settle(counts.join(individual_ids(counts), ["species", "site_num", "ind"], "left"))
 
 
 def site_species(effort: DataFrame, caps: DataFrame) -> DataFrame:

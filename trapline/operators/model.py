@@ -123,56 +123,60 @@ def detection_by_sex(latent: DataFrame, positions: DataFrame, params: DataFrame)
                        half_normal(p0, alpha1_from_sigma(sigma), F.col("d")).alias("p"))
 
 
-def _observed_cells(latent, params, positions, per_site, histories) -> DataFrame:
-    """Observed cells of every draw with p and y (a cell caught twice is one success). Each
-    individual's counts travel as one map, matched on (species, site, individual)."""
-    held = histories.where(F.col("id_site").isNotNull()).select(
-        "species", "site_num", "id_site", "first_day", "cells")
-    rows = observed_are_members(with_species(with_params(latent, params), per_site))
-    rows = rows.join(held, ["species", "site_num", "id_site"])
-    cells = by_day(by_trap(rows, positions))
-    caught = (F.col("day") > F.col("first_day")).cast("int")
+def _loglik(rows: DataFrame, positions: DataFrame) -> DataFrame:
+    """Sum of log Bernoulli terms per species, draw and site. ``rows`` are latent slots with their
+    parameters, first_day and cells (null where never caught). Slots that are no members are not
+    exploded and add 0; a cell caught twice is one success."""
+    placed = rows.join(F.broadcast(nested_traps(positions)), "site_num").withColumn(
+        "traps", F.when(F.col("z") == 1, F.col("traps")))
+    exploded = placed.withColumn("_t", F.explode_outer("traps")).drop("traps")
+    cells = by_day(exploded.select("*", F.col("_t.trap").alias("trap"),
+                                   (F.col("s") - F.col("_t.pos")).alias("d")))
+    caught = F.coalesce((F.col("day") > F.col("first_day")).cast("int"), F.lit(0))
     y = F.try_element_at("cells", F.col("trap") * 1000 + F.col("day"))
     alpha1 = alpha1_from_sigma(F.col("sigma"))
     logit = F.col("alpha0") + F.col("alpha2") * caught
-    log_p = -F.log1p(F.exp(-logit)) - alpha1 * F.col("d") * F.col("d")
-    return cells.select("species", *DRAW_SITE, F.least(F.coalesce(y, F.lit(0)), F.lit(1))
-                        .alias("y"), log_p.alias("log_p"))
+    terms = cells.select("species", *DRAW_SITE, (F.coalesce(y, F.lit(0)) > 0).alias("y"), (
+        -F.log1p(F.exp(-logit)) - alpha1 * F.col("d") * F.col("d")).alias("log_p"))
+    term = F.when(F.col("y"), F.col("log_p")).otherwise(F.log1p(-F.exp("log_p")))
+    return terms.groupBy("species", *DRAW_SITE).agg(
+        F.coalesce(F.sum(term), F.lit(0.0)).alias("loglik"))
 
 
-def _bernoulli_terms() -> Column:
-    return F.when(F.col("y") == 1, F.col("log_p")).otherwise(F.log1p(-F.exp("log_p")))
+def _slots(latent: DataFrame, params: DataFrame, per_site: DataFrame) -> DataFrame:
+    return observed_are_members(with_species(with_params(latent, params), per_site))
+
+
+def _caught(histories: DataFrame) -> DataFrame:
+    return histories.where(F.col("id_site").isNotNull()).select(
+        "species", "site_num", "id_site", "first_day", "cells")
 
 
 def observed_loglik(latent: DataFrame, params: DataFrame, positions: DataFrame,
                     per_site: DataFrame, histories: DataFrame) -> DataFrame:
-    """Sum of log Bernoulli(y; p) over the cells of caught individuals, per draw and site."""
-    cells = _observed_cells(latent, params, positions, per_site, histories)
-    return cells.groupBy("species", *DRAW_SITE).agg(F.sum(_bernoulli_terms()).alias("loglik"))
+    """Sum of log Bernoulli(y; p) over the cells of caught individuals, per draw and site. An
+    individual's counts travel as one map, matched on (species, site, individual)."""
+    rows = _slots(latent, params, per_site).where(F.col("id_site") <= F.col("n"))
+    return _loglik(rows.join(_caught(histories), ["species", "site_num", "id_site"]), positions)
 
 
 def zeros_loglik(latent: DataFrame, params: DataFrame, positions: DataFrame,
                  per_site: DataFrame) -> DataFrame:
     """Log probability that augmented members were never caught: sum of log(1 - p) over their
-    traps and days. Slots that are no members are not exploded and add 0."""
-    rows = with_species(with_params(latent, params), per_site).where(
-        F.col("id_site") > F.col("n"))
-    placed = rows.join(F.broadcast(nested_traps(positions)), "site_num").withColumn(
-        "traps", F.when(F.col("z") == 1, F.col("traps")))
-    exploded = placed.withColumn("_t", F.explode_outer("traps")).drop("traps")
-    cells = by_day(exploded.withColumn("d", F.abs(F.col("s") - F.col("_t.pos"))))
-    p = half_normal(pr.inverse_logit(F.col("alpha0")), alpha1_from_sigma(F.col("sigma")),
-                    F.col("d"))
-    return cells.groupBy("species", *DRAW_SITE).agg(
-        F.coalesce(F.sum(F.log1p(-p)), F.lit(0.0)).alias("loglik"))
+    traps and days. No history is needed."""
+    rows = _slots(latent, params, per_site).where(F.col("id_site") > F.col("n"))
+    never = rows.withColumn("first_day", F.lit(None).cast("int")).withColumn(
+        "cells", F.lit(None).cast("map<int,bigint>"))
+    return _loglik(never, positions)
 
 
 def augmented_loglik(latent: DataFrame, params: DataFrame, positions: DataFrame,
                      per_site: DataFrame, histories: DataFrame) -> DataFrame:
-    """All slots as Bernoulli cells: observed ones with their counts, the rest with zeros."""
-    both = observed_loglik(latent, params, positions, per_site, histories).unionByName(
-        zeros_loglik(latent, params, positions, per_site))
-    return both.groupBy("species", *DRAW_SITE).agg(F.sum("loglik").alias("loglik"))
+    """All slots as Bernoulli cells in one pass: observed ones with their counts, the rest with
+    zeros."""
+    rows = _slots(latent, params, per_site)
+    return _loglik(rows.join(_caught(histories), ["species", "site_num", "id_site"], "left"),
+                   positions)
 
 
 def log_prior(draws: DataFrame) -> DataFrame:
