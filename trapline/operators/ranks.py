@@ -1,51 +1,86 @@
 """Ranks, dense ids and exact quantiles that never sort a whole group in one task.
 
-Everything here rests on ``running_total``: rows are put into ranges of the sort order, each range
-is summed on its own, and only the range totals (one row per range and group) are accumulated."""
+Rows are put into ranges of the sort order, each range is worked on where it lies, and only the
+range totals (one row per range and group) are accumulated and attached back. The ranges are cut by
+a sample, so they are settled once: every later pass must see the same ranges."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from trapline.session import settle
+from trapline.session import attach, settle
 
 
-def _ranges(df: DataFrame, groups: list[str], order: list[str],
-            weight: str) -> tuple[DataFrame, DataFrame]:
-    """Rows put into ranges of the sort order, and per range and group the weight in it
-    (``_size``), in earlier ranges (``_offset``) and in the whole group (``total``).
-
-    The ranges are cut by a sample, so they are settled once: every later pass must see the same
-    ranges. The second table holds one row per range and group present in it."""
-    ranged = settle(
-        df.repartitionByRange(*groups, *order).withColumn("_range", F.spark_partition_id()))
-    sizes = ranged.groupBy("_range", *groups).agg(F.sum(weight).alias("_size"))
+def _offsets(sizes: DataFrame, groups: list[str]) -> DataFrame:
+    """Per range and group (``_size`` given): weight in earlier ranges and in the whole group."""
     per_group = Window.partitionBy(*groups)
-    return ranged, sizes.select(
-        "_range", *groups, "_size",
+    return sizes.select(
+        "*",
         F.coalesce(F.sum("_size").over(
             per_group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)),
             F.lit(0)).alias("_offset"),
         F.sum("_size").over(per_group).alias("total"))
 
 
-def _inside(ranged: DataFrame, offsets: DataFrame, groups: list[str], order: list[str],
-            weight: str) -> DataFrame:
-    """Finish the running total inside each (range, group) that has an offset."""
-    keys = ["_range", *groups]
-    window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, -1)
-    local = F.coalesce(F.sum(weight).over(window), F.lit(0))
-    return ranged.join(offsets.drop("_size"), keys).withColumn(
-        "before", F.col("_offset") + local).drop("_range", "_offset")
+def positions(df: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
+    """Add ``before``, the number of earlier rows of the group, and ``total``. ``df`` is unique on
+    groups + order, and both are not null. Row numbers inside a range are the running ids Spark
+    gives to its sorted rows."""
+    ranged = settle(df.repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order)
+                    .withColumn("_at", F.monotonically_increasing_id())
+                    .withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range", *groups).agg(
+        F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    placed = attach(ranged, _offsets(sizes, groups), ["_range", *groups])
+    return placed.withColumn("before", F.col("_offset") + F.col("_at") - F.col("_first")).drop(
+        "_range", "_at", "_first", "_size", "_offset")
 
 
 def running_total(df: DataFrame, groups: list[str], order: list[str], weight: str) -> DataFrame:
-    """Add ``before``, the sum of ``weight`` over the earlier rows of the group, and ``total``.
-    ``df`` is unique on groups + order; groups and order are not null."""
-    ranged, offsets = _ranges(df, groups, order, weight)
-    return _inside(ranged, offsets, groups, order, weight)
+    """Add ``before``, the sum of an integer ``weight`` over the earlier rows of the group, and
+    ``total``. ``df`` is unique on groups + order, and both are not null."""
+    ranged = df.repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order)
+    schema = StructType([*ranged.schema.fields, StructField("_local", LongType())])
+    ranged = settle(ranged.mapInArrow(_sums_before(groups, weight), schema).withColumn(
+        "_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range", *groups).agg(F.sum(weight).alias("_size"))
+    placed = attach(ranged, _offsets(sizes, groups), ["_range", *groups])
+    return placed.withColumn("before", F.col("_offset") + F.col("_local")).drop(
+        "_range", "_local", "_size", "_offset")
+
+
+def _sums_before(groups: list[str], weight: str):
+    """Arrow batches of one sorted range in, the same with the sum of the earlier weights of the
+    group in the range out; the sum is carried from batch to batch."""
+
+    def run(batches):
+        last, carried = None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            starts = np.zeros(n, dtype=bool)
+            for name in groups:
+                column = batch.column(name)
+                starts[1:] |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(
+                    zero_copy_only=False)
+            head = [batch.column(name)[0].as_py() for name in groups]
+            starts[0] = last is not None and head != last
+            weights = batch.column(weight).to_numpy(zero_copy_only=False).astype(np.int64)
+            earlier = carried + np.cumsum(weights) - weights
+            at = np.maximum.accumulate(np.where(starts, np.arange(n), -1))
+            local = earlier - np.where(at >= 0, earlier[at], 0)
+            carried = int(local[-1] + weights[-1])
+            last = [batch.column(name)[n - 1].as_py() for name in groups]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(local, pa.int64())], [*batch.schema.names, "_local"])
+
+    return run
 
 
 def dense_ids(df: DataFrame, groups: list[str], key: str, name: str,
@@ -53,7 +88,7 @@ def dense_ids(df: DataFrame, groups: list[str], key: str, name: str,
     """(groups, key, name): keys of each group numbered 1..n in sort order; null keys get none.
     Without groups the numbering is global."""
     keys = df.where(F.col(key).isNotNull()).select(*groups, key).distinct()
-    numbered = running_total(keys.withColumn("_one", F.lit(1)), groups, [key], "_one")
+    numbered = positions(keys, groups, [key])
     return numbered.select(*groups, key, (F.col("before") + 1).cast(type_).alias(name))
 
 
@@ -82,13 +117,19 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str,
 
     Only the ranges that hold a wanted position, at most two per group and probability, are
     sorted; all others are skipped by their totals."""
-    ranged, offsets = _ranges(_distinct_values(df, groups, value), groups, [value], "n")
+    ranged = settle(_distinct_values(df, groups, value).repartitionByRange(
+        *groups, value).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range", *groups).agg(F.sum("n").alias("_size"))
     wanted = F.lit(False)
     for p in probs.values():
         low, high, _ = _places(p)
         for k in (low, high):
             wanted = wanted | ((F.col("_offset") <= k) & (k < F.col("_offset") + F.col("_size")))
-    places = _inside(ranged, offsets.where(wanted), groups, [value], "n")
+    keys = ["_range", *groups]
+    near = attach(ranged, _offsets(sizes, groups).where(wanted), keys)
+    inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    places = near.withColumn(
+        "before", F.col("_offset") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
     columns = []
     for name, p in probs.items():
         low, high, share = _places(p)
