@@ -14,7 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trapline.functions.probability import normal_quantile
-from trapline.operators.ranks import average_ranks, exact_quantiles, value_positions
+from trapline.operators.filters import with_base
+from trapline.operators.posterior import posterior_summary
+from trapline.operators.ranks import (average_ranks, exact_quantiles, picked_quantiles,
+                                      value_positions)
 from trapline.session import attach, settle
 
 BLOCK = 4096
@@ -85,11 +88,10 @@ def effective_size(draws: DataFrame) -> DataFrame:
     """Effective size per parameter from the spectrum at zero of an autoregression fitted to each
     chain (order by AIC up to 10 log10 n), summed over the chains. Python sees only the lag
     vector of a chain."""
-    lengths = draws.groupBy("parameter").agg(F.countDistinct("iteration").alias("n"))
-    longest = lengths.agg(F.max("n")).first()[0] or 1
+    sizes = settle(draws.groupBy("parameter", "chain").agg(F.count("value").alias("n")))
+    longest = sizes.agg(F.max("n")).first()[0] or 1
     top = max(1, int(np.floor(10 * np.log10(longest))))
     lags = autocovariance(draws, ["parameter", "chain"], top)
-    sizes = draws.groupBy("parameter", "chain").agg(F.count("value").alias("n"))
     rows = attach(lags, sizes, ["parameter", "chain"])
 
     def spectrum(chain: pd.DataFrame) -> pd.DataFrame:
@@ -145,14 +147,19 @@ def split_halves(draws: DataFrame) -> DataFrame:
         .otherwise(F.col("iteration")).alias("iteration"), "value")
 
 
-def normal_scores(draws: DataFrame) -> DataFrame:
+def ranked_values(halves: DataFrame) -> DataFrame:
+    """Settled places of the distinct values of every parameter; quantiles and ranks share it."""
+    return settle(value_positions(halves, ["parameter"], "value"))
+
+
+def normal_scores(halves: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """Replace values by normal scores of their average ranks within the parameter. Ranks are
     taken per distinct value; the few values that hold a large share of a parameter are looked
     up by broadcast, the others by an even shuffle."""
-    places = settle(average_ranks(value_positions(draws, ["parameter"], "value")).select(
-        "parameter", "value", "n", normal_quantile(
-            (F.col("rank") - 0.375) / (F.col("total") + 0.25)).alias("z")))
-    return lookup_values(draws, places, "z").withColumn("value", F.col("z")).drop("z")
+    places = ranked_values(halves) if places is None else places
+    scored = average_ranks(places).select("parameter", "value", "n", normal_quantile(
+        (F.col("rank") - 0.375) / (F.col("total") + 0.25)).alias("z"))
+    return lookup_values(halves, scored, "z").withColumn("value", F.col("z")).drop("z")
 
 
 def lookup_values(draws: DataFrame, places: DataFrame, name: str, share: int = 1000) -> DataFrame:
@@ -180,16 +187,18 @@ def split_rhat(halves: DataFrame) -> DataFrame:
         (F.col("n") - 1) / F.col("n") * F.col("w") + F.col("vm"), F.col("w"))).alias("rhat"))
 
 
-def rank_normalized_rhat(halves: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+def rank_normalized_rhat(halves: DataFrame, places: DataFrame | None = None,
+                         scores: DataFrame | None = None) -> DataFrame:
     """The larger of R-hat on normal scores and on normal scores of |x - median|. ``halves`` are
-    split chains; pass their normal scores when they are at hand."""
-    median = exact_quantiles(halves, ["parameter"], "value", {"_median": 0.5})
+    split chains; pass their ranked values and normal scores when they are at hand."""
+    places = ranked_values(halves) if places is None else places
+    scores = normal_scores(halves, places) if scores is None else scores
+    median = picked_quantiles(places, ["parameter"], "value", {"_median": 0.5})
     folded = attach(halves, median, ["parameter"]).withColumn(
         "value", F.abs(F.col("value") - F.col("_median"))).drop("_median")
-    bulk = split_rhat(normal_scores(halves) if scores is None else scores)
     tails = split_rhat(normal_scores(folded)).withColumnRenamed("rhat", "rhat_folded")
-    return bulk.withColumnRenamed("rhat", "rhat_bulk").join(tails, "parameter").withColumn(
-        "rhat", F.greatest("rhat_bulk", "rhat_folded"))
+    return split_rhat(scores).withColumnRenamed("rhat", "rhat_bulk").join(
+        tails, "parameter").withColumn("rhat", F.greatest("rhat_bulk", "rhat_folded"))
 
 
 def split_ess(halves: DataFrame, keys: list[str]) -> DataFrame:
@@ -248,9 +257,11 @@ def bulk_ess(scores: DataFrame) -> DataFrame:
     return split_ess(scores, ["parameter"]).withColumnRenamed("ess", "bulk_ess")
 
 
-def tail_marks(halves: DataFrame) -> DataFrame:
+def tail_marks(halves: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """Indicators of lying at or below the 5 % and the 95 % point, as two series (``side``)."""
-    limits = exact_quantiles(halves, ["parameter"], "value", {"_low": 0.05, "_high": 0.95})
+    probs = {"_low": 0.05, "_high": 0.95}
+    limits = exact_quantiles(halves, ["parameter"], "value", probs) if places is None \
+        else picked_quantiles(places, ["parameter"], "value", probs)
     rows = attach(halves, limits, ["parameter"])
     sides = F.array(*[F.struct(F.lit(name).alias("side"), (F.col("value") <= F.col(limit)).cast(
         "double").alias("mark")) for name, limit in (("low", "_low"), ("high", "_high"))])
@@ -265,15 +276,28 @@ def tail_ess(halves: DataFrame) -> DataFrame:
 
 
 def monitor(draws: DataFrame) -> DataFrame:
-    """R-hat, bulk and tail ESS per parameter. Halves and scores are made once and the three
-    series of the two sizes (scores, low tail, high tail) share their lag passes."""
+    """R-hat, bulk and tail ESS per parameter. Halves, ranked values and scores are made once and
+    the three series of the two sizes (scores, low tail, high tail) share their lag passes."""
     halves = settle(split_halves(draws))
-    scores = settle(normal_scores(halves))
-    series = scores.withColumn("side", F.lit("bulk")).unionByName(tail_marks(halves))
+    places = ranked_values(halves)
+    scores = settle(normal_scores(halves, places))
+    series = scores.withColumn("side", F.lit("bulk")).unionByName(tail_marks(halves, places))
     sizes = split_ess(series, ["parameter", "side"]).groupBy("parameter").agg(
         F.max(F.when(F.col("side") == "bulk", F.col("ess"))).alias("bulk_ess"),
         F.min(F.when(F.col("side") != "bulk", F.col("ess"))).alias("tail_ess"))
-    return rank_normalized_rhat(halves, scores).join(sizes, "parameter", "left")
+    return rank_normalized_rhat(halves, places, scores).join(sizes, "parameter", "left")
+
+
+def printed_summary(draws: DataFrame, names: list[str] | None = None,
+                    digits: int = 2) -> DataFrame:
+    """Mean, sd, interval, scale reduction and effective size of the parameters whose base name
+    is listed (all by default), rounded for print."""
+    chosen = draws if names is None else with_base(draws, names)
+    table = posterior_summary(chosen).join(psrf(chosen), "parameter", "left").join(
+        effective_size(chosen).select("parameter", "ess"), "parameter", "left")
+    return table.select(
+        "parameter", *[F.round(c, digits).alias(c) for c in ("mean", "sd", "q2_5", "q50", "q97_5")],
+        F.round("psrf", digits).alias("rhat"), F.round("ess", 0).alias("n_eff"))
 
 
 def convergence_gate(monitored: DataFrame, target: float = 1.05) -> DataFrame:

@@ -57,10 +57,12 @@ def frequency_polygon(draws: DataFrame, groups: list[str], bins: int = 50) -> Da
         F.try_divide(F.col("n").cast("double"), F.col("_rows") * F.col("_width")).alias("density"))
 
 
-def density_setup(draws: DataFrame, groups: list[str], points: int) -> DataFrame:
+def density_setup(draws: DataFrame, groups: list[str], points: int,
+                  quartiles: DataFrame | None = None) -> DataFrame:
     """Per group: rows, bandwidth 0.9 min(sd, IQR / 1.34) n^(-1/5), grid start and step. The grid
-    reaches three bandwidths past the data."""
-    quartiles = exact_quantiles(draws, groups, "value", {"q1": 0.25, "q3": 0.75})
+    reaches three bandwidths past the data. ``quartiles`` (q1, q3) may be at hand."""
+    if quartiles is None:
+        quartiles = exact_quantiles(draws, groups, "value", {"q1": 0.25, "q3": 0.75})
     spread = draws.groupBy(*groups).agg(
         F.count("value").alias("n"), F.stddev_samp("value").alias("sd"),
         F.min("value").alias("low"), F.max("value").alias("high"))
@@ -70,13 +72,14 @@ def density_setup(draws: DataFrame, groups: list[str], points: int) -> DataFrame
         ((F.col("high") - F.col("low") + 6 * F.col("bw")) / (points - 1)).alias("step"))
 
 
-def kde(draws: DataFrame, groups: list[str], points: int = 512) -> DataFrame:
+def kde(draws: DataFrame, groups: list[str], points: int = 512,
+        quartiles: DataFrame | None = None) -> DataFrame:
     """Gaussian kernel density on a regular grid.
 
     Every draw gives its weight to the two grid points around it, so the draws are read once and
     shrink to at most ``points`` weights per group before the kernel is applied; the kernel sum
     runs over grid weights and no longer grows with the draws."""
-    setup = settle(density_setup(draws, groups, points).where("bw > 0"))
+    setup = settle(density_setup(draws, groups, points, quartiles).where("bw > 0"))
     placed = attach(draws.where(F.col("value").isNotNull()), setup, groups)
     at = (F.col("value") - F.col("start")) / F.col("step")
     left = F.least(F.floor(at), F.lit(points - 2)).cast("int")
@@ -106,19 +109,23 @@ def chain_quantiles(draws: DataFrame) -> DataFrame:
                            {"q10": 0.1, "q50": 0.5, "q90": 0.9})
 
 
+def _limits(inner: float, outer: float) -> dict[str, float]:
+    return {"outer_low": (1 - outer) / 2, "inner_low": (1 - inner) / 2, "median": 0.5,
+            "inner_high": (1 + inner) / 2, "outer_high": (1 + outer) / 2}
+
+
 def intervals(draws: DataFrame, inner: float = 0.5, outer: float = 0.9) -> DataFrame:
-    probs = {"outer_low": (1 - outer) / 2, "inner_low": (1 - inner) / 2, "median": 0.5,
-             "inner_high": (1 + inner) / 2, "outer_high": (1 + outer) / 2}
-    return exact_quantiles(draws, ["parameter"], "value", probs)
+    return exact_quantiles(draws, ["parameter"], "value", _limits(inner, outer))
 
 
 def areas(draws: DataFrame, points: int = 512, inner: float = 0.5,
           outer: float = 0.9) -> DataFrame:
     """Density of every parameter scaled to a top of one, with the interval each point is in."""
-    curve = settle(kde(draws, ["parameter"], points))
+    limits = settle(exact_quantiles(draws, ["parameter"], "value", {
+        **_limits(inner, outer), "q1": 0.25, "q3": 0.75}))
+    curve = settle(kde(draws, ["parameter"], points, limits.select("parameter", "q1", "q3")))
     top = curve.groupBy("parameter").agg(F.max("density").alias("_top"))
-    limits = intervals(draws, inner, outer)
-    rows = attach(attach(curve, top, ["parameter"]), limits, ["parameter"])
+    rows = attach(curve, top.join(limits, "parameter"), ["parameter"])
     band = (F.when(F.col("x").between(F.col("inner_low"), F.col("inner_high")), "inner")
             .when(F.col("x").between(F.col("outer_low"), F.col("outer_high")), "outer")
             .otherwise("tail"))

@@ -130,6 +130,12 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str,
     inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     places = near.withColumn(
         "before", F.col("_offset") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return picked_quantiles(places, groups, value, probs)
+
+
+def picked_quantiles(places: DataFrame, groups: list[str], value: str,
+                     probs: dict[str, float]) -> DataFrame:
+    """Quantiles from ``value_positions`` rows that hold at least the wanted positions."""
     columns = []
     for name, p in probs.items():
         low, high, share = _places(p)

@@ -70,6 +70,11 @@ def posterior_summary_checked(t: Inputs):
         "mean", "sd", "q2_5", "q50", "q97_5")], F.round("rhat", 4).alias("rhat"))
 
 
+@query("printed_summary")
+def printed_summary(t: Inputs):
+    return convergence.printed_summary(t.draws, ["N", "sigma", "beta_1", "alpha0"])
+
+
 @query("rank_normalized_rhat", "ranked folded", f"""
     SELECT b.parameter, rhat_bulk, rhat_folded, greatest(rhat_bulk, rhat_folded) AS rhat
     FROM ({rhat_sql('ranked', 'rhat_bulk')}) b JOIN ({rhat_sql('folded', 'rhat_folded')}) f

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trapline.session import settle
+from trapline.session import attach, settle
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -42,6 +42,6 @@ def with_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:
         Window.unboundedPreceding, -1)
     ranges = ranges.select("_file", "_start", "_first", F.coalesce(
         F.sum("_rows").over(earlier), F.lit(0)).alias("_skipped"))
-    keyed = ranged.join(ranges, ["_file", "_start"])
+    keyed = attach(ranged, ranges, ["_file", "_start"])
     return keyed.withColumn(name, F.col("_skipped") + F.col("_seen") - F.col("_first") + 1).drop(
         "_file", "_start", "_seen", "_first", "_skipped")
