@@ -139,3 +139,16 @@ def test_start_values_do_not_depend_on_partitions(spark, effort, caps):
     s = starts.init_activity_centres(sizes, histories.observed_activity_centres(held))
     low, high = s.agg(F.min("s"), F.max("s")).first()
     assert -1.5 <= low and high <= 1.75
+
+
+def test_expansion_of_the_larger_tables(spark):
+    """Known sizes: rows are 56 times the individuals and the sites with an unused trap-day."""
+    from trapline.plans.inputs import Inputs
+    t = Inputs(spark, "/root/testdata/sf0.01")
+    rows = histories.complete_history(t.histories).groupBy("species").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("count").alias("caught"),
+        F.count_if(F.col("count").isNull()).alias("missing"))
+    got = {r.species: (r.rows, r.caught, r.missing) for r in rows.collect()}
+    assert got["CPIC"] == (2296, 256, 1268) and got["SODO"] == (2296, 242, 1072)
+    wide = histories.history_wide(t.known).groupBy("species").count().collect()
+    assert {r["count"] for r in wide if r.species in ("CPIC", "SODO")} == {116}

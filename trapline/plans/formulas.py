@@ -71,7 +71,8 @@ def alpha1_from_sigma(t: Inputs):
       exp(psi - sigma + 0.4e0 * s.sex) AS alpha1
     FROM params CROSS JOIN (VALUES (0), (1)) AS s(sex)""", "alpha1")
 def alpha1_by_sex(t: Inputs):
-    rows = t.params.where("day = 1").withColumn("sex", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = t.params.drop("day", "alpha0").distinct().withColumn(
+        "sex", F.explode(F.array(F.lit(0), F.lit(1))))
     return rows.select("chain", "iteration", "site_num", "sex", model.alpha1_by_sex(
         F.col("psi") - F.col("sigma"), F.lit(0.4), F.col("sex")).alias("alpha1"))
 
@@ -157,13 +158,13 @@ def habitat_width_loglik(t: Inputs):
 
 
 @query("membership_regression", "params scaled", f"""
-    SELECT k.chain, k.iteration, k.site_num,
+    SELECT k.chain, k.iteration, k.site_num, k.day,
       {logistic('k.alpha0 + 0.5e0 * s.depth_std - 0.25e0 * s.forest_std')} AS psi
-    FROM params k JOIN scaled s ON s.site_num = k.site_num WHERE k.day = 1""", "psi")
+    FROM params k JOIN scaled s ON s.site_num = k.site_num""", "psi")
 def membership_regression(t: Inputs):
-    rows = t.params.where("day = 1").join(F.broadcast(t.scaled), "site_num")
+    rows = t.params.join(F.broadcast(t.scaled), "site_num")
     return model.membership_regression(rows, F.col("alpha0"), F.lit(0.5), F.lit(-0.25)).select(
-        "chain", "iteration", "site_num", "psi")
+        "chain", "iteration", "site_num", "day", "psi")
 
 
 @query("abundance", "per_draw", "SELECT * FROM per_draw")
@@ -235,8 +236,8 @@ def mean_individual_detection(t: Inputs):
 
 @query("sigma_averages", "params", """
     SELECT chain, iteration, site_num, sex_code, avg(sigma) AS sigma_mean FROM (
-      SELECT chain, iteration, site_num, 0 AS sex_code, sigma FROM params WHERE day = 1
-      UNION ALL SELECT chain, iteration, site_num, 1, sigma_f FROM params WHERE day = 1)
+      SELECT chain, iteration, site_num, 0 AS sex_code, sigma FROM params
+      UNION ALL SELECT chain, iteration, site_num, 1, sigma_f FROM params)
     GROUP BY GROUPING SETS ((chain, iteration, site_num), (chain, iteration, sex_code),
       (chain, iteration))""", "sigma_mean")
 def sigma_averages(t: Inputs):

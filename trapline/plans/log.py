@@ -284,12 +284,12 @@ def older_history(t: Inputs):
 @query("null_safe_lookup", "captures", """
     SELECT a.species, a.sex, a.n, b.last_day FROM
       (SELECT species, sex, count(*) AS n FROM captures GROUP BY ALL) a
-    LEFT JOIN (SELECT species, sex, max(day) AS last_day FROM captures WHERE site_num <= 6
-               GROUP BY ALL) b
+    LEFT JOIN (SELECT species, sex, max(day) AS last_day FROM captures
+               WHERE site NOT IN ('H', 'I') GROUP BY ALL) b
       ON b.species = a.species AND b.sex IS NOT DISTINCT FROM a.sex""")
 def null_safe_lookup(t: Inputs):
     n = t.captures.groupBy("species", "sex").agg(F.count(F.lit(1)).alias("n"))
-    last = t.captures.where("site_num <= 6").groupBy("species", "sex").agg(
+    last = filters.select_species(t.captures).groupBy("species", "sex").agg(
         F.max("day").alias("last_day"))
     return histories.null_safe_join(n, last, ["species", "sex"])
 
@@ -456,12 +456,12 @@ def global_ids(t: Inputs):
 
 
 @query("site_traps", "captures", """
-    SELECT DISTINCT site_num, trap, CAST(dense_rank() OVER (
-      PARTITION BY site_num ORDER BY trap) AS INTEGER) AS site_trap
-    FROM captures WHERE site NOT IN ('H', 'I') AND species = 'SODO'""")
+    SELECT DISTINCT species, site_num, trap, CAST(dense_rank() OVER (
+      PARTITION BY species, site_num ORDER BY trap) AS INTEGER) AS site_trap
+    FROM captures WHERE site NOT IN ('H', 'I')""")
 def site_traps(t: Inputs):
-    kept = filters.select_species(t.captures, "SODO")
-    return ranks.dense_ids(kept, ["site_num"], "trap", "site_trap")
+    kept = filters.select_species(t.captures)
+    return ranks.dense_ids(kept, ["species", "site_num"], "trap", "site_trap")
 
 
 @query("lettered_sites", "captures", """
@@ -512,10 +512,10 @@ def arranged_covariates(t: Inputs):
 
 
 @query("last_captures", "captures", """
-    SELECT site, ind, day, capture_id FROM captures WHERE species = 'SODO'
+    SELECT site, ind, day, capture_id FROM captures
     ORDER BY site DESC, ind DESC, day DESC, capture_id DESC LIMIT 20""")
 def last_captures(t: Inputs):
-    rows = t.captures.where("species = 'SODO'").select("site", "ind", "day", "capture_id")
+    rows = t.captures.select("site", "ind", "day", "capture_id")
     return summaries.top_rows(rows, [F.desc(c) for c in rows.columns], 20)
 
 

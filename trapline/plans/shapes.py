@@ -158,12 +158,12 @@ def permuted_draws(t: Inputs):
 
 
 @query("bound_rows", "captures", """
-    SELECT species, site_num, ind, trap, NULL AS mass FROM captures WHERE day = 1
-    UNION ALL SELECT species, site_num, ind, NULL, mass FROM captures WHERE day = 2""", "mass")
+    SELECT species, site_num, ind, trap, NULL AS mass FROM captures
+    UNION ALL SELECT species, site_num, ind, NULL, mass FROM captures""", "mass")
 def bound_rows(t: Inputs):
-    first = t.captures.where("day = 1").select("species", "site_num", "ind", "trap")
-    second = t.captures.where("day = 2").select("species", "site_num", "ind", "mass")
-    return first.unionByName(second, allowMissingColumns=True)
+    places = t.captures.select("species", "site_num", "ind", "trap")
+    sizes = t.captures.select("species", "site_num", "ind", "mass")
+    return places.unionByName(sizes, allowMissingColumns=True)
 
 
 @query("complete_captures", "captures", """

@@ -58,8 +58,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 def attach(facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner",
            max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a lookup that is unique on ``on`` to a fact table in which one key may hold a large
-    share of the rows.
+    """Join a lookup to a fact table in which one key may hold a large share of the rows. The
+    lookup has one row per key, or few enough for every fact row of the key to meet them all.
 
     The lookup is settled and counted. Up to ``max_rows`` it is broadcast and the facts do not
     move; beyond that every lookup row is copied ``SALTS`` times and the facts of one key spread
@@ -68,9 +68,9 @@ def attach(facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner
     if lookup.count() <= max_rows:
         return facts.join(F.broadcast(lookup), on, how)
     salted = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = [c for c in facts.columns if c not in on] or facts.columns
+    rest = [c for c in facts.columns if c not in on] or [F.spark_partition_id()]
     return (
-        facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+        facts.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(SALTS)).cast("int"))
         .join(salted, [*on, "_salt"], how)
         .drop("_salt")
     )
