@@ -98,10 +98,12 @@ def individual_histories(numbered: DataFrame, effort: DataFrame,
     """One row per individual: first capture day and its captured cells as a map.
 
     Counts are summed over sex to one value per existing trap and day first, so a map holds at
-    most traps x days entries however often the individual was caught."""
+    most traps x days entries however often the individual was caught. One exchange on the
+    individual serves both steps."""
     inside = attach_effort(numbered, effort).where(
         F.col("trap").between(1, F.col("max_traps")) & F.col("day").between(1, n_days))
-    cells = inside.groupBy(*INDIVIDUAL, "max_traps", "trap", "day").agg(
+    placed = inside.repartition("species", "site_num", "ind")
+    cells = placed.groupBy(*INDIVIDUAL, "max_traps", "trap", "day").agg(
         F.sum("count").alias("count"))
     return cells.groupBy(*INDIVIDUAL, "max_traps").agg(
         F.min("day").alias("first_day"),
