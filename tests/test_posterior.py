@@ -172,3 +172,9 @@ def test_prior_pushforward_keeps_the_cut(spark):
     rows = posterior.prior_pushforward(spark.range(5000).withColumnRenamed("id", "k"), "k")
     low, n = rows.agg(F.min("alpha1"), F.count(F.lit(1))).first()
     assert low >= 0.02 and 0.74 < n / 5000 < 0.80
+
+
+def test_gaps_in_the_numbering_are_refused(spark):
+    draws = chains(spark, {"a": [range(10)]}).where("iteration <> 4")
+    with pytest.raises(ValueError):
+        convergence.split_halves(draws)

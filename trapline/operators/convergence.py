@@ -88,7 +88,7 @@ def effective_size(draws: DataFrame) -> DataFrame:
     """Effective size per parameter from the spectrum at zero of an autoregression fitted to each
     chain (order by AIC up to 10 log10 n), summed over the chains. Python sees only the lag
     vector of a chain."""
-    sizes = settle(draws.groupBy("parameter", "chain").agg(F.count("value").alias("n")))
+    sizes = chain_lengths(draws)
     longest = sizes.agg(F.max("n")).first()[0] or 1
     top = max(1, int(np.floor(10 * np.log10(longest))))
     lags = autocovariance(draws, ["parameter", "chain"], top)
@@ -133,10 +133,20 @@ def autoregressive_size(cov: np.ndarray, n: int) -> float:
     return n * (cov[0] * n / (n - 1)) / at_zero
 
 
+def chain_lengths(draws: DataFrame) -> DataFrame:
+    """Draws per parameter and chain; raises unless they are numbered 1, 2, ... without gaps."""
+    lengths = settle(draws.groupBy("parameter", "chain").agg(
+        F.max("iteration").alias("n"), F.min("iteration").alias("first"),
+        F.count("value").alias("rows")))
+    if not lengths.where("n <> rows OR first <> 1").isEmpty():
+        raise ValueError("number the draws 1, 2, ... in each chain (see posterior.thin)")
+    return lengths.select("parameter", "chain", "n")
+
+
 def split_halves(draws: DataFrame) -> DataFrame:
     """Each chain in two halves of equal length, the middle draw of an odd chain dropped. Adds
     ``half`` and renumbers iterations inside the half."""
-    lengths = draws.groupBy("parameter", "chain").agg(F.max("iteration").alias("_n"))
+    lengths = chain_lengths(draws).withColumnRenamed("n", "_n")
     rows = attach(draws, lengths, ["parameter", "chain"])
     size = F.floor(F.col("_n") / 2)
     second = F.col("iteration") > F.col("_n") - size
