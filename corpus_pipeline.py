@@ -55,11 +55,16 @@ def without_line_copies(spark, docs, sf_dir):
 def without_near_copies(spark, docs, sf_dir):
     """One document of each group of documents that share 80 % of their five-word shingles, the
     one of smallest ``doc_id``. Of repeated rows one stays; null keys stay alone."""
-    joined = ngram_join.join(docs, words=5, similarity=(80, 100))
-    first = joined.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    one = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return one.join(first, F.col("doc_id") == F.col("_id"), "left_semi").unionByName(
-        docs.where("doc_id is null"))
+    joined = common.settle(ngram_join.join(docs, words=5, similarity=(80, 100)))
+    known = joined.where("doc_id is not null")
+    often = known.groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1")
+    gone = known.where("doc_id <> component_id").select("doc_id").distinct()
+    # both lists are short beside the documents; adaptive execution sends them if they are small
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = common.settle(often.select("doc_id"))
+    once = kept.join(again, "doc_id", "left_anti")
+    one = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(one).select(*docs.columns)
 
 
 @_stage

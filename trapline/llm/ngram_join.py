@@ -19,6 +19,8 @@ Documents with equal sets are one throughout."""
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,9 +30,9 @@ from pyspark.sql import functions as F
 from trapline.llm.common import components, settle
 
 #: Shingles of a packed block, and distinct shingles of blocks that one fragment counts.
-BLOCK_SHINGLES = 1 << 18
+BLOCK_SHINGLES = 1 << 17
 FRAGMENT_SHINGLES = 1 << 21
-FILTER = 2.0
+FILTER = 1.5
 #: Fragments in which overlaps of pairs are counted.
 OVERLAP_FRAGMENTS = 4
 #: Longs of the parity map of a set, which bounds the shingles in which two sets differ.
@@ -83,75 +85,165 @@ def _parities(shingles: np.ndarray) -> list[int]:
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
-BLOCKS = ("ids array<long>, keys array<long>, ns array<int>, sizes array<int>, "
-          "sets array<long>, maps array<array<long>>, shingles binary")
+DEALT = ("fragment int, _block long, ids array<long>, keys array<long>, ns array<int>, "
+         "sizes array<int>, local array<int>, sets array<long>, owners binary, marks binary, "
+         "evidence binary")
+DEALT_SCHEMA = pa.schema(
+    [("fragment", pa.int32()), ("_block", pa.int64()), ("ids", pa.list_(pa.int64())),
+     ("keys", pa.list_(pa.int64())), ("ns", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())),
+     ("local", pa.list_(pa.int32())), ("sets", pa.list_(pa.int64())), ("owners", pa.binary()),
+     ("marks", pa.binary()), ("evidence", pa.binary())])
 
 
-def _packed(words: int, share: float, maps: bool):
-    """Blocks of documents: of each its key, hash of the text, number of shingles and set id, and
-    of all the shingles below ``share`` of the order."""
-    limit = np.uint64(min(int(share * 2.0 ** 64), 2 ** 64 - 1))
+def _edges(share: float, fragments: int) -> np.ndarray:
+    return np.array([int(share * 2.0 ** 64 * k / fragments) for k in range(1, fragments)],
+                    np.uint64)
 
-    def run(batches):
-        held: dict[str, list] = {}
-        size = 0
 
-        def flush():
-            return pa.RecordBatch.from_pydict({
-                "ids": pa.array([held["ids"]], pa.list_(pa.int64())),
-                "keys": pa.array([held["keys"]], pa.list_(pa.int64())),
-                "ns": pa.array([held["ns"]], pa.list_(pa.int32())),
-                "sizes": pa.array([held["sizes"]], pa.list_(pa.int32())),
-                "sets": pa.array([held["sets"]], pa.list_(pa.int64())),
-                "maps": pa.array([held["maps"]], pa.list_(pa.list_(pa.int64()))),
-                "shingles": pa.array([b"".join(held["shingles"])], pa.binary())})
+def _marks(shingles: np.ndarray) -> bytes:
+    """Low halves: a fragment is narrow enough for them to tell its shingles apart, and a clash
+    only counts a shingle as shared that is not."""
+    return (shingles & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()
 
+
+def _dealt(words: int, share: float, fragments: int):
+    """Blocks of documents. One row (fragment -1) names each document, its hash of the text, its
+    number of shingles, how many of them lie below ``share`` of the order, how many of these
+    other documents of the block hold, and its set id. A row per fragment holds the shingles that
+    one document of the block has, document by document, and, once, those that several have."""
+    limit = np.uint64(min(int(share * 2.0 ** 64), 2 ** 64 - 1))
+    edges = _edges(share, fragments)
+
+    def rows_of(held):
+        block = uuid.uuid4().int >> 65
+        ids, keys, sets = ([h[k] for h in held] for k in range(3))
+        parts = [h[3] for h in held]
+        sizes = np.array([len(p) for p in parts])
+        every = np.concatenate(parts)
+        found, place, often = np.unique(every, return_inverse=True, return_counts=True)
+        several = often[place] > 1
+        owner = np.repeat(np.arange(len(held)), sizes)
+        local = np.bincount(owner[several], minlength=len(held))
+        yield {"fragment": -1, "_block": block, "ids": ids, "keys": keys, "sets": sets,
+               "ns": [h[4] for h in held], "sizes": sizes.tolist(), "local": local.tolist()}
+        fragment = np.searchsorted(edges, every, "right")
+        shared = found[often > 1]
+        shared_in = np.searchsorted(edges, shared, "right")
+        for f in np.unique(fragment).tolist():
+            own = (fragment == f) & ~several
+            yield {"fragment": f, "_block": block, "marks": _marks(every[own]),
+                   "owners": owner[own].astype(np.uint16).tobytes(),
+                   "evidence": _marks(shared[shared_in == f])}
+
+    def run(batches):
+        held, size = [], 0
         for batch in batches:
-            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts = batch.column(2).to_pylist()
+            ids, keys, texts = (batch.column(k).to_pylist() for k in range(3))
             for start in range(0, len(ids), 64):
                 part = slice(start, start + 64)
                 for i, key, found in zip(ids[part], keys[part], shingled(texts[part], words)):
-                    if not held:
-                        held = {n: [] for n in ("ids", "keys", "ns", "sizes", "sets", "maps",
-                                                "shingles")}
                     first = found[:np.searchsorted(found, limit, "right")]
-                    row = (i, key, len(found), len(first), _set_id(found) if len(found) else None,
-                           _parities(found) if maps else [], first.tobytes())
-                    for column, value in zip(held.values(), row):
-                        column.append(value)
+                    held.append((i, key, _set_id(found) if len(found) else None, first,
+                                 len(found)))
                     size += len(first) + 16
                     if size >= BLOCK_SHINGLES:
-                        yield flush()
-                        held, size = {}, 0
+                        yield pa.RecordBatch.from_pylist(list(rows_of(held)), DEALT_SCHEMA)
+                        held, size = [], 0
         if held:
-            yield flush()
+            yield pa.RecordBatch.from_pylist(list(rows_of(held)), DEALT_SCHEMA)
     return run
 
 
-def blocks_of(docs: DataFrame, words: int, share: float, maps: bool = False) -> DataFrame:
-    return settle(docs.select("_id", "_key", "_text").mapInArrow(
-        _packed(words, share, maps), BLOCKS).withColumn(
-        "_block", F.monotonically_increasing_id()))
+def _shared_by_block(table: pa.Table) -> pa.Table:
+    """Of one fragment: for each block, the owners of the shingles that only one of its documents
+    has and other blocks have too."""
+    marks = [np.frombuffer(m, np.uint32) for m in table.column("marks").to_pylist()]
+    evidence = [np.frombuffer(m, np.uint32) for m in table.column("evidence").to_pylist()]
+    found, often = np.unique(np.concatenate([*marks, *evidence]), return_counts=True)
+    found = np.concatenate([found[often > 1], [np.iinfo(np.int64).max]])
+    hits = [np.frombuffer(o, np.uint16)[found[np.searchsorted(found, own)] == own].tobytes()
+            for own, o in zip(marks, table.column("owners").to_pylist())]
+    return pa.table({"_block": table.column("_block"), "hits": pa.array(hits, pa.binary())})
+
+
+def _elsewhere(table: pa.Table) -> pa.Table:
+    """How many shingles of each document of one block other blocks hold."""
+    hits = np.frombuffer(b"".join(table.column("hits").to_pylist()), np.uint16)
+    return pa.table({"_block": table.column("_block")[:1], "elsewhere": pa.array(
+        [np.bincount(hits).tolist()], pa.list_(pa.int32()))})
+
+
+def dealt_blocks(named: DataFrame, words: int, share: float) -> DataFrame:
+    """Settled blocks; the number of fragments follows the size of the texts."""
+    size = named.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    fragments = max(1, int(size * share / 6 // FRAGMENT_SHINGLES) + 1)
+    return settle(named.select("_id", "_key", "_text").mapInArrow(
+        _dealt(words, share, fragments), DEALT))
+
+
+def possible_links(dealt: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """``_set`` and ``_key`` of one text for every set whose first shingles are missing elsewhere
+    no oftener than a link may miss."""
+    shared = dealt.where("fragment >= 0").select(
+        "fragment", "_block", "owners", "marks", "evidence").groupBy("fragment").applyInArrow(
+        _shared_by_block, "_block long, hits binary")
+    sums = shared.groupBy("_block").applyInArrow(_elsewhere, "_block long, elsewhere array<int>")
+    docs = dealt.where("fragment = -1").select(
+        "_block", "keys", "ns", "sizes", "local", "sets").join(sums, "_block", "left").select(
+        F.explode(F.arrays_zip("keys", "ns", "sizes", "local", "sets", "elsewhere")).alias("_d")
+    ).where("_d.ns > 0")
+    num, den = similarity
+    n = F.col("_d.ns").cast("bigint")
+    may_miss = n - F.ceil(n * num / F.lit(den))
+    missed = F.col("_d.sizes") - F.col("_d.local") - F.coalesce("_d.elsewhere", F.lit(0))
+    return settle(docs.where(missed <= may_miss).groupBy(
+        F.col("_d.sets").alias("_set")).agg(F.min("_d.keys").alias("_key")))
+
+
+BLOCKS = "ns array<int>, sets array<long>, maps array<array<long>>, shingles binary"
+
+
+def _packed(words: int):
+    """Blocks of whole sets with their parity maps."""
+    def run(batches):
+        held, size = [], 0
 
+        def flush():
+            return pa.RecordBatch.from_pydict({
+                "ns": pa.array([[len(h) for h in held]], pa.list_(pa.int32())),
+                "sets": pa.array([[_set_id(h) for h in held]], pa.list_(pa.int64())),
+                "maps": pa.array([[_parities(h) for h in held]], pa.list_(pa.list_(pa.int64()))),
+                "shingles": pa.array([b"".join(h.tobytes() for h in held)], pa.binary())})
+
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for start in range(0, len(texts), 64):
+                for found in shingled(texts[start:start + 64], words):
+                    held.append(found)
+                    size += len(found)
+                    if size >= BLOCK_SHINGLES:
+                        yield flush()
+                        held, size = [], 0
+        if held:
+            yield flush()
+    return run
 
-def counted(blocks: DataFrame, share: float) -> DataFrame:
+
+def counted(blocks: DataFrame) -> DataFrame:
     """Blocks with ``counts``: for each distinct shingle of the block, in order, in how many
     documents it occurs (255: that or more). A block sends each distinct shingle once with its
     count, so a shingle that all documents share costs a fragment one entry per block."""
     total = blocks.agg(F.sum(F.length("shingles") / 8)).first()[0] or 0
     fragments = max(1, int(total // FRAGMENT_SHINGLES) + 1)
-    edges = np.array([int(share * 2.0 ** 64 * k / fragments) for k in range(1, fragments)],
-                     np.uint64)
+    edges = _edges(1.0, fragments)
 
     def send(batches):
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found, often = np.unique(np.frombuffer(data, np.uint64), return_counts=True)
                 cuts = [0, *np.searchsorted(found, edges, "left").tolist(), len(found)]
-                marks = (found & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 often = np.minimum(often, 255).astype(np.uint8)
-                rows = [(k, block, marks[a:b].tobytes(), often[a:b].tobytes())
+                rows = [(k, block, _marks(found[a:b]), often[a:b].tobytes())
                         for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(
@@ -187,7 +279,7 @@ def _documents(batch):
         _, place = np.unique(shingles, return_inverse=True)
         counts = np.frombuffer(b"".join(row["counts"] or []), np.uint8)[place]
         start = 0
-        for k, size in enumerate(row["sizes"]):
+        for k, size in enumerate(row["ns"]):
             yield row, k, shingles[start:start + size], counts[start:start + size]
             start += size
 
@@ -197,16 +289,6 @@ def _may_miss(n: int, similarity: tuple[int, int]) -> int:
     return n - -(-n * similarity[0] // similarity[1])
 
 
-def _shared(similarity):
-    def run(batches):
-        for batch in batches:
-            found = [(row["keys"][k], row["sets"][k]) for row, k, _, counts in _documents(batch)
-                     if row["ns"][k] and (counts < 2).sum() <= _may_miss(row["ns"][k], similarity)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["_key", "_set"])
-    return run
-
-
 POSTINGS = "shingle long, id long, n int, " + ", ".join(f"m{i} long" for i in range(MAP_LONGS))
 
 
@@ -240,7 +322,7 @@ def _segments(batches):
         for row in batch.to_pylist():
             shingles = np.frombuffer(row["shingles"], np.uint64)
             start, rows = 0, []
-            for k, size in enumerate(row["sizes"]):
+            for k, size in enumerate(row["ns"]):
                 own = shingles[start:start + size]
                 cuts = [0, *np.searchsorted(own, edges).tolist(), size]
                 rows += [(row["sets"][k], f, own[a:b].tobytes())
@@ -290,13 +372,13 @@ def linked(pairs: DataFrame, segments: DataFrame, similarity) -> DataFrame:
 
 
 def links(texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
-    """Enough links (``a``, ``b``) between set ids of ``texts`` (one row per text, blocks already
-    passed the first filter) to join all that are reachable from each other."""
-    blocks = blocks_of(texts, words, 1.0, maps=True)
-    postings = settle(counted(blocks, 1.0).drop("ids", "keys").mapInArrow(
-        _rare(similarity), POSTINGS).dropDuplicates(["shingle", "id"]))
-    segments = settle(blocks.select("sets", "sizes", "shingles").mapInArrow(
-        _segments, "id long, fragment int, shingles binary").dropDuplicates(["id", "fragment"]))
+    """Enough links (``a``, ``b``) between the set ids of ``texts`` (``_text``, one row per set,
+    with shingles) to join all that are reachable from each other."""
+    blocks = settle(texts.select("_text").mapInArrow(_packed(words), BLOCKS).withColumn(
+        "_block", F.monotonically_increasing_id()))
+    postings = settle(counted(blocks).mapInArrow(_rare(similarity), POSTINGS))
+    segments = blocks.select("sets", "ns", "shingles").mapInArrow(
+        _segments, "id long, fragment int, shingles binary")
     sets = settle(postings.drop("shingle").dropDuplicates(["id"]))
     heads = settle(postings.groupBy("shingle").agg(
         F.min("id").alias("head"), F.count("*").alias("_many")).where("_many > 1").drop("_many"))
@@ -336,21 +418,19 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     share = min(1.0, FILTER * (similarity[1] - similarity[0]) / similarity[1])
     named = docs.select(F.col(key).cast("bigint").alias("_id"),
                         F.xxhash64(F.col(text)).alias("_key"), F.col(text).alias("_text"))
-    blocks = blocks_of(named, words, share)
-    shared = settle(counted(blocks, share).drop("maps").mapInArrow(
-        _shared(similarity), "_key long, _set long").groupBy("_set").agg(
-        F.min("_key").alias("_key")))
+    dealt = dealt_blocks(named, words, share)
+    shared = possible_links(dealt, similarity)
+    # copies of a text shrink to one row per task before they meet
     texts = named.select("_key", "_text").groupBy("_key").agg(F.first("_text").alias("_text"))
-    chosen = texts.join(shared.select("_key").distinct(), "_key", "left_semi").withColumn(
-        "_id", F.lit(None).cast("bigint"))
+    chosen = texts.join(shared.select("_key"), "_key", "left_semi")
     roots = components(links(chosen, words, similarity))
-    members = blocks.select(F.explode(F.arrays_zip("ids", "ns", "sets")).alias("_d")).select(
-        F.col("_d.ids").alias(key), F.col("_d.ns").alias("n_shingles"),
+    members = dealt.where("fragment = -1").select(F.explode(F.arrays_zip(
+        "ids", "ns", "sets")).alias("_d")).select(
+        F.col("_d.ids").alias("_id"), F.col("_d.ns").cast("bigint").alias("n_shingles"),
         F.col("_d.sets").alias("_set"))
     rooted = settle(members.join(roots.withColumnRenamed("id", "_set"), "_set", "left").select(
-        key, F.col("n_shingles").cast("bigint").alias("n_shingles"),
-        F.coalesce("root", "_set").alias("_root")))
+        "_id", "n_shingles", F.coalesce("root", "_set").alias("_root")))
     least = settle(rooted.where("_root is not null").groupBy("_root").agg(
-        F.min(key).alias("component_id")))
+        F.min("_id").alias("_least")))
     return rooted.join(least, "_root", "left").select(
-        key, "n_shingles", F.coalesce("component_id", F.col(key)).alias("component_id"))
+        F.col("_id").alias(key), "n_shingles", F.coalesce("_least", "_id").alias("component_id"))
