@@ -1,6 +1,6 @@
 import pytest
 
-from trapline.session import build_session
+from trapline.session import build_session, release
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -10,6 +10,7 @@ def spark():
     session = build_session("4")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
 
 

@@ -72,6 +72,23 @@ def test_fully_used_site_has_no_placeholder(spark, effort, caps):
     assert [r.site_num for r in left] == [2]
 
 
+def test_captures_off_the_traps_of_a_site_are_kept(spark, effort, caps):
+    """Site 1 has two traps. One individual was caught at trap 9 only, another at 2 and 9."""
+    numbered, held = prepared(spark, effort, caps, [(1, 5, "M", 1, 9), (1, 6, "F", 2, 2),
+                                                    (1, 6, "F", 3, 9)])
+    per_site = histories.individuals_per_site(numbered, effort, caps)
+    assert {r.site_num: r.n for r in per_site.collect()} == {1: 2, 2: 0}
+    cells = histories.complete_history(held).where("count > 0").orderBy("ind", "trap").collect()
+    assert [(r.ind, r.trap, r.day) for r in cells] == [(5, 9, 1), (6, 2, 2), (6, 9, 3)]
+    assert held.where("id_site IS NOT NULL").count() == 2
+    assert histories.captures_by_day(held).agg(F.sum("caps")).first()[0] == 3
+    off = histories.off_range(numbered, effort).orderBy("ind").collect()
+    assert [(r.ind, r.trap) for r in off] == [(5, 9), (6, 9)]
+    # all trap-days but one of site 1 caught nothing, so its placeholder stays, once
+    left = histories.placeholders(numbered, effort, caps).orderBy("site_num").collect()
+    assert [r.site_num for r in left] == [1, 2]
+
+
 def test_counts_are_null_zero_or_more(spark, effort, caps):
     _, held = prepared(spark, effort, caps, [(1, 5, "M", 1, 1), (1, 5, "M", 1, 1)])
     cells = {(r.trap, r.day): r["count"] for r in histories.complete_history(held).where(
@@ -149,6 +166,6 @@ def test_expansion_of_the_larger_tables(spark):
         F.count(F.lit(1)).alias("rows"), F.sum("count").alias("caught"),
         F.count_if(F.col("count").isNull()).alias("missing"))
     got = {r.species: (r.rows, r.caught, r.missing) for r in rows.collect()}
-    assert got["CPIC"] == (2296, 256, 1268) and got["SODO"] == (2296, 242, 1072)
+    assert got["CPIC"] == (1960, 1888, 923) and got["SODO"] == (2016, 1944, 786)
     wide = histories.history_wide(t.known).groupBy("species").count().collect()
     assert {r["count"] for r in wide if r.species in ("CPIC", "SODO")} == {116}

@@ -70,6 +70,25 @@ def test_psrf_of_equal_and_shifted_chains(spark):
     assert got["flat"] == pytest.approx(1, abs=0.02) and got["far"] > 5
 
 
+def test_psrf_refuses_chains_of_unequal_length(spark):
+    with pytest.raises(ValueError):
+        convergence.psrf(chains(spark, {"a": [[1.0, 2.0, 3.0], [1.0, 2.0]]}))
+
+
+def test_a_settled_series_does_not_wait_again(spark, series, monkeypatch):
+    """Batches of lags stop with the slowest series; none runs on no rows."""
+    seen, lags = [], convergence.autocovariance
+
+    def counted(rows, *args):
+        seen.append(rows.count())
+        return lags(rows, *args)
+
+    monkeypatch.setattr(convergence, "autocovariance", counted)
+    halves = convergence.split_halves(chains(spark, series))
+    convergence.split_ess(halves, ["parameter"]).collect()
+    assert 1 < len(seen) < 6 and min(seen) > 0
+
+
 def test_split_ess_of_slow_chains(spark, series):
     """The slow series needs more lags than the first batch holds."""
     halves = convergence.split_halves(chains(spark, series))
@@ -143,9 +162,26 @@ def test_thinning_renumbers(spark):
     assert [(r.iteration, r.value) for r in kept] == [(1, 8), (2, 11), (3, 14), (4, 17), (5, 20)]
 
 
-def test_constant_parameter_has_one_bin(spark):
-    rows = posterior.histogram(chains(spark, {"a": [[2.0] * 5]}), ["parameter"], 10).collect()
-    assert [(r.bin, r.n, r.density) for r in rows] == [(0, 5, None)]
+def test_every_bin_is_there(spark):
+    draws = chains(spark, {"a": [[2.0] * 5], "b": [[0.0, 0.0, 9.9]]})
+    rows = posterior.histogram(draws, ["parameter"], 10).orderBy("parameter", "bin").collect()
+    assert [(r.bin, r.n) for r in rows] == [
+        *[(k, 5 * (k == 0)) for k in range(10)], *[(k, {0: 2, 9: 1}.get(k, 0)) for k in range(10)]]
+    assert {r.density for r in rows[:10]} == {None} and rows[11].density == 0.0
+
+
+def test_bandwidth_of_tied_and_constant_parameters(spark):
+    tied = [0.0] * 17 + [1.0, 2.0, 3.0]
+    draws = chains(spark, {"tied": [tied], "same": [[2.0] * 8], "zero": [[0.0] * 8]})
+    got = {r.parameter: r.bw for r in posterior.density_setup(draws, ["parameter"], 64).collect()}
+    assert got["tied"] == pytest.approx(0.9 * np.std(tied, ddof=1) * 20 ** -0.2)
+    assert got["same"] == pytest.approx(0.9 * 2 * 8 ** -0.2)
+    assert got["zero"] == pytest.approx(0.9 * 8 ** -0.2)
+    rows = posterior.kde(draws, ["parameter"], 64).groupBy("parameter").agg(
+        F.sum("density").alias("total"), F.count("*").alias("n"),
+        ((F.max("x") - F.min("x")) / 63).alias("step")).collect()
+    assert len(rows) == 3
+    assert all(r.n == 64 and r.total * r.step == pytest.approx(1, abs=0.02) for r in rows)
 
 
 def test_normal_quantile_and_erlang(spark):

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+IMPOSSIBLE = float("-inf")
+
 # Rational approximation of the normal quantile (algorithm AS 241, PPND16).
 CENTRAL_NUM = (3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3,
                1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4,
@@ -53,6 +55,21 @@ def inverse_logit(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
+def _inside(x: Column, support: Column, density: Column) -> Column:
+    """A log density: minus infinity outside the support, null for a null value only."""
+    return F.when(support, density).when(x.isNotNull(), F.lit(IMPOSSIBLE))
+
+
+def log_of(p: Column) -> Column:
+    """ln p with minus infinity at 0, where Spark's logarithm is null."""
+    return F.when(p > 0, F.ln(p)).when(p == 0, F.lit(IMPOSSIBLE))
+
+
+def log_of_rest(p: Column) -> Column:
+    """ln(1 - p) with minus infinity at 1."""
+    return F.when(p < 1, F.log1p(-p)).when(p == 1, F.lit(IMPOSSIBLE))
+
+
 def log_normal_precision(x: Column, mean: float | Column, precision: float | Column) -> Column:
     """Log density of a normal given its *precision*, as the model notation passes it."""
     mean, precision = _col(mean), _col(precision)
@@ -62,25 +79,27 @@ def log_normal_precision(x: Column, mean: float | Column, precision: float | Col
 def log_truncated_normal(x: Column, mean: float, precision: float) -> Column:
     """Normal restricted to x > 0; the mass above 0 is a constant of the prior."""
     mass = 0.5 * math.erfc(-mean * math.sqrt(precision) / math.sqrt(2.0))
-    return F.when(x > 0, log_normal_precision(x, mean, precision) - math.log(mass))
+    return _inside(x, x > 0, log_normal_precision(x, mean, precision) - math.log(mass))
 
 
 def log_half_cauchy(x: Column, scale: float) -> Column:
     """Student t with one degree of freedom restricted to x > 0."""
-    return F.when(x > 0, math.log(2.0 / (math.pi * scale)) - F.log1p((x / scale) * (x / scale)))
+    return _inside(x, x > 0, math.log(2.0 / (math.pi * scale))
+                   - F.log1p((x / scale) * (x / scale)))
 
 
-def log_uniform(x: Column, low: float, high: float) -> Column:
-    return F.when((x > low) & (x < high), F.lit(-math.log(high - low)))
+def log_uniform(x: Column, low: float | Column, high: float | Column) -> Column:
+    return _inside(x, (x > low) & (x < high), -F.ln(_col(high) - _col(low)))
 
 
 def log_beta(x: Column, a: float, b: float) -> Column:
     norm = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-    return F.when((x > 0) & (x < 1), norm + (a - 1) * F.ln(x) + (b - 1) * F.log1p(-x))
+    return _inside(x, (x > 0) & (x < 1), norm + (a - 1) * F.ln(x) + (b - 1) * F.log1p(-x))
 
 
 def log_bernoulli(y: Column, p: Column) -> Column:
-    return F.when(y == 1, F.ln(p)).otherwise(F.log1p(-p))
+    """An event of probability 0 scores minus infinity."""
+    return F.when(y == 1, log_of(p)).otherwise(log_of_rest(p))
 
 
 def log_factorial(k: Column) -> Column:
@@ -92,8 +111,8 @@ def log_factorial(k: Column) -> Column:
 
 def log_gamma_density(x: Column, shape: Column, rate: Column) -> Column:
     """Log density of a gamma with *integer* shape."""
-    return F.when(x > 0, shape * F.ln(rate) + (shape - 1) * F.ln(x) - rate * x
-                  - log_factorial(shape - 1))
+    return _inside(x, x > 0, shape * F.ln(rate) + (shape - 1) * F.ln(x) - rate * x
+                   - log_factorial(shape - 1))
 
 
 def gamma_density(x: Column, shape: Column, rate: Column) -> Column:

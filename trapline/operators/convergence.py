@@ -25,11 +25,15 @@ FIRST_LAGS = 64
 
 
 def psrf(draws: DataFrame) -> DataFrame:
-    """Potential scale reduction with the degrees-of-freedom factor, per parameter. Chains are
-    of equal length; the second step sees one row per chain and parameter."""
-    chains = draws.groupBy("parameter", "chain").agg(
+    """Potential scale reduction with the degrees-of-freedom factor, per parameter. Raises unless
+    the chains of a parameter are of equal length; the second step sees one row per chain and
+    parameter."""
+    chains = settle(draws.groupBy("parameter", "chain").agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"),
-        F.var_samp("value").alias("s2"))
+        F.var_samp("value").alias("s2")))
+    unequal = chains.groupBy("parameter").agg((F.min("n") != F.max("n")).alias("odd")).where("odd")
+    if not unequal.isEmpty():
+        raise ValueError("the chains of a parameter must be of equal length")
     t = chains.groupBy("parameter").agg(
         F.count(F.lit(1)).cast("double").alias("m"), F.min("n").cast("double").alias("n"),
         F.avg("s2").alias("w"), F.var_samp("mean").alias("vm"), F.var_samp("s2").alias("vs"),
@@ -225,7 +229,7 @@ def split_ess(halves: DataFrame, keys: list[str]) -> DataFrame:
     longest = base.agg(F.max("n")).first()[0]
     if longest is None:
         return base.select(*keys, F.lit(None).cast("double").alias("ess"))
-    pending, done, low, high = halves, [], 0, FIRST_LAGS
+    pending, waiting, done, low, high = halves, base.select(*keys), [], 0, FIRST_LAGS
     while True:
         lags = autocovariance(pending, [*keys, "chain", "half"], min(high, longest) - 1, low)
         mean = lags.groupBy(*keys, "lag").agg(F.avg("autocovariance").alias("acov"))
@@ -237,7 +241,7 @@ def split_ess(halves: DataFrame, keys: list[str]) -> DataFrame:
         if high >= longest:
             break
         met = pairs.groupBy(*keys).agg(F.min("p").alias("least")).where("least < 0")
-        waiting = settle(base.select(*keys).join(met, keys, "left_anti"))
+        waiting = settle(waiting.join(met, keys, "left_anti"))
         if waiting.isEmpty():
             break
         pending = settle(attach(pending, waiting, keys))

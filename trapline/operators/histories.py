@@ -93,16 +93,25 @@ def cell_key(trap: Column, day: Column) -> Column:
     return trap * 1000 + day
 
 
-def individual_histories(numbered: DataFrame, effort: DataFrame,
-                         n_days: int = N_DAYS) -> DataFrame:
+def in_range(n_days: int = N_DAYS) -> Column:
+    """Whether a capture lies on a trap and a day of its site."""
+    return F.col("trap").between(1, F.col("max_traps")) & F.col("day").between(1, n_days)
+
+
+def off_range(numbered: DataFrame, effort: DataFrame, n_days: int = N_DAYS) -> DataFrame:
+    """Counts that no grid of existing traps and days holds."""
+    return attach_effort(numbered, effort).where(~F.coalesce(in_range(n_days), F.lit(False)))
+
+
+def individual_histories(numbered: DataFrame, effort: DataFrame) -> DataFrame:
     """One row per individual: first capture day and its captured cells as a map.
 
-    Counts are summed over sex to one value per existing trap and day first, so a map holds at
-    most traps x days entries however often the individual was caught. One exchange on the
-    individual serves both steps."""
-    inside = attach_effort(numbered, effort).where(
-        F.col("trap").between(1, F.col("max_traps")) & F.col("day").between(1, n_days))
-    placed = inside.repartition("species", "site_num", "ind")
+    Counts are summed over sex to one value per trap and day first, so a map holds at most
+    traps x days entries however often the individual was caught. Captures at a trap that the
+    effort table does not grant, or on a further day, stay in the map (``off_range`` lists them).
+    One exchange on the individual serves both steps."""
+    known = attach_effort(numbered, effort).where("max_traps IS NOT NULL")
+    placed = known.repartition("species", "site_num", "ind")
     cells = placed.groupBy(*INDIVIDUAL, "max_traps", "trap", "day").agg(
         F.sum("count").alias("count"))
     return cells.groupBy(*INDIVIDUAL, "max_traps").agg(
@@ -115,12 +124,11 @@ def placeholders(numbered: DataFrame, effort: DataFrame, caps: DataFrame,
                  n_days: int = N_DAYS) -> DataFrame:
     """An unknown-individual row for each species and site with a trap-day that caught nothing
     (unless an unknown individual was caught there, which already makes that row)."""
-    inside = attach_effort(numbered, effort).where(
-        F.col("trap").between(1, F.col("max_traps")) & F.col("day").between(1, n_days))
-    cells = inside.groupBy("species", "site_num", "trap", "day").agg(
+    cells = attach_effort(numbered, effort).groupBy(
+        "species", "site_num", "trap", "day", "max_traps").agg(
         F.max(F.col("ind").isNull()).alias("unknown"))
     used = cells.groupBy("species", "site_num").agg(
-        F.count(F.lit(1)).alias("used"), F.max("unknown").alias("unknown"))
+        F.count_if(in_range(n_days)).alias("used"), F.max("unknown").alias("unknown"))
     every = site_species(effort, caps).join(used, ["species", "site_num"], "left")
     return every.where(
         (F.coalesce("used", F.lit(0)) < F.col("max_traps") * n_days)

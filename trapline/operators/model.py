@@ -3,11 +3,14 @@
 Latent states are the large side. Parameters of a draw are nested to one row per (chain, iteration,
 site) and attached by ``session.attach`` (broadcast when counted small, else salted). Trap positions
 and site limits hold at most one row per trap of the effort table, so they ride along as an array
-per site and traps and days are exploded in place: the large side is not shuffled before its
-partial sums."""
+per site and traps and days are exploded in place. Where histories enter, the latent rows meet them
+on (species, site, individual): by broadcast when the histories were counted small, else by a
+shuffle of the latent rows."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,7 +141,7 @@ def _loglik(rows: DataFrame, positions: DataFrame) -> DataFrame:
     logit = F.col("alpha0") + F.col("alpha2") * caught
     terms = cells.select("species", *DRAW_SITE, (F.coalesce(y, F.lit(0)) > 0).alias("y"), (
         -F.log1p(F.exp(-logit)) - alpha1 * F.col("d") * F.col("d")).alias("log_p"))
-    term = F.when(F.col("y"), F.col("log_p")).otherwise(F.log1p(-F.exp("log_p")))
+    term = F.when(F.col("y"), F.col("log_p")).otherwise(pr.log_of_rest(F.exp("log_p")))
     return terms.groupBy("species", *DRAW_SITE).agg(
         F.coalesce(F.sum(term), F.lit(0.0)).alias("loglik"))
 
@@ -157,7 +160,8 @@ def observed_loglik(latent: DataFrame, params: DataFrame, positions: DataFrame,
     """Sum of log Bernoulli(y; p) over the cells of caught individuals, per draw and site. An
     individual's counts travel as one map, matched on (species, site, individual)."""
     rows = _slots(latent, params, per_site).where(F.col("id_site") <= F.col("n"))
-    return _loglik(rows.join(_caught(histories), ["species", "site_num", "id_site"]), positions)
+    scored = _loglik(rows.join(_caught(histories), ["species", "site_num", "id_site"]), positions)
+    return _with_unplaced(scored, histories, positions)
 
 
 def zeros_loglik(latent: DataFrame, params: DataFrame, positions: DataFrame,
@@ -175,22 +179,92 @@ def augmented_loglik(latent: DataFrame, params: DataFrame, positions: DataFrame,
     """All slots as Bernoulli cells in one pass: observed ones with their counts, the rest with
     zeros."""
     rows = _slots(latent, params, per_site)
-    return _loglik(rows.join(_caught(histories), ["species", "site_num", "id_site"], "left"),
-                   positions)
-
-
-def log_prior(draws: DataFrame) -> DataFrame:
-    """Log density of every parameter draw under the production priors, by base name."""
-    x, base = F.col("value"), F.col("base")
-    density = (
-        F.when(base == "sigma", pr.log_truncated_normal(x, 3.0, 0.25))
-        .when(base.isin("beta_0", "beta_1", "beta_2"), pr.log_normal_precision(x, 0.0, 0.01))
-        .when(base.isin("alpha2", "mu_0"), pr.log_normal_precision(x, 0.0, 1.5 ** -2))
-        .when(base == "sd_0", pr.log_uniform(x, 0.0, 5.0))
-        .when(base.isin("psi", "psi_sex"), pr.log_beta(x, 1.0, 1.0))
-        .when(base.isin("sd_a0", "sd_psi"), pr.log_half_cauchy(x, 1.5))
-        .when(base == "alpha0", pr.log_normal_precision(x, 0.0, 0.1)))
-    return draws.withColumn("log_prior", density)
+    scored = _loglik(rows.join(_caught(histories), ["species", "site_num", "id_site"], "left"),
+                     positions)
+    return _with_unplaced(scored, histories, positions)
+
+
+def unplaced_cells(histories: DataFrame, positions: DataFrame) -> DataFrame:
+    """Captured cells of known individuals at traps without a place, per species and site."""
+    placed = histories.where(F.col("id_site").isNotNull()).join(
+        F.broadcast(nested_traps(positions)), "site_num", "left")
+    traps = F.coalesce(F.col("traps.trap"), F.array().cast("array<int>"))
+    stray = F.filter(F.map_keys("cells"), lambda key: ~F.array_contains(
+        traps, F.floor(key / 1000).cast("int")))
+    return placed.groupBy("species", "site_num").agg(F.sum(F.size(stray)).alias("unplaced"))
+
+
+def _with_unplaced(scored: DataFrame, histories: DataFrame, positions: DataFrame) -> DataFrame:
+    """A likelihood with the number of captured cells that it could not use. The counts have one
+    row per species and site of the lookups."""
+    return scored.join(F.broadcast(unplaced_cells(histories, positions)), [
+        "species", "site_num"], "left").select(
+        *scored.columns, F.coalesce("unplaced", F.lit(0)).cast("bigint").alias("unplaced"))
+
+
+def _normal(mean: float, precision: float):
+    return lambda x: pr.log_normal_precision(x, mean, precision)
+
+
+# Priors by base name of the parameter, as the two models state them.
+PRODUCTION_PRIORS = {
+    "sigma": lambda x: pr.log_truncated_normal(x, 3.0, 0.25),
+    "alpha1": lambda x: pr.log_uniform(x, 0.0, 20.0),
+    "beta_0": _normal(0.0, 0.01), "beta_1": _normal(0.0, 0.01), "beta_2": _normal(0.0, 0.01),
+    "beta_3": _normal(0.0, 0.01), "alpha2": _normal(0.0, 1.5 ** -2),
+    "mu_0": _normal(0.0, 1.5 ** -2), "sd_0": lambda x: pr.log_uniform(x, 0.0, 5.0),
+    "psi": lambda x: pr.log_beta(x, 1.0, 1.0), "psi_sex": lambda x: pr.log_beta(x, 1.0, 1.0),
+}
+VARIANT_PRIORS = {
+    "mu_a0": _normal(0.0, 0.1), "sd_a0": lambda x: pr.log_half_cauchy(x, 1.5),
+    "mu_psi": _normal(0.0, 0.5), "sd_psi": lambda x: pr.log_half_cauchy(x, 1.5),
+    "mu_psi_site": _normal(0.0, 0.5), "alpha2": _normal(0.0, 0.5), "alpha3": _normal(0.0, 0.5),
+    "beta1": _normal(0.0, 0.5), "beta2": _normal(0.0, 0.5), "mu_a1": _normal(0.0, 0.5),
+    "alpha1": lambda x: pr.log_half_cauchy(x, 1.5),
+    "sd_a1": lambda x: F.when(x < 1000, pr.log_half_cauchy(x, 1.0) - math.log(
+        2 / math.pi * math.atan(1000.0))).when(x.isNotNull(), F.lit(pr.IMPOSSIBLE)),
+    "psi.sex": lambda x: pr.log_uniform(x, 0.0, 1.0),
+}
+#: Names that are worked out from others and have no prior of their own.
+DERIVED = ("N", "density", "p_cap", "deviance")
+
+
+def log_prior(draws: DataFrame, priors: dict | None = None, derived=DERIVED,
+              upper: tuple[str, str] = ("mu_0", "sd_0"), inverse_square: bool = False) -> DataFrame:
+    """Log density of every parameter draw by its base name; minus infinity outside a support.
+
+    ``alpha0`` is normal about the ``mu_0`` of its own draw with precision ``sd_0`` (the names of
+    ``upper``), or with precision 1 / sd^2 if ``inverse_square``; without them it is null. Derived
+    names are null; a name that is neither known nor derived raises."""
+    priors = PRODUCTION_PRIORS if priors is None else priors
+    names = {r[0] for r in draws.select("base").distinct().collect()}  # one per kind of parameter
+    unknown = names - {None, "alpha0", *priors, *derived}
+    if unknown:
+        raise ValueError(f"no prior for {sorted(unknown)}")
+    x, base, density = F.col("value"), F.col("base"), None
+    for name, of in priors.items():
+        density = F.when(base == name, of(x)) if density is None else density.when(
+            base == name, of(x))
+    spread = F.col("_spread") if not inverse_square else 1 / (F.col("_spread") * F.col("_spread"))
+    density = density.when(base == "alpha0", F.when(
+        F.col("_spread") > 0, pr.log_normal_precision(x, F.col("_centre"), spread)).when(
+        F.col("_spread").isNotNull() & x.isNotNull(), F.lit(pr.IMPOSSIBLE)))
+    above = draws.where(base.isin(*upper)).groupBy(*DRAW).agg(*[
+        F.max(F.when(base == name, x)).alias(alias)
+        for name, alias in zip(upper, ("_centre", "_spread"))])
+    return draws.join(above, DRAW, "left").withColumn("log_prior", density).drop(
+        "_centre", "_spread")
+
+
+def latent_prior(latent: DataFrame, params: DataFrame, space: DataFrame) -> DataFrame:
+    """Log prior of the latent states per draw and site: membership given psi, sex given psi_sex
+    and the activity centre inside the limits of the site (one row per site)."""
+    rows = latent.join(params.select(*DRAW_SITE, "psi", "psi_sex").distinct(), DRAW_SITE).join(
+        F.broadcast(space), "site_num")
+    term = (pr.log_bernoulli(F.col("z"), F.col("psi"))
+            + pr.log_bernoulli(F.col("sex"), F.col("psi_sex"))
+            + pr.log_uniform(F.col("s"), F.col("xlim1"), F.col("xlim2")))
+    return rows.groupBy(*DRAW_SITE).agg(F.sum(term).alias("log_prior"))
 
 
 def abundance(latent: DataFrame) -> DataFrame:
@@ -302,7 +376,8 @@ def history_patterns(histories: DataFrame) -> DataFrame:
 
 def _log_mean_exp(values: Column, n: int) -> Column:
     top = F.array_max(values)
-    return top + F.ln(F.aggregate(values, F.lit(0.0), lambda a, x: a + F.exp(x - top)) / n)
+    return F.when(top > pr.IMPOSSIBLE, top + F.ln(F.aggregate(
+        values, F.lit(0.0), lambda a, x: a + F.exp(x - top)) / n)).otherwise(top)
 
 
 def _total(values: Column) -> Column:
@@ -332,11 +407,12 @@ def grid_marginal_loglik(candidates: DataFrame, positions: DataFrame, space: Dat
     def miss(place: Column, caught: float) -> Column:
         """Per day the sum over traps of log(1 - p)."""
         return F.transform("days", lambda day: F.aggregate(
-            "traps", F.lit(0.0), lambda total, trap: total + F.log1p(
-                -F.exp(log_p(place, trap["pos"], day, F.lit(caught))))))
+            "traps", F.lit(0.0), lambda total, trap: total + pr.log_of_rest(
+                F.exp(log_p(place, trap["pos"], day, F.lit(caught))))))
 
     def gain(place: Column, slot: Column) -> Column:
-        """log p - log(1 - p) of a captured cell; a trap without a known place adds nothing."""
+        """log p - log(1 - p) of a captured cell; a trap without a known place adds nothing and
+        is counted in ``unplaced``."""
         trap = F.try_element_at("placed", F.floor(slot / (2 * n_days)).cast("int") + 1)
         day = F.element_at("days", (F.floor(slot / 2) % n_days).cast("int") + 1)
         lp = log_p(place, trap, day, (slot % 2).cast("double"))
@@ -368,28 +444,32 @@ def grid_marginal_loglik(candidates: DataFrame, positions: DataFrame, space: Dat
     scored = paired.select("species", *DRAW_SITE, "copies", "psi",
                            F.transform("points", at_point).alias("_ll"))
     observed = scored.groupBy("species", *DRAW_SITE).agg(F.sum(
-        F.col("copies") * (F.ln("psi") + _log_mean_exp(F.col("_ll"), mesh))).alias("observed"))
+        F.col("copies") * (pr.log_of(F.col("psi")) + _log_mean_exp(F.col("_ll"), mesh))).alias(
+        "observed"))
     size = F.broadcast(sizes.select("species", "site_num", "n", "m"))
-    augmented = (F.col("m") - F.col("n")) * F.ln(
-        1 - F.col("psi") + F.col("psi") * F.exp("log_never"))
-    return rows.select(*DRAW_SITE, "psi", "log_never").join(size, "site_num").join(
+    left = F.col("m") - F.col("n")
+    augmented = F.when(left > 0, left * pr.log_of(
+        1 - F.col("psi") + F.col("psi") * F.exp("log_never"))).otherwise(0.0)
+    scored = rows.select(*DRAW_SITE, "psi", "log_never").join(size, "site_num").join(
         observed, ["species", *DRAW_SITE], "left").select(
         "species", *DRAW_SITE, (F.coalesce("observed", F.lit(0.0)) + augmented).alias("loglik"))
+    return _with_unplaced(scored, histories, positions)
 
 
 def candidate_weights(per_site: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """Grid weights per species: log likelihood of a candidate over its sites plus its log prior
     (equal when none is given), exponentiated relative to the best and normalised to one.
-    ``prior`` holds chain, iteration and log_prior."""
+    ``prior`` holds chain, iteration and log_prior; a candidate without one, or of prior or
+    likelihood 0, weighs 0 (all of them null if none is possible)."""
     totals = per_site.groupBy("species", *DRAW).agg(F.sum("loglik").alias("loglik"))
     score = F.col("loglik")
     if prior is not None:
-        totals = totals.join(prior.select(*DRAW, "log_prior"), DRAW)
-        score = score + F.col("log_prior")
+        totals = totals.join(prior.select(*DRAW, "log_prior"), DRAW, "left")
+        score = score + F.coalesce("log_prior", F.lit(pr.IMPOSSIBLE))
     totals = settle(totals.withColumn("_score", score))
     best = totals.groupBy("species").agg(F.max("_score").alias("_best"))
     scaled = settle(attach(totals, best, ["species"]).withColumn(
-        "_w", F.exp(F.col("_score") - F.col("_best"))))
+        "_w", F.when(F.col("_best") > pr.IMPOSSIBLE, F.exp(F.col("_score") - F.col("_best")))))
     mass = scaled.groupBy("species").agg(F.sum("_w").alias("_mass"))
     return attach(scaled, mass, ["species"]).select(
         "species", *DRAW, "loglik", (F.col("_w") / F.col("_mass")).alias("weight"))

@@ -36,14 +36,20 @@ def trace(draws: DataFrame) -> DataFrame:
 
 
 def _bins(draws: DataFrame, groups: list[str], bins: int) -> DataFrame:
-    """Rows per equal-width bin; the last bin is closed, a constant group has one bin."""
-    span = draws.groupBy(*groups).agg(F.min("value").alias("_low"), F.max("value").alias("_high"),
-                                      F.count("value").alias("_rows"))
+    """Every equal-width bin of a group, also the empty ones; the last bin is closed, and the
+    values of a constant group lie in its first bin of no width."""
+    span = settle(draws.groupBy(*groups).agg(
+        F.min("value").alias("_low"), F.max("value").alias("_high"),
+        F.count("value").alias("_rows")).where("_rows > 0").withColumn(
+        "_width", (F.col("_high") - F.col("_low")) / bins))
     placed = attach(draws.where(F.col("value").isNotNull()), span, groups)
-    width = (F.col("_high") - F.col("_low")) / bins
-    place = F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("_low"), width)), F.lit(0))
-    return placed.groupBy(*groups, "_low", "_rows", width.alias("_width"), F.least(
-        place.cast("int"), F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    place = F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("_low"), F.col("_width"))),
+                       F.lit(0))
+    counts = placed.groupBy(*groups, F.least(place.cast("int"), F.lit(bins - 1)).alias(
+        "bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = span.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    return every.join(counts, [*groups, "bin"], "left").withColumn(
+        "n", F.coalesce("n", F.lit(0)))
 
 
 def histogram(draws: DataFrame, groups: list[str], bins: int = 30) -> DataFrame:
@@ -61,14 +67,18 @@ def frequency_polygon(draws: DataFrame, groups: list[str], bins: int = 50) -> Da
 def density_setup(draws: DataFrame, groups: list[str], points: int,
                   quartiles: DataFrame | None = None) -> DataFrame:
     """Per group: rows, bandwidth 0.9 min(sd, IQR / 1.34) n^(-1/5), grid start and step. The grid
-    reaches three bandwidths past the data. ``quartiles`` (q1, q3) may be at hand."""
+    reaches three bandwidths past the data. Where ties make the smaller spread 0, the deviation
+    serves, else the size of the one value, else 1. ``quartiles`` (q1, q3) may be at hand."""
     if quartiles is None:
         quartiles = exact_quantiles(draws, groups, "value", {"q1": 0.25, "q3": 0.75})
     spread = draws.groupBy(*groups).agg(
         F.count("value").alias("n"), F.stddev_samp("value").alias("sd"),
         F.min("value").alias("low"), F.max("value").alias("high"))
-    bw = 0.9 * F.least("sd", (F.col("q3") - F.col("q1")) / 1.34) * F.pow("n", F.lit(-0.2))
-    return spread.join(quartiles, groups).withColumn("bw", bw).select(
+    least = F.least("sd", (F.col("q3") - F.col("q1")) / 1.34)
+    width = F.when(least > 0, least).when(F.col("sd") > 0, F.col("sd")).when(
+        F.abs("low") > 0, F.abs("low")).otherwise(1.0)
+    bw = 0.9 * width * F.pow("n", F.lit(-0.2))
+    return spread.where("n > 0").join(quartiles, groups).withColumn("bw", bw).select(
         *groups, "n", "bw", (F.col("low") - 3 * F.col("bw")).alias("start"),
         ((F.col("high") - F.col("low") + 6 * F.col("bw")) / (points - 1)).alias("step"))
 
@@ -80,7 +90,7 @@ def kde(draws: DataFrame, groups: list[str], points: int = 512,
     Every draw gives its weight to the two grid points around it, so the draws are read once and
     shrink to at most ``points`` weights per group before the kernel is applied; the kernel sum
     runs over grid weights and no longer grows with the draws."""
-    setup = settle(density_setup(draws, groups, points, quartiles).where("bw > 0"))
+    setup = settle(density_setup(draws, groups, points, quartiles))
     placed = attach(draws.where(F.col("value").isNotNull()), setup, groups)
     at = (F.col("value") - F.col("start")) / F.col("step")
     left = F.least(F.floor(at), F.lit(points - 2)).cast("int")

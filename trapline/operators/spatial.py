@@ -28,9 +28,9 @@ def first_traps(projected: DataFrame, site: str = "site_num", order: str = "trap
 def distance_to_first(projected: DataFrame, site: str = "site_num",
                       order: str = "trap_id") -> DataFrame:
     """Planar metres from every trap to the first trap of its site. The origins hold one row per
-    site of the site lookup, so they are broadcast."""
+    site of the traps; the join is left to adaptive execution, which knows their size."""
     origins = first_traps(projected, site, order)
-    return projected.join(F.broadcast(origins), site).withColumn(
+    return projected.join(origins, site).withColumn(
         "distance", F.hypot(F.col("easting") - F.col("first_easting"),
                             F.col("northing") - F.col("first_northing")))
 

@@ -25,16 +25,21 @@ def trace(t: Inputs):
 
 
 def _bins_sql(source: str, keys: str, bins: int, place: str, name: str) -> str:
-    on = " AND ".join(f"r.{k.strip()} = d.{k.strip()}" for k in keys.split(","))
+    names = [k.strip() for k in keys.split(",")]
     return f"""
-    SELECT {keys}, bin, low + (bin{place}) * width AS {name}, n,
-      n / (total * nullif(width, 0)) AS density FROM (
-      SELECT {', '.join('d.' + k.strip() for k in keys.split(','))}, low, width, total,
+    SELECT {', '.join('g.' + k for k in names)}, g.bin, g.low + (g.bin{place}) * g.width AS {name},
+      coalesce(c.n, 0) AS n, coalesce(c.n, 0) / (g.total * nullif(g.width, 0)) AS density
+    FROM (SELECT r.*, CAST(unnest(range(0, {bins})) AS INTEGER) AS bin FROM (
+        SELECT {keys}, min(value) AS low, (max(value) - min(value)) / {bins} AS width,
+          count(value) AS total FROM {source} GROUP BY ALL HAVING count(value) > 0) r) g
+    LEFT JOIN (
+      SELECT {', '.join('d.' + k for k in names)}, count(*) AS n,
         CAST(least(coalesce(floor((value - low) / nullif(width, 0)), 0), {bins - 1}) AS INTEGER)
-          AS bin, count(*) AS n
+          AS bin
       FROM (SELECT * FROM {source} WHERE value IS NOT NULL) d JOIN (SELECT {keys}, min(value) AS low,
-          (max(value) - min(value)) / {bins} AS width, count(value) AS total
-        FROM {source} GROUP BY ALL) r ON {on} GROUP BY ALL)"""
+          (max(value) - min(value)) / {bins} AS width FROM {source} GROUP BY ALL) r
+      ON {' AND '.join(f'r.{k} = d.{k}' for k in names)} GROUP BY ALL) c
+    ON {' AND '.join(f'c.{k} = g.{k}' for k in [*names, 'bin'])}"""
 
 
 @query("histogram", "draws", _bins_sql("draws", "parameter", 30, "", "bin_start"),
@@ -50,7 +55,7 @@ def frequency_polygon(t: Inputs):
     return posterior.frequency_polygon(t.draws, ["parameter", "chain"], 50)
 
 
-def _kde_sql(keys: str, points: int) -> str:
+def _kde_sql(keys: str, points: int, source: str = "draws") -> str:
     names = [k.strip() for k in keys.split(",")]
     on = " AND ".join(f"a.{k} = b.{k}" for k in names)
     firsts = ", ".join(f"a.{k}" for k in names)
@@ -58,14 +63,17 @@ def _kde_sql(keys: str, points: int) -> str:
     WITH setup AS (
       SELECT {keys}, count(*) AS n, min(value) - 3 * any_value(bw) AS start, any_value(bw) AS bw,
         (max(value) - min(value) + 6 * any_value(bw)) / {points - 1} AS step
-      FROM (SELECT a.*, b.bw FROM draws a JOIN (
-          SELECT {keys}, 0.9e0 * least(stddev_samp(value), (quantile_cont(value, 0.75)
-            - quantile_cont(value, 0.25)) / 1.34e0) * power(count(*), -0.2e0) AS bw
-          FROM draws GROUP BY ALL) b ON {on}) GROUP BY ALL),
+      FROM (SELECT a.*, b.bw FROM {source} a JOIN (
+          SELECT {keys}, 0.9e0 * CASE WHEN lo > 0 THEN lo WHEN sd > 0 THEN sd
+              WHEN abs(low) > 0 THEN abs(low) ELSE 1e0 END * power(n, -0.2e0) AS bw FROM (
+            SELECT {keys}, count(*) AS n, min(value) AS low, stddev_samp(value) AS sd,
+              least(stddev_samp(value), (quantile_cont(value, 0.75)
+                - quantile_cont(value, 0.25)) / 1.34e0) AS lo
+            FROM {source} GROUP BY ALL)) b ON {on}) GROUP BY ALL),
     placed AS (
       SELECT {firsts}, least(floor((a.value - b.start) / b.step), {points - 2}) AS k,
         (a.value - b.start) / b.step - least(floor((a.value - b.start) / b.step), {points - 2})
-          AS share FROM draws a JOIN setup b ON {on}),
+          AS share FROM {source} a JOIN setup b ON {on}),
     weights AS (
       SELECT {keys}, k, sum(w) AS w FROM (
         SELECT {keys}, k, 1 - share AS w FROM placed
@@ -87,6 +95,25 @@ def kde_by_chain(t: Inputs):
     return posterior.kde(t.draws, ["parameter", "chain"], 128)
 
 
+@query("tied_kde", "tied_draws", _kde_sql("parameter", 128, "tied_draws"), "x density")
+def tied_kde(t: Inputs):
+    """Densities of counts that are mostly 0 and of a constant."""
+    return posterior.kde(t.tied_draws, ["parameter"], 128)
+
+
+@query("tied_histogram", "tied_draws", _bins_sql("tied_draws", "parameter", 25, "", "bin_start"),
+       "bin_start density")
+def tied_histogram(t: Inputs):
+    return posterior.histogram(t.tied_draws, ["parameter"], 25)
+
+
+@query("tied_polygon", "tied_draws",
+       "SELECT parameter, bin, mid, density FROM ("
+       + _bins_sql("tied_draws", "parameter", 25, " + 0.5e0", "mid") + ")", "mid density")
+def tied_polygon(t: Inputs):
+    return posterior.frequency_polygon(t.tied_draws, ["parameter"], 25)
+
+
 @query("chain_quantiles", "draws", """
     SELECT parameter, chain, quantile_cont(value, 0.1) AS q10, quantile_cont(value, 0.5) AS q50,
       quantile_cont(value, 0.9) AS q90 FROM draws GROUP BY ALL""", "q10 q50 q90")

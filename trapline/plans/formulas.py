@@ -78,7 +78,13 @@ def alpha1_by_sex(t: Inputs):
         F.col("psi") - F.col("sigma"), F.lit(0.4), F.col("sex")).alias("alpha1"))
 
 
-@query("observed_loglik", "observed_ll", "SELECT * FROM observed_ll", "loglik", 3)
+UNPLACED = """
+    SELECT a.*, coalesce(u.unplaced, 0) AS unplaced FROM ({}) a
+    LEFT JOIN unplaced u ON u.species = a.species AND u.site_num = a.site_num"""
+
+
+@query("observed_loglik", "observed_ll unplaced", UNPLACED.format("SELECT * FROM observed_ll"),
+       "loglik", 3)
 def observed_loglik(t: Inputs):
     return model.observed_loglik(t.latent, t.params, t.positions, t.per_site, t.known)
 
@@ -88,9 +94,9 @@ def zeros_loglik(t: Inputs):
     return model.zeros_loglik(t.latent, t.params, t.positions, t.per_site)
 
 
-@query("augmented_loglik", "observed_ll zeros_ll", """
+@query("augmented_loglik", "observed_ll zeros_ll unplaced", UNPLACED.format("""
     SELECT species, chain, iteration, site_num, sum(loglik) AS loglik FROM (
-      SELECT * FROM observed_ll UNION ALL SELECT * FROM zeros_ll) GROUP BY ALL""", "loglik", 3)
+      SELECT * FROM observed_ll UNION ALL SELECT * FROM zeros_ll) GROUP BY ALL"""), "loglik", 3)
 def augmented_loglik(t: Inputs):
     return model.augmented_loglik(t.latent, t.params, t.positions, t.per_site, t.known)
 
@@ -100,22 +106,49 @@ def _normal(x: str, mean: float, precision: float) -> str:
             f"* ({x} - {num(mean)}) ** 2)")
 
 
-@query("log_prior", "draws", f"""
-    SELECT parameter, chain, count(log_prior) AS n, sum(log_prior) AS log_prior FROM (
-      SELECT parameter, chain, CASE split_part(parameter, '[', 1)
+IMPOSSIBLE = "CAST('-Infinity' AS DOUBLE)"
+
+
+@query("log_prior", "prior_draws", f"""
+    WITH upper AS (SELECT chain, iteration, max(value) FILTER (parameter = 'mu_0') AS mu,
+        max(value) FILTER (parameter = 'sd_0') AS sd FROM prior_draws GROUP BY ALL),
+    scored AS (SELECT d.parameter, d.chain, CASE split_part(parameter, '[', 1)
         WHEN 'sigma' THEN CASE WHEN value > 0 THEN {_normal('value', 3.0, 0.25)}
-          - ln(0.93319279873114191e0) END
+          - ln(0.93319279873114191e0) ELSE {IMPOSSIBLE} END
         WHEN 'beta_1' THEN {_normal('value', 0.0, 0.01)}
-        WHEN 'alpha0' THEN {_normal('value', 0.0, 0.1)} END AS log_prior FROM draws)
-    GROUP BY ALL""", "log_prior", 3)
+        WHEN 'mu_0' THEN {_normal('value', 0.0, 1.5 ** -2)}
+        WHEN 'sd_0' THEN CASE WHEN value > 0 AND value < 5 THEN -ln(5e0) ELSE {IMPOSSIBLE} END
+        WHEN 'psi' THEN CASE WHEN value > 0 AND value < 1 THEN 0e0 ELSE {IMPOSSIBLE} END
+        WHEN 'alpha0' THEN CASE WHEN sd > 0
+          THEN 0.5e0 * ln(sd / (2 * pi())) - 0.5e0 * sd * (value - mu) ** 2
+          WHEN sd <= 0 THEN {IMPOSSIBLE} END END AS log_prior
+      FROM prior_draws d LEFT JOIN upper u ON u.chain = d.chain AND u.iteration = d.iteration)
+    SELECT parameter, chain, count(log_prior) AS n,
+      count(*) FILTER (log_prior = {IMPOSSIBLE}) AS impossible,
+      sum(log_prior) FILTER (log_prior > {IMPOSSIBLE}) AS log_prior
+    FROM scored GROUP BY ALL""", "log_prior", 3)
 def log_prior(t: Inputs):
-    return model.log_prior(filters.parsed(t.draws)).groupBy("parameter", "chain").agg(
-        F.count("log_prior").alias("n"), F.sum("log_prior").alias("log_prior"))
+    possible = F.col("log_prior") > pr.IMPOSSIBLE
+    return model.log_prior(filters.parsed(t.prior_draws)).groupBy("parameter", "chain").agg(
+        F.count("log_prior").alias("n"), F.count_if(~possible).alias("impossible"),
+        F.sum(F.when(possible, F.col("log_prior"))).alias("log_prior"))
+
+
+@query("latent_prior", "latent params space", f"""
+    SELECT l.chain, l.iteration, l.site_num, sum(
+        CASE WHEN z = 1 THEN ln(k.psi) ELSE ln(1 - k.psi) END + ln(0.5e0)
+        + CASE WHEN s > xlim1 AND s < xlim2 THEN -ln(xlim2 - xlim1) ELSE {IMPOSSIBLE} END)
+      AS log_prior
+    FROM latent l JOIN (SELECT DISTINCT chain, iteration, site_num, psi FROM params) k
+      ON k.chain = l.chain AND k.iteration = l.iteration AND k.site_num = l.site_num
+    JOIN space x ON x.site_num = l.site_num GROUP BY ALL""", "log_prior", 4)
+def latent_prior(t: Inputs):
+    return model.latent_prior(t.latent, t.params.withColumn("psi_sex", F.lit(0.5)), t.space)
 
 
 @query("other_priors", "latent", """
     SELECT chain, site_num, sum(ln(2 / (pi() * 1.5e0)) - ln(1 + (s / 1.5e0) ** 2)) AS half_cauchy,
-      sum(CASE WHEN s < 5 THEN -ln(5e0) END) AS uniform,
+      sum(CASE WHEN s < 5 THEN -ln(5e0) ELSE CAST('-Infinity' AS DOUBLE) END) AS uniform,
       sum(ln(6e0) + ln(s / 6) + ln(1 - s / 6)) AS beta,
       sum(5 * ln(1.25e0) + 4 * ln(s) - 1.25e0 * s - ln(24e0)) AS gamma,
       sum(CASE WHEN z = 1 THEN ln(s / 6) ELSE ln(1 - s / 6) END) AS bernoulli
@@ -302,11 +335,11 @@ def _marginal(t: Inputs):
     return model.grid_marginal_loglik(t.params, t.positions, t.space, t.sizes, t.known)
 
 
-MARGINAL_VIEWS = "params space positions history flags sizes"
+MARGINAL_VIEWS = "params space positions history flags sizes unplaced"
 
 
-@query("grid_marginal_loglik", MARGINAL_VIEWS, f"""
-    WITH {MARGINAL} SELECT * FROM marginal""", "loglik", 4)
+@query("grid_marginal_loglik", MARGINAL_VIEWS, f"WITH {MARGINAL}" + UNPLACED.format(
+    "SELECT * FROM marginal"), "loglik", 4)
 def grid_marginal_loglik(t: Inputs):
     return _marginal(t)
 
@@ -319,3 +352,27 @@ def grid_marginal_loglik(t: Inputs):
     FROM scaled_w""", "loglik weight", 4)
 def candidate_weights(t: Inputs):
     return model.candidate_weights(_marginal(t))
+
+
+PRIOR = f"""
+    prior AS (SELECT DISTINCT chain, iteration, {_normal('sigma', 3.0, 0.25)}
+        - ln(0.93319279873114191e0)
+        + CASE WHEN iteration < 6 THEN -ln(6e0) ELSE {IMPOSSIBLE} END AS log_prior
+      FROM params WHERE chain <> 1 OR iteration <> 1)"""
+
+
+@query("candidate_weights_prior", MARGINAL_VIEWS, f"""
+    WITH {MARGINAL}, {PRIOR}, totals AS (SELECT species, chain, iteration, sum(loglik) AS loglik
+      FROM marginal GROUP BY ALL),
+    scores AS (SELECT t.*, loglik + coalesce(p.log_prior, {IMPOSSIBLE}) AS score
+      FROM totals t LEFT JOIN prior p ON p.chain = t.chain AND p.iteration = t.iteration),
+    scaled_w AS (SELECT *, exp(score - max(score) OVER (PARTITION BY species)) AS w FROM scores)
+    SELECT species, chain, iteration, loglik, w / sum(w) OVER (PARTITION BY species) AS weight
+    FROM scaled_w""", "loglik weight", 4)
+def candidate_weights_prior(t: Inputs):
+    """One candidate has no prior and some lie outside the support of theirs."""
+    prior = t.params.where("chain <> 1 OR iteration <> 1").select(
+        "chain", "iteration", "sigma").distinct().withColumn(
+        "log_prior", pr.log_truncated_normal(F.col("sigma"), 3.0, 0.25)
+        + pr.log_uniform(F.col("iteration").cast("double"), 0.0, 6.0))
+    return model.candidate_weights(_marginal(t), prior)

@@ -40,14 +40,17 @@ class Inputs(Tables):
     def distances(self) -> DataFrame:
         return spatial.distance_to_first(spatial.to_utm(self.traps))
 
+    @cached_property
+    def place_distances(self) -> DataFrame:
+        return spatial.distance_to_first(spatial.to_utm(self.trap_places))
+
     @cached_property
     def positions(self) -> DataFrame:
-        return spatial.trap_positions(spatial.distance_to_first(
-            spatial.to_utm(self.numbered_traps)))
+        return spatial.trap_positions(self.place_distances)
 
     @cached_property
     def space(self) -> DataFrame:
-        return spatial.state_space(self.distances)
+        return spatial.state_space(self.place_distances)
 
     @cached_property
     def scaled(self) -> DataFrame:

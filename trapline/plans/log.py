@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from trapline.operators import filters, histories, ranks, summaries
 from trapline.plans.inputs import Inputs
 from trapline.plans.registry import query
-from trapline.session import shared_folder
+from trapline.session import scratch
 from trapline.sources import files, store
 from trapline.sources.lookups import RunConfig
 
 
 def _scratch(t: Inputs, name: str) -> str:
-    """A fresh folder under the shared one, so that runs never meet."""
-    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+    return scratch(t.spark, name)
 
 
 # ---- files and store -------------------------------------------------------------------------
@@ -61,9 +58,10 @@ def csv_trailing_column(t: Inputs):
 def csv_row_keys(t: Inputs):
     """Supplier balances in key order as one vector file; the place in the file is the key."""
     path = _scratch(t, "rows")
-    balances = t.raw("supplier").select("s_suppkey", "s_acctbal").coalesce(1)
-    balances.sortWithinPartitions("s_suppkey").select("s_acctbal").write.csv(path, header=False)
-    return files.with_row_key(files.read_vector(t.spark, path))
+    balances = t.raw("supplier").select("s_suppkey", "s_acctbal")
+    ranged = balances.repartitionByRange("s_suppkey").sortWithinPartitions("s_suppkey")
+    ranged.select("s_acctbal").write.csv(path, header=False)
+    return files.with_row_key(files.read_vector(t.spark, path), across=True)
 
 
 @query("stored_history", "history", """
@@ -390,11 +388,11 @@ def array_size(t: Inputs):
     LEFT JOIN (SELECT species, count(*) AS history_rows FROM history GROUP BY 1) h
       ON h.species = e.species
     LEFT JOIN (SELECT species, count(*) AS wide_rows FROM (
-        SELECT DISTINCT species, site_num, ind, day FROM history WHERE ind IS NOT NULL)
+        SELECT DISTINCT species, site_num, ind, day FROM history)
       GROUP BY 1) w ON w.species = e.species""")
 def expected_rows_check(t: Inputs):
     return summaries.expected_rows_check(histories.complete_history(t.histories),
-                                         histories.history_wide(t.known), t.per_site)
+                                         histories.history_wide(t.histories), t.per_site)
 
 
 @query("new_captures", "captures", """

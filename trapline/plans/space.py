@@ -37,11 +37,11 @@ def state_space(t: Inputs):
     return t.space
 
 
-@query("older_state_space", "distances", """
+@query("older_state_space", "place_distances", """
     SELECT site_num, (min(distance) - 150) / 100 AS xlim1, (max(distance) + 150) / 100 AS xlim2
-    FROM distances GROUP BY 1""", "xlim1 xlim2", 4)
+    FROM place_distances GROUP BY 1""", "xlim1 xlim2", 4)
 def older_state_space(t: Inputs):
-    return spatial.state_space(t.distances, spatial.OLDER_BUFFER)
+    return spatial.state_space(t.place_distances, spatial.OLDER_BUFFER)
 
 
 @query("spatial_reorder", "captures effort", """

@@ -54,6 +54,25 @@ def logistic(x: str) -> str:
     return f"(1e0 / (1e0 + exp(-({x}))))"
 
 
+def utm_sql(names: str, source: str) -> str:
+    return f"""
+        SELECT {names},
+          5e5 + {num(SCALE * RADIUS)} * (eta + {_series("cos", "sinh")}) AS easting,
+          {num(SCALE * RADIUS)} * (xi + {_series("sin", "cosh")}) AS northing
+        FROM (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta
+          FROM (SELECT *, sinh(atanh(sin(phi)) - {num(ECCENTRICITY)}
+                  * atanh({num(ECCENTRICITY)} * sin(phi))) AS t
+            FROM (SELECT *, radians(lat) AS phi, radians(lon + 81e0) AS lam FROM {source})))"""
+
+
+def distance_sql(source: str) -> str:
+    return f"""
+        SELECT u.*, fe, fn, sqrt((easting - fe) ** 2 + (northing - fn) ** 2) AS distance
+        FROM {source} u JOIN (SELECT site_num, first(easting ORDER BY trap_id) AS fe,
+          first(northing ORDER BY trap_id) AS fn FROM {source} GROUP BY 1) o
+        ON o.site_num = u.site_num"""
+
+
 VIEWS: dict[str, tuple[str, str]] = {
     "effort": ("", _values(SITES, "site, site_num, max_traps")),
     "covariates": ("", _values(SITE_COVARIATES, "site_num, forest, depth, width_m")),
@@ -67,16 +86,16 @@ VIEWS: dict[str, tuple[str, str]] = {
           e.user_id AS ind,
           CASE WHEN e.user_id % 25 = 3 THEN 'U' WHEN e.user_id % 25 = 4 THEN NULL
             WHEN e.user_id % 3 = 0 THEN 'M' ELSE 'F' END AS sex,
-          CAST(day(e.ts) AS INTEGER) AS day,
-          CAST(e.event_id % coalesce(f.max_traps, 3) AS INTEGER) + 1 AS trap,
+          CAST((day(e.ts) - 1) % 4 AS INTEGER) + 1 AS day,
+          CASE WHEN e.event_id % 211 = 0 THEN least(f.max_traps + 1, 14)
+            ELSE CAST(e.event_id % coalesce(f.max_traps, 3) AS INTEGER) + 1 END AS trap,
           CASE WHEN row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) = 1
             THEN 'N' ELSE 'R' END AS recap,
           CASE WHEN e.event_id % 97 = 0 THEN NULL ELSE e.value END AS carapace,
           e.value * 2 AS mass, e.ts
         FROM (SELECT *, substr('ACDEFGJKLMNOHI', CAST(user_id % 14 AS INTEGER) + 1, 1) AS site
               FROM events) e
-        LEFT JOIN effort f ON e.site = f.site
-        WHERE day(e.ts) <= 4"""),
+        LEFT JOIN effort f ON e.site = f.site"""),
     "traps": ("", """
         SELECT s_suppkey AS trap_id, CAST(s_nationkey % 12 AS INTEGER) + 1 AS site_num,
           39.5e0 + (s_suppkey % 50) * 2e-4 AS lat, -78.7e0 + (s_suppkey % 50) * 3e-4 AS lon
@@ -86,9 +105,24 @@ VIEWS: dict[str, tuple[str, str]] = {
           CASE (event_id // 4) % 5 WHEN 0 THEN 'N[1]' WHEN 1 THEN 'N[2]' WHEN 2 THEN 'sigma'
             WHEN 3 THEN 'beta_1' ELSE 'alpha0[1,1]' END AS parameter, value
         FROM events"""),
+    "prior_draws": ("", """
+        SELECT CAST(event_id % 4 AS INTEGER) + 1 AS chain, event_id // 32 + 1 AS iteration,
+          (['sigma', 'beta_1', 'alpha0[1,1]', 'alpha0[1,2]', 'mu_0', 'sd_0', 'psi[1]', 'N[1]'])[
+            CAST((event_id // 4) % 8 AS INTEGER) + 1] AS parameter,
+          CASE (event_id // 4) % 8 WHEN 5 THEN event_id % 13 / 2e0 - 0.5e0
+            WHEN 6 THEN event_id % 11 / 10e0 ELSE value / 10 - 1 END AS value
+        FROM events"""),
+    "tied_draws": ("", """
+        SELECT CAST(event_id % 4 AS INTEGER) + 1 AS chain, event_id // 12 + 1 AS iteration,
+          CASE (event_id // 4) % 3 WHEN 0 THEN 'N[3]' WHEN 1 THEN 'beta_2' ELSE 'sigma' END
+            AS parameter,
+          CASE (event_id // 4) % 3 WHEN 0 THEN CASE WHEN event_id % 5 < 4 THEN 0e0
+              ELSE CAST(event_id % 7 AS DOUBLE) END
+            WHEN 1 THEN 0.5e0 ELSE value END AS value
+        FROM events"""),
     "latent": ("", """
         SELECT CAST(l_orderkey % 4 AS INTEGER) + 1 AS chain,
-          CAST(l_linenumber AS BIGINT) AS iteration,
+          CAST(l_linenumber AS BIGINT) + 7 * (l_orderkey // 15000) AS iteration,
           CAST(l_suppkey % 12 AS INTEGER) + 1 AS site_num,
           CAST(l_partkey % 200 AS INTEGER) + 1 AS id_site,
           max(CASE WHEN l_discount >= 5e-2 THEN 1 ELSE 0 END) AS z, min(l_quantity) / 10e0 AS s,
@@ -96,9 +130,9 @@ VIEWS: dict[str, tuple[str, str]] = {
         FROM lineitem GROUP BY 1, 2, 3, 4"""),
     "params": ("latent effort days", """
         SELECT c.chain, c.iteration, e.site_num, d.day,
-          -3e0 + (c.chain + c.iteration + e.site_num + d.day) / 20e0 AS alpha0,
-          0.5e0 AS alpha2, 0.3e0 AS alpha3, 1e0 + c.iteration / 10e0 AS sigma,
-          1.2e0 + c.iteration / 8e0 + e.site_num / 50e0 AS sigma_f,
+          -3e0 + (c.chain + c.iteration % 7 + e.site_num + d.day) / 20e0 AS alpha0,
+          0.5e0 AS alpha2, 0.3e0 AS alpha3, 1e0 + c.iteration % 7 / 10e0 AS sigma,
+          1.2e0 + c.iteration % 7 / 8e0 + e.site_num / 50e0 AS sigma_f,
           0.1e0 + c.chain / 20e0 + e.site_num / 60e0 AS psi
         FROM (SELECT DISTINCT chain, iteration FROM latent) c CROSS JOIN effort e
         CROSS JOIN days d"""),
@@ -159,27 +193,25 @@ VIEWS: dict[str, tuple[str, str]] = {
     "caps_day": ("history", """
         SELECT species, day, CAST(coalesce(sum(count), 0) AS BIGINT) AS caps FROM history
         GROUP BY ALL"""),
-    "utm": ("traps", f"""
-        SELECT trap_id, site_num, lat, lon,
-          5e5 + {num(SCALE * RADIUS)} * (eta + {_series("cos", "sinh")}) AS easting,
-          {num(SCALE * RADIUS)} * (xi + {_series("sin", "cosh")}) AS northing
-        FROM (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta
-          FROM (SELECT *, sinh(atanh(sin(phi)) - {num(ECCENTRICITY)}
-                  * atanh({num(ECCENTRICITY)} * sin(phi))) AS t
-            FROM (SELECT *, radians(lat) AS phi, radians(lon + 81e0) AS lam FROM traps)))"""),
-    "distances": ("utm", """
-        SELECT u.*, fe, fn, sqrt((easting - fe) ** 2 + (northing - fn) ** 2) AS distance
-        FROM utm u JOIN (SELECT site_num, first(easting ORDER BY trap_id) AS fe,
-          first(northing ORDER BY trap_id) AS fn FROM utm GROUP BY 1) o
-        ON o.site_num = u.site_num"""),
-    "positions": ("distances effort", """
-        SELECT t.site_num, t.trap, t.distance / 100 AS pos
-        FROM (SELECT *, CAST(row_number() OVER (PARTITION BY site_num ORDER BY trap_id) AS INTEGER)
-                AS trap FROM distances) t
-        JOIN effort e ON e.site_num = t.site_num AND t.trap <= e.max_traps"""),
-    "space": ("distances", """
+    "places": ("traps effort", """
+        SELECT g.site_num, g.trap, g.site_num * 100 + g.trap AS trap_id,
+          39.5e0 + g.trap * 2e-4 + coalesce(o.shift, 0e0) * 1e-6 AS lat,
+          -78.7e0 + g.trap * 3e-4 + coalesce(o.shift, 0e0) * 1.5e-6 AS lon
+        FROM (SELECT site_num, CAST(unnest(range(1, max_traps + 1)) AS INTEGER) AS trap
+              FROM effort) g
+        LEFT JOIN (SELECT t.site_num, CAST(t.trap_id % e.max_traps AS INTEGER) + 1 AS trap,
+                     avg(t.trap_id % 50) AS shift
+                   FROM traps t JOIN effort e ON e.site_num = t.site_num GROUP BY ALL) o
+          ON o.site_num = g.site_num AND o.trap = g.trap"""),
+    "utm": ("traps", utm_sql("trap_id, site_num, lat, lon", "traps")),
+    "distances": ("utm", distance_sql("utm")),
+    "place_utm": ("places", utm_sql("trap_id, site_num, trap, lat, lon", "places")),
+    "place_distances": ("place_utm", distance_sql("place_utm")),
+    "positions": ("place_distances", """
+        SELECT site_num, trap, distance / 100 AS pos FROM place_distances"""),
+    "space": ("place_distances", """
         SELECT site_num, (min(distance) - 1000) / 100 AS xlim1,
-          (max(distance) + 1000) / 100 AS xlim2 FROM distances GROUP BY 1"""),
+          (max(distance) + 1000) / 100 AS xlim2 FROM place_distances GROUP BY 1"""),
     "scaled": ("covariates", """
         SELECT site_num, width_m, (forest - avg(forest) OVER ()) / stddev_samp(forest) OVER () AS forest_std,
           (depth - avg(depth) OVER ()) / stddev_samp(depth) OVER () AS depth_std,
@@ -203,6 +235,10 @@ VIEWS: dict[str, tuple[str, str]] = {
           AND h.trap = c.trap AND h.day = c.day
         JOIN flags f ON f.species = h.species AND f.site_num = h.site_num
           AND f.id_site = h.id_site AND f.day = h.day"""),
+    "unplaced": ("history positions", """
+        SELECT h.species, h.site_num, count(*) AS unplaced
+        FROM history h LEFT JOIN positions t ON t.site_num = h.site_num AND t.trap = h.trap
+        WHERE h.id_site IS NOT NULL AND h.count > 0 AND t.pos IS NULL GROUP BY ALL"""),
     "observed_ll": ("observed", """
         SELECT species, chain, iteration, site_num,
           sum(CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END) AS loglik

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ BROADCAST_ROWS = 200_000
 # Copies of each lookup row when a lookup is too large to broadcast.
 SALTS = 32
 
+_scratch: list[str] = []
+
 
 def build_session(cores: str = "8", app: str = "trapline") -> SparkSession:
     """Local session for tests and the bench; a cluster brings its own."""
@@ -44,10 +47,28 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, so that later passes over it
-    see the same rows and a lost executor costs a re-read instead of a re-run."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared folder as Parquet and read it back, so that later passes
+    prune columns, know its size and see the same rows, and a lost executor costs a re-read
+    instead of a re-run. ``release`` deletes the files."""
+    path = scratch(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared one, so that runs never meet."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what ``scratch`` handed out; the tables built on it can no longer be read."""
+    context = spark.sparkContext
+    for path in _scratch:
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+    _scratch.clear()
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

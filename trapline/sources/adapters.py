@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapline.sources.lookups import (MAX_TRAPS, N_DAYS, covariate_table, effort_table,
@@ -14,6 +14,11 @@ LETTERS = "ACDEFGJKLMNOHI"
 PARAMETERS = ("N[1]", "N[2]", "sigma", "beta_1", "alpha0[1,1]")
 
 
+def lineitem_iteration() -> Column:
+    """Seven iterations for each 15,000 orders, so latent states grow with the table."""
+    return F.col("l_linenumber").cast("bigint") + 7 * F.floor(F.col("l_orderkey") / 15_000)
+
+
 class Tables:
     """Lazy views over one folder of driver tables."""
 
@@ -37,9 +42,11 @@ class Tables:
 
     @cached_property
     def captures(self) -> DataFrame:
-        """One row per trap capture, without the first-capture mark."""
+        """One row per trap capture, without the first-capture mark. Every event is one; the days
+        of the month take turns as the days of a session, and a few captures carry the number of
+        a trap that their site does not have."""
         user, event = F.col("user_id"), F.col("event_id")
-        events = self.raw("events").where(F.dayofmonth("ts") <= N_DAYS).withColumn(
+        events = self.raw("events").withColumn(
             "site", F.substring(F.lit(LETTERS), (user % 14).cast("int") + 1, F.lit(1)))
         species = (F.when(user % 4 == 0, "CPIC").when(user % 4 == 1, "PRUB")
                    .when(user % 4 == 2, "CSER").otherwise("SODO"))
@@ -47,8 +54,10 @@ class Tables:
                .when(user % 3 == 0, "M").otherwise("F"))
         return events.join(F.broadcast(self.effort), "site", "left").select(
             event.alias("capture_id"), "site", "site_num", species.alias("species"),
-            user.alias("ind"), sex.alias("sex"), F.dayofmonth("ts").alias("day"),
-            ((event % F.coalesce("max_traps", F.lit(3))).cast("int") + 1).alias("trap"),
+            user.alias("ind"), sex.alias("sex"),
+            ((F.dayofmonth("ts") - 1) % N_DAYS + 1).alias("day"),
+            F.when(event % 211 == 0, F.least(F.col("max_traps") + 1, F.lit(MAX_TRAPS))).otherwise(
+                (event % F.coalesce("max_traps", F.lit(3))).cast("int") + 1).alias("trap"),
             F.when(event % 97 != 0, F.col("value")).alias("carapace"),
             (F.col("value") * 2).alias("mass"), "ts")
 
@@ -72,14 +81,21 @@ class Tables:
             (39.5 + step * 2e-4).alias("lat"), (-78.7 + step * 3e-4).alias("lon"))
 
     @cached_property
-    def numbered_traps(self) -> DataFrame:
-        """The first traps of each site by trap id, as many as the effort table grants. The
-        constant limit lets Spark cut every site to its first rows before the shuffle."""
-        by_id = Window.partitionBy("site_num").orderBy("trap_id")
-        first = self.traps.withColumn("trap", F.row_number().over(by_id)).where(
-            F.col("trap") <= MAX_TRAPS)
+    def trap_places(self) -> DataFrame:
+        """A place for every trap of the effort table: a base place, shifted by the mean offset of
+        all suppliers that fall on the trap. Only one row per trap leaves the partial means."""
+        trap = F.explode(F.sequence(F.lit(1), F.col("max_traps"))).alias("trap")
+        grid = self.effort.select("site_num", trap)
         granted = F.broadcast(self.effort.select("site_num", "max_traps"))
-        return first.join(granted, "site_num").where("trap <= max_traps").drop("max_traps")
+        shifts = self.traps.join(granted, "site_num").groupBy(
+            "site_num", ((F.col("trap_id") % F.col("max_traps")).cast("int") + 1).alias("trap")
+        ).agg(F.avg(F.col("trap_id") % 50).alias("shift"))
+        shift = F.coalesce("shift", F.lit(0.0))
+        # one row per trap of the effort table on both sides
+        return grid.join(F.broadcast(shifts), ["site_num", "trap"], "left").select(
+            "site_num", "trap", (F.col("site_num") * 100 + F.col("trap")).alias("trap_id"),
+            (39.5 + F.col("trap") * 2e-4 + shift * 1e-6).alias("lat"),
+            (-78.7 + F.col("trap") * 3e-4 + shift * 1.5e-6).alias("lon"))
 
     @cached_property
     def draws(self) -> DataFrame:
@@ -93,11 +109,38 @@ class Tables:
             (F.floor(event / 20) + 1).alias("iteration"), parameter.alias("parameter"), "value"
         ).toDF("chain", "iteration", "parameter", "value")
 
+    @cached_property
+    def prior_draws(self) -> DataFrame:
+        """Draws with their upper parameters; some lie outside the support of their prior."""
+        event, value = F.col("event_id"), F.col("value")
+        names = F.array(*[F.lit(n) for n in (
+            "sigma", "beta_1", "alpha0[1,1]", "alpha0[1,2]", "mu_0", "sd_0", "psi[1]", "N[1]")])
+        place = F.floor(event / 4) % 8
+        base = F.element_at(names, place.cast("int") + 1)
+        return self.raw("events").select(
+            ((event % 4) + 1).cast("int").alias("chain"),
+            (F.floor(event / 32) + 1).alias("iteration"), base.alias("parameter"),
+            F.when(place == 5, event % 13 / 2.0 - 0.5).when(place == 6, event % 11 / 10.0)
+            .otherwise(value / 10 - 1).alias("value"))
+
+    @cached_property
+    def tied_draws(self) -> DataFrame:
+        """A parameter of counts that are mostly 0, a constant one and a plain one."""
+        event = F.col("event_id")
+        place = F.floor(event / 4) % 3
+        return self.raw("events").select(
+            ((event % 4) + 1).cast("int").alias("chain"),
+            (F.floor(event / 12) + 1).alias("iteration"),
+            F.when(place == 0, "N[3]").when(place == 1, "beta_2").otherwise("sigma").alias(
+                "parameter"),
+            F.when(place == 0, F.when(event % 5 < 4, 0.0).otherwise((event % 7).cast("double")))
+            .when(place == 1, 0.5).otherwise(F.col("value")).alias("value"))
+
     @cached_property
     def latent(self) -> DataFrame:
         keyed = self.raw("lineitem").select(
             (F.col("l_orderkey") % 4).cast("int").alias("chain"),
-            F.col("l_linenumber").cast("bigint").alias("iteration"),
+            lineitem_iteration().alias("iteration"),
             ((F.col("l_suppkey") % 12).cast("int") + 1).alias("site_num"),
             ((F.col("l_partkey") % 200).cast("int") + 1).alias("id_site"),
             "l_discount", "l_quantity", "l_partkey")
@@ -112,11 +155,11 @@ class Tables:
         """Parameter draws by site and day for the draws present in the latent table."""
         kept = self.raw("lineitem").select(
             ((F.col("l_orderkey") % 4) + 1).cast("int").alias("chain"),
-            F.col("l_linenumber").cast("bigint").alias("iteration")).distinct()
+            lineitem_iteration().alias("iteration")).distinct()
         sites = F.array(*[F.lit(g) for g in range(1, 13)])
         days = F.sequence(F.lit(1), F.lit(N_DAYS))
         grid = kept.withColumn("site_num", F.explode(sites)).withColumn("day", F.explode(days))
-        chain, it, site = F.col("chain"), F.col("iteration"), F.col("site_num")
+        chain, it, site = F.col("chain"), F.col("iteration") % 7, F.col("site_num")
         return grid.select(
             "chain", "iteration", "site_num", "day",
             (-3.0 + (chain + it + site + F.col("day")) / 20.0).alias("alpha0"),

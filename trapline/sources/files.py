@@ -25,8 +25,9 @@ def read_column(spark: SparkSession, path: str, name: str, type_: str = "DOUBLE"
     return wide.select(F.col(name).cast(type_).alias(name))
 
 
-def with_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:
-    """Number the rows of one file 1..n in file order.
+def with_row_key(df: DataFrame, name: str = "row_key", across: bool = False) -> DataFrame:
+    """Number the rows of each file 1..n in file order, or of all files in the order of their
+    names if ``across``.
 
     ``df`` must be a file scan (a read, possibly projected). A file is read in byte ranges; the
     rows of a range stay together and in order, so the key is the number of rows in earlier
@@ -38,8 +39,9 @@ def with_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:
                   F.monotonically_increasing_id().alias("_seen")))
     ranges = ranged.groupBy("_file", "_start").agg(
         F.min("_seen").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    earlier = Window.partitionBy("_file").orderBy("_start").rowsBetween(
-        Window.unboundedPreceding, -1)
+    ordered = Window.orderBy("_file", "_start") if across else Window.partitionBy(
+        "_file").orderBy("_start")
+    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("_file", "_start", "_first", F.coalesce(
         F.sum("_rows").over(earlier), F.lit(0)).alias("_skipped"))
     keyed = attach(ranged, ranges, ["_file", "_start"])
