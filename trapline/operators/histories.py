@@ -170,6 +170,23 @@ def observed_history(histories: DataFrame, n_days: int = N_DAYS) -> DataFrame:
                        cell_count(F.col("trap"), F.col("day")).alias("count"))
 
 
+def caught_cells(histories: DataFrame) -> DataFrame:
+    """Captured cells of known individuals, wherever they were caught."""
+    known = histories.where(F.col("id_site").isNotNull())
+    return known.select(*INDIVIDUAL, "first_day", F.explode("cells").alias("_key", "count")).select(
+        *INDIVIDUAL, "first_day", F.floor(F.col("_key") / 1000).cast("int").alias("trap"),
+        (F.col("_key") % 1000).cast("int").alias("day"), "count")
+
+
+def daily_captures(histories: DataFrame, n_days: int = N_DAYS) -> DataFrame:
+    """Captures of every known individual on every day, summed inside its row."""
+    known = histories.where(F.col("id_site").isNotNull())
+    caught = F.filter(F.map_entries("cells"), lambda cell: cell["key"] % 1000 == F.col("day"))
+    total = F.aggregate(caught, F.lit(0).cast("bigint"), lambda n, cell: n + cell["value"])
+    return known.withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(n_days)))).select(
+        *INDIVIDUAL, "first_day", "day", total.alias("captures"))
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str],
                    how: str = "left") -> DataFrame:
     """Join in which a missing key matches a missing key; planned as an ordinary equi-join."""

@@ -198,8 +198,8 @@ def parsed_parameters(t: Inputs):
     SELECT species, site_num, id_site, trap, day, count FROM history
     WHERE count <> 0 AND id_site IS NOT NULL""")
 def caught_cells(t: Inputs):
-    rows = histories.observed_history(t.known).where("count != 0")
-    return rows.select("species", "site_num", "id_site", "trap", "day", "count")
+    return histories.caught_cells(t.known).select(
+        "species", "site_num", "id_site", "trap", "day", "count")
 
 
 @query("unsexed_captures", "captures", """
@@ -427,7 +427,7 @@ def collapsed_days(t: Inputs):
       CASE WHEN max(count) > 0 THEN 1 ELSE 0 END AS caught
     FROM history WHERE id_site IS NOT NULL GROUP BY ALL""")
 def ever_caught(t: Inputs):
-    return summaries.collapsed(histories.observed_history(t.known),
+    return summaries.collapsed(histories.caught_cells(t.known),
                                ["species", "site_num", "id_site"])
 
 
@@ -529,8 +529,7 @@ def last_captures(t: Inputs):
       AND f.day = h.day
     GROUP BY ALL""")
 def recaptures_by_site_day(t: Inputs):
-    days = summaries.collapsed(histories.observed_history(t.known), [
-        "species", "site_num", "id_site", "day", "first_day"])
+    days = histories.daily_captures(t.known)
     again = (F.col("captures") > 0) & (F.col("day") > F.col("first_day"))
     return days.groupBy("species", "site_num", "day").agg(
         F.count_if(F.col("captures") > 0).alias("individuals"),
