@@ -162,7 +162,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text",
         F.col("place").bitwiseAND((1 << LINE_BITS) - 1).alias("_at"), "lines")).alias("_runs"))
     gone = settle(gone.join(order.select("_row", "_n"), "_n").select("_row", "_runs"))
     kind = held.schema["_whole"].dataType.simpleString()
-    cut = held.join(gone, "_row", "left").select("_whole", "_text", "_runs").mapInArrow(
+    # by a shuffle at any size: what a broadcast would send grows with the table
+    cut = held.join(gone.hint("merge"), "_row", "left").select(
+        "_whole", "_text", "_runs").mapInArrow(
         _cut, f"_whole {kind}, _kept string, n_lines long, n_removed long")
     return cut.select(*[F.col("_kept").alias(c) if c == text else
                         F.col(f"_whole.`{c}`").alias(c) for c in docs.columns
