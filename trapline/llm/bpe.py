@@ -175,9 +175,15 @@ def piece_encoder(path: str, pattern: str):
     return encode
 
 
+@lru_cache(maxsize=1)
+def memory(path: str, pattern: str) -> Memo:
+    """One memory of pieces per worker, kept from task to task."""
+    return Memo(piece_encoder(path, pattern))
+
+
 def _encode(path: str, pattern: str, digests: bool):
     def run(batches):
-        memo, known = Memo(piece_encoder(path, pattern)), table(path)
+        memo, known = memory(path, pattern), table(path)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for start, end in bounded(texts):

@@ -1,8 +1,10 @@
-"""Cutting text at single spaces, where no pre-token crosses, and remembering what was encoded.
+"""Cutting text where no pre-token crosses, and remembering what was encoded.
 
 The pattern that precedes byte-level merges lets a pre-token begin with one space and end before
 the next, so a text may be cut before every space that has other characters than white space on
-both sides. The pieces repeat; each distinct piece is encoded once per worker and table."""
+both sides. A single line end between such characters is a pre-token by itself, and so is a stop
+or comma between a letter or digit and white space. The pieces repeat; each distinct piece is
+encoded once per worker and table."""
 
 from __future__ import annotations
 
@@ -22,16 +24,30 @@ def _spaced(text: str) -> bool:
     return ("  " in text or "\n " in text or " \n" in text or _ODD.search(text) is not None)
 
 
+# a stop or comma that follows anything but a letter or digit
+_RUN = re.compile(r"[.,](?=[ \n])(?<![^\W_][.,])")
+
+
+def _marked(text: str) -> str:
+    """The text with a zero byte at each cut; the text holds none itself."""
+    if _spaced(text):
+        return "\0".join(_CUT.split(text))
+    cut = text if "\n\n" in text else text.replace("\n", "\0\n\0")
+    cut = cut.replace(" ", "\0 ")
+    if _RUN.search(text):
+        return cut
+    return cut.replace(".\0", "\0.\0").replace(",\0", "\0,\0")
+
+
 def pieces(text: str) -> list[str]:
-    """``text`` in pieces; every piece but the first begins with a space."""
-    return _CUT.split(text) if _spaced(text) else text.replace(" ", "\0 ").split("\0")
+    """``text`` in pieces."""
+    return _CUT.split(text) if "\0" in text else _marked(text).split("\0")
 
 
 def _cut(texts: list[str]) -> pa.ListArray:
     if any("\0" in t for t in texts):
         return pa.array([pieces(t) for t in texts], pa.list_(pa.string()))
-    return pc.split_pattern(pa.array(["\0".join(_CUT.split(t)) if _spaced(t) else
-                                      t.replace(" ", "\0 ") for t in texts], pa.string()), "\0")
+    return pc.split_pattern(pa.array(map(_marked, texts), pa.string()), "\0")
 
 
 def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

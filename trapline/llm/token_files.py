@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,12 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("file", pa.st
                     ("n_tokens", pa.int64())])
 
 
+@lru_cache(maxsize=1)
+def memory(tokenizer: str) -> Memo:
+    """One memory of pieces per worker, kept from task to task."""
+    return Memo(encoder(tokenizer))
+
+
 def encoder(tokenizer: str):
     """Encode lists of texts with the tokenizers library; special strings are ordinary text."""
     import os
@@ -47,7 +54,7 @@ def _writer(folder: str, tokenizer: str):
     end = np.array([END_ID], "<u4").tobytes()
 
     def write(batches):
-        memo = Memo(encoder(tokenizer))
+        memo = memory(tokenizer)
         part = TaskContext.get().partitionId()
         name = f"{part:06d}-{uuid.uuid4().hex}.ids.zst"
         index: list[dict] = []
