@@ -32,7 +32,7 @@ from trapline.llm.common import components, settle
 #: Shingles of a packed block, and distinct shingles of blocks that one fragment counts.
 BLOCK_SHINGLES = 1 << 17
 FRAGMENT_SHINGLES = 1 << 21
-FILTER = 1.5
+FILTER = 2.0
 #: Fragments in which overlaps of pairs are counted.
 OVERLAP_FRAGMENTS = 4
 #: Longs of the parity map of a set, which bounds the shingles in which two sets differ.
@@ -268,8 +268,9 @@ def counted(blocks: DataFrame) -> DataFrame:
     replies = settle(sent.groupBy("fragment").applyInArrow(
         count, "_block long, fragment int, part binary").groupBy("_block").agg(
         F.array_sort(F.collect_list(F.struct("fragment", "part"))).alias("_parts")))
-    return blocks.join(replies.select("_block", F.col("_parts.part").alias("counts")),
-                       "_block", "left")
+    # shingles meet their counts by a shuffle at any size: either side grows with the documents
+    return blocks.join(replies.select("_block", F.col("_parts.part").alias("counts")).hint(
+        "merge"), "_block", "left")
 
 
 def _documents(batch):
@@ -289,48 +290,46 @@ def _may_miss(n: int, similarity: tuple[int, int]) -> int:
     return n - -(-n * similarity[0] // similarity[1])
 
 
-POSTINGS = "shingle long, id long, n int, " + ", ".join(f"m{i} long" for i in range(MAP_LONGS))
+CANDIDATES = "id long, n int, " + ", ".join(f"m{i} long" for i in range(
+    MAP_LONGS)) + ", rare array<long>, shingles binary"
 
 
-def _rare(similarity):
-    """The shingles of each document by which it can be found: the rarest, one more than a link
-    may miss, less those that no other document holds."""
+def _candidates(similarity):
+    """The sets of counted blocks that miss no more shingles than a link may, each with the
+    shingles by which it can be found: the rarest, one more than a link may miss, less those that
+    no other document holds."""
+    names = ["id", "n", *[f"m{i}" for i in range(MAP_LONGS)], "rare", "shingles"]
+    kinds = [pa.int64(), pa.int32(), *[pa.int64()] * MAP_LONGS, pa.list_(pa.int64()), pa.binary()]
+
     def run(batches):
         for batch in batches:
-            parts: list[list] = []
+            rows = []
             for row, k, shingles, counts in _documents(batch):
                 most = _may_miss(row["ns"][k], similarity)
                 if (counts < 2).sum() > most:
                     continue
                 first = np.lexsort((shingles, counts))[:most + 1]
                 first = first[counts[first] > 1]
-                parts += [[s, row["sets"][k], row["ns"][k], *row["maps"][k]]
-                          for s in shingles[first].view(np.int64).tolist()]
-            names = ["shingle", "id", "n", *[f"m{i}" for i in range(MAP_LONGS)]]
-            columns = list(zip(*parts)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int32() if n == "n" else pa.int64())
-                 for n, c in zip(names, columns)], names)
+                rows.append((row["sets"][k], row["ns"][k], *row["maps"][k],
+                             shingles[first].view(np.int64).tolist(), shingles.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                list(zip(*rows)) or [[]] * len(names), kinds)], names)
     return run
 
 
 def _segments(batches):
     """Shingles of each set, cut into the fragments in which overlaps are counted."""
-    edges = np.array([k * 2 ** 64 // OVERLAP_FRAGMENTS for k in range(1, OVERLAP_FRAGMENTS)],
-                     np.uint64)
+    edges = _edges(1.0, OVERLAP_FRAGMENTS)
     for batch in batches:
-        for row in batch.to_pylist():
-            shingles = np.frombuffer(row["shingles"], np.uint64)
-            start, rows = 0, []
-            for k, size in enumerate(row["ns"]):
-                own = shingles[start:start + size]
-                cuts = [0, *np.searchsorted(own, edges).tolist(), size]
-                rows += [(row["sets"][k], f, own[a:b].tobytes())
-                         for f, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-                start += size
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 3, (
-                    pa.int64(), pa.int32(), pa.binary()))], ["id", "fragment", "shingles"])
+        rows = []
+        for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = np.frombuffer(data, np.uint64)
+            cuts = [0, *np.searchsorted(own, edges).tolist(), len(own)]
+            rows += [(i, f, own[a:b].tobytes())
+                     for f, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 3, (
+                pa.int64(), pa.int32(), pa.binary()))], ["id", "fragment", "shingles"])
 
 
 def _overlaps(batches):
@@ -360,10 +359,12 @@ def linked(pairs: DataFrame, segments: DataFrame, similarity) -> DataFrame:
     """The pairs (``a``, ``b``, sizes ``na``, ``nb``) that link; overlaps are counted in each
     fragment by itself and summed."""
     num, den = similarity
+    # both joins move the shingles at any size: pairs grow with the documents too
     left = pairs.select("a", "b").join(segments.select(
-        F.col("id").alias("a"), "fragment", F.col("shingles").alias("_x")), "a")
-    met = left.join(segments.select(F.col("id").alias("b"), "fragment",
-                                    F.col("shingles").alias("_y")), ["b", "fragment"])
+        F.col("id").alias("a"), "fragment", F.col("shingles").alias("_x")).hint("merge"), "a")
+    met = left.join(segments.select(
+        F.col("id").alias("b"), "fragment", F.col("shingles").alias("_y")).hint("merge"),
+        ["b", "fragment"])
     parts = met.select("a", "b", "_x", "_y").mapInArrow(_overlaps, "a long, b long, part long")
     sums = parts.groupBy("a", "b").agg(F.sum("part").alias("_i"))
     union = F.col("na") + F.col("nb") - F.col("_i")
@@ -376,13 +377,13 @@ def links(texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFram
     with shingles) to join all that are reachable from each other."""
     blocks = settle(texts.select("_text").mapInArrow(_packed(words), BLOCKS).withColumn(
         "_block", F.monotonically_increasing_id()))
-    postings = settle(counted(blocks).mapInArrow(_rare(similarity), POSTINGS))
-    segments = blocks.select("sets", "ns", "shingles").mapInArrow(
+    sets = settle(counted(blocks).mapInArrow(_candidates(similarity), CANDIDATES))
+    postings = sets.select("id", F.explode("rare").alias("shingle"))
+    segments = sets.select("id", "shingles").mapInArrow(
         _segments, "id long, fragment int, shingles binary")
-    sets = settle(postings.drop("shingle").dropDuplicates(["id"]))
     heads = settle(postings.groupBy("shingle").agg(
         F.min("id").alias("head"), F.count("*").alias("_many")).where("_many > 1").drop("_many"))
-    stars = settle(postings.select("shingle", "id").join(heads, "shingle").where(
+    stars = settle(postings.join(heads, "shingle").where(
         "id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
     near = stars.alias("p").join(sets.alias("x"), F.expr("p.a = x.id")).join(
         sets.alias("y"), F.expr("p.b = y.id")).where(_possible(
@@ -395,7 +396,8 @@ def links(texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFram
     open_lists = settle(placed.groupBy("shingle").agg(
         F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select(
         "shingle"))
-    rest = settle(placed.join(open_lists, "shingle"))
+    rest = settle(placed.join(open_lists, "shingle").join(
+        sets.drop("rare", "shingles"), "id"))
     apart = rest.alias("x").join(rest.alias("y"), (
         F.expr("x.shingle = y.shingle and x.id < y.id and x.root <> y.root")
         & _possible((F.col("x.n"), F.col("y.n")), (_maps("x"), _maps("y")), similarity)))
