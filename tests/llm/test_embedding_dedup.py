@@ -35,7 +35,7 @@ def test_against_all_pairs(spark):
         base = rng.standard_normal(24)
         for k in range(rng.integers(1, 5)):
             noise = rng.standard_normal(24) * np.linalg.norm(base) / 5
-            rows.append((len(rows), (base + noise * rng.choice([0.0, 0.3, 0.6, 1.0])).tolist(),
+            rows.append((len(rows), (base + noise * rng.choice([0.0, 0.1, 0.2, 0.25])).tolist(),
                          i % 2))
     near = [brute.cosine(a[1], b[1]) for a in rows for b in rows if a[0] < b[0]]
     assert sum(0.97 < c < 0.99 for c in near) > 5
