@@ -158,10 +158,11 @@ def _caught(histories: DataFrame) -> DataFrame:
 def observed_loglik(latent: DataFrame, params: DataFrame, positions: DataFrame,
                     per_site: DataFrame, histories: DataFrame) -> DataFrame:
     """Sum of log Bernoulli(y; p) over the cells of caught individuals, per draw and site. An
-    individual's counts travel as one map, matched on (species, site, individual)."""
+    individual's counts travel as one map, matched on (species, site, individual). ``slotless``
+    counts the caught individuals that the sum lacks; it is null where it has none of them."""
     rows = _slots(latent, params, per_site).where(F.col("id_site") <= F.col("n"))
     scored = _loglik(rows.join(_caught(histories), ["species", "site_num", "id_site"]), positions)
-    return _with_unplaced(scored, histories, positions)
+    return _with_unplaced(_with_slotless(scored, latent, params, histories), histories, positions)
 
 
 def zeros_loglik(latent: DataFrame, params: DataFrame, positions: DataFrame,
@@ -177,11 +178,34 @@ def zeros_loglik(latent: DataFrame, params: DataFrame, positions: DataFrame,
 def augmented_loglik(latent: DataFrame, params: DataFrame, positions: DataFrame,
                      per_site: DataFrame, histories: DataFrame) -> DataFrame:
     """All slots as Bernoulli cells in one pass: observed ones with their counts, the rest with
-    zeros."""
+    zeros. ``slotless`` as in ``observed_loglik``."""
     rows = _slots(latent, params, per_site)
     scored = _loglik(rows.join(_caught(histories), ["species", "site_num", "id_site"], "left"),
                      positions)
-    return _with_unplaced(scored, histories, positions)
+    return _with_unplaced(_with_slotless(scored, latent, params, histories), histories, positions)
+
+
+def slotless_individuals(latent: DataFrame, params: DataFrame, histories: DataFrame) -> DataFrame:
+    """How many caught individuals have no latent slot, per species, draw and site of the
+    parameters where any was caught."""
+    caught = histories.where(F.col("id_site").isNotNull()).select(
+        "species", "site_num", "id_site")
+    # one row per species and site of the lookups
+    known = caught.groupBy("species", "site_num").agg(F.count(F.lit(1)).alias("_known"))
+    found = latent.select(*DRAW_SITE, "id_site").join(caught, ["site_num", "id_site"]).groupBy(
+        "species", *DRAW_SITE).agg(F.count(F.lit(1)).alias("_found"))
+    draws = params.select(*DRAW_SITE).distinct().join(F.broadcast(known), "site_num")
+    return draws.join(found, ["species", *DRAW_SITE], "left").select(
+        "species", *DRAW_SITE,
+        (F.col("_known") - F.coalesce("_found", F.lit(0))).alias("slotless"))
+
+
+def _with_slotless(scored: DataFrame, latent: DataFrame, params: DataFrame,
+                   histories: DataFrame) -> DataFrame:
+    """A likelihood with its slotless individuals. Draws and sites where nothing was scored come
+    back too, without a likelihood."""
+    return scored.join(slotless_individuals(latent, params, histories), [
+        "species", *DRAW_SITE], "full").withColumn("slotless", F.coalesce("slotless", F.lit(0)))
 
 
 def unplaced_cells(histories: DataFrame, positions: DataFrame) -> DataFrame:

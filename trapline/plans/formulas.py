@@ -82,11 +82,19 @@ UNPLACED = """
     SELECT a.*, coalesce(u.unplaced, 0) AS unplaced FROM ({}) a
     LEFT JOIN unplaced u ON u.species = a.species AND u.site_num = a.site_num"""
 
+#: Over the whole latent table no caught individual is without a slot.
+WHOLE = f"SELECT *, CAST(0 AS BIGINT) AS slotless FROM ({UNPLACED})"
+
+
+def _scored(rows):
+    """The rows and columns that the SQL states; ``slotless_individuals`` counts the others."""
+    return rows.where(F.col("loglik").isNotNull()).drop("slotless")
+
 
 @query("observed_loglik", "observed_ll unplaced", UNPLACED.format("SELECT * FROM observed_ll"),
        "loglik", 3)
 def observed_loglik(t: Inputs):
-    return model.observed_loglik(t.latent, t.params, t.positions, t.per_site, t.known)
+    return _scored(model.observed_loglik(t.latent, t.params, t.positions, t.per_site, t.known))
 
 
 @query("zeros_loglik", "zeros_ll", "SELECT * FROM zeros_ll", "loglik", 3)
@@ -98,7 +106,31 @@ def zeros_loglik(t: Inputs):
     SELECT species, chain, iteration, site_num, sum(loglik) AS loglik FROM (
       SELECT * FROM observed_ll UNION ALL SELECT * FROM zeros_ll) GROUP BY ALL"""), "loglik", 3)
 def augmented_loglik(t: Inputs):
-    return model.augmented_loglik(t.latent, t.params, t.positions, t.per_site, t.known)
+    return _scored(model.augmented_loglik(t.latent, t.params, t.positions, t.per_site, t.known))
+
+
+@query("slotless_individuals", "latent params em", """
+    SELECT i.species, k.chain, k.iteration, k.site_num, count(*) - count(l.id_site) AS slotless
+    FROM (SELECT DISTINCT species, site_num, id_site FROM em WHERE id_site IS NOT NULL) i
+    JOIN (SELECT DISTINCT chain, iteration, site_num FROM params) k ON k.site_num = i.site_num
+    LEFT JOIN latent l ON l.chain = k.chain AND l.iteration = k.iteration
+      AND l.site_num = k.site_num AND l.id_site = i.id_site GROUP BY ALL""")
+def slotless_individuals(t: Inputs):
+    return model.slotless_individuals(t.latent, t.params, t.known)
+
+
+@query("observed_loglik_whole", "observed_ll unplaced", WHOLE.format("SELECT * FROM observed_ll"),
+       "loglik", 3, {"latent": "whole_latent"})
+def observed_loglik_whole(t: Inputs):
+    return model.observed_loglik(t.whole_latent, t.params, t.positions, t.per_site, t.known)
+
+
+@query("augmented_loglik_whole", "observed_ll zeros_ll unplaced", WHOLE.format("""
+    SELECT species, chain, iteration, site_num, sum(loglik) AS loglik FROM (
+      SELECT * FROM observed_ll UNION ALL SELECT * FROM zeros_ll) GROUP BY ALL"""), "loglik", 3,
+       {"latent": "whole_latent"})
+def augmented_loglik_whole(t: Inputs):
+    return model.augmented_loglik(t.whole_latent, t.params, t.positions, t.per_site, t.known)
 
 
 def _normal(x: str, mean: float, precision: float) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from trapline.operators import filters, histories, spatial, summaries
 from trapline.sources.adapters import Tables
@@ -24,6 +25,24 @@ class Inputs(Tables):
     def per_site(self) -> DataFrame:
         return histories.individuals_per_site(self.numbered, self.effort, self.species_caps)
 
+    @cached_property
+    def whole_latent(self) -> DataFrame:
+        """Latent states with every slot of every draw: 1 to 200, or to the largest number of
+        caught individuals of a species of the site. Where no row of the driver table falls on a
+        slot it is no member and its place and sex follow its number."""
+        draws = self.latent.select("chain", "iteration").distinct()
+        widths = self.per_site.groupBy("site_num").agg(
+            F.greatest(F.lit(200), F.max("n")).cast("int").alias("_width"))
+        # one row per site of the effort table
+        grid = draws.crossJoin(F.broadcast(widths)).select(
+            "chain", "iteration", "site_num",
+            F.explode(F.sequence(F.lit(1), F.col("_width"))).alias("id_site"))
+        slot = F.col("id_site")
+        return grid.join(self.latent, ["chain", "iteration", "site_num", "id_site"], "left").select(
+            "chain", "iteration", "site_num", "id_site", F.coalesce("z", F.lit(0)).alias("z"),
+            F.coalesce("s", (slot % 50 + 1) / 10.0).alias("s"),
+            F.coalesce("sex", slot % 2).alias("sex"))
+
     @cached_property
     def sizes(self) -> DataFrame:
         return histories.augmentation_size(self.per_site)

@@ -15,8 +15,9 @@ ORACLES: dict[str, str] = {}
 
 
 def query(name: str, views: str = "", sql: str | None = None, doubles: str = "",
-          digits: int = 6):
-    """Register a query over ``Inputs``. ``doubles`` are rounded on both sides."""
+          digits: int = 6, instead: dict[str, str] | None = None):
+    """Register a query over ``Inputs``. ``doubles`` are rounded on both sides; ``instead`` names
+    views of the SQL that others take the place of."""
     rounded = doubles.split()
 
     def register(build: Callable[[Inputs], DataFrame]):
@@ -31,7 +32,7 @@ def query(name: str, views: str = "", sql: str | None = None, doubles: str = "",
             if rounded:
                 fixed = ", ".join(f"round({c}, {digits}) + 0e0 AS {c}" for c in rounded)
                 body = f"SELECT * REPLACE ({fixed}) FROM ({sql})"
-            ORACLES[name] = with_views(views, body)
+            ORACLES[name] = with_views(views, body, instead)
         return build
 
     return register

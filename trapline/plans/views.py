@@ -319,14 +319,30 @@ def ess_sql(source: str, name: str) -> str:
       ON s.parameter = b.parameter"""
 
 
-def with_views(names: str, body: str) -> str:
-    """Prefix the body with the views it names and those they need, in order."""
+VIEWS |= {
+    "sparse": VIEWS["latent"],
+    "whole_latent": ("sparse per_site", """
+        SELECT k.chain, k.iteration, g.site_num, g.id_site, coalesce(l.z, 0) AS z,
+          coalesce(l.s, (g.id_site % 50 + 1) / 10e0) AS s, coalesce(l.sex, g.id_site % 2) AS sex
+        FROM (SELECT DISTINCT chain, iteration FROM sparse) k
+        CROSS JOIN (
+          SELECT site_num, CAST(unnest(range(1, width + 1)) AS INTEGER) AS id_site
+          FROM (SELECT site_num, greatest(200, max(n)) AS width FROM per_site GROUP BY 1)) g
+        LEFT JOIN sparse l ON l.chain = k.chain AND l.iteration = k.iteration
+          AND l.site_num = g.site_num AND l.id_site = g.id_site"""),
+}
+
+
+def with_views(names: str, body: str, instead: dict[str, str] | None = None) -> str:
+    """Prefix the body with the views it names and those they need, in order. ``instead`` gives
+    the views that take the place of others under their names."""
     ordered: list[str] = []
+    views = VIEWS | {name: VIEWS[other] for name, other in (instead or {}).items()}
 
     def need(name: str) -> None:
         if name in ordered:
             return
-        for other in VIEWS[name][0].split():
+        for other in views[name][0].split():
             need(other)
         ordered.append(name)
 
@@ -334,4 +350,4 @@ def with_views(names: str, body: str) -> str:
         need(name)
     if not ordered:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in ordered) + "\n" + body
+    return "WITH " + ",\n".join(f"{n} AS ({views[n][1]})" for n in ordered) + "\n" + body
