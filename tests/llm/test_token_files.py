@@ -1,10 +1,13 @@
+import random
+import zlib
+
 import numpy as np
 import public_tokenizers as public
 import pytest
 from tokenizers import Tokenizer
 
 from tests.llm.test_bpe import texts
-from trapline.llm import token_files
+from trapline.llm import queries, token_files
 from trapline.llm.common import open_store
 from trapline.llm.seekable import Reader
 
@@ -73,3 +76,19 @@ def test_odd_rows(spark):
 def test_no_rows(spark):
     index, folder = token_files.write(table(spark, []), PATH)
     assert token_files.read(index, folder).collect() == []
+
+
+def test_the_query_encodes_as_the_plain_call_does(spark, tmp_path):
+    """Strings of added tokens, which the registered query takes as the library does."""
+    rng = random.Random(6)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", "end", ".", ",", " ", "  ", "\n", "'s", "7"]
+    rows = [(0, "end.<|endoftext|> next")] + [
+        (i, "".join(rng.choices(parts, k=12))) for i in range(1, 400)]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    plain, start = Tokenizer.from_file(PATH), 0
+    got = {r.doc_id: r for r in queries.op8_token_files(spark, str(tmp_path)).collect()}
+    for i, text in rows:
+        ids = np.array([*plain.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (
+            start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)

@@ -51,7 +51,8 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     index, store = token_files.write(table(spark, folder, "documents"),
-                                     public_tokenizers.path("byte_bpe_50k.json"))
+                                     public_tokenizers.path("byte_bpe_50k.json"),
+                                     special=True)
     return token_files.read(index, store, digest=True)
 
 

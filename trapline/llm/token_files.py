@@ -31,18 +31,20 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("file", pa.st
 
 
 @lru_cache(maxsize=1)
-def memory(tokenizer: str) -> Memo:
+def memory(tokenizer: str, special: bool = False) -> Memo:
     """One memory of pieces per worker, kept from task to task."""
-    return Memo(encoder(tokenizer))
+    return Memo(encoder(tokenizer, special))
 
 
-def encoder(tokenizer: str):
-    """Encode lists of texts with the tokenizers library; special strings are ordinary text."""
+def encoder(tokenizer: str, special: bool = False):
+    """Encode lists of texts with the tokenizers library. Special strings give the ids of their
+    added tokens if ``special`` (the library's default), else they are ordinary text. They hold no
+    white space and no stop or comma, so no piece cuts them."""
     import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     known = Tokenizer.from_file(tokenizer)
-    known.encode_special_tokens = True
+    known.encode_special_tokens = not special
 
     def encode(texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes()
@@ -50,11 +52,11 @@ def encoder(tokenizer: str):
     return encode
 
 
-def _writer(folder: str, tokenizer: str):
+def _writer(folder: str, tokenizer: str, special: bool):
     end = np.array([END_ID], "<u4").tobytes()
 
     def write(batches):
-        memo = memory(tokenizer)
+        memo = memory(tokenizer, special)
         part = TaskContext.get().partitionId()
         name = f"{part:06d}-{uuid.uuid4().hex}.ids.zst"
         index: list[dict] = []
@@ -86,10 +88,10 @@ def _writer(folder: str, tokenizer: str):
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str | None = None, key: str = "doc_id",
-          text: str = "text") -> tuple[DataFrame, str]:
+          text: str = "text", special: bool = False) -> tuple[DataFrame, str]:
     """Encode every text, end it with ``END_ID`` and write the ids in ascending key order below
     ``folder`` (a new one in the shared folder if not given). Returns the settled index and the
-    folder; ``start`` counts the ids of all documents before.
+    folder; ``start`` counts the ids of all documents before. ``special`` as in ``encoder``.
 
     A null text is empty and has the end id only. Null keys come first; rows with equal keys are
     ordered by a hash of the text; repeated rows are written each. No rows write files without
@@ -100,7 +102,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, key: str =
                        F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = [F.col("doc_id"), F.xxhash64("text")]
     dealt = rows.repartitionByRange(partitions(docs), *order).sortWithinPartitions(*order)
-    index = settle(dealt.mapInArrow(_writer(folder, tokenizer), INDEX))
+    index = settle(dealt.mapInArrow(_writer(folder, tokenizer, special), INDEX))
     # one row per file
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = index.groupBy("part").agg(F.sum("n_tokens").alias("_ids")).select(
