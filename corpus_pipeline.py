@@ -53,18 +53,31 @@ def without_line_copies(spark, docs, sf_dir):
 
 @_stage
 def without_near_copies(spark, docs, sf_dir):
-    """One document of each group of documents that share 80 % of their five-word shingles, the
-    one of smallest ``doc_id``. Of repeated rows one stays; null keys stay alone."""
-    joined = common.settle(ngram_join.join(docs, words=5, similarity=(80, 100)))
-    known = joined.where("doc_id is not null")
-    often = known.groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1")
-    gone = known.where("doc_id <> component_id").select("doc_id").distinct()
-    # both lists are short beside the documents; adaptive execution sends them if they are small
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = common.settle(often.select("doc_id"))
-    once = kept.join(again, "doc_id", "left_anti")
-    one = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(one).select(*docs.columns)
+    """One row of each group of rows that share 80 % of their five-word shingles: the one of
+    smallest ``doc_id``, nulls last, then by a hash of the text and the row number. Rows without
+    words stay, but of those that repeat a ``doc_id`` and a text one stays. Rows with different
+    texts are not repeated, also if they share a ``doc_id``."""
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    rows = common.settle(docs.withColumn(row, F.monotonically_increasing_id()))
+    joined = ngram_join.join(rows, key=row, words=5, similarity=(80, 100)).withColumnRenamed(
+        row, "_n")
+    marks = rows.select(F.col(row).alias("_n"), F.col("doc_id").alias("_id"),
+                        F.xxhash64("text").alias("_hash"))
+    worded = F.col("n_shingles") > 0
+    groups = ["_worded", "_group", "_same"]
+    known = common.settle(joined.join(marks, "_n").where(worded | F.col("_id").isNotNull()).select(
+        "_n", F.struct(F.col("_id").isNull(), "_id", "_hash", "_n").alias("_order"),
+        worded.alias("_worded"), F.when(worded, F.col("component_id")).otherwise(
+            F.col("_id")).alias("_group"), F.when(worded, 0).otherwise(F.col("_hash")).alias(
+            "_same")))
+    first = known.groupBy(*groups).agg(F.min("_order").alias("_first"),
+                                       F.count("*").alias("_rows")).where("_rows > 1")
+    # the list is short beside the documents; adaptive execution sends it if it is small
+    gone = common.settle(known.join(first, groups).where("_n <> _first._n").select(
+        F.col("_n").alias(row)))
+    return rows.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 @_stage

@@ -97,3 +97,19 @@ def test_scratch_of_earlier_stages_goes(spark, tmp_path):
     common.remove(spark, made)
     store, path = common.open_store(made[0])
     assert store.get_file_info(path).type.name == "NotFound"
+
+
+def test_near_copies_go_by_row(spark):
+    """Rows that share a key but not a text, and near copies without a key."""
+    text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcd"}
+    rows = [(1, text["a"]), (2, text["a"] + " end"), (2, text["b"]), (2, text["c"]),
+            (3, text["b"]), (None, text["d"]), (None, text["d"] + " end"), (None, text["c"]),
+            (4, ""), (4, ""), (5, ""), (None, ""), (None, ""), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in rows], DOCS)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.without_near_copies(
+        spark, docs.repartition(3), SMALL).collect()), key=repr)
+    ends = [t for i, t in got if i is None and t]
+    assert len(ends) == 1 and ends[0].startswith(text["d"])
+    assert [r for r in got if r != (None, ends[0])] == sorted([
+        (1, text["a"]), (2, text["b"]), (2, text["c"]), (4, ""), (4, None), (5, ""),
+        (None, ""), (None, "")], key=repr)
