@@ -87,3 +87,18 @@ def test_count_is_calibrated():
     hits = (np.abs((a - b) @ onto) <= window).sum(axis=1)
     assert (hits >= embedding_dedup.collisions_needed()).mean() > 0.99
     assert embedding_dedup.collisions_needed() == pytest.approx(20, abs=2)
+
+
+def test_routes_meet_pairs_at_the_limit():
+    """Of random pairs just at the limit, next to none has a difference beyond a route's window."""
+    rng = np.random.default_rng(8)
+    for dim in (32, 128):
+        x = rng.standard_normal((50_000, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y = rng.standard_normal((50_000, dim))
+        y -= (x * y).sum(axis=1, keepdims=True) * x
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        apart = (0.98 - 1) * x + (1 - 0.98 ** 2) ** 0.5 * y
+        far = np.abs(apart @ embedding_dedup.directions(dim)[:, :embedding_dedup.ROUTES]) > (
+            embedding_dedup.ROUTE_WINDOW * embedding_dedup.deviation(0.98, dim))
+        assert far.any(axis=1).mean() < embedding_dedup.MISSED
