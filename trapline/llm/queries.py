@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapline.llm import (bpe, embedding_dedup, line_dedup, mixing, ngram_join, quality, sharding,
-                          sql, token_files, topk, warc)
+from trapline.llm import (bpe, embedding_dedup, filter_audit, infill, line_dedup, mixing, ngram_join,
+                          quality, sharding, sql, token_files, topk, warc)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -65,7 +65,20 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.failing(table(spark, folder, "documents"),
+                                                   table(spark, folder, "labels")))
+
+
+def op13_infill(spark: SparkSession, folder: str) -> DataFrame:
+    cut = infill.infill(table(spark, folder, "documents"))
+    back = infill.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                      F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                      F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_embedding_dedup, op2_mixing, op3_warc, op4_topk, op5_ngram_join, op6_bpe, op7_sharding,
-    op8_token_files, op9_line_dedup, op10_quality)}
+    op8_token_files, op9_line_dedup, op10_quality, op11_filter_audit, op13_infill)}
 ORACLES = sql.ORACLES

@@ -150,3 +150,66 @@ placed AS (SELECT g, arg_max(x, step) AS p FROM walk GROUP BY g)
 SELECT doc_id, size, text_crc32, 'rows' AS law, (p % 24)::INT AS shard,
   p // 24 AS slot, NULL::INT AS grown_shard
 FROM numbered JOIN placed USING (g)"""
+
+
+# a cell is the set of filters that a document fails, a letter each
+ORACLES["op11_filter_audit"] = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+f AS (SELECT part, doc_id, concat(
+        CASE WHEN len(words) < 50 THEN 'A' ELSE '' END,
+        CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END,
+        CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text)
+          THEN 'C' ELSE '' END,
+        CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END,
+        CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END) AS cell
+      FROM t),
+c AS (SELECT part, cell, count(*) AS n, count(*) FILTER (good) AS good,
+        count(*) FILTER (toxic) AS toxic
+      FROM f LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic
+                        FROM labels GROUP BY doc_id) USING (doc_id) GROUP BY part, cell),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+o AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order
+      FROM l a, l b, l c, l d, l e
+      WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+s AS (SELECT filter_order, step::INT AS step, filter_order[step:step] AS own,
+        CASE WHEN step = 1 THEN '0' ELSE filter_order[1:step - 1] END AS before
+      FROM o, (SELECT unnest(range(1, 6)) AS step)),
+h AS (SELECT *, contains(cell, own) AS fails,
+        len(list_intersect(string_split(cell, ''), string_split(before, ''))) > 0 AS gone
+      FROM c, s),
+r AS (SELECT part, filter_order, step, own,
+        sum(CASE WHEN fails OR gone THEN 0 ELSE n END)::BIGINT AS kept,
+        sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+        sum(CASE WHEN fails AND gone THEN n ELSE 0 END)::BIGINT AS redundant,
+        sum(CASE WHEN cell = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+        sum(CASE WHEN fails AND NOT gone THEN good ELSE 0 END)::BIGINT AS good_lost,
+        sum(CASE WHEN fails AND NOT gone THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+      FROM h GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM r"""
+
+ORACLES["op13_infill"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS h,
+             regexp_extract_all(coalesce(text, ''),
+               '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units FROM documents),
+u AS (SELECT doc_id, text, units, len(units)::BIGINT AS n,
+        ('0x' || h[1:8])::BIGINT % (len(units) + 1) AS x,
+        ('0x' || h[9:16])::BIGINT % (len(units) + 1) AS y,
+        ('0x' || h[17:24])::BIGINT % 100 AS cut, ('0x' || h[25:32])::BIGINT % 100 AS swap FROM d),
+p AS (SELECT doc_id, n, text,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>')
+          OR contains(text, '<M>') OR cut >= 50 THEN 'plain'
+          WHEN swap < 80 THEN 'spm' ELSE 'psm' END AS form,
+        array_to_string(list_slice(units, 1, least(x, y)), '') AS prefix,
+        array_to_string(list_slice(units, least(x, y) + 1, greatest(x, y)), '') AS middle,
+        array_to_string(list_slice(units, greatest(x, y) + 1, n), '') AS suffix FROM u)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text
+    WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN text ELSE prefix || middle || suffix END) AS restored_sha256
+FROM p"""
