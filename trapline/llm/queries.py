@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapline.llm import (bpe, embedding_dedup, filter_audit, infill, line_dedup, mixing, ngram_join,
-                          quality, sharding, sql, token_files, topk, warc)
+from trapline.llm import (bpe, embedding_dedup, filter_audit, infill, kneser_ney, line_dedup, mixing,
+                          ngram_join, quality, sharding, sql, token_files, topk, warc)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -70,6 +70,14 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
                                                    table(spark, folder, "labels")))
 
 
+def op12_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs, out = table(spark, folder, "documents"), kneser_ney.held_out(F.col("doc_id"))
+    scored = kneser_ney.score(docs, kneser_ney.train(docs.where(~out)))
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         F.round("base_score", 6).alias("base_score"),
+                         F.round("score", 6).alias("score"))
+
+
 def op13_infill(spark: SparkSession, folder: str) -> DataFrame:
     cut = infill.infill(table(spark, folder, "documents"))
     back = infill.restored(F.col("output"), F.col("form"))
@@ -80,5 +88,6 @@ def op13_infill(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_embedding_dedup, op2_mixing, op3_warc, op4_topk, op5_ngram_join, op6_bpe, op7_sharding,
-    op8_token_files, op9_line_dedup, op10_quality, op11_filter_audit, op13_infill)}
+    op8_token_files, op9_line_dedup, op10_quality, op11_filter_audit, op12_lm_scoring,
+    op13_infill)}
 ORACLES = sql.ORACLES

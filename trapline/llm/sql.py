@@ -190,6 +190,64 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
   (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
 FROM r"""
 
+#: Remainders of the 256 bytes, and from them the checksum of the bytes of an expression.
+CRC_TABLE = """(SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1
+    THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, v) ORDER BY v) AS t
+  FROM (SELECT unnest(range(256)) AS v))"""
+
+
+def _crc32(value: str) -> str:
+    return f"""xor(list_reduce(list_transform(regexp_extract_all(hex(encode({value})), '..'),
+        lambda h: ('0x' || h)::BIGINT), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]),
+      4294967295), 4294967295)"""
+
+
+def _discounts(level: str) -> str:
+    """Discounts d1 to d3 from the counts of counts n1 to n4 of a relation."""
+    y = "(n1 / (n1 + 2 * n2)::DOUBLE)"
+    return f"""
+d_{level} AS (SELECT CASE WHEN good THEN a ELSE 0.5e0 END AS d1, CASE WHEN good THEN b ELSE 1e0 END AS d2,
+    CASE WHEN good THEN c ELSE 1.5e0 END AS d3
+  FROM (SELECT a, b, c, coalesce(least(n1, n2, n3, n4) > 0 AND a BETWEEN 0 AND 1
+          AND b BETWEEN 0 AND 2 AND c BETWEEN 0 AND 3, FALSE) AS good
+        FROM (SELECT n1, n2, n3, n4, 1 - 2 * {y} * n2 / n1 AS a, 2 - 3 * {y} * n3 / n2 AS b,
+                3 - 4 * {y} * n4 / n3 AS c
+              FROM (SELECT {", ".join(f"count(*) FILTER (n = {k}) AS n{k}" for k in range(1, 5))}
+                    FROM {level}))))"""
+
+
+# ' ' is the end token and '  ' the begin token; no word holds a space
+ORACLES["op12_lm_scoring"] = f"""
+WITH d AS (SELECT doc_id, {_crc32("doc_id::VARCHAR")}::BIGINT % 5 = 1 AS held_out,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words
+           FROM documents, {CRC_TABLE}),
+t AS (SELECT doc_id, held_out, unnest(list_append(words, ' ')) AS w,
+        unnest(list_prepend('  ', words)) AS v FROM d),
+words AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+size AS (SELECT coalesce(sum(c), 0)::BIGINT AS total, count(*) AS kinds FROM words),
+pairs AS (SELECT v, w, count(*) AS n FROM t WHERE NOT held_out GROUP BY v, w),
+singles AS (SELECT w, count(*) AS n FROM pairs GROUP BY w),
+{_discounts("pairs")},
+{_discounts("singles")},
+contexts AS (SELECT v, sum(n) AS whole, sum(CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END) AS rest
+             FROM pairs, d_pairs GROUP BY v),
+root AS (SELECT sum(n) AS whole, sum(CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END) AS rest
+         FROM singles, d_singles),
+p AS (SELECT t.doc_id, t.held_out, c.c, coalesce(c.c, 0) AS known, total, kinds,
+        (coalesce(s.n - CASE s.n WHEN 1 THEN e.d1 WHEN 2 THEN e.d2 ELSE e.d3 END, 0)
+          + root.rest / (kinds + 1)) / root.whole AS single,
+        coalesce(g.n - CASE g.n WHEN 1 THEN f.d1 WHEN 2 THEN f.d2 ELSE f.d3 END, 0) AS seen,
+        x.whole, x.rest
+      FROM t CROSS JOIN size CROSS JOIN root CROSS JOIN d_singles e CROSS JOIN d_pairs f
+      LEFT JOIN words c USING (w) LEFT JOIN singles s USING (w) LEFT JOIN contexts x USING (v)
+      LEFT JOIN pairs g ON g.v = t.v AND g.w = t.w)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, total AS train_tokens,
+  round(sum(log10((known + 0.5e0) / (total + 0.5e0 * (kinds + 1)))), 6) AS base_score,
+  round(sum(log10(CASE WHEN whole IS NULL THEN single ELSE (seen + rest * single) / whole END)), 6)
+    AS score
+FROM p GROUP BY doc_id, held_out, total"""
+
 ORACLES["op13_infill"] = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS h,
              regexp_extract_all(coalesce(text, ''),
