@@ -76,17 +76,50 @@ def test_psrf_refuses_chains_of_unequal_length(spark):
 
 
 def test_a_settled_series_does_not_wait_again(spark, series, monkeypatch):
-    """Batches of lags stop with the slowest series; none runs on no rows."""
-    seen, lags = [], convergence.autocovariance
+    """Every series has its own range of lags; none is asked for once it has met its end."""
+    seen, lags = [], convergence.lag_products
 
-    def counted(rows, *args):
-        seen.append(rows.count())
-        return lags(rows, *args)
+    def counted(blocks, wanted, keys, rows):
+        seen.append({(r.parameter, r["first"], r["last"]) for r in wanted.collect()})
+        return lags(blocks, wanted, keys, rows)
 
-    monkeypatch.setattr(convergence, "autocovariance", counted)
-    halves = convergence.split_halves(chains(spark, series))
-    convergence.split_ess(halves, ["parameter"]).collect()
-    assert 1 < len(seen) < 6 and min(seen) > 0
+    monkeypatch.setattr(convergence, "lag_products", counted)
+    halves = convergence.split_halves(chains(spark, series | {"short": series["slow"][:, :150]}))
+    got = {r.parameter: r.ess for r in convergence.split_ess(halves, ["parameter"]).collect()}
+    assert len(seen) > 1 and ("short", 0, 63) in seen[0] and ("slow", 0, 63) in seen[0]
+    assert {s[0] for s in seen[1]} <= {"slow", "short", "shifted"}
+    assert all(last < 75 for step in seen for name, _, last in step if name == "short")
+    assert got["short"] == pytest.approx(brute_ess(halves_of(series["slow"][:, :150])), rel=1e-9)
+
+
+def test_a_chain_that_never_mixes_is_worked_on_in_tiles(spark, monkeypatch):
+    """All lags of 10^5 draws: no task row holds more than two blocks."""
+    import pyarrow as pa
+    largest, tile = [], convergence._tile_sums
+
+    def watched(width, size):
+        run = tile(width, size)
+
+        def check(batches):
+            def each():
+                for batch in batches:
+                    for side in (width + 4, width + 5):
+                        assert max(len(v) for v in batch.column(side)) <= size
+                    yield batch
+            return run(each())
+        largest.append(size)
+        return check
+
+    monkeypatch.setattr(convergence, "_tile_sums", watched)
+    n = 100_000
+    draws = spark.range(n).selectExpr("'a' AS parameter", "1 AS chain", "id + 1 AS iteration",
+                                      "cast(id AS double) AS value")
+    got = {r.lag: r.autocovariance for r in convergence.autocovariance(
+        draws, ["parameter", "chain"], n).collect()}
+    assert largest == [4096] and sorted(got) == list(range(n))
+    d = np.arange(n) - (n - 1) / 2
+    for lag in (0, 1, 4095, 4096, 4097, 50_000, 99_998, 99_999):
+        assert got[lag] == pytest.approx(float((d[:n - lag] * d[lag:]).sum()) / n, rel=1e-9)
 
 
 def test_split_ess_of_slow_chains(spark, series):
@@ -116,6 +149,36 @@ def test_effective_size(spark, series):
     assert 20 < got["slow"] < 150
 
 
+def brute_autoregressive_size(x):
+    """Solving the Yule-Walker equations of every order anew."""
+    n, d = len(x), np.asarray(x) - np.mean(x)
+    top = min(n - 1, max(1, int(10 * math.log10(n))))
+    cov = [float((d[:n - t] * d[t:]).sum()) / n for t in range(top + 1)]
+    if n < 2 or cov[0] <= 0:
+        return 0.0
+    fits = [(n * math.log(cov[0]), 0, cov[0], 0.0)]
+    for p in range(1, top + 1):
+        table = [[cov[abs(i - j)] for j in range(p)] for i in range(p)]
+        phi = np.linalg.solve(table, cov[1:p + 1])
+        error = cov[0] - float(phi @ cov[1:p + 1])
+        if error <= 0:
+            break
+        fits.append((n * math.log(error) + 2 * p, p, error, float(phi.sum())))
+    _, p, error, total = min(fits, key=lambda f: f[0])
+    return n * (cov[0] * n / (n - 1)) / (error * n / (n - p - 1) / (1 - total) ** 2)
+
+
+def test_effective_size_against_equations_of_every_order(spark, series):
+    named = series | {"flat": [[2.0] * 30] * 2, "two": [[1.0, 2.0]], "one": [[5.0]],
+                      "wave": [np.sin(np.arange(60) / 3)]}
+    got = {r.parameter: (r.ess, r.ratio) for r in
+           convergence.effective_size(chains(spark, named)).collect()}
+    for name, x in named.items():
+        want = sum(brute_autoregressive_size(c) for c in x)
+        assert got[name][0] == pytest.approx(want, rel=1e-6), name
+        assert got[name][1] == pytest.approx(want / sum(map(len, x)), rel=1e-6)
+
+
 def test_rank_rhat_and_gate(spark, series):
     rows = {r.parameter: r for r in convergence.monitor(chains(spark, series)).collect()}
     assert rows["fast"].rhat < 1.01 and rows["shifted"].rhat > 1.2

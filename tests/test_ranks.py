@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from trapline.operators import ranks, summaries
-from trapline.session import attach
+from trapline.session import attach, counted, heavy_keys, settle
 
 
 @pytest.fixture(scope="module")
@@ -70,3 +70,22 @@ def test_attach_beyond_the_broadcast_limit(spark, how):
     small = sorted(map(str, attach(facts, lookup, ["key"], how).collect()))
     large = sorted(map(str, attach(facts, lookup, ["key"], how, max_rows=5).collect()))
     assert small == large
+
+
+def test_only_heavy_keys_are_broadcast_beyond_the_limit(spark):
+    """Half the rows hold one key: its rows stay, no lookup row is copied for the others."""
+    facts = settle(spark.range(4000).selectExpr("if(id % 2 = 0, 7L, id) AS key", "id AS x"))
+    lookup = spark.range(4000).selectExpr("id AS key", "id * 2 AS y")
+    assert len(heavy_keys(facts, ["key"])) == 1
+    joined = attach(facts, lookup, ["key"], max_rows=5)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("BroadcastHashJoin") >= 1
+    assert sorted(r.x for r in joined.where("y = key * 2").collect()) == list(range(4000))
+    even = spark.range(4000).selectExpr("id AS key", "id AS x")
+    assert heavy_keys(even, ["key"]) == []
+
+
+def test_settled_rows_are_counted(spark):
+    table, rows = counted(spark.range(1234).repartition(5))
+    assert rows == 1234 == table.count()
+    assert counted(spark.range(0))[1] == 0

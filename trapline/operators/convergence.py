@@ -1,16 +1,17 @@
 """Convergence statistics of long draw tables: PSRF, rank-normalised R-hat and ESS.
 
 Draws must be numbered 1, 2, ... inside each chain (``posterior.thin`` does). A series is cut into
-blocks that carry the head of the next block, so lag products of a chain of any length are summed
-block by block; ranks come from ``ranks``, which cuts hot parameters into ranges."""
+blocks, and blocks meet in pairs as far apart as the lag, so lag products of a chain of any length
+and any lag are tiles of two blocks; ranks come from ``ranks``, which cuts hot parameters into
+ranges."""
 
 from __future__ import annotations
 
 from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from trapline.functions.probability import normal_quantile
@@ -18,7 +19,7 @@ from trapline.operators.filters import with_base
 from trapline.operators.posterior import posterior_summary
 from trapline.operators.ranks import (average_ranks, exact_quantiles, picked_quantiles,
                                       value_positions)
-from trapline.session import attach, settle
+from trapline.session import attach, counted, settle
 
 BLOCK = 4096
 FIRST_LAGS = 64
@@ -52,106 +53,190 @@ def psrf(draws: DataFrame) -> DataFrame:
     return t.select("parameter", F.sqrt(factor * F.try_divide(F.col("v"), w)).alias("psrf"))
 
 
+def lag_blocks(series: DataFrame, keys: list[str], position: str = "iteration",
+               value: str = "value") -> tuple[DataFrame, DataFrame, int]:
+    """A series cut into blocks of ``BLOCK`` values in order: settled rows ``keys``, ``block`` and
+    ``x``; its ``mean`` and length ``n`` per series, settled, and the number of series. A task that
+    makes a block sees the rows of that block only."""
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(position).alias("at"),
+                                                   F.col(value).alias("x"))))
+    blocks = settle(series.groupBy(*keys, F.floor((F.col(position) - 1) / BLOCK).alias(
+        "block")).agg(F.transform(ordered, lambda v: v["x"]).alias("x")))
+    present = F.filter("x", lambda v: v.isNotNull())
+    total = F.aggregate(present, F.lit(0.0), lambda a, v: a + v.cast("double"))
+    stats, rows = counted(blocks.groupBy(*keys).agg(
+        F.sum(F.size(present)).alias("n"), F.sum(total).alias("_total")).select(
+        *keys, "n", F.try_divide("_total", "n").alias("mean")))
+    return blocks, stats, rows
+
+
+def lag_products(blocks: DataFrame, wanted: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """``keys``, ``lag``, ``product``: sums of products of deviations a lag apart, for the lags
+    ``first`` to ``last`` of each series of ``wanted`` (which has its ``mean`` too and ``rows``
+    rows).
+
+    Two rows a lag apart lie in blocks that are floor(lag / BLOCK) or one more apart, so the plane
+    of positions and lags is cut into tiles: a block meets the block j further on, a task holds
+    two blocks whatever the lag, and partial products are summed."""
+    own = attach(blocks, wanted, keys, rows=rows)
+    x = own.withColumn("_apart", F.explode(F.sequence(
+        F.floor(F.col("first") / BLOCK), F.ceil(F.col("last") / BLOCK))))
+    tiles = x.withColumn("block", F.col("block") + F.col("_apart")).join(
+        blocks.withColumnRenamed("x", "_y"), [*keys, "block"])
+    fields = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
+    schema = ", ".join([*[f"{k} {fields[k]}" for k in keys], "lag int, product double"])
+    parts = tiles.select(*keys, "_apart", "first", "last", "mean", "x", "_y").mapInArrow(
+        _tile_sums(len(keys), BLOCK), schema)
+    return parts.groupBy(*keys, "lag").agg(F.sum("product").alias("product"))
+
+
+def _tile_sums(width: int, size: int):
+    """Products of the tiles of a task, those of one series and distance summed."""
+    def deviations(values, mean: float) -> np.ndarray:
+        return np.nan_to_num(values.values.to_numpy(zero_copy_only=False).astype(float) - mean)
+
+    def rows(held: dict, fields):
+        columns = [np.repeat([k[i] for k in held], [len(p) for p in held.values()])
+                   for i in range(width)] if held else [[] for _ in range(width)]
+        lags = np.concatenate([np.zeros(0, int), *[
+            np.arange(k[-1], k[-1] + len(p)) for k, p in held.items()]])
+        sums = np.concatenate([np.zeros(0), *held.values()])
+        return pa.RecordBatch.from_arrays(
+            [*[pa.array(c, f.type) for c, f in zip(columns, fields)],
+             pa.array(lags, pa.int32()), pa.array(sums, pa.float64())],
+            [*[f.name for f in fields], "lag", "product"])
+
+    def run(batches):
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            fields = [batch.schema.field(i) for i in range(width)]
+            known = [batch.column(i).to_pylist() for i in range(width + 4)]
+            for i, (*series, apart, first, last, mean) in enumerate(zip(*known)):
+                # lags of the tile: apart * size and less than a block to either side
+                low = max(first, (apart - 1) * size + 1)
+                high = min(last, (apart + 1) * size - 1)
+                if low > high:
+                    continue
+                x = deviations(batch.column(width + 4)[i], mean)
+                y = deviations(batch.column(width + 5)[i], mean)
+                begin, end = low - apart * size, high - apart * size + len(x)
+                z = np.zeros(end - begin)
+                a, b = max(begin, 0), min(end, len(y))
+                z[a - begin:max(a, b) - begin] = y[a:max(a, b)]
+                key = (*series, apart, low)
+                sums = np.correlate(z, x, "valid")
+                held[key] = held[key] + sums if key in held else sums
+            if len(held) >= 256:
+                yield rows(held, fields)
+                held = {}
+        if held:
+            yield rows(held, fields)
+    return run
+
+
 def autocovariance(series: DataFrame, keys: list[str], max_lag: int, first_lag: int = 0,
                    position: str = "iteration", value: str = "value") -> DataFrame:
     """Per series and lag: sum of products of deviations a lag apart, divided by the length.
-
-    Rows are sent to their block and, if they lie within ``max_lag`` of its start, also to the
-    block before, so each task sees one block and its overlap, however long the series is."""
-    stats = settle(series.groupBy(*keys).agg(F.avg(value).alias("_mean"),
-                                             F.count(value).alias("_n")))
-    centred = attach(series, stats.select(*keys, "_mean"), keys).select(
-        *keys, (F.col(position) - 1).alias("_at"), (F.col(value) - F.col("_mean")).alias("_x"))
-    size = max(BLOCK, max_lag)
-    own = F.floor(F.col("_at") / size)
-    overlap = (F.col("_at") % size < max_lag) & (own > 0)
-    blocked = centred.withColumn("_block", F.explode(
-        F.when(overlap, F.array(own, own - 1)).otherwise(F.array(own))))
-    fields = {f.name: f.dataType.simpleString() for f in blocked.schema.fields}
-    schema = ", ".join([*[f"{k} {fields[k]}" for k in keys], "lag int", "product double"])
-
-    def lag_sums(block: pd.DataFrame) -> pd.DataFrame:
-        ordered = block.sort_values("_at")
-        x = ordered["_x"].to_numpy()
-        head = int((ordered["_at"] // size == block["_block"].iat[0]).sum())
-        lags = np.arange(first_lag, max_lag + 1)
-        sums = [float(np.dot(x[:max(0, min(head, len(x) - t))], x[t:t + head])) for t in lags]
-        out = pd.DataFrame({"lag": lags.astype("int32"), "product": sums})
-        for k in keys:
-            out[k] = block[k].iat[0]
-        return out[[*keys, "lag", "product"]]
-
-    products = blocked.groupBy(*keys, "_block").applyInPandas(lag_sums, schema)
-    summed = products.groupBy(*keys, "lag").agg(F.sum("product").alias("_sum"))
-    return attach(summed, stats.select(*keys, "_n"), keys).where(
-        F.col("lag") < F.col("_n")).select(
-        *keys, "lag", (F.col("_sum") / F.col("_n")).alias("autocovariance"))
+    Positions are 1, 2, ...; a null value counts for nothing."""
+    blocks, stats, rows = lag_blocks(series, keys, position, value)
+    wanted = stats.withColumns({
+        "first": F.lit(first_lag), "last": F.least(F.lit(max_lag), F.col("n") - 1).cast("int")})
+    products = lag_products(blocks, wanted.where("first <= last").drop("n"), keys, rows)
+    return attach(products, stats.drop("mean"), keys, rows=rows).select(
+        *keys, "lag", (F.col("product") / F.col("n")).alias("autocovariance"))
 
 
 def effective_size(draws: DataFrame) -> DataFrame:
     """Effective size per parameter from the spectrum at zero of an autoregression fitted to each
-    chain (order by AIC up to 10 log10 n), summed over the chains. Python sees only the lag
-    vector of a chain."""
-    sizes = chain_lengths(draws)
-    longest = sizes.agg(F.max("n")).first()[0] or 1
-    top = max(1, int(np.floor(10 * np.log10(longest))))
-    lags = autocovariance(draws, ["parameter", "chain"], top)
-    rows = attach(lags, sizes, ["parameter", "chain"])
-
-    def spectrum(chain: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"parameter": [chain["parameter"].iat[0]],
-                             "chain": [chain["chain"].iat[0]],
-                             "ess": [autoregressive_size(
-                                 chain.sort_values("lag")["autocovariance"].to_numpy(),
-                                 int(chain["n"].iat[0]))]})
-
-    per_chain = rows.groupBy("parameter", "chain").applyInPandas(
-        spectrum, "parameter string, chain int, ess double")
-    totals = sizes.groupBy("parameter").agg(F.sum("n").alias("n_draws"))
-    return per_chain.groupBy("parameter").agg(F.sum("ess").alias("ess")).join(
-        totals, "parameter").select(
+    chain (order by AIC up to 10 log10 n), summed over the chains."""
+    keys = ["parameter", "chain"]
+    chain_lengths(draws)
+    blocks, stats, rows = lag_blocks(draws, keys)
+    wanted = stats.select(*keys, "mean", F.lit(0).alias("first"), F.least(
+        F.greatest(F.lit(1), F.floor(10 * F.log10("n"))), F.col("n") - 1).cast("int").alias("last"))
+    lags = lag_products(blocks, wanted, keys, rows)
+    vectors = lags.groupBy(*keys).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("lag", "product"))), lambda p: p["product"]).alias(
+        "products"))
+    per_chain = attach(vectors, stats.drop("mean"), keys, rows=rows).withColumn(
+        "cov", F.transform("products", lambda p: p / F.col("n")))
+    return per_chain.groupBy("parameter").agg(
+        F.sum(autoregressive_size(F.col("cov"), F.col("n"))).alias("ess"),
+        F.sum("n").alias("n_draws")).select(
         "parameter", "ess", (F.col("ess") / F.col("n_draws")).alias("ratio"))
 
 
-def autoregressive_size(cov: np.ndarray, n: int) -> float:
-    """n var / spectrum(0) by Levinson-Durbin with the order of least AIC."""
-    order = min(len(cov) - 1, int(np.floor(10 * np.log10(n))))
-    if n < 2 or cov[0] <= 0:
-        return 0.0
-    coefficients = np.zeros(0)
-    error = cov[0]
-    best = (n * np.log(error), error, coefficients)
-    for p in range(1, order + 1):
-        reflection = (cov[p] - coefficients @ cov[p - 1:0:-1]) / error if p > 1 \
-            else cov[1] / error
-        coefficients = np.append(coefficients - reflection * coefficients[::-1], reflection)
-        error = error * (1 - reflection ** 2)
-        if error <= 0:
-            break
-        aic = n * np.log(error) + 2 * p
-        if aic < best[0]:
-            best = (aic, error, coefficients)
-    _, error, coefficients = best
-    variance = error * n / (n - len(coefficients) - 1)
-    at_zero = variance / (1 - coefficients.sum()) ** 2
-    return n * (cov[0] * n / (n - 1)) / at_zero
-
-
-def chain_lengths(draws: DataFrame) -> DataFrame:
-    """Draws per parameter and chain; raises unless they are numbered 1, 2, ... without gaps."""
+def autoregressive_size(cov: Column, n: Column) -> Column:
+    """n var / spectrum(0) from the autocovariances at lags 0, 1, ...: the Levinson-Durbin
+    recursion as a fold over the lags. Its state is the order, the coefficients and the error of
+    the fit so far and of the fit of least AIC; a chain without variance has size 0."""
+    fit = "struct<coefficients:array<double>,error:double,aic:double,best:struct<" \
+          "aic:double,error:double,order:int,total:double>>"
+    length = n.cast("double")
+    start = length * F.log(cov[0])
+    empty = F.array().cast("array<double>")
+    first = F.struct(empty.alias("coefficients"), cov[0].alias("error"), start.alias("aic"), F.struct(
+        start.alias("aic"), cov[0].alias("error"), F.lit(0).alias("order"),
+        F.lit(0.0).alias("total")).alias("best")).cast(fit)
+
+    def summed(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+    def step(state: Column, p: Column) -> Column:
+        """The fit of order p; once the error is not positive the state stays as it is."""
+        old, error = state["coefficients"], state["error"]
+        back = F.reverse(F.slice(cov, F.lit(2), p - 1))
+        reflection = (F.element_at(cov, p + 1) - summed(F.zip_with(
+            old, back, lambda a, c: a * c))) / error
+        # a value of one element names the reflection once for the terms that follow
+        return F.element_at(F.transform(F.array(reflection), lambda r: fitted(state, p, r)), 1)
+
+    def fitted(state: Column, p: Column, r: Column) -> Column:
+        old = state["coefficients"]
+        new = F.concat(F.zip_with(old, F.reverse(old), lambda a, c: a - r * c), F.array(r))
+        error = state["error"] * (1 - r * r)
+        aic = length * F.log(error) + 2 * p
+        best = F.when(aic < state["best"]["aic"], F.struct(
+            aic.alias("aic"), error.alias("error"), p.cast("int").alias("order"),
+            summed(new).alias("total"))).otherwise(state["best"])
+        return F.when((state["error"] <= 0) | (error <= 0), F.struct(
+            old.alias("coefficients"), F.lit(0.0).alias("error"), state["aic"].alias("aic"),
+            state["best"].alias("best")).cast(fit)).otherwise(F.struct(
+                new.alias("coefficients"), error.alias("error"), aic.alias("aic"),
+                best.alias("best")).cast(fit))
+
+    orders = F.when(F.size(cov) > 1, F.sequence(F.lit(1), F.size(cov) - 1)).otherwise(
+        F.array().cast("array<int>"))
+
+    def size(best: Column) -> Column:
+        at_zero = best["error"] * length / (length - best["order"] - 1) / F.pow(
+            1 - best["total"], F.lit(2.0))
+        return length * (cov[0] * length / (length - 1)) / at_zero
+
+    return F.when((n < 2) | (cov[0] <= 0), F.lit(0.0)).otherwise(
+        F.aggregate(orders, first, step, lambda state: size(state["best"])))
+
+
+def chain_lengths(draws: DataFrame) -> tuple[DataFrame, int]:
+    """Draws per parameter and chain, settled, and how many rows these are; raises unless they
+    are numbered 1, 2, ... without gaps."""
+    seen = Observation()
+    whole = (F.col("n") == F.col("rows")) & (F.col("low") == 1)
     lengths = settle(draws.groupBy("parameter", "chain").agg(
-        F.max("iteration").alias("n"), F.min("iteration").alias("first"),
-        F.count("value").alias("rows")))
-    if not lengths.where("n <> rows OR first <> 1").isEmpty():
+        F.max("iteration").alias("n"), F.min("iteration").alias("low"),
+        F.count("value").alias("rows")).observe(
+        seen, F.count(F.lit(1)).alias("rows"),
+        F.count_if(~F.coalesce(whole, F.lit(False))).alias("odd")))
+    if seen.get["odd"]:
         raise ValueError("number the draws 1, 2, ... in each chain (see posterior.thin)")
-    return lengths.select("parameter", "chain", "n")
+    return lengths.select("parameter", "chain", "n"), seen.get["rows"]
 
 
 def split_halves(draws: DataFrame) -> DataFrame:
     """Each chain in two halves of equal length, the middle draw of an odd chain dropped. Adds
     ``half`` and renumbers iterations inside the half."""
-    lengths = chain_lengths(draws).withColumnRenamed("n", "_n")
-    rows = attach(draws, lengths, ["parameter", "chain"])
+    lengths, count = chain_lengths(draws)
+    rows = attach(draws, lengths.withColumnRenamed("n", "_n"), ["parameter", "chain"], rows=count)
     size = F.floor(F.col("_n") / 2)
     second = F.col("iteration") > F.col("_n") - size
     kept = rows.where((F.col("iteration") <= size) | second)
@@ -217,46 +302,63 @@ def rank_normalized_rhat(halves: DataFrame, places: DataFrame | None = None,
 
 def split_ess(halves: DataFrame, keys: list[str]) -> DataFrame:
     """Effective size per ``keys`` over split chains by the initial monotone sequence; a series
-    without variance gets none. Lags are worked out in growing batches until every series has met
-    its first negative pair, so no lag is cut off."""
-    halves = settle(halves)
-    parts = halves.groupBy(*keys, "chain", "half").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"),
-        F.var_samp("value").alias("s2"))
-    base = settle(parts.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("chains"), F.min("n").alias("n"), F.avg("s2").alias("w"),
+    without variance gets none.
+
+    Lags are worked out in growing ranges. Each series has a range of its own, which ends at its
+    own length, and leaves when it has met its first negative pair, so a series that mixes badly
+    costs the others nothing and no lag is cut off."""
+    parts = [*keys, "chain", "half"]
+    blocks, stats, _ = lag_blocks(halves, parts)
+    spread = F.aggregate("x", F.lit(0.0), lambda a, v: a + (v - F.col("mean")) * (
+        v - F.col("mean")))
+    deviations = blocks.join(stats, parts).groupBy(*parts, "n", "mean").agg(
+        F.sum(spread).alias("_d"))
+    base, count = counted(deviations.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("chains"), F.min("n").alias("n"),
+        F.avg(F.try_divide("_d", F.col("n") - 1)).alias("w"),
         F.var_samp("mean").alias("vm")).where("w > 0"))
-    longest = base.agg(F.max("n")).first()[0]
-    if longest is None:
-        return base.select(*keys, F.lit(None).cast("double").alias("ess"))
-    pending, waiting, done, low, high = halves, base.select(*keys), [], 0, FIRST_LAGS
-    while True:
-        lags = autocovariance(pending, [*keys, "chain", "half"], min(high, longest) - 1, low)
-        mean = lags.groupBy(*keys, "lag").agg(F.avg("autocovariance").alias("acov"))
-        pairs = settle(attach(mean, base, keys).select(
-            *keys, F.floor(F.col("lag") / 2).alias("pair"), correlation().alias("rho")).groupBy(
-            *keys, "pair").agg(F.sum("rho").alias("p"), F.count(F.lit(1)).alias("terms"))
-            .where("terms = 2"))
-        done.append(pairs)
-        if high >= longest:
-            break
-        met = pairs.groupBy(*keys).agg(F.min("p").alias("least")).where("least < 0")
-        waiting = settle(waiting.join(met, keys, "left_anti"))
-        if waiting.isEmpty():
-            break
-        pending = settle(attach(pending, waiting, keys))
+    waiting, waits, done, low, high = base.select(*keys, "n"), count, [], 0, FIRST_LAGS
+    while waits:
+        ends = attach(stats.drop("n"), waiting.withColumnRenamed("n", "_n"), keys, rows=waits)
+        wanted, tiles = counted(ends.select(
+            *parts, "mean", F.lit(low).alias("first"),
+            F.least(F.lit(high), "_n").cast("int").alias("_end")).select(
+            "*", (F.col("_end") - 1).alias("last")).drop("_end").where("first <= last"))
+        products = attach(lag_products(blocks, wanted, parts, tiles), base, keys, rows=count)
+        mean = products.groupBy(*keys, "lag", "n", "w", "vm", "chains").agg(
+            (F.sum("product") / F.col("n") / F.col("chains")).alias("acov"))
+        pairs = settle(mean.select(
+            *keys, F.floor(F.col("lag") / 2).alias("pair"), correlation().alias("rho"), "n").groupBy(
+            *keys, "pair", "n").agg(F.sum("rho").alias("p"), F.count(F.lit(1)).alias("terms"))
+            .where("terms = 2").drop("terms"))
+        done.append(pairs.drop("n"))
+        waiting, waits = counted(pairs.groupBy(*keys, "n").agg(F.min("p").alias("least")).where(
+            F.col("least").isNull() | (F.col("least") >= 0)).where(
+            F.col("n") > high).select(*keys, "n"))
         low, high = high, high * 4
+    if not done:
+        return base.select(*keys, F.lit(None).cast("double").alias("ess"))
     every = reduce(DataFrame.unionByName, done)
-    cut = every.groupBy(*keys).agg(F.min(F.when(F.col("p") < 0, F.col("pair"))).alias("_cut"))
-    kept = attach(every, cut, keys).where(
-        F.col("_cut").isNull() | (F.col("pair") < F.col("_cut")))
-    running = Window.partitionBy(*keys).orderBy("pair").rowsBetween(
-        Window.unboundedPreceding, 0)
-    sums = kept.withColumn("p", F.min("p").over(running)).groupBy(*keys).agg(
-        F.sum("p").alias("_sum"))
+    return base.join(every.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
+        "pair", "p"))).alias("pairs")), keys, "left").select(*keys, monotone_size().alias("ess"))
+
+
+def monotone_size() -> Column:
+    """Effective size from the sums of pairs of autocorrelations in order (``pairs``): the running
+    least of those before the first negative one is summed. There are at most as many as one
+    chain has pairs of lags before its first negative pair, rounded up to the range."""
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(float("inf")).alias("least"),
+                     F.lit(False).alias("met"))
+
+    def step(state: Column, pair: Column) -> Column:
+        met = state["met"] | (pair["p"] < 0)
+        least = F.least(state["least"], pair["p"])
+        return F.struct(F.when(met, state["total"]).otherwise(state["total"] + least).alias(
+            "total"), least.alias("least"), met.alias("met"))
+
     total = (F.col("chains") * F.col("n")).cast("double")
-    tau = F.greatest(-1 + 2 * F.coalesce("_sum", F.lit(0.0)), 1 / F.log10(total))
-    return base.join(sums, keys, "left").select(*keys, (total / tau).alias("ess"))
+    kept = F.coalesce(F.aggregate("pairs", start, step, lambda s: s["total"]), F.lit(0.0))
+    return total / F.greatest(-1 + 2 * kept, 1 / F.log10(total))
 
 
 def correlation() -> Column:

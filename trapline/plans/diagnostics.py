@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trapline.operators import convergence, posterior
+from trapline.plans.draws import bins_sql
 from trapline.plans.inputs import Inputs
 from trapline.plans.registry import query
-from trapline.plans.views import ess_sql, rhat_sql
+from trapline.plans.views import AUTOREGRESSIVE, ess_sql, rhat_sql
 from trapline.session import settle
 
 
@@ -15,7 +16,7 @@ def _halves(t: Inputs):
     return settle(convergence.split_halves(t.draws))
 
 
-@query("psrf", "draws", """
+PSRF = """
     SELECT parameter, sqrt((df + 3) / (df + 1) * v / w) AS psrf FROM (
       SELECT *, 2 * v * v / (((n - 1) ** 2 * vs / m + (1 + 1 / m) ** 2 * 2 * b * b / (m - 1)
         + 2 * (n - 1) * (1 + 1 / m) * (n / m) * (c2 - 2 * mu * c1)) / (n * n)) AS df
@@ -24,7 +25,10 @@ def _halves(t: Inputs):
           avg(s2) AS w, var_samp(mean) AS vm, var_samp(s2) AS vs, avg(mean) AS mu,
           covar_samp(s2, mean * mean) AS c2, covar_samp(s2, mean) AS c1
         FROM (SELECT parameter, chain, count(*) AS n, avg(value) AS mean, var_samp(value) AS s2
-              FROM draws GROUP BY ALL) GROUP BY 1)))""", "psrf")
+              FROM draws GROUP BY ALL) GROUP BY 1)))"""
+
+
+@query("psrf", "draws", PSRF, "psrf")
 def psrf(t: Inputs):
     return convergence.psrf(t.draws)
 
@@ -41,12 +45,14 @@ def autocovariance(t: Inputs):
     return convergence.autocovariance(t.draws, ["parameter", "chain"], 20)
 
 
-@query("effective_size")
+@query("effective_size", "draws", AUTOREGRESSIVE, "ess ratio", 4)
 def effective_size(t: Inputs):
     return convergence.effective_size(t.draws)
 
 
-@query("effective_size_histogram")
+@query("effective_size_histogram", "draws", bins_sql(
+    f"(SELECT 'ess' AS statistic, ess AS value FROM ({AUTOREGRESSIVE}))", "statistic", 50, "",
+    "bin_start"), "bin_start density", 4)
 def effective_size_histogram(t: Inputs):
     sizes = convergence.effective_size(t.draws).select(
         F.lit("ess").alias("statistic"), F.col("ess").alias("value"))
@@ -70,7 +76,16 @@ def posterior_summary_checked(t: Inputs):
         "mean", "sd", "q2_5", "q50", "q97_5")], F.round("rhat", 4).alias("rhat"))
 
 
-@query("printed_summary")
+@query("printed_summary", "draws", f"""
+    SELECT s.parameter, round(mean, 2) AS mean, round(sd, 2) AS sd, round(q2_5, 2) AS q2_5,
+      round(q50, 2) AS q50, round(q97_5, 2) AS q97_5, round(psrf, 2) AS rhat,
+      round(ess, 0) AS n_eff
+    FROM (SELECT parameter, avg(value) AS mean, stddev_samp(value) AS sd,
+        quantile_cont(value, 0.025) AS q2_5, quantile_cont(value, 0.5) AS q50,
+        quantile_cont(value, 0.975) AS q97_5 FROM draws GROUP BY 1) s
+    LEFT JOIN ({PSRF}) p ON p.parameter = s.parameter
+    LEFT JOIN ({AUTOREGRESSIVE}) e ON e.parameter = s.parameter
+    WHERE split_part(s.parameter, '[', 1) IN ('N', 'sigma', 'beta_1', 'alpha0')""")
 def printed_summary(t: Inputs):
     return convergence.printed_summary(t.draws, ["N", "sigma", "beta_1", "alpha0"])
 

@@ -24,7 +24,7 @@ def trace(t: Inputs):
     return posterior.trace(filters.matching(t.draws, ["sigma", "beta"]))
 
 
-def _bins_sql(source: str, keys: str, bins: int, place: str, name: str) -> str:
+def bins_sql(source: str, keys: str, bins: int, place: str, name: str) -> str:
     names = [k.strip() for k in keys.split(",")]
     return f"""
     SELECT {', '.join('g.' + k for k in names)}, g.bin, g.low + (g.bin{place}) * g.width AS {name},
@@ -42,7 +42,7 @@ def _bins_sql(source: str, keys: str, bins: int, place: str, name: str) -> str:
     ON {' AND '.join(f'c.{k} = g.{k}' for k in [*names, 'bin'])}"""
 
 
-@query("histogram", "draws", _bins_sql("draws", "parameter", 30, "", "bin_start"),
+@query("histogram", "draws", bins_sql("draws", "parameter", 30, "", "bin_start"),
        "bin_start density")
 def histogram(t: Inputs):
     return posterior.histogram(t.draws, ["parameter"], 30)
@@ -50,7 +50,7 @@ def histogram(t: Inputs):
 
 @query("frequency_polygon", "draws",
        "SELECT parameter, chain, bin, mid, density FROM ("
-       + _bins_sql("draws", "parameter, chain", 50, " + 0.5e0", "mid") + ")", "mid density")
+       + bins_sql("draws", "parameter, chain", 50, " + 0.5e0", "mid") + ")", "mid density")
 def frequency_polygon(t: Inputs):
     return posterior.frequency_polygon(t.draws, ["parameter", "chain"], 50)
 
@@ -101,7 +101,7 @@ def tied_kde(t: Inputs):
     return posterior.kde(t.tied_draws, ["parameter"], 128)
 
 
-@query("tied_histogram", "tied_draws", _bins_sql("tied_draws", "parameter", 25, "", "bin_start"),
+@query("tied_histogram", "tied_draws", bins_sql("tied_draws", "parameter", 25, "", "bin_start"),
        "bin_start density")
 def tied_histogram(t: Inputs):
     return posterior.histogram(t.tied_draws, ["parameter"], 25)
@@ -109,7 +109,7 @@ def tied_histogram(t: Inputs):
 
 @query("tied_polygon", "tied_draws",
        "SELECT parameter, bin, mid, density FROM ("
-       + _bins_sql("tied_draws", "parameter", 25, " + 0.5e0", "mid") + ")", "mid density")
+       + bins_sql("tied_draws", "parameter", 25, " + 0.5e0", "mid") + ")", "mid density")
 def tied_polygon(t: Inputs):
     return posterior.frequency_polygon(t.tied_draws, ["parameter"], 25)
 
@@ -184,7 +184,7 @@ def proportion_captured(t: Inputs):
 
 @query("proportion_histogram", f"draws per_site", f"""
     WITH shares AS (SELECT species, site_num, p AS value FROM ({PROPORTION}))
-    {_bins_sql("shares", "species, site_num", 50, "", "bin_start")}""", "bin_start density", 10)
+    {bins_sql("shares", "species, site_num", 50, "", "bin_start")}""", "bin_start density", 10)
 def proportion_histogram(t: Inputs):
     shares = posterior.proportion_captured(t.draws, t.per_site).withColumnRenamed("p", "value")
     return posterior.histogram(shares, ["species", "site_num"], 50)
@@ -196,7 +196,7 @@ def proportion_histogram(t: Inputs):
     FROM (SELECT CAST(unnest(range(0, 101)) AS DOUBLE) / 10 AS x)
     UNION ALL SELECT 'posterior', mid, density FROM (
       SELECT * FROM (WITH chosen AS (SELECT * FROM draws WHERE parameter = 'sigma')
-      {_bins_sql("chosen", "parameter", 50, " + 0.5e0", "mid")}))""", "x density")
+      {bins_sql("chosen", "parameter", 50, " + 0.5e0", "mid")}))""", "x density")
 def prior_against_posterior(t: Inputs):
     return posterior.prior_against_posterior(t.draws)
 

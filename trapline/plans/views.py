@@ -319,6 +319,43 @@ def ess_sql(source: str, name: str) -> str:
       ON s.parameter = b.parameter"""
 
 
+#: Effective size of a parameter by autoregressions: the recursion over the order as a recursive
+#: query, of which each chain keeps the order of least AIC.
+AUTOREGRESSIVE = """
+    SELECT parameter, sum(ess) AS ess, sum(ess) / sum(n) AS ratio FROM (
+      WITH RECURSIVE m AS (
+        SELECT parameter, chain, avg(value) AS mean, count(*) AS n,
+          least(greatest(1, floor(10 * log10(count(*)))), count(*) - 1) AS top
+        FROM draws GROUP BY ALL),
+      lags AS (
+        SELECT x.parameter, x.chain, any_value(n) AS n, y.iteration - x.iteration AS lag,
+          sum((x.value - mean) * (y.value - mean)) / any_value(n) AS cov
+        FROM draws x JOIN m ON m.parameter = x.parameter AND m.chain = x.chain
+        JOIN draws y ON y.parameter = x.parameter AND y.chain = x.chain
+          AND y.iteration BETWEEN x.iteration AND x.iteration + top
+        GROUP BY x.parameter, x.chain, y.iteration - x.iteration),
+      v AS (SELECT parameter, chain, n, list(cov ORDER BY lag) AS cov FROM (
+              SELECT parameter, chain, CAST(n AS DOUBLE) AS n, lag, cov FROM lags) GROUP BY ALL),
+      fit AS (
+        SELECT parameter, chain, n, cov, 0 AS p, CAST([] AS DOUBLE[]) AS phi, cov[1] AS error
+        FROM v WHERE n >= 2 AND cov[1] > 0
+        UNION ALL
+        SELECT parameter, chain, n, cov, p + 1,
+          list_append(list_transform(range(1, p + 1), lambda j: phi[j] - r * phi[p + 1 - j]), r),
+          error * (1 - r * r)
+        FROM (SELECT *, (cov[p + 2] - coalesce(list_sum(list_transform(range(1, p + 1),
+                lambda j: phi[j] * cov[p + 2 - j])), 0)) / error AS r
+              FROM fit WHERE p + 1 < len(cov))
+        WHERE error * (1 - r * r) > 0),
+      best AS (
+        SELECT *, row_number() OVER (PARTITION BY parameter, chain
+          ORDER BY n * ln(error) + 2 * p, p) AS place FROM fit)
+      SELECT v.parameter, v.chain, v.n, coalesce(v.n * (v.cov[1] * v.n / (v.n - 1))
+          / (error * v.n / (v.n - p - 1) / (1 - coalesce(list_sum(phi), 0)) ** 2), 0) AS ess
+      FROM v LEFT JOIN best b ON b.parameter = v.parameter AND b.chain = v.chain AND b.place = 1)
+    GROUP BY parameter"""
+
+
 VIEWS |= {
     "sparse": VIEWS["latent"],
     "whole_latent": ("sparse per_site", """

@@ -5,13 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A lookup is broadcast only after it was counted and found to hold at most this many rows.
 BROADCAST_ROWS = 200_000
-# Copies of each lookup row when a lookup is too large to broadcast.
-SALTS = 32
+# A key is heavy if it holds more than one in so many rows.
+HOT_SHARE = 500
 
 _scratch: list[str] = []
 
@@ -77,21 +77,39 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``settle`` and the number of rows, which the write itself observes."""
+    seen = Observation()
+    return settle(df.observe(seen, F.count(F.lit(1)).alias("rows"))), seen.get["rows"]
+
+
 def attach(facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner",
-           max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a lookup to a fact table in which one key may hold a large share of the rows. The
-    lookup has one row per key, or few enough for every fact row of the key to meet them all.
-
-    The lookup is settled and counted. Up to ``max_rows`` it is broadcast and the facts do not
-    move; beyond that every lookup row is copied ``SALTS`` times and the facts of one key spread
-    over the copies."""
-    lookup = settle(lookup)
-    if lookup.count() <= max_rows:
+           max_rows: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
+    """Join a lookup with one row per key, or a few, to a fact table in which one key may hold a
+    large share of the rows. ``how`` is inner or left.
+
+    Up to ``max_rows`` the lookup is broadcast and the facts do not move; it is settled and
+    counted for this unless ``rows`` tells its size. Beyond that a sketch of the facts finds the
+    keys that hold more than one row in ``HOT_SHARE``, of which there are fewer than that. Their
+    facts stay in place and get their lookup rows by broadcast; all others meet in an ordinary
+    join, whose keys are small, so no lookup row is copied."""
+    if rows is None:
+        lookup, rows = counted(lookup)
+    if rows <= max_rows:
         return facts.join(F.broadcast(lookup), on, how)
-    salted = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rest = [c for c in facts.columns if c not in on] or [F.spark_partition_id()]
-    return (
-        facts.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(SALTS)).cast("int"))
-        .join(salted, [*on, "_salt"], how)
-        .drop("_salt")
-    )
+    hot = heavy_keys(facts, on)
+    if not hot:
+        return facts.join(lookup, on, how)
+    heavy = F.xxhash64(*on).isin(hot)
+    return facts.where(heavy).join(F.broadcast(lookup.where(heavy)), on, how).unionByName(
+        facts.where(~heavy).join(lookup.where(~heavy), on, how))
+
+
+def heavy_keys(facts: DataFrame, on: list[str]) -> list[int]:
+    """Hashes of the keys that hold more than one row in ``HOT_SHARE``, by a sketch of bounded
+    size; any split by them gives the same rows, so an estimate is enough."""
+    key = ", ".join(f"`{c}`" for c in on)
+    found, total = facts.agg(
+        F.expr(f"approx_top_k(xxhash64({key}), {HOT_SHARE}, {10 * HOT_SHARE})"),
+        F.count(F.lit(1))).first()
+    return [f["item"] for f in found or [] if f["count"] * HOT_SHARE > total]
