@@ -79,3 +79,33 @@ def test_repeated_rows_and_long_texts(spark):
 def test_no_rows(spark):
     got = ngram_join.join(table(spark, []))
     assert got.collect() == [] and got.columns == ["doc_id", "n_shingles", "component_id"]
+
+
+@pytest.mark.parametrize("rows_of_a_block,segment", [(512, 1 << 16), (4, 8)])
+def test_a_passage_that_most_documents_hold(spark, monkeypatch, rows_of_a_block, segment):
+    """Its shingles are among the rarest of short documents, so their list is long; it is cut
+    into blocks, and no link is lost or added."""
+    monkeypatch.setattr(ngram_join, "LIST_ROWS", rows_of_a_block)
+    monkeypatch.setattr(ngram_join, "SEGMENT_SHINGLES", segment)
+    rng = random.Random(2)
+    passage = [f"p{i}" for i in range(24)]
+    rows = []
+    for i in range(260):
+        own = [f"q{rng.randrange(40)}" for _ in range(rng.choice([0, 1, 2, 3, 4, 9]))]
+        rows.append((i, " ".join(passage[:rng.choice([12, 20, 24])] + own)))
+    sets, roots = brute.jaccard_links(dict(rows), 3, (90, 100))
+    assert 20 < len(set(roots.values())) < 200
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(
+        table(spark, rows), words=3, similarity=(90, 100)).collect()}
+    assert got == {i: (len(sets[i]), roots[i]) for i, _ in rows}
+
+
+@pytest.mark.parametrize("bits", [64, 128, 1 << 26])
+def test_texts_are_chosen_at_any_size_of_the_map(spark, monkeypatch, bits):
+    monkeypatch.setattr(ngram_join, "MAP_BITS", bits)
+    named = table(spark, [(i, f"t{i % 300}") for i in range(900)]).selectExpr(
+        "xxhash64(text) AS _key", "text AS _text")
+    keys = named.where("_text < 't15'").select("_key").distinct()
+    got = sorted(r._text for r in ngram_join.chosen_texts(named, keys).collect())
+    assert got == sorted({f"t{i}" for i in range(300) if f"t{i}" < "t15"})
+    assert ngram_join.chosen_texts(named, keys.limit(0)).collect() == []

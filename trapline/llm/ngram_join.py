@@ -33,8 +33,14 @@ from trapline.llm.common import components, settle
 BLOCK_SHINGLES = 1 << 17
 FRAGMENT_SHINGLES = 1 << 21
 FILTER = 2.0
-#: Fragments in which overlaps of pairs are counted.
+#: Least number of fragments in which overlaps of pairs are counted, and about how many shingles
+#: of one document a fragment may hold.
 OVERLAP_FRAGMENTS = 4
+SEGMENT_SHINGLES = 1 << 16
+#: Bits of the map by which texts are chosen before they move (8 MB, whatever the data).
+MAP_BITS = 1 << 26
+#: Documents of a block of a shingle's list; longer lists meet in pairs of blocks.
+LIST_ROWS = 512
 #: Longs of the parity map of a set, which bounds the shingles in which two sets differ.
 MAP_LONGS = 8
 SEED, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -231,7 +237,7 @@ def _packed(words: int):
 
 def counted(blocks: DataFrame) -> DataFrame:
     """Blocks with ``counts``: for each distinct shingle of the block, in order, in how many
-    documents it occurs (255: that or more). A block sends each distinct shingle once with its
+    documents it occurs. A block sends each distinct shingle once with its
     count, so a shingle that all documents share costs a fragment one entry per block."""
     total = blocks.agg(F.sum(F.length("shingles") / 8)).first()[0] or 0
     fragments = max(1, int(total // FRAGMENT_SHINGLES) + 1)
@@ -242,7 +248,7 @@ def counted(blocks: DataFrame) -> DataFrame:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found, often = np.unique(np.frombuffer(data, np.uint64), return_counts=True)
                 cuts = [0, *np.searchsorted(found, edges, "left").tolist(), len(found)]
-                often = np.minimum(often, 255).astype(np.uint8)
+                often = often.astype(np.uint32)
                 rows = [(k, block, _marks(found[a:b]), often[a:b].tobytes())
                         for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
                 yield pa.RecordBatch.from_arrays(
@@ -255,10 +261,10 @@ def counted(blocks: DataFrame) -> DataFrame:
         marks = table.column("marks").to_pylist()
         sizes = [len(m) // 4 for m in marks]
         every = np.frombuffer(b"".join(marks), np.uint32)
-        often = np.frombuffer(b"".join(table.column("often").to_pylist()), np.uint8)
+        often = np.frombuffer(b"".join(table.column("often").to_pylist()), np.uint32)
         _, place = np.unique(every, return_inverse=True)
-        sums = np.minimum(np.bincount(place, often), 255).astype(np.uint8)[place].tobytes()
-        ends = np.cumsum([0, *sizes]).tolist()
+        sums = np.minimum(np.bincount(place, often), 2 ** 32 - 1).astype(np.uint32)[place].tobytes()
+        ends = np.cumsum([0, *[4 * n for n in sizes]]).tolist()
         return pa.table({"_block": table.column("_block"), "fragment": table.column("fragment"),
                          "part": pa.array([sums[a:b] for a, b in zip(ends, ends[1:])],
                                           pa.binary())})
@@ -278,7 +284,7 @@ def _documents(batch):
     for row in batch.to_pylist():
         shingles = np.frombuffer(row["shingles"], np.uint64)
         _, place = np.unique(shingles, return_inverse=True)
-        counts = np.frombuffer(b"".join(row["counts"] or []), np.uint8)[place]
+        counts = np.frombuffer(b"".join(row["counts"] or []), np.uint32)[place]
         start = 0
         for k, size in enumerate(row["ns"]):
             yield row, k, shingles[start:start + size], counts[start:start + size]
@@ -317,19 +323,22 @@ def _candidates(similarity):
     return run
 
 
-def _segments(batches):
+def _segments(fragments: int):
     """Shingles of each set, cut into the fragments in which overlaps are counted."""
-    edges = _edges(1.0, OVERLAP_FRAGMENTS)
-    for batch in batches:
-        rows = []
-        for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = np.frombuffer(data, np.uint64)
-            cuts = [0, *np.searchsorted(own, edges).tolist(), len(own)]
-            rows += [(i, f, own[a:b].tobytes())
-                     for f, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 3, (
-                pa.int64(), pa.int32(), pa.binary()))], ["id", "fragment", "shingles"])
+    edges = _edges(1.0, fragments)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.frombuffer(data, np.uint64)
+                cuts = [0, *np.searchsorted(own, edges).tolist(), len(own)]
+                rows += [(i, f, own[a:b].tobytes())
+                         for f, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 3, (
+                    pa.int64(), pa.int32(), pa.binary()))], ["id", "fragment", "shingles"])
+    return run
 
 
 def _overlaps(batches):
@@ -379,8 +388,10 @@ def links(texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFram
         "_block", F.monotonically_increasing_id()))
     sets = settle(counted(blocks).mapInArrow(_candidates(similarity), CANDIDATES))
     postings = sets.select("id", F.explode("rare").alias("shingle"))
+    longest = sets.agg(F.max("n")).first()[0] or 0
     segments = sets.select("id", "shingles").mapInArrow(
-        _segments, "id long, fragment int, shingles binary")
+        _segments(max(OVERLAP_FRAGMENTS, longest // SEGMENT_SHINGLES + 1)),
+        "id long, fragment int, shingles binary")
     heads = settle(postings.groupBy("shingle").agg(
         F.min("id").alias("head"), F.count("*").alias("_many")).where("_many > 1").drop("_many"))
     stars = settle(postings.join(heads, "shingle").where(
@@ -394,18 +405,67 @@ def links(texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFram
     placed = settle(postings.join(roots, "id", "left").withColumn(
         "root", F.coalesce("root", "id")))
     open_lists = settle(placed.groupBy("shingle").agg(
-        F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select(
-        "shingle"))
+        F.min("root").alias("_lo"), F.max("root").alias("_hi"),
+        F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("blocks")).where("_lo < _hi").select(
+        "shingle", "blocks"))
     rest = settle(placed.join(open_lists, "shingle").join(
         sets.drop("rare", "shingles"), "id"))
-    apart = rest.alias("x").join(rest.alias("y"), (
-        F.expr("x.shingle = y.shingle and x.id < y.id and x.root <> y.root")
-        & _possible((F.col("x.n"), F.col("y.n")), (_maps("x"), _maps("y")), similarity)))
-    pairs = settle(apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"),
-                                F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct())
+    pairs = settle(apart(rest, similarity).distinct())
     return settle(first.unionByName(linked(pairs, segments, similarity)))
 
 
+def apart(rest: DataFrame, similarity) -> DataFrame:
+    """Pairs (``a``, ``b``, sizes) of a shingle's list that lie in different components and can
+    link. A list of several blocks is met in pairs of blocks, a task's worth each, and the sizes
+    and parity maps are compared before a pair leaves its task."""
+    block = rest.withColumn("_own", F.when(F.col("blocks") > 1, F.pmod(
+        F.xxhash64("id"), F.col("blocks"))).otherwise(F.lit(0)).cast("int"))
+    x = block.withColumn("_i", F.col("_own")).withColumn("_j", F.explode(
+        F.sequence("_own", F.col("blocks") - 1))).alias("x")
+    y = block.withColumn("_j", F.col("_own")).withColumn("_i", F.explode(
+        F.sequence(F.lit(0), F.col("_own")))).alias("y")
+    met = x.join(y, F.expr(
+        "x.shingle = y.shingle and x._i = y._i and x._j = y._j and x.root <> y.root"
+        " and (x._i < x._j or x.id < y.id)") & _possible(
+        (F.col("x.n"), F.col("y.n")), (_maps("x"), _maps("y")), similarity))
+    swap = F.expr("x.id > y.id")
+    return met.select(*[F.when(swap, F.col(f"{v}.{c}")).otherwise(F.col(f"{u}.{c}")).alias(name)
+                        for name, c, u, v in (("a", "id", "x", "y"), ("b", "id", "y", "x"),
+                                              ("na", "n", "x", "y"), ("nb", "n", "y", "x"))])
+
+
+def key_map(keys: DataFrame) -> np.ndarray:
+    """A bit for each ``_key``, as MAP_BITS / 64 words that are put together in Spark."""
+    bit = F.pmod(F.col("_key"), F.lit(MAP_BITS))
+    found = keys.select(bit.alias("_bit")).groupBy(F.shiftright("_bit", 6).alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(_bit % 64 as int))")).alias("word")).toPandas()
+    words = np.zeros(MAP_BITS // 64, np.int64)
+    words[found["at"].to_numpy(np.int64)] = found["word"].to_numpy(np.int64)
+    return words.view(np.uint64)
+
+
+def _marked(words: np.ndarray):
+    """Rows whose key has its bit."""
+    last = np.uint64(64 * len(words) - 1)
+
+    def run(batches):
+        for batch in batches:
+            bit = batch.column(0).to_numpy().view(np.uint64) & last
+            held = (words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1)
+            yield batch.filter(pa.array(held.astype(bool)))
+    return run
+
+
+def chosen_texts(named: DataFrame, keys: DataFrame) -> DataFrame:
+    """One text for each of the ``keys``. Texts whose key has no bit in the map stay where they
+    are, copies of the others shrink to one row per task, and a join drops the few that share a
+    bit with a key. With many more keys than bits all texts move once."""
+    near = named.select("_key", "_text").mapInArrow(
+        _marked(key_map(keys)), "_key long, _text string")
+    texts = near.groupBy("_key").agg(F.first("_text").alias("_text"))
+    return texts.join(keys, "_key", "left_semi")
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5,
          similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """One row per document: ``key``, ``n_shingles`` and ``component_id``, the smallest key
@@ -415,17 +475,15 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     A null text and a text without words have no shingles and link with nothing, not with each
     other either; their component is their own key. Repeated rows and equal texts are one
     component. A null key takes part, but the smallest key that is not null names the component.
-    No rows give an empty result; other columns are ignored. Shingles and sets are compared by
-    64-bit hashes."""
+    No rows give an empty result; other columns are ignored. A long text is read whole, and its
+    set of shingles must fit in a task. Texts, shingles and sets are told apart by 64-bit
+    hashes."""
     share = min(1.0, FILTER * (similarity[1] - similarity[0]) / similarity[1])
     named = docs.select(F.col(key).cast("bigint").alias("_id"),
                         F.xxhash64(F.col(text)).alias("_key"), F.col(text).alias("_text"))
     dealt = dealt_blocks(named, words, share)
     shared = possible_links(dealt, similarity)
-    # copies of a text shrink to one row per task before they meet
-    texts = named.select("_key", "_text").groupBy("_key").agg(F.first("_text").alias("_text"))
-    chosen = texts.join(shared.select("_key"), "_key", "left_semi")
-    roots = components(links(chosen, words, similarity))
+    roots = components(links(chosen_texts(named, shared.select("_key")), words, similarity))
     members = dealt.where("fragment = -1").select(F.explode(F.arrays_zip(
         "ids", "ns", "sets")).alias("_d")).select(
         F.col("_d.ids").alias("_id"), F.col("_d.ns").cast("bigint").alias("n_shingles"),
