@@ -159,13 +159,58 @@ def test_start_values_do_not_depend_on_partitions(spark, effort, caps):
 
 
 def test_expansion_of_the_larger_tables(spark):
-    """Known sizes: rows are 56 times the individuals and the sites with an unused trap-day."""
+    """Known sizes: rows are 15 traps times 5 days for each individual and each site with an unused
+    trap-day, as the log has a trap 15 and a day 5."""
     from trapline.plans.inputs import Inputs
     t = Inputs(spark, "/root/testdata/sf0.01")
     rows = histories.complete_history(t.histories).groupBy("species").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("count").alias("caught"),
         F.count_if(F.col("count").isNull()).alias("missing"))
     got = {r.species: (r.rows, r.caught, r.missing) for r in rows.collect()}
-    assert got["CPIC"] == (1960, 1888, 923) and got["SODO"] == (2016, 1944, 786)
+    assert got["CPIC"] == (3075, 1888, 1757) and got["SODO"] == (3075, 1944, 1514)
     wide = histories.history_wide(t.known).groupBy("species").count().collect()
-    assert {r["count"] for r in wide if r.species in ("CPIC", "SODO")} == {116}
+    assert {r["count"] for r in wide if r.species in ("CPIC", "SODO")} == {145}
+
+
+@pytest.fixture(scope="module")
+def wide(spark):
+    """Site A has 2 traps: one individual beyond them at trap 1015, one on days 1 and 5, one at
+    trap 1 on day 1001, one in plain sight."""
+    effort = literal_table(spark, ("site", "site_num", "max_traps"), (("A", 1, 2),))
+    caps = literal_table(spark, ("species", "cap"), (("CPIC", 7000),))
+    numbered, held = prepared(spark, effort, caps, [
+        (1, 3, "M", 2, 1015), (1, 4, "F", 1, 1), (1, 4, "F", 5, 2), (1, 5, "M", 1001, 1),
+        (1, 6, "M", 1, 2)])
+    return effort, numbered, held
+
+
+def test_no_capture_is_lost_whatever_its_trap_and_day(wide):
+    effort, numbered, held = wide
+    assert histories.widths(effort, numbered) == histories.Widths(1015, 1001)
+    want = {(3, 1015, 2), (4, 1, 1), (4, 2, 5), (5, 1, 1001), (6, 2, 1)}
+    cells = histories.complete_history(held).where("count > 0").collect()
+    assert {(r.ind, r.trap, r.day) for r in cells} == want and len(cells) == 5
+    assert {(r.ind, r.trap, r.day) for r in (histories.caught_cells(held).collect())} == {
+        (i, t, d) for i, t, d in want}
+    days = {r.day: r.caps for r in histories.captures_by_day(held).collect()}
+    assert len(days) == 1001 and {d: n for d, n in days.items() if n} == {1: 2, 2: 1, 5: 1, 1001: 1}
+    daily = histories.daily_captures(held).where("captures > 0").collect()
+    assert sorted((r.ind, r.day) for r in daily) == [(3, 2), (4, 1), (4, 5), (5, 1001), (6, 1)]
+
+
+def test_wide_forms_are_as_wide_as_the_log(spark, wide):
+    effort, numbered, held = wide
+    narrow = histories.history_wide(held.where("ind in (4, 6)"), n_traps=15)
+    assert narrow.columns[-1] == "trap_15" and narrow.count() == 2 * 5
+    flags = histories.recaptures_wide(held.where("ind in (4, 6)")).orderBy("id_site").collect()
+    assert [list(r)[3:] for r in flags] == [[0, 1, 1, 1, 1], [0, 1, 1, 1, 1]]
+    slab = histories.capture_array(held.where("ind = 4"), n_traps=15).first().slab
+    assert len(slab) == 5 and slab[4][1] == 1 and sum(x or 0 for row in slab for x in row) == 2
+    rows = spark.createDataFrame([("F", 1, "SODO", 7, "M", 1, 16)], LOG)
+    assert summaries.spatial_recaptures(rows, "SODO").first().trap_16 == 1
+    padded = starts.padded_history(
+        spark.createDataFrame([("CPIC", 1, 1, 2, 2)], "species string, site_num int, n int, m int, "
+                              "max_traps int"),
+        spark.createDataFrame([("CPIC", 1, 1, 6, 1)], "species string, site_num int, id_site int, "
+                              "day int, recap int"), zero=True, traps=False)
+    assert padded.count() == 12 and padded.agg(F.sum("recap")).first()[0] == 1

@@ -7,17 +7,47 @@ individual instead of joining a grid back to the counts."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trapline.operators.ranks import dense_ids
-from trapline.session import settle
+from trapline.session import attach, settle
 from trapline.sources.lookups import MAX_TRAPS, N_DAYS
 
 INDIVIDUAL = ["species", "site_num", "ind", "id_site"]
 CAPTURE_RATE = 0.01
 
 
+@dataclass(frozen=True)
+class Widths:
+    """How many traps and days the grids, pivots and arrays of a log must hold."""
+
+    traps: int
+    days: int
+
+
+def widths(effort: DataFrame, captures: DataFrame, days: int = N_DAYS) -> Widths:
+    """Widths of a log: the largest trap that the effort table grants or a capture names, and the
+    last day with a capture, or ``days`` if that is later. Two numbers leave the cluster."""
+    granted = effort.select(F.col("max_traps").alias("trap"), F.lit(days).alias("day"))
+    top = captures.select("trap", "day").unionByName(granted).agg(F.max("trap"), F.max("day"))
+    return Widths(*top.first())
+
+
+def _span(histories: DataFrame, n_traps: int | None, n_days: int | None) -> Widths:
+    """The stated widths; one that is not stated is taken from the histories, and is no less than
+    that of a session."""
+    if n_traps is not None and n_days is not None:
+        return Widths(n_traps, n_days)
+    keys = F.map_keys("cells")
+    found = histories.agg(
+        F.max(F.greatest("max_traps", F.array_max(F.transform(keys, cell_trap)))),
+        F.max(F.array_max(F.transform(keys, cell_day)))).first()
+    return Widths(n_traps or max(MAX_TRAPS, found[0] or 0), n_days or max(N_DAYS, found[1] or 0))
+
+
 def attach_site(df: DataFrame, lookup: DataFrame) -> DataFrame:
     """Left lookup by site letter against the site table (one row per site)."""
     return df.join(F.broadcast(lookup), "site", "left")
@@ -90,16 +120,27 @@ def older_augmentation_size(per_site: DataFrame, rate: float = 0.03, extra: int
 
 
 def cell_key(trap: Column, day: Column) -> Column:
-    return trap * 1000 + day
+    """Trap and day side by side in one number, so that no two cells of any width share one."""
+    return F.shiftleft(trap.cast("bigint"), 32) + day
+
+
+def cell_trap(key: Column) -> Column:
+    return F.shiftright(key, 32).cast("int")
 
 
-def in_range(n_days: int = N_DAYS) -> Column:
-    """Whether a capture lies on a trap and a day of its site."""
-    return F.col("trap").between(1, F.col("max_traps")) & F.col("day").between(1, n_days)
+def cell_day(key: Column) -> Column:
+    return key.bitwiseAND((1 << 32) - 1).cast("int")
 
 
-def off_range(numbered: DataFrame, effort: DataFrame, n_days: int = N_DAYS) -> DataFrame:
-    """Counts that no grid of existing traps and days holds."""
+def in_range(n_days: int | None = None) -> Column:
+    """Whether a capture lies on a trap that its site has and, if their number is stated, on one
+    of its days."""
+    trap = F.col("trap").between(1, F.col("max_traps")) & (F.col("day") >= 1)
+    return trap if n_days is None else trap & (F.col("day") <= n_days)
+
+
+def off_range(numbered: DataFrame, effort: DataFrame, n_days: int | None = None) -> DataFrame:
+    """Counts at traps that the effort table does not grant, or after ``n_days``."""
     return attach_effort(numbered, effort).where(~F.coalesce(in_range(n_days), F.lit(False)))
 
 
@@ -108,7 +149,7 @@ def individual_histories(numbered: DataFrame, effort: DataFrame) -> DataFrame:
 
     Counts are summed over sex to one value per trap and day first, so a map holds at most
     traps x days entries however often the individual was caught. Captures at a trap that the
-    effort table does not grant, or on a further day, stay in the map (``off_range`` lists them).
+    effort table does not grant stay in the map (``off_range`` lists them).
     One exchange on the individual serves both steps."""
     known = attach_effort(numbered, effort).where("max_traps IS NOT NULL")
     placed = known.repartition("species", "site_num", "ind")
@@ -121,9 +162,11 @@ def individual_histories(numbered: DataFrame, effort: DataFrame) -> DataFrame:
 
 
 def placeholders(numbered: DataFrame, effort: DataFrame, caps: DataFrame,
-                 n_days: int = N_DAYS) -> DataFrame:
+                 n_days: int | None = None) -> DataFrame:
     """An unknown-individual row for each species and site with a trap-day that caught nothing
-    (unless an unknown individual was caught there, which already makes that row)."""
+    (unless an unknown individual was caught there, which already makes that row). Days are those
+    of ``widths`` unless stated."""
+    n_days = n_days or widths(effort, numbered).days
     cells = attach_effort(numbered, effort).groupBy(
         "species", "site_num", "trap", "day", "max_traps").agg(
         F.max(F.col("ind").isNull()).alias("unknown"))
@@ -136,13 +179,14 @@ def placeholders(numbered: DataFrame, effort: DataFrame, caps: DataFrame,
     ).select("species", "site_num", F.lit(None).cast("bigint").alias("ind"),
              F.lit(None).cast("int").alias("id_site"), "max_traps",
              F.lit(None).cast("int").alias("first_day"),
-             F.lit(None).cast("map<int,bigint>").alias("cells"))
+             F.lit(None).cast("map<bigint,bigint>").alias("cells"))
 
 
-def all_histories(numbered: DataFrame, effort: DataFrame, caps: DataFrame) -> DataFrame:
+def all_histories(numbered: DataFrame, effort: DataFrame, caps: DataFrame,
+                  n_days: int | None = None) -> DataFrame:
     """Individuals and placeholders, one row each."""
     return individual_histories(numbered, effort).unionByName(
-        placeholders(numbered, effort, caps))
+        placeholders(numbered, effort, caps, n_days))
 
 
 def cell_count(trap: Column, day: Column) -> Column:
@@ -152,17 +196,19 @@ def cell_count(trap: Column, day: Column) -> Column:
     return F.when(known, F.coalesce(held, F.lit(0))).otherwise(held).cast("bigint")
 
 
-def complete_history(histories: DataFrame, n_traps: int = MAX_TRAPS,
-                     n_days: int = N_DAYS) -> DataFrame:
-    """Every individual x trap x day, traps counted up to the largest site."""
-    grid = histories.withColumn("trap", F.explode(F.sequence(F.lit(1), F.lit(n_traps)))) \
-        .withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(n_days))))
+def complete_history(histories: DataFrame, n_traps: int | None = None,
+                     n_days: int | None = None) -> DataFrame:
+    """Every individual x trap x day, as wide as the log."""
+    span = _span(histories, n_traps, n_days)
+    grid = histories.withColumn("trap", F.explode(F.sequence(F.lit(1), F.lit(span.traps)))) \
+        .withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(span.days))))
     return grid.select(*INDIVIDUAL, "trap", "day", "max_traps",
                        cell_count(F.col("trap"), F.col("day")).alias("count"))
 
 
-def observed_history(histories: DataFrame, n_days: int = N_DAYS) -> DataFrame:
+def observed_history(histories: DataFrame, n_days: int | None = None) -> DataFrame:
     """Known individuals on existing traps only: the cells that enter a likelihood."""
+    n_days = _span(histories, MAX_TRAPS, n_days).days
     known = histories.where(F.col("id_site").isNotNull())
     grid = known.withColumn("trap", F.explode(F.sequence(F.lit(1), "max_traps"))) \
         .withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(n_days))))
@@ -174,14 +220,15 @@ def caught_cells(histories: DataFrame) -> DataFrame:
     """Captured cells of known individuals, wherever they were caught."""
     known = histories.where(F.col("id_site").isNotNull())
     return known.select(*INDIVIDUAL, "first_day", F.explode("cells").alias("_key", "count")).select(
-        *INDIVIDUAL, "first_day", F.floor(F.col("_key") / 1000).cast("int").alias("trap"),
-        (F.col("_key") % 1000).cast("int").alias("day"), "count")
+        *INDIVIDUAL, "first_day", cell_trap(F.col("_key")).alias("trap"),
+        cell_day(F.col("_key")).alias("day"), "count")
 
 
-def daily_captures(histories: DataFrame, n_days: int = N_DAYS) -> DataFrame:
+def daily_captures(histories: DataFrame, n_days: int | None = None) -> DataFrame:
     """Captures of every known individual on every day, summed inside its row."""
+    n_days = _span(histories, MAX_TRAPS, n_days).days
     known = histories.where(F.col("id_site").isNotNull())
-    caught = F.filter(F.map_entries("cells"), lambda cell: cell["key"] % 1000 == F.col("day"))
+    caught = F.filter(F.map_entries("cells"), lambda cell: cell_day(cell["key"]) == F.col("day"))
     total = F.aggregate(caught, F.lit(0).cast("bigint"), lambda n, cell: n + cell["value"])
     return known.withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(n_days)))).select(
         *INDIVIDUAL, "first_day", "day", total.alias("captures"))
@@ -197,52 +244,58 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str],
 
 def older_history(numbered: DataFrame) -> DataFrame:
     """Expansion over the traps and days seen for the species only: a trap that caught nothing
-    anywhere is lost. The lists hold trap and day numbers of a session, one row per species."""
+    anywhere is lost. The lists hold trap and day numbers, one row per species."""
     cells = numbered.groupBy(*INDIVIDUAL, "trap", "day").agg(F.sum("count").alias("count"))
     lists = numbered.groupBy("species").agg(F.collect_set("trap").alias("traps"),
                                             F.collect_set("day").alias("days"))
-    grid = cells.select(*INDIVIDUAL).distinct().join(F.broadcast(lists), "species") \
+    grid = attach(cells.select(*INDIVIDUAL).distinct(), lists, ["species"]) \
         .withColumn("trap", F.explode("traps")).withColumn("day", F.explode("days")) \
         .drop("traps", "days")
     return null_safe_join(grid, cells, [*INDIVIDUAL, "trap", "day"])
 
 
-def history_wide(histories: DataFrame, n_traps: int = MAX_TRAPS, n_days: int = N_DAYS,
+def history_wide(histories: DataFrame, n_traps: int | None = None, n_days: int | None = None,
                  prefix: str = "trap_") -> DataFrame:
     """One row per individual and day, one column per trap, straight from the individual rows."""
-    days = histories.withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(n_days))))
+    span = _span(histories, n_traps, n_days)
+    days = histories.withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(span.days))))
     return days.select(*INDIVIDUAL, "day", "max_traps", *[
-        cell_count(F.lit(j), F.col("day")).alias(f"{prefix}{j}") for j in range(1, n_traps + 1)])
+        cell_count(F.lit(j), F.col("day")).alias(f"{prefix}{j}")
+        for j in range(1, span.traps + 1)])
 
 
-def capture_array(histories: DataFrame, n_traps: int = MAX_TRAPS,
-                  n_days: int = N_DAYS) -> DataFrame:
+def capture_array(histories: DataFrame, n_traps: int | None = None,
+                  n_days: int | None = None) -> DataFrame:
     """Dense export: per known individual a day x trap array. One row per individual keeps a
     site of any size spread over the cluster; ``id_site`` is the first array index."""
+    span = _span(histories, n_traps, n_days)
     known = histories.where(F.col("id_site").isNotNull())
-    slab = F.array(*[F.array(*[cell_count(F.lit(j), F.lit(k)) for j in range(1, n_traps + 1)])
-                     for k in range(1, n_days + 1)])
+    slab = F.array(*[F.array(*[cell_count(F.lit(j), F.lit(k)) for j in range(1, span.traps + 1)])
+                     for k in range(1, span.days + 1)])
     return known.select("species", "site_num", "id_site", slab.alias("slab"))
 
 
-def recapture_flags(histories: DataFrame, n_days: int = N_DAYS) -> DataFrame:
+def recapture_flags(histories: DataFrame, n_days: int | None = None) -> DataFrame:
     """recap = 1 on each day after the first capture day. The running capture sum less the
     day's own, capped at one, is exactly this, so no window is needed."""
+    n_days = _span(histories, MAX_TRAPS, n_days).days
     known = histories.where(F.col("id_site").isNotNull())
     return known.withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(n_days)))).select(
         *INDIVIDUAL, "day", (F.col("day") > F.col("first_day")).cast("int").alias("recap"))
 
 
-def recaptures_wide(histories: DataFrame, n_days: int = N_DAYS) -> DataFrame:
+def recaptures_wide(histories: DataFrame, n_days: int | None = None) -> DataFrame:
+    n_days = _span(histories, MAX_TRAPS, n_days).days
     known = histories.where(F.col("id_site").isNotNull())
     return known.select("species", "site_num", "id_site", *[
         (F.lit(k) > F.col("first_day")).cast("int").alias(f"day_{k}")
         for k in range(1, n_days + 1)])
 
 
-def behaviour_from_flag(captures: DataFrame, n_days: int = N_DAYS) -> DataFrame:
+def behaviour_from_flag(captures: DataFrame, n_days: int | None = None) -> DataFrame:
     """Earlier rule: 1 on every day after the first day marked as a new capture; individuals
     never marked stay 0."""
+    n_days = n_days or max(N_DAYS, captures.agg(F.max("day")).first()[0] or 0)
     first = captures.groupBy("species", "site_num", "ind").agg(
         F.min(F.when(F.col("recap") == "N", F.col("day"))).alias("marked"))
     return first.withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(n_days)))).select(
@@ -250,12 +303,13 @@ def behaviour_from_flag(captures: DataFrame, n_days: int = N_DAYS) -> DataFrame:
         F.coalesce((F.col("day") > F.col("marked")).cast("int"), F.lit(0)).alias("behaviour"))
 
 
-def captures_by_day(histories: DataFrame, n_days: int = N_DAYS) -> DataFrame:
+def captures_by_day(histories: DataFrame, n_days: int | None = None) -> DataFrame:
     """Captures per species and day over the sites; a day without any is 0."""
+    n_days = _span(histories, MAX_TRAPS, n_days).days
     cells = histories.select("species", F.explode_outer("cells").alias("cell", "count"))
     days = F.array(*[F.lit(k) for k in range(1, n_days + 1)])
     sums = cells.groupBy("species").agg(*[
-        F.coalesce(F.sum(F.when(F.col("cell") % 1000 == k, F.col("count"))), F.lit(0))
+        F.coalesce(F.sum(F.when(cell_day(F.col("cell")) == k, F.col("count"))), F.lit(0))
         .alias(f"d{k}") for k in range(1, n_days + 1)])
     return sums.select("species", F.explode(F.arrays_zip(
         days.alias("day"), F.array(*[f"d{k}" for k in range(1, n_days + 1)]).alias("caps")))
@@ -274,7 +328,7 @@ def individual_covariates(captures: DataFrame) -> DataFrame:
 def observed_activity_centres(histories: DataFrame, spacing: float = 25.0) -> DataFrame:
     """Mean captured trap per individual as a place along the canal in 100 m; each captured
     trap-day weighs one."""
-    traps = F.transform(F.map_keys("cells"), lambda key: F.floor(key / 1000).cast("double"))
+    traps = F.transform(F.map_keys("cells"), lambda key: cell_trap(key).cast("double"))
     mean = F.aggregate(traps, F.lit(0.0), lambda a, x: a + x) / F.size(traps)
     return histories.where(F.col("id_site").isNotNull()).select(
         "species", "site_num", "id_site", ((mean - 1) * spacing / 100).alias("loc"))

@@ -1,22 +1,24 @@
 """Detection, likelihood and abundance formulas over tables of draws.
 
 Latent states are the large side. Parameters of a draw are nested to one row per (chain, iteration,
-site) and attached by ``session.attach`` (broadcast when counted small, else salted). Trap positions
-and site limits hold at most one row per trap of the effort table, so they ride along as an array
-per site and traps and days are exploded in place. Where histories enter, the latent rows meet them
-on (species, site, individual): by broadcast when the histories were counted small, else by a
-shuffle of the latent rows."""
+site) and attached by ``session.attach`` (broadcast when counted small, else heavy keys apart). Trap
+positions and site limits hold at most one row per trap of the effort table, so they ride along as an
+array per site and traps and days are exploded in place. Where histories enter, the narrow latent rows
+meet them on (site, slot) before parameters widen them; a latent table that the store keeps bucketed
+on these two does not move for it."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trapline.functions import probability as pr
+from trapline.operators.histories import cell_day, cell_key, cell_trap
 from trapline.session import attach, settle, spread
-from trapline.sources.lookups import MAX_TRAPS, N_DAYS
 
 DRAW = ["chain", "iteration"]
 DRAW_SITE = ["chain", "iteration", "site_num"]
@@ -100,10 +102,12 @@ def trap_distance(latent: DataFrame, positions: DataFrame) -> DataFrame:
 def baseline_detection(latent: DataFrame, params: DataFrame, per_site: DataFrame,
                        histories: DataFrame) -> DataFrame:
     """p0 per draw, slot and day: the recapture effect enters for observed slots only."""
-    first = histories.where(F.col("id_site").isNotNull()).select(
-        "species", "site_num", "id_site", "first_day")
-    rows = with_species(with_params(latent, params), per_site)
-    rows = by_day(rows.join(first, ["species", "site_num", "id_site"], "left"))
+    # first capture days of the species that a slot belongs to: one narrow row per site and slot
+    first = histories.where(F.col("id_site").isNotNull()).groupBy("site_num", "id_site").agg(
+        F.map_from_entries(F.collect_list(F.struct("species", "first_day"))).alias("_first"))
+    known = latent.join(first, ["site_num", "id_site"], "left")
+    rows = by_day(with_species(with_params(known, params), per_site).withColumn(
+        "first_day", F.try_element_at("_first", F.col("species"))))
     caught = F.coalesce((F.col("day") > F.col("first_day")).cast("int"), F.lit(0))
     return rows.select("species", *DRAW_SITE, "id_site", "day", pr.inverse_logit(
         F.col("alpha0") + F.col("alpha2") * caught).alias("p0"))
@@ -136,7 +140,7 @@ def _loglik(rows: DataFrame, positions: DataFrame) -> DataFrame:
     cells = by_day(exploded.select("*", F.col("_t.trap").alias("trap"),
                                    (F.col("s") - F.col("_t.pos")).alias("d")))
     caught = F.coalesce((F.col("day") > F.col("first_day")).cast("int"), F.lit(0))
-    y = F.try_element_at("cells", F.col("trap") * 1000 + F.col("day"))
+    y = F.try_element_at("cells", cell_key(F.col("trap"), F.col("day")))
     alpha1 = alpha1_from_sigma(F.col("sigma"))
     logit = F.col("alpha0") + F.col("alpha2") * caught
     terms = cells.select("species", *DRAW_SITE, (F.coalesce(y, F.lit(0)) > 0).alias("y"), (
@@ -155,13 +159,27 @@ def _caught(histories: DataFrame) -> DataFrame:
         "species", "site_num", "id_site", "first_day", "cells")
 
 
+def _observed_slots(latent: DataFrame, params: DataFrame, histories: DataFrame) -> DataFrame:
+    """Latent slots of caught individuals, members all, with their histories and parameters. The
+    narrow latent rows meet the histories first, on site and slot, so a ``store.load_latent`` table
+    does not move; species and parameters widen only what is left."""
+    return with_params(latent.drop("z").join(_caught(histories), ["site_num", "id_site"]),
+                       params).withColumn("z", F.lit(1))
+
+
+def _augmented_slots(latent: DataFrame, params: DataFrame, per_site: DataFrame) -> DataFrame:
+    """Augmented slots, which have no history."""
+    rows = _slots(latent, params, per_site).where(F.col("id_site") > F.col("n"))
+    return rows.withColumn("first_day", F.lit(None).cast("int")).withColumn(
+        "cells", F.lit(None).cast("map<bigint,bigint>"))
+
+
 def observed_loglik(latent: DataFrame, params: DataFrame, positions: DataFrame,
                     per_site: DataFrame, histories: DataFrame) -> DataFrame:
     """Sum of log Bernoulli(y; p) over the cells of caught individuals, per draw and site. An
-    individual's counts travel as one map, matched on (species, site, individual). ``slotless``
-    counts the caught individuals that the sum lacks; it is null where it has none of them."""
-    rows = _slots(latent, params, per_site).where(F.col("id_site") <= F.col("n"))
-    scored = _loglik(rows.join(_caught(histories), ["species", "site_num", "id_site"]), positions)
+    individual's counts travel as one map, matched on (site, slot). ``slotless`` counts the caught
+    individuals that the sum lacks; it is null where it has none of them."""
+    scored = _loglik(_observed_slots(latent, params, histories), positions)
     return _with_unplaced(_with_slotless(scored, latent, params, histories), histories, positions)
 
 
@@ -169,19 +187,16 @@ def zeros_loglik(latent: DataFrame, params: DataFrame, positions: DataFrame,
                  per_site: DataFrame) -> DataFrame:
     """Log probability that augmented members were never caught: sum of log(1 - p) over their
     traps and days. No history is needed."""
-    rows = _slots(latent, params, per_site).where(F.col("id_site") > F.col("n"))
-    never = rows.withColumn("first_day", F.lit(None).cast("int")).withColumn(
-        "cells", F.lit(None).cast("map<int,bigint>"))
-    return _loglik(never, positions)
+    return _loglik(_augmented_slots(latent, params, per_site), positions)
 
 
 def augmented_loglik(latent: DataFrame, params: DataFrame, positions: DataFrame,
                      per_site: DataFrame, histories: DataFrame) -> DataFrame:
-    """All slots as Bernoulli cells in one pass: observed ones with their counts, the rest with
-    zeros. ``slotless`` as in ``observed_loglik``."""
-    rows = _slots(latent, params, per_site)
-    scored = _loglik(rows.join(_caught(histories), ["species", "site_num", "id_site"], "left"),
-                     positions)
+    """All slots as Bernoulli cells: observed ones with their counts, the rest with zeros, which
+    need no history and do not move. ``slotless`` as in ``observed_loglik``."""
+    rows = _observed_slots(latent, params, histories).unionByName(
+        _augmented_slots(latent, params, per_site), allowMissingColumns=True)
+    scored = _loglik(rows, positions)
     return _with_unplaced(_with_slotless(scored, latent, params, histories), histories, positions)
 
 
@@ -214,7 +229,7 @@ def unplaced_cells(histories: DataFrame, positions: DataFrame) -> DataFrame:
         F.broadcast(nested_traps(positions)), "site_num", "left")
     traps = F.coalesce(F.col("traps.trap"), F.array().cast("array<int>"))
     stray = F.filter(F.map_keys("cells"), lambda key: ~F.array_contains(
-        traps, F.floor(key / 1000).cast("int")))
+        traps, cell_trap(key)))
     return placed.groupBy("species", "site_num").agg(F.sum(F.size(stray)).alias("unplaced"))
 
 
@@ -389,6 +404,11 @@ def sigma_averages(params: DataFrame) -> DataFrame:
         "chain", "iteration", "site_num", "sex_code").agg(F.avg("sigma").alias("sigma_mean"))
 
 
+#: Patterns and candidates that meet in one piece of work.
+PATTERN_BLOCK = 1024
+CANDIDATE_BLOCK = 64
+
+
 def history_patterns(histories: DataFrame) -> DataFrame:
     """Distinct capture histories per species and site with how many individuals share each.
     The likelihood of a pattern is evaluated once, whatever the number of individuals."""
@@ -398,85 +418,178 @@ def history_patterns(histories: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("copies"))
 
 
-def _log_mean_exp(values: Column, n: int) -> Column:
-    top = F.array_max(values)
-    return F.when(top > pr.IMPOSSIBLE, top + F.ln(F.aggregate(
-        values, F.lit(0.0), lambda a, x: a + F.exp(x - top)) / n)).otherwise(top)
-
-
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+def _dealt(rows: DataFrame, key: Column, size: int, name: str) -> tuple[DataFrame, int]:
+    """Rows of a site dealt by ``key`` into blocks of about ``size``, numbered in ``name``; the
+    number of blocks is that of the largest site."""
+    most = rows.groupBy("site_num").count().agg(F.max("count")).first()[0] or 0
+    blocks = -(-most // size)
+    return rows.withColumn(name, F.pmod(key, F.lit(max(blocks, 1))).cast("int")), blocks
+
+
+def candidate_blocks(candidates: DataFrame, positions: DataFrame, space: DataFrame) -> tuple[
+        DataFrame, int]:
+    """Per site and block its candidates as an array, with the traps and limits of the site."""
+    drawn, blocks = _dealt(settle(nested_params(candidates)), F.xxhash64(*DRAW),
+                           CANDIDATE_BLOCK, "cblock")
+    # a place per trap of the effort table, and limits per site
+    packed = drawn.groupBy("site_num", "cblock").agg(F.collect_list(F.struct(
+        *DRAW, "psi", "sigma", "alpha2", "days")).alias("candidates"))
+    return packed.join(F.broadcast(nested_traps(positions)), "site_num").join(
+        F.broadcast(space.select("site_num", "xlim1", "xlim2")), "site_num"), blocks
+
+
+class _Mesh:
+    """Log probabilities of the candidates of a block at the points of the mesh of a site."""
+
+    def __init__(self, candidates: list[dict], traps: list[dict], low: float, high: float,
+                 points: int):
+        days = sorted({d["day"] for c in candidates for d in c["days"]})
+        column = {d: k for k, d in enumerate(days)}
+        alpha0 = np.full((len(candidates), len(days)), np.nan)
+        for i, c in enumerate(candidates):
+            for d in c["days"]:
+                alpha0[i, column[d["day"]]] = np.nan if d["alpha0"] is None else d["alpha0"]
+        sigma, effect, psi = (np.array([np.nan if c[k] is None else c[k] for c in candidates])
+                              for k in ("sigma", "alpha2", "psi"))
+        places = low + (np.arange(points) + 0.5) / points * (high - low)
+        far = (places[:, None] - np.array([t["pos"] for t in traps])[None, :]) ** 2
+        base = -np.log1p(np.exp(-np.stack([alpha0, alpha0 + effect[:, None]])))
+        # caught before or not, candidate, point, day, trap
+        log_p = (base[:, :, None, :, None]
+                 - (far[None] / (2 * sigma * sigma)[:, None, None])[None, :, :, None, :])
+        with np.errstate(divide="ignore"):
+            rest = np.where(log_p < 0, np.log1p(-np.exp(np.minimum(log_p, 0))),
+                            np.where(log_p >= 0, -np.inf, np.nan))
+            self.log_psi = np.log(psi)
+        self.gain = np.where(np.isneginf(rest), 0.0, log_p - rest)
+        self.days, self.traps = days, [t["trap"] for t in traps]
+        self.psi, self.miss = psi, rest.sum(axis=4)
+
+    def never(self) -> np.ndarray:
+        return _mean_exp(self.miss[0].sum(axis=2))
+
+    def patterns(self, patterns: list[dict]) -> np.ndarray:
+        """Log probability of each pattern (rows) under each candidate, given membership: what is
+        missed on all days, by the first capture day, and what the captured cells gain, as the
+        product of a 0/1 matrix with the cells of the mesh. Cells at traps or on days that the
+        model does not have add nothing."""
+        days, traps = ({v: k for k, v in enumerate(x)} for x in (self.days, self.traps))
+        wide = len(days) * len(traps)
+        firsts = len(days) + 1
+        marks = np.zeros((len(patterns), firsts + 2 * wide))
+        for row, pattern in zip(marks, patterns):
+            first = pattern["first_day"]
+            row[sum(d <= first for d in self.days)] = 1
+            for cell in pattern["caught"]:
+                day, trap = cell & 0xFFFFFFFF, cell >> 32
+                if day in days and trap in traps:
+                    row[firsts + (day > first) * wide + days[day] * len(traps) + traps[trap]] = 1
+        count, points = self.miss.shape[1:3]
+        # missed when caught first on the k-th day: not caught before until then, and caught after
+        none = np.zeros((count, points, 1))
+        fresh, again = self.miss
+        missed = (np.concatenate([none, np.cumsum(fresh, axis=2)], axis=2)
+                  + np.concatenate([np.cumsum(again[:, :, ::-1], axis=2)[:, :, ::-1], none], axis=2))
+        # a miss that cannot be is kept apart from the product, where it would touch every row
+        impossible = np.isneginf(missed)
+        cells = np.concatenate([np.where(impossible, 0.0, missed), *[
+            g.reshape(count, points, wide) for g in self.gain]], axis=2)
+        total = np.tensordot(marks, cells, axes=(1, 2))
+        if impossible.any():
+            never = np.tensordot(marks[:, :firsts], impossible.astype(float), axes=(1, 2)) > 0
+            total = np.where(never, -np.inf, total)
+        return _mean_exp(total)
+
+
+def _mean_exp(values: np.ndarray) -> np.ndarray:
+    """Log of the mean of exponentials over the last axis."""
+    top = values.max(axis=-1)
+    safe = np.where(np.isneginf(top), 0.0, top)
+    with np.errstate(divide="ignore"):
+        return safe + np.log(np.exp(values - safe[..., None]).mean(axis=-1))
+
+
+def _meshes(batch, points: int):
+    for row in batch.to_pylist():
+        yield row, _Mesh(row["candidates"], row["traps"], row["xlim1"], row["xlim2"], points)
+
+
+SCORES = pa.schema([("species", pa.string()), ("site_num", pa.int32()), ("chain", pa.int32()),
+                    ("iteration", pa.int64()), ("value", pa.float64())])
+
+
+def _scored(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows as a batch; what is not a number, for want of a parameter, is null."""
+    columns = list(zip(*rows)) or [[]] * len(SCORES)
+    return pa.RecordBatch.from_arrays([
+        *[pa.array(c, t) for c, t in zip(columns[:-1], SCORES.types)],
+        pa.array(np.array(columns[-1], float), pa.float64(), from_pandas=True)], schema=SCORES)
+
+
+def _observed(points: int):
+    """Sums over the patterns of a block for every candidate of a block, by species."""
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for row, mesh in _meshes(batch, points):
+                scores = mesh.log_psi[None, :] + mesh.patterns(row["patterns"])
+                copies = np.array([p["copies"] for p in row["patterns"]], float)
+                species = np.array([p["species"] for p in row["patterns"]])
+                for name in np.unique(species):
+                    own = species == name
+                    sums = (copies[own, None] * scores[own]).sum(axis=0)
+                    rows += [(str(name), row["site_num"], c["chain"], c["iteration"], v)
+                             for c, v in zip(row["candidates"], sums.tolist())]
+            yield _scored(rows)
+    return run
+
+
+def _never(points: int):
+    def run(batches):
+        for batch in batches:
+            yield _scored([(None, row["site_num"], c["chain"], c["iteration"], v)
+                           for row, mesh in _meshes(batch, points)
+                           for c, v in zip(row["candidates"], np.log1p(
+                               -mesh.psi + mesh.psi * np.exp(mesh.never())).tolist())])
+    return run
 
 
 def grid_marginal_loglik(candidates: DataFrame, positions: DataFrame, space: DataFrame,
-                         sizes: DataFrame, histories: DataFrame, mesh: int = 20,
-                         n_traps: int = MAX_TRAPS, n_days: int = N_DAYS) -> DataFrame:
+                         sizes: DataFrame, histories: DataFrame, mesh: int = 20) -> DataFrame:
     """Marginal log likelihood per species, candidate and site: activity centres integrated over
     a mesh of the state space, membership summed out.
 
-    ``candidates`` are params rows (chain, iteration name a candidate, plus psi). For a mesh point
-    the no-capture terms depend only on the first capture day and the gain of a captured cell only
-    on whether the individual was caught before, so both are worked out once per candidate and
-    site; a pattern then adds one number plus one per captured cell. The mesh stays an array inside
-    the row, so the only shuffle after pairing candidates and patterns is the final sum."""
-    rows = nested_params(candidates).join(F.broadcast(nested_traps(positions)), "site_num").join(
-        F.broadcast(space), "site_num").withColumn("alpha1", alpha1_from_sigma(F.col("sigma")))
-    rows = spread(rows, *DRAW_SITE).withColumn("placed", F.map_from_entries("traps"))
-
-    def log_p(place: Column, trap: Column, day: Column, caught: Column) -> Column:
-        d = place - trap
-        return (-F.log1p(F.exp(-(day["alpha0"] + F.col("alpha2") * caught)))
-                - F.col("alpha1") * d * d)
-
-    def miss(place: Column, caught: float) -> Column:
-        """Per day the sum over traps of log(1 - p)."""
-        return F.transform("days", lambda day: F.aggregate(
-            "traps", F.lit(0.0), lambda total, trap: total + pr.log_of_rest(
-                F.exp(log_p(place, trap["pos"], day, F.lit(caught))))))
-
-    def gain(place: Column, slot: Column) -> Column:
-        """log p - log(1 - p) of a captured cell; a trap without a known place adds nothing and
-        is counted in ``unplaced``."""
-        trap = F.try_element_at("placed", F.floor(slot / (2 * n_days)).cast("int") + 1)
-        day = F.element_at("days", (F.floor(slot / 2) % n_days).cast("int") + 1)
-        lp = log_p(place, trap, day, (slot % 2).cast("double"))
-        return F.coalesce(lp - F.log1p(-F.exp(lp)), F.lit(0.0))
-
-    q = F.sequence(F.lit(0), F.lit(mesh - 1))
-    rows = rows.withColumn("points", F.transform(q, lambda i: F.col("xlim1") + (
-        i + 0.5) / mesh * (F.col("xlim2") - F.col("xlim1"))))
-    cells = F.sequence(F.lit(0), F.lit(2 * n_days * n_traps - 1))
-    rows = rows.withColumn("points", F.transform("points", lambda s: F.struct(
-        miss(s, 0.0).alias("fresh"), miss(s, 1.0).alias("again"),
-        F.transform(cells, lambda slot: gain(s, slot)).alias("gain"))))
-    rows = rows.withColumn("points", F.transform("points", lambda pt: F.struct(
-        F.transform(F.sequence(F.lit(1), F.lit(n_days)), lambda first: _total(F.slice(
-            pt["fresh"], F.lit(1), first)) + _total(F.slice(
-                pt["again"], first + 1, F.lit(n_days)))).alias("miss"), pt["gain"].alias("gain"))))
-    never = _log_mean_exp(F.transform("points", lambda pt: F.element_at(pt["miss"], n_days)), mesh)
-    rows = settle(rows.withColumn("log_never", never).select(
-        *DRAW_SITE, "psi", "log_never", "points"))
-
-    def at_point(pt: Column) -> Column:
-        return F.aggregate("slots", F.element_at(pt["miss"], F.col("first_day")),
-                           lambda total, slot: total + F.element_at(pt["gain"], slot + 1))
-
-    patterns = history_patterns(histories).withColumn("slots", F.transform(
-        "caught", lambda key: (((F.floor(key / 1000) - 1) * n_days + key % 1000 - 1) * 2
-                               + (key % 1000 > F.col("first_day")).cast("int")).cast("int")))
-    paired = attach(rows, patterns.drop("caught"), ["site_num"])
-    scored = paired.select("species", *DRAW_SITE, "copies", "psi",
-                           F.transform("points", at_point).alias("_ll"))
-    observed = scored.groupBy("species", *DRAW_SITE).agg(F.sum(
-        F.col("copies") * (pr.log_of(F.col("psi")) + _log_mean_exp(F.col("_ll"), mesh))).alias(
-        "observed"))
+    ``candidates`` are params rows (chain, iteration name a candidate, plus psi); days and traps
+    are those that they and ``positions`` have. For a mesh point the no-capture terms depend only
+    on the first capture day and the gain of a captured cell only on whether the individual was
+    caught before. Patterns and candidates are dealt into blocks, every block of patterns of a
+    site meets every block of its candidates as one matrix product, and partial sums are added,
+    so neither a site nor a candidate is ever one piece of work. What is sent are the parameters
+    and the cells; the values at the mesh are made where they are used."""
+    drawn, cblocks = candidate_blocks(candidates, positions, space)
+    drawn = settle(drawn)
+    patterns, pblocks = _dealt(settle(history_patterns(histories)), F.xxhash64(
+        "species", "first_day", "caught"), PATTERN_BLOCK, "pblock")
+    packed = patterns.groupBy("site_num", "pblock").agg(F.collect_list(F.struct(
+        "species", "first_day", "caught", "copies")).alias("patterns"))
+
+    def every(name: str, blocks: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))).alias(name)
+
+    pairs = packed.select("*", every("cblock", cblocks)).join(
+        drawn.select("*", every("pblock", pblocks)), ["site_num", "pblock", "cblock"])
+    schema = "species string, site_num int, chain int, iteration long, value double"
+    observed = spread(pairs, "site_num", "pblock", "cblock").mapInArrow(
+        _observed(mesh), schema).groupBy("species", *DRAW_SITE).agg(
+        F.sum("value").alias("observed"), F.lit(True).alias("_caught"))
+    never = drawn.mapInArrow(_never(mesh), schema).select(
+        *DRAW_SITE, F.col("value").alias("log_left"))
     size = F.broadcast(sizes.select("species", "site_num", "n", "m"))
     left = F.col("m") - F.col("n")
-    augmented = F.when(left > 0, left * pr.log_of(
-        1 - F.col("psi") + F.col("psi") * F.exp("log_never"))).otherwise(0.0)
-    scored = rows.select(*DRAW_SITE, "psi", "log_never").join(size, "site_num").join(
-        observed, ["species", *DRAW_SITE], "left").select(
-        "species", *DRAW_SITE, (F.coalesce("observed", F.lit(0.0)) + augmented).alias("loglik"))
+    augmented = F.when(left > 0, left * F.col("log_left")).otherwise(0.0)
+    scored = never.join(size, "site_num").join(observed, ["species", *DRAW_SITE], "left").select(
+        "species", *DRAW_SITE, (F.when(F.col("_caught"), F.col("observed")).otherwise(0.0)
+                                + augmented).alias("loglik"))
     return _with_unplaced(scored, histories, positions)
 
 

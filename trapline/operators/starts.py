@@ -100,9 +100,11 @@ def zero_slots(sizes: DataFrame, name: str = "zero") -> DataFrame:
     return slots(sizes).withColumn(name, F.lit(0))
 
 
-def padded_history(sizes: DataFrame, cells: DataFrame, zero: bool, n_days: int = N_DAYS,
+def padded_history(sizes: DataFrame, cells: DataFrame, zero: bool, n_days: int | None = None,
                    traps: bool = True) -> DataFrame:
-    """Histories enlarged to all slots x days (x existing traps); a missing cell is 0 or null."""
+    """Histories enlarged to all slots x days (x existing traps); a missing cell is 0 or null. The
+    days are those of a session, or more if a cell lies on a later one, unless stated."""
+    n_days = n_days or max(N_DAYS, cells.agg(F.max("day")).first()[0] or 0)
     grid = slots(sizes, "max_traps").withColumn(
         "day", F.explode(F.sequence(F.lit(1), F.lit(n_days))))
     keys = [*SLOT, "day"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trapline.operators.ranks import dense_ids, exact_quantiles
 from trapline.session import attach
-from trapline.sources.lookups import MAX_TRAPS, N_DAYS
+from trapline.sources.lookups import MAX_TRAPS
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -33,16 +33,16 @@ def column_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     return summary_table(unpivoted(df, [], columns), ["variable"], "value")
 
 
-def array_size(per_site: DataFrame, n_traps: int = MAX_TRAPS, n_days: int = N_DAYS) -> DataFrame:
-    """Cells of the dense individual x trap x day x site array per species and those that are
-    not null."""
+def array_size(per_site: DataFrame, n_traps: int, n_days: int) -> DataFrame:
+    """Cells of the dense individual x trap x day x site array per species, as wide as
+    ``histories.widths`` tells, and those that are not null."""
     return per_site.groupBy("species").agg(
         (F.max("n").cast("bigint") * n_traps * n_days * F.count(F.lit(1))).alias("array_size"),
         F.sum(F.col("n").cast("bigint") * F.col("max_traps") * n_days).alias("likelihood_cells"))
 
 
 def expected_rows_check(history: DataFrame, wide: DataFrame, per_site: DataFrame,
-                        n_traps: int = MAX_TRAPS, n_days: int = N_DAYS) -> DataFrame:
+                        n_traps: int, n_days: int) -> DataFrame:
     """Rows of the expansion and of its wide form against n x traps x days and n x days."""
     want = per_site.groupBy("species").agg(
         F.sum(F.col("n") * n_traps * n_days).alias("expected_rows"),
@@ -95,9 +95,12 @@ def standardize(df: DataFrame, columns: list[str], suffix: str = "_std") -> Data
     return scaled.drop(*stats.columns)
 
 
-def spatial_recaptures(captures: DataFrame, species: str, n_traps: int = MAX_TRAPS) -> DataFrame:
-    """Captures of one species per site, individual and day, one column per trap."""
+def spatial_recaptures(captures: DataFrame, species: str,
+                       n_traps: int | None = None) -> DataFrame:
+    """Captures of one species per site, individual and day, one column per trap, up to the last
+    one with a capture of the species or, unless stated, no less than those of a session."""
     chosen = captures.where(F.col("species") == species)
+    n_traps = n_traps or max(MAX_TRAPS, chosen.agg(F.max("trap")).first()[0] or 0)
     pivoted = chosen.groupBy("site", "ind", "day").pivot("trap", list(range(1, n_traps + 1))).agg(
         F.count(F.lit(1)))
     return pivoted.toDF("site", "ind", "day", *[f"trap_{j}" for j in range(1, n_traps + 1)])

@@ -9,6 +9,8 @@ from trapline.operators import filters, histories, model
 from trapline.plans.inputs import Inputs
 from trapline.plans.registry import query
 from trapline.plans.views import logistic, num
+from trapline.session import scratch
+from trapline.sources import store
 
 
 @query("trap_distances", "latent positions", """
@@ -86,15 +88,35 @@ UNPLACED = """
 WHOLE = f"SELECT *, CAST(0 AS BIGINT) AS slotless FROM ({UNPLACED})"
 
 
-def _scored(rows):
-    """The rows and columns that the SQL states; ``slotless_individuals`` counts the others."""
-    return rows.where(F.col("loglik").isNotNull()).drop("slotless")
+EVERY_SLOT = {"latent": "whole_latent"}
+OBSERVED = WHOLE.format("SELECT * FROM observed_ll")
+AUGMENTED = WHOLE.format("""
+    SELECT species, chain, iteration, site_num, sum(loglik) AS loglik FROM (
+      SELECT * FROM observed_ll UNION ALL SELECT * FROM zeros_ll) GROUP BY ALL""")
 
 
-@query("observed_loglik", "observed_ll unplaced", UNPLACED.format("SELECT * FROM observed_ll"),
-       "loglik", 3)
 def observed_loglik(t: Inputs):
-    return _scored(model.observed_loglik(t.latent, t.params, t.positions, t.per_site, t.known))
+    return model.observed_loglik(t.whole_latent, t.params, t.positions, t.per_site, t.known)
+
+
+def augmented_loglik(t: Inputs):
+    return model.augmented_loglik(t.whole_latent, t.params, t.positions, t.per_site, t.known)
+
+
+for _name in ("observed_loglik", "observed_loglik_whole"):
+    query(_name, "observed_ll unplaced", OBSERVED, "loglik", 3, EVERY_SLOT)(observed_loglik)
+for _name in ("augmented_loglik", "augmented_loglik_whole"):
+    query(_name, "observed_ll zeros_ll unplaced", AUGMENTED, "loglik", 3, EVERY_SLOT)(
+        augmented_loglik)
+
+
+@query("observed_loglik_stored", "observed_ll unplaced", OBSERVED, "loglik", 3, EVERY_SLOT)
+def observed_loglik_stored(t: Inputs):
+    """The latent states come from the bucketed store."""
+    root = scratch(t.spark, "store")
+    store.save_latent(t.whole_latent, root, 8)
+    latent = store.load_latent(t.spark, root, 8)
+    return model.observed_loglik(latent, t.params, t.positions, t.per_site, t.known)
 
 
 @query("zeros_loglik", "zeros_ll", "SELECT * FROM zeros_ll", "loglik", 3)
@@ -102,13 +124,6 @@ def zeros_loglik(t: Inputs):
     return model.zeros_loglik(t.latent, t.params, t.positions, t.per_site)
 
 
-@query("augmented_loglik", "observed_ll zeros_ll unplaced", UNPLACED.format("""
-    SELECT species, chain, iteration, site_num, sum(loglik) AS loglik FROM (
-      SELECT * FROM observed_ll UNION ALL SELECT * FROM zeros_ll) GROUP BY ALL"""), "loglik", 3)
-def augmented_loglik(t: Inputs):
-    return _scored(model.augmented_loglik(t.latent, t.params, t.positions, t.per_site, t.known))
-
-
 @query("slotless_individuals", "latent params em", """
     SELECT i.species, k.chain, k.iteration, k.site_num, count(*) - count(l.id_site) AS slotless
     FROM (SELECT DISTINCT species, site_num, id_site FROM em WHERE id_site IS NOT NULL) i
@@ -119,20 +134,6 @@ def slotless_individuals(t: Inputs):
     return model.slotless_individuals(t.latent, t.params, t.known)
 
 
-@query("observed_loglik_whole", "observed_ll unplaced", WHOLE.format("SELECT * FROM observed_ll"),
-       "loglik", 3, {"latent": "whole_latent"})
-def observed_loglik_whole(t: Inputs):
-    return model.observed_loglik(t.whole_latent, t.params, t.positions, t.per_site, t.known)
-
-
-@query("augmented_loglik_whole", "observed_ll zeros_ll unplaced", WHOLE.format("""
-    SELECT species, chain, iteration, site_num, sum(loglik) AS loglik FROM (
-      SELECT * FROM observed_ll UNION ALL SELECT * FROM zeros_ll) GROUP BY ALL"""), "loglik", 3,
-       {"latent": "whole_latent"})
-def augmented_loglik_whole(t: Inputs):
-    return model.augmented_loglik(t.whole_latent, t.params, t.positions, t.per_site, t.known)
-
-
 def _normal(x: str, mean: float, precision: float) -> str:
     return (f"(0.5e0 * ln({num(precision)} / (2 * pi())) - 0.5e0 * {num(precision)} "
             f"* ({x} - {num(mean)}) ** 2)")
@@ -259,7 +260,7 @@ def density_ha(t: Inputs):
     CROSS JOIN caps_day c""", "p_cap")
 def capture_prob_by_day(t: Inputs):
     return model.capture_prob_by_day(model.abundance(t.latent),
-                                     histories.captures_by_day(t.histories))
+                                     histories.captures_by_day(t.histories, t.widths.days))
 
 
 @query("capture_prob_by_site", "latent per_site", """

@@ -13,6 +13,11 @@ from trapline.sources.adapters import Tables
 
 class Inputs(Tables):
 
+    @property
+    def span(self) -> tuple[int, int]:
+        """Traps and days of every grid."""
+        return self.widths.traps, self.widths.days
+
     @cached_property
     def kept(self) -> DataFrame:
         return filters.model_captures(self.captures)
@@ -49,7 +54,8 @@ class Inputs(Tables):
 
     @cached_property
     def histories(self) -> DataFrame:
-        return histories.all_histories(self.numbered, self.effort, self.species_caps)
+        return histories.all_histories(self.numbered, self.effort, self.species_caps,
+                                       self.widths.days)
 
     @cached_property
     def known(self) -> DataFrame:

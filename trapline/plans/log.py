@@ -69,7 +69,7 @@ def csv_row_keys(t: Inputs):
     WHERE species = 'SODO'""")
 def stored_history(t: Inputs):
     root = _scratch(t, "derived")
-    history = histories.complete_history(t.histories)
+    history = histories.complete_history(t.histories, *t.span)
     store.save_derived({"history": history}, root, "2020-05-23")
     config = RunConfig("SODO", "2020-05-23")
     return store.load_derived(t.spark, root, "history", config).drop("species").select(
@@ -129,7 +129,7 @@ def projected_captures(t: Inputs):
       count(*) FILTER (count = 0) AS zeros, CAST(coalesce(sum(count), 0) AS BIGINT) AS captures
     FROM history GROUP BY ALL""")
 def filled_counts(t: Inputs):
-    rows = histories.complete_history(t.histories)
+    rows = histories.complete_history(t.histories, *t.span)
     return rows.groupBy("species", "site_num").agg(
         F.count(F.lit(1)).alias("cells"), F.count_if(F.col("count").isNull()).alias("missing"),
         F.count_if(F.col("count") == 0).alias("zeros"),
@@ -256,14 +256,14 @@ def trap_use(t: Inputs):
 def trap_day_use(t: Inputs):
     used = t.captures.groupBy("site_num", "trap", "day").agg(F.count(F.lit(1)).alias("n"))
     keys = ["site_num", "trap", "day"]
-    return histories.trap_day_grid(t.effort).select(*keys).join(used, keys, "left").withColumn(
+    return histories.trap_day_grid(t.effort, t.widths.days).select(*keys).join(used, keys, "left").withColumn(
         "n", F.coalesce("n", F.lit(0)))
 
 
 @query("complete_history", "history", """
     SELECT species, site_num, ind, id_site, trap, day, max_traps, count FROM history""")
 def complete_history(t: Inputs):
-    return histories.complete_history(t.histories)
+    return histories.complete_history(t.histories, *t.span)
 
 
 @query("older_history", "em", """
@@ -292,16 +292,17 @@ def null_safe_lookup(t: Inputs):
     return histories.null_safe_join(n, last, ["species", "sex"])
 
 
-@query("first_match", "kept effort caps", """
+@query("first_match", "kept effort caps days", """
     SELECT g.species, g.site_num, g.day, f.ind, f.trap FROM
-      (SELECT p.species, e.site_num, unnest(range(1, 5))::INTEGER AS day
-       FROM effort e CROSS JOIN caps p) g
+      (SELECT p.species, e.site_num, d.day
+       FROM effort e CROSS JOIN caps p CROSS JOIN days d) g
     LEFT JOIN (SELECT species, site_num, day, ind, trap, row_number() OVER (
         PARTITION BY species, site_num, day ORDER BY ts, capture_id) AS place FROM kept) f
       ON f.species = g.species AND f.site_num = g.site_num AND f.day = g.day AND f.place = 1""")
 def first_match(t: Inputs):
     grid = histories.site_species(t.effort, t.species_caps).select(
-        "species", "site_num", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("day"))
+        "species", "site_num", F.explode(F.sequence(
+            F.lit(1), F.lit(t.widths.days))).alias("day"))
     return summaries.first_match(grid, t.kept, ["species", "site_num", "day"],
                                  ["ts", "capture_id"], ["ind", "trap"])
 
@@ -353,7 +354,7 @@ def individual_covariates(t: Inputs):
 
 @query("captures_by_day", "caps_day", "SELECT species, day, caps FROM caps_day")
 def captures_by_day(t: Inputs):
-    return histories.captures_by_day(t.histories)
+    return histories.captures_by_day(t.histories, t.widths.days)
 
 
 @query("observed_activity_centres", "centres", "SELECT * FROM centres", "loc")
@@ -373,26 +374,31 @@ def capture_summary(t: Inputs):
     return summaries.column_summary(t.captures, ["carapace", "mass", "trap"])
 
 
-@query("array_size", "per_site", """
-    SELECT species, CAST(max(n) * 14 * 4 * count(*) AS BIGINT) AS array_size,
-      CAST(sum(n * max_traps * 4) AS BIGINT) AS likelihood_cells FROM per_site GROUP BY 1""")
+@query("array_size", "per_site alltraps days", """
+    SELECT species, CAST(max(n) * (SELECT count(*) FROM alltraps CROSS JOIN days) * count(*)
+        AS BIGINT) AS array_size,
+      CAST(sum(n * max_traps * (SELECT count(*) FROM days)) AS BIGINT) AS likelihood_cells
+    FROM per_site GROUP BY 1""")
 def array_size(t: Inputs):
-    return summaries.array_size(t.per_site)
+    return summaries.array_size(t.per_site, *t.span)
 
 
 @query("expected_rows_check", "history per_site", """
     SELECT e.species, expected_rows, history_rows, expected_rows = history_rows AS rows_ok,
       expected_wide, wide_rows, expected_wide = wide_rows AS wide_ok
-    FROM (SELECT species, CAST(sum(n * 56) AS BIGINT) AS expected_rows,
-            CAST(sum(n * 4) AS BIGINT) AS expected_wide FROM per_site GROUP BY 1) e
+    FROM (SELECT species, CAST(sum(n * (SELECT count(*) FROM alltraps CROSS JOIN days)) AS BIGINT)
+              AS expected_rows,
+            CAST(sum(n * (SELECT count(*) FROM days)) AS BIGINT) AS expected_wide
+          FROM per_site GROUP BY 1) e
     LEFT JOIN (SELECT species, count(*) AS history_rows FROM history GROUP BY 1) h
       ON h.species = e.species
     LEFT JOIN (SELECT species, count(*) AS wide_rows FROM (
         SELECT DISTINCT species, site_num, ind, day FROM history)
       GROUP BY 1) w ON w.species = e.species""")
 def expected_rows_check(t: Inputs):
-    return summaries.expected_rows_check(histories.complete_history(t.histories),
-                                         histories.history_wide(t.histories), t.per_site)
+    return summaries.expected_rows_check(histories.complete_history(t.histories, *t.span),
+                                         histories.history_wide(t.histories, *t.span), t.per_site,
+                                         *t.span)
 
 
 @query("new_captures", "captures", """
@@ -418,7 +424,7 @@ def distinct_sexes(t: Inputs):
       CASE WHEN max(count) > 0 THEN 1 ELSE 0 END AS caught
     FROM history WHERE id_site IS NOT NULL AND trap <= max_traps GROUP BY ALL""")
 def collapsed_days(t: Inputs):
-    return summaries.collapsed(histories.observed_history(t.known),
+    return summaries.collapsed(histories.observed_history(t.known, t.widths.days),
                                ["species", "site_num", "id_site", "trap"])
 
 
@@ -480,7 +486,7 @@ def coded_captures(t: Inputs):
 @query("recapture_flags", "flags", """
     SELECT species, site_num, ind, id_site, day, recap FROM flags""")
 def recapture_flags(t: Inputs):
-    return histories.recapture_flags(t.known)
+    return histories.recapture_flags(t.known, t.widths.days)
 
 
 @query("behaviour_from_flag", "captures days", """
@@ -489,7 +495,8 @@ def recapture_flags(t: Inputs):
     FROM (SELECT species, site_num, ind, min(CASE WHEN recap = 'N' THEN day END) AS marked
           FROM captures WHERE site NOT IN ('H', 'I') GROUP BY ALL) i CROSS JOIN days d""")
 def behaviour_from_flag(t: Inputs):
-    return histories.behaviour_from_flag(filters.select_species(t.marked_captures))
+    return histories.behaviour_from_flag(filters.select_species(t.marked_captures),
+                                         t.widths.days)
 
 
 @query("standardized_captures", "captures", """
@@ -529,7 +536,7 @@ def last_captures(t: Inputs):
       AND f.day = h.day
     GROUP BY ALL""")
 def recaptures_by_site_day(t: Inputs):
-    days = histories.daily_captures(t.known)
+    days = histories.daily_captures(t.known, t.widths.days)
     again = (F.col("captures") > 0) & (F.col("day") > F.col("first_day"))
     return days.groupBy("species", "site_num", "day").agg(
         F.count_if(F.col("captures") > 0).alias("individuals"),

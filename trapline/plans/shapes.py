@@ -9,42 +9,44 @@ from trapline.plans.inputs import Inputs
 from trapline.plans.registry import query
 from trapline.plans.views import uniform
 
-WIDE = ", ".join(f"max(CASE WHEN trap = {j} THEN count END) AS trap_{j}" for j in range(1, 15))
+WIDE = ", ".join(f"max(CASE WHEN trap = {j} THEN count END) AS trap_{j}" for j in range(1, 16))
 
 
 @query("history_wide", "history", f"""
     SELECT species, site_num, ind, id_site, day, max_traps, {WIDE} FROM history GROUP BY ALL""")
 def history_wide(t: Inputs):
-    return histories.history_wide(t.histories)
+    return histories.history_wide(t.histories, *t.span)
 
 
 @query("recaptures_wide", "flags", """
     SELECT species, site_num, id_site, max(CASE WHEN day = 1 THEN recap END) AS day_1,
       max(CASE WHEN day = 2 THEN recap END) AS day_2,
       max(CASE WHEN day = 3 THEN recap END) AS day_3,
-      max(CASE WHEN day = 4 THEN recap END) AS day_4 FROM flags GROUP BY ALL""")
+      max(CASE WHEN day = 4 THEN recap END) AS day_4,
+      max(CASE WHEN day = 5 THEN recap END) AS day_5 FROM flags GROUP BY ALL""")
 def recaptures_wide(t: Inputs):
-    return histories.recaptures_wide(t.known)
+    return histories.recaptures_wide(t.known, t.widths.days)
 
 
-SEEN = ", ".join(f"nullif(count(*) FILTER (trap = {j}), 0) AS trap_{j}" for j in range(1, 15))
+SEEN = ", ".join(f"nullif(count(*) FILTER (trap = {j}), 0) AS trap_{j}" for j in range(1, 16))
 
 
 @query("spatial_recaptures", "captures", f"""
     SELECT site, ind, day, {SEEN} FROM captures WHERE species = 'SODO' GROUP BY ALL""")
 def spatial_recaptures(t: Inputs):
-    return summaries.spatial_recaptures(t.captures, "SODO")
+    return summaries.spatial_recaptures(t.captures, "SODO", t.widths.traps)
 
 
 ZERO = ", ".join(f"coalesce(CAST(sum(count) FILTER (day = {k}) AS BIGINT), 0) AS day_{k}"
-                 for k in range(1, 5))
+                 for k in range(1, 6))
 
 
 @query("spread_zero", "counts", f"""
     SELECT species, site_num, trap, {ZERO} FROM counts GROUP BY ALL""")
 def spread_zero(t: Inputs):
     return summaries.spread_zero(histories.capture_counts(t.kept),
-                                 ["species", "site_num", "trap"], "day", [1, 2, 3, 4], "day_")
+                                 ["species", "site_num", "trap"], "day",
+                                 list(range(1, t.widths.days + 1)), "day_")
 
 
 @query("sex_matrix", "slots sexes", """
@@ -73,7 +75,7 @@ def wide_to_long(t: Inputs):
         string_agg(coalesce(CAST(count AS VARCHAR), 'NA'), ',' ORDER BY trap) AS row
       FROM history WHERE id_site IS NOT NULL GROUP BY ALL) GROUP BY ALL""")
 def capture_array(t: Inputs):
-    slabs = histories.capture_array(t.known)
+    slabs = histories.capture_array(t.known, *t.span)
     return slabs.withColumn("slab", F.array_join(F.transform("slab", lambda row: F.array_join(
         row.cast("array<string>"), ",", "NA")), ";"))
 
@@ -88,11 +90,11 @@ def capture_array(t: Inputs):
       AND f.id_site = g.id_site AND f.day = g.day GROUP BY ALL""")
 def recapture_array(t: Inputs):
     """Array of flags with 0 wherever an individual does not exist, summed per slice."""
-    flags = histories.recapture_flags(t.known).select(
+    flags = histories.recapture_flags(t.known, t.widths.days).select(
         "species", "site_num", "id_site", "day", "recap")
     widest = t.per_site.groupBy("species").agg(F.max("n").alias("m"))
     full = t.per_site.join(F.broadcast(widest), "species")
-    padded = starts.padded_history(full, flags, zero=True, traps=False)
+    padded = starts.padded_history(full, flags, True, t.widths.days, traps=False)
     return padded.groupBy("species", "site_num", "day").agg(
         F.sum("recap").alias("recaptured"), F.count(F.lit(1)).alias("cells"))
 
@@ -101,9 +103,9 @@ def recapture_array(t: Inputs):
     SELECT species, site_num, day, count(*) FILTER (id_site > n) AS zero_rows, count(*) AS rows
     FROM slots CROSS JOIN days GROUP BY ALL""")
 def zero_rows(t: Inputs):
-    days = histories.recapture_flags(t.known).select(
+    days = histories.recapture_flags(t.known, t.widths.days).select(
         "species", "site_num", "id_site", "day", F.lit(1).alias("real"))
-    rows = starts.padded_history(t.sizes, days, zero=True, traps=False)
+    rows = starts.padded_history(t.sizes, days, True, t.widths.days, traps=False)
     return rows.groupBy("species", "site_num", "day").agg(
         F.count_if(F.col("real") == 0).alias("zero_rows"), F.count(F.lit(1)).alias("rows"))
 
@@ -117,9 +119,9 @@ PADDED = """
 
 
 def _padded(t: Inputs, zero: bool):
-    cells = histories.observed_history(t.known).select(
+    cells = histories.observed_history(t.known, t.widths.days).select(
         "species", "site_num", "id_site", "trap", "day", "count")
-    return starts.padded_history(t.sizes, cells, zero)
+    return starts.padded_history(t.sizes, cells, zero, t.widths.days)
 
 
 @query("history_padded_null", "slots days alltraps history", PADDED)

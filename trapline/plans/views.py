@@ -77,8 +77,13 @@ VIEWS: dict[str, tuple[str, str]] = {
     "effort": ("", _values(SITES, "site, site_num, max_traps")),
     "covariates": ("", _values(SITE_COVARIATES, "site_num, forest, depth, width_m")),
     "caps": ("", _values(SPECIES_CAPS, "species, cap")),
-    "days": ("", "SELECT CAST(unnest(range(1, 5)) AS INTEGER) AS day"),
-    "alltraps": ("", "SELECT CAST(unnest(range(1, 15)) AS INTEGER) AS trap"),
+    "days": ("captures", """
+        SELECT CAST(unnest(range(1, 1 + n)) AS INTEGER) AS day
+        FROM (SELECT greatest(4, max(day)) AS n FROM captures)"""),
+    "alltraps": ("captures", """
+        SELECT CAST(unnest(range(1, 1 + n)) AS INTEGER) AS trap
+        FROM (SELECT greatest(max(trap), (SELECT max(max_traps) FROM effort)) AS n
+              FROM captures)"""),
     "captures": ("effort", """
         SELECT e.event_id AS capture_id, e.site, f.site_num,
           CASE e.user_id % 4 WHEN 0 THEN 'CPIC' WHEN 1 THEN 'PRUB' WHEN 2 THEN 'CSER'
@@ -86,8 +91,9 @@ VIEWS: dict[str, tuple[str, str]] = {
           e.user_id AS ind,
           CASE WHEN e.user_id % 25 = 3 THEN 'U' WHEN e.user_id % 25 = 4 THEN NULL
             WHEN e.user_id % 3 = 0 THEN 'M' ELSE 'F' END AS sex,
-          CAST((day(e.ts) - 1) % 4 AS INTEGER) + 1 AS day,
-          CASE WHEN e.event_id % 211 = 0 THEN least(f.max_traps + 1, 14)
+          CASE WHEN e.event_id % 41 = 0 THEN 5
+            ELSE CAST((day(e.ts) - 1) % 4 AS INTEGER) + 1 END AS day,
+          CASE WHEN e.event_id % 53 = 0 THEN coalesce(f.max_traps, 3) + 1
             ELSE CAST(e.event_id % coalesce(f.max_traps, 3) AS INTEGER) + 1 END AS trap,
           CASE WHEN row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) = 1
             THEN 'N' ELSE 'R' END AS recap,

@@ -72,9 +72,15 @@ def release(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a small table whose rows are expensive to work on the full parallelism of the session
-    (a number is stated because adaptive execution would merge small partitions again)."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    """Give a small table whose rows are expensive to work on the full parallelism of the
+    session."""
+    return df.repartition(task_count(df), *keys)
+
+
+def task_count(df: DataFrame) -> int:
+    """The parallelism of the session, for a small table whose rows are expensive to work on:
+    where a number is stated, adaptive execution does not merge small partitions."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def counted(df: DataFrame) -> tuple[DataFrame, int]:

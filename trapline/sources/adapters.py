@@ -7,8 +7,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapline.sources.lookups import (MAX_TRAPS, N_DAYS, covariate_table, effort_table,
-                                      species_caps)
+from trapline.operators.histories import Widths, widths
+from trapline.sources.lookups import N_DAYS, covariate_table, effort_table, species_caps
 
 LETTERS = "ACDEFGJKLMNOHI"
 PARAMETERS = ("N[1]", "N[2]", "sigma", "beta_1", "alpha0[1,1]")
@@ -43,8 +43,8 @@ class Tables:
     @cached_property
     def captures(self) -> DataFrame:
         """One row per trap capture, without the first-capture mark. Every event is one; the days
-        of the month take turns as the days of a session, and a few captures carry the number of
-        a trap that their site does not have."""
+        of the month take turns as the days of a session, a few captures fall on a further day,
+        and a few carry the number of a trap that their site does not have."""
         user, event = F.col("user_id"), F.col("event_id")
         events = self.raw("events").withColumn(
             "site", F.substring(F.lit(LETTERS), (user % 14).cast("int") + 1, F.lit(1)))
@@ -52,15 +52,22 @@ class Tables:
                    .when(user % 4 == 2, "CSER").otherwise("SODO"))
         sex = (F.when(user % 25 == 3, "U").when(user % 25 == 4, F.lit(None).cast("string"))
                .when(user % 3 == 0, "M").otherwise("F"))
+        traps = F.coalesce("max_traps", F.lit(3))
         return events.join(F.broadcast(self.effort), "site", "left").select(
             event.alias("capture_id"), "site", "site_num", species.alias("species"),
             user.alias("ind"), sex.alias("sex"),
-            ((F.dayofmonth("ts") - 1) % N_DAYS + 1).alias("day"),
-            F.when(event % 211 == 0, F.least(F.col("max_traps") + 1, F.lit(MAX_TRAPS))).otherwise(
-                (event % F.coalesce("max_traps", F.lit(3))).cast("int") + 1).alias("trap"),
+            F.when(event % 41 == 0, N_DAYS + 1).otherwise(
+                (F.dayofmonth("ts") - 1) % N_DAYS + 1).alias("day"),
+            F.when(event % 53 == 0, traps + 1).otherwise((event % traps).cast("int") + 1).alias(
+                "trap"),
             F.when(event % 97 != 0, F.col("value")).alias("carapace"),
             (F.col("value") * 2).alias("mass"), "ts")
 
+    @cached_property
+    def widths(self) -> Widths:
+        """Traps and days that the tables must hold, from the effort table and the whole log."""
+        return widths(self.effort, self.captures)
+
     @cached_property
     def marked_captures(self) -> DataFrame:
         """Captures with recap = N on the first capture of an individual and R on the others.
@@ -157,7 +164,7 @@ class Tables:
             ((F.col("l_orderkey") % 4) + 1).cast("int").alias("chain"),
             lineitem_iteration().alias("iteration")).distinct()
         sites = F.array(*[F.lit(g) for g in range(1, 13)])
-        days = F.sequence(F.lit(1), F.lit(N_DAYS))
+        days = F.sequence(F.lit(1), F.lit(self.widths.days))
         grid = kept.withColumn("site_num", F.explode(sites)).withColumn("day", F.explode(days))
         chain, it, site = F.col("chain"), F.col("iteration") % 7, F.col("site_num")
         return grid.select(

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapline.sources.lookups import RunConfig
 
 RUN_KEYS = ["species", "run_date", "testing"]
+SLOT_KEYS = ["site_num", "id_site"]
 
 
 def save_derived(tables: dict[str, DataFrame], root: str, run_date: str,
@@ -41,6 +44,33 @@ def load_draws(spark: SparkSession, root: str, config: RunConfig) -> DataFrame:
     return load_derived(spark, root, "draws", config).drop("species")
 
 
+def save_latent(latent: DataFrame, root: str, buckets: int = 64) -> None:
+    """Latent states in files by hash of site and slot, sorted in each file: joins on these two
+    read a bucket where it lies. A run of another number of buckets lies beside it."""
+    spark, path = latent.sparkSession, f"{root}/latent-{buckets}"
+    name = _table_name(path)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    (latent.repartition(buckets, *SLOT_KEYS).write.mode("overwrite").format("parquet")
+     .bucketBy(buckets, *SLOT_KEYS).sortBy(*SLOT_KEYS).option("path", path).saveAsTable(name))
+
+
+def load_latent(spark: SparkSession, root: str, buckets: int = 64) -> DataFrame:
+    """The bucketed table; a session that did not write it is told of its buckets first."""
+    path = f"{root}/latent-{buckets}"
+    name = _table_name(path)
+    if not spark.catalog.tableExists(name):
+        schema = spark.read.parquet(path).schema
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        keys = ", ".join(SLOT_KEYS)
+        spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY ({keys}) "
+                  f"SORTED BY ({keys}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
+def _table_name(path: str) -> str:
+    return f"latent_{hashlib.sha256(path.encode()).hexdigest()[:16]}"
+
+
 def _text_date(schema):
     """Folder values such as 2020-05-23 are read as dates; keep the run key as text."""
     fields = [f"`{f.name}` {'string' if f.name == 'run_date' else f.dataType.simpleString()}"
