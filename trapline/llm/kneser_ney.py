@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import mmap
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,9 +26,9 @@ from trapline.llm.common import open_store, scratch, settle, write_file
 
 #: Bytes of text that are cut into words at once, tokens that are counted or scored at once, and
 #: training tokens for each shard.
-SLICE_BYTES = 1 << 22
-CHUNK_TOKENS = 1 << 21
-SHARD_BYTES = 6 << 22
+SLICE_BYTES = 1 << 21
+CHUNK_TOKENS = 1 << 20
+SHARD_BYTES = 6 << 21
 #: A first word with more than one token in so many is spread; there are fewer than that.
 HOT = 1000
 #: Discounts where the counts of counts give none between 0 and 1, 2 and 3.
@@ -51,7 +52,7 @@ def _parts(text: str | None):
     yield data[start:] if start else data, True
 
 
-def tokens(texts: list):
+def tokens(texts: Iterable[str | None]):
     """Hashes of all tokens with the token before each: arrays (owner, before, token) of bounded
     length. A text ends with an end token and begins after a begin token; a long text goes on in
     the next arrays."""
@@ -88,7 +89,7 @@ def _chunks(batches, column: int):
     """Arrays of ``tokens`` joined to about CHUNK_TOKENS; owners are numbered through."""
     held, size, first = [], 0, 0
     for batch in batches:
-        for owner, before, token in tokens(batch.column(column).to_pylist()):
+        for owner, before, token in tokens(v.as_py() for v in batch.column(column)):
             held.append((owner + first, before, token))
             size += len(token)
             if size >= CHUNK_TOKENS:
