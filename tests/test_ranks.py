@@ -33,6 +33,44 @@ def test_quantiles(values):
         assert np.allclose([got[name][k] for k in probs], want)
 
 
+@pytest.mark.parametrize("cuts,most", [(256, 1 << 17), (8, 20), (32, 4)])
+def test_quantiles_by_narrowing(spark, monkeypatch, cuts, most):
+    """Several passes, ties that no pass can split, values far outside, whole numbers."""
+    monkeypatch.setattr(ranks, "CUTS", cuts)
+    monkeypatch.setattr(ranks, "BRACKET_ROWS", most)
+    rng = np.random.default_rng(7)
+    named = {"far": np.concatenate([rng.normal(size=3000), [1e300, -1e300, 1e-300]]),
+             "tied": np.repeat([1.0, 2.0, 3.0], [900, 1100, 500]), "same": np.full(700, 4.0),
+             "even": np.arange(2000.0), "two": np.array([1.0, 5.0]), "one": np.array([9.0]),
+             "signs": np.array([-0.5, 0.0, 0.5] * 300)}
+    rows = spark.createDataFrame([(k, float(v)) for k, x in named.items() for v in x],
+                                 "name string, value double").repartition(7)
+    probs = {f"q{i}": p for i, p in enumerate((0, 0.001, 0.025, 0.25, 0.5, 0.77, 0.975, 1))}
+    got = {r["name"]: r for r in ranks.exact_quantiles(rows, ["name"], "value", probs).collect()}
+    for name, x in named.items():
+        want = np.quantile(x, list(probs.values()))
+        assert [got[name][k] for k in probs] == pytest.approx(want.tolist(), rel=1e-12), name
+    whole = ranks.exact_quantiles(rows.where("name = 'even'").selectExpr("cast(value AS int) AS value"),
+                                  [], "value", {"m": 0.5, "q": 0.1}).first()
+    assert (whole.m, whole.q) == pytest.approx((999.5, 199.9))
+
+
+def test_quantiles_move_only_what_lies_in_brackets(spark, monkeypatch):
+    """No range exchange, and nothing of the size of the rows is written."""
+    written = []
+
+    def watched(df):
+        out = settle(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(ranks, "settle", watched)
+    rows = spark.range(200_000).selectExpr("id % 2 AS g", "cast(hash(id) AS double) AS value")
+    frame = ranks.exact_quantiles(rows, ["g"], "value", {"a": 0.1, "b": 0.9})
+    assert "rangepartitioning" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert len(frame.collect()) == 2 and max(written) <= 4
+
+
 def test_ranges_are_really_split(spark, values):
     """With many small partitions a group spans several ranges and the ranks still hold."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
