@@ -57,6 +57,61 @@ def test_store_replaces_one_run_only(spark, folder):
     assert load("CPIC", "2020-05-23", True) == [5] and load("CPIC", "2020-05-23") == []
 
 
+def test_a_killed_write_leaves_the_old_part(spark, folder, monkeypatch):
+    """A write that dies, and one that dies between writing and publishing."""
+    config = RunConfig("CPIC", "2020-05-01")
+    rows = spark.range(1000).selectExpr("'CPIC' AS species", "id AS x")
+    store.save_derived({"k": rows}, folder, config.run_date)
+    held = store.load_derived(spark, folder, "k", config)
+
+    def total():
+        return store.load_derived(spark, folder, "k", config).agg(F.sum("x")).first()[0]
+
+    broken = rows.repartition(4).withColumn("x", F.expr(
+        "if(x = 999, raise_error('killed'), x + 1)"))
+    with pytest.raises(Exception, match="killed"):
+        store.save_derived({"k": broken}, folder, config.run_date)
+    assert total() == 499_500
+
+    def die(*_):
+        raise KeyboardInterrupt
+    with monkeypatch.context() as patch:
+        patch.setattr(store.shared, "replace_file", die)
+        with pytest.raises(KeyboardInterrupt):
+            store.save_derived({"k": rows.withColumn("x", F.col("x") + 1)}, folder, config.run_date)
+    assert total() == 499_500
+    store.save_derived({"k": rows.withColumn("x", F.col("x") + 1)}, folder, config.run_date)
+    # a reader that began before sees what it began with
+    assert total() == 500_500 and held.agg(F.sum("x")).first()[0] == 499_500
+    assert len(store.remove_unpublished(spark, folder, "k")) == 3
+    assert total() == 500_500 and store.remove_unpublished(spark, folder, "k") == []
+
+
+def test_odd_run_keys(spark, folder):
+    rows = spark.createDataFrame([("a b/c,é", 1)], "species string, x int")
+    store.save_derived({"odd": rows}, folder, "2020/05 01")
+    assert [r.x for r in store.load_derived(spark, folder, "odd", RunConfig(
+        "a b/c,é", "2020/05 01")).collect()] == [1]
+    with pytest.raises(FileNotFoundError):
+        store.load_derived(spark, folder, "none", RunConfig("CPIC", "x"))
+
+
+def test_a_stored_order_is_verified(spark, folder):
+    order = ["g", "k"]
+    rows = spark.range(5000).selectExpr("id % 7 AS g", "if(id % 50 = 0, null, hash(id)) AS k",
+                                        "id AS x").repartition(6)
+    store.save_ordered(rows, f"{folder}/good", order)
+    got = store.load_ordered(spark, f"{folder}/good", order).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(1, 5001))
+    keys = [(r.g, r.k is not None, r.k or 0) for r in got]
+    assert keys == sorted(keys)
+    sorted_files = rows.repartition(3, "x").sortWithinPartitions(*order)
+    for name, bad in (("shuffled", rows), ("overlapping", sorted_files)):
+        bad.write.parquet(f"{folder}/{name}")
+        with pytest.raises(ValueError, match="out of order"):
+            store.load_ordered(spark, f"{folder}/{name}", order)
+
+
 def test_store_prunes_partitions(spark, folder):
     rows = spark.range(4).select(F.lit("CPIC").alias("species"), "id")
     store.save_derived({"t": rows}, folder, "2020-05-01")
@@ -70,6 +125,11 @@ def test_run_settings():
     assert RunConfig("CPIC", "2020-05-23", True).cap == 100
     assert chain_settings(RunConfig("SODO", "x")).every == 10
     assert chain_settings(RunConfig("CPIC", "x", True)).iterations == 700
+    assert chain_settings(RunConfig("CPIC", "x")).iterations == 15000
+    assert chain_settings(RunConfig("SODO", "x"), "compiled").every == 6
+    assert chain_settings(RunConfig("CPIC", "x", True), "variable").burn == 1
+    with pytest.raises(KeyError):
+        chain_settings(RunConfig("CPIC", "x"), "unknown")
 
 
 class Session:

@@ -194,17 +194,16 @@ def proportion_captured(draws: DataFrame, per_site: DataFrame) -> DataFrame:
 
 
 def prior_against_posterior(draws: DataFrame, parameter: str = "sigma", shape: int = 5,
-                            rate: float = 1.25, points: int = 101, high: float = 10.0,
-                            bins: int = 50) -> DataFrame:
-    """Prior density on a grid above the posterior frequency polygon of one parameter."""
+                            rate: float = 1.25, bins: int = 50) -> DataFrame:
+    """Prior density and posterior frequency polygon of one parameter, both at the middles of the
+    bins of its draws."""
     chosen = draws.where(F.col("parameter") == parameter)
-    polygon = frequency_polygon(chosen, ["parameter"], bins).select(
-        F.lit("posterior").alias("source"), F.col("mid").alias("x"), "density")
-    grid = draws.sparkSession.range(points).select(
-        (F.col("id") * high / (points - 1)).alias("x"))
-    prior = grid.select(F.lit("prior").alias("source"), "x", gamma_density(
-        F.col("x"), F.lit(shape), F.lit(rate)).alias("density"))
-    return prior.unionByName(polygon)
+    prior = gamma_density(F.col("mid"), F.lit(shape), F.lit(rate))
+    return frequency_polygon(chosen, ["parameter"], bins).select(
+        F.col("mid").alias("x"), F.explode(F.array(
+            F.struct(F.lit("prior").alias("source"), prior.alias("density")),
+            F.struct(F.lit("posterior").alias("source"), F.col("density").alias("density"))
+        )).alias("_d")).select("_d.source", "x", "_d.density")
 
 
 def prior_pushforward(keys: DataFrame, key: str, seed: int = 7, mean: float = 1.5,

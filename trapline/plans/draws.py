@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trapline.operators import filters, posterior
+from trapline.operators import filters, posterior, summaries
 from trapline.plans.inputs import Inputs
 from trapline.plans.registry import query
 from trapline.plans.views import normal_quantile, num, uniform
@@ -182,6 +182,17 @@ def proportion_captured(t: Inputs):
     return posterior.proportion_captured(t.draws, t.per_site)
 
 
+@query("proportion_summary", "draws per_site", f"""
+    SELECT species, site_num, count(*) FILTER (p IS NULL) AS n_null, min(p) AS minimum,
+      quantile_cont(p, 0.25) AS q1, quantile_cont(p, 0.5) AS median, avg(p) AS mean,
+      quantile_cont(p, 0.75) AS q3, max(p) AS maximum FROM ({PROPORTION}) GROUP BY ALL""",
+       "minimum q1 median mean q3 maximum", 9)
+def proportion_summary(t: Inputs):
+    """The six numbers of the captured proportions of every species and site."""
+    shares = posterior.proportion_captured(t.draws, t.per_site)
+    return summaries.summary_table(shares, ["species", "site_num"], "p")
+
+
 @query("proportion_histogram", f"draws per_site", f"""
     WITH shares AS (SELECT species, site_num, p AS value FROM ({PROPORTION}))
     {bins_sql("shares", "species, site_num", 50, "", "bin_start")}""", "bin_start density", 10)
@@ -191,12 +202,12 @@ def proportion_histogram(t: Inputs):
 
 
 @query("prior_against_posterior", "draws", f"""
-    SELECT 'prior' AS source, x, CASE WHEN x > 0 THEN exp(5 * ln(1.25e0) + 4 * ln(x)
-      - 1.25e0 * x - ln(24e0)) ELSE 0e0 END AS density
-    FROM (SELECT CAST(unnest(range(0, 101)) AS DOUBLE) / 10 AS x)
-    UNION ALL SELECT 'posterior', mid, density FROM (
-      SELECT * FROM (WITH chosen AS (SELECT * FROM draws WHERE parameter = 'sigma')
-      {bins_sql("chosen", "parameter", 50, " + 0.5e0", "mid")}))""", "x density")
+    SELECT source, mid AS x, CASE WHEN source = 'posterior' THEN density
+      WHEN mid > 0 THEN exp(5 * ln(1.25e0) + 4 * ln(mid) - 1.25e0 * mid - ln(24e0))
+      ELSE 0e0 END AS density
+    FROM (SELECT * FROM (WITH chosen AS (SELECT * FROM draws WHERE parameter = 'sigma')
+      {bins_sql("chosen", "parameter", 50, " + 0.5e0", "mid")}))
+    CROSS JOIN (VALUES ('prior'), ('posterior')) AS s(source)""", "x density")
 def prior_against_posterior(t: Inputs):
     return posterior.prior_against_posterior(t.draws)
 

@@ -516,6 +516,17 @@ def arranged_covariates(t: Inputs):
         F.count(F.lit(1)).alias("n")).orderBy("site_num", "species", "ind")
 
 
+@query("stored_order", "captures", """
+    SELECT *, row_number() OVER (ORDER BY site_num, species, ind) AS place FROM (
+      SELECT site_num, species, ind, count(*) AS n FROM captures
+      WHERE site_num IS NOT NULL GROUP BY ALL)""")
+def stored_order(t: Inputs):
+    """The order itself: rows come back from the ordered store with their places."""
+    path, order = scratch(t.spark, "ordered"), ["site_num", "species", "ind"]
+    store.save_ordered(arranged_covariates(t), path, order)
+    return store.load_ordered(t.spark, path, order)
+
+
 @query("last_captures", "captures", """
     SELECT site, ind, day, capture_id FROM captures
     ORDER BY site DESC, ind DESC, day DESC, capture_id DESC LIMIT 20""")

@@ -83,9 +83,18 @@ class ChainSettings:
     every: int
 
 
-def chain_settings(config: RunConfig) -> ChainSettings:
-    if config.testing:
-        return ChainSettings(2, 700, 200, 1)
-    if config.species == "CPIC":
-        return ChainSettings(8, 15000, 3000, 3)
-    return ChainSettings(8, 55000, 5000, 10)
+# Chains, iterations, burn-in and thinning of a full and of a testing run. The first
+# kind has a longer run for species other than the first.
+SETTINGS = {
+    "production": (ChainSettings(8, 15000, 3000, 3), ChainSettings(2, 700, 200, 1)),
+    "production_long": (ChainSettings(8, 55000, 5000, 10), ChainSettings(2, 700, 200, 1)),
+    "compiled": (ChainSettings(8, 8000, 2000, 6), ChainSettings(2, 200, 100, 1)),
+    "variable": (ChainSettings(6, 25000, 5000, 3), ChainSettings(2, 101, 1, 1)),
+}
+
+
+def chain_settings(config: RunConfig, kind: str = "production") -> ChainSettings:
+    """Settings of a run; ``kind`` is one of ``SETTINGS``."""
+    if kind == "production" and config.species != "CPIC":
+        kind = "production_long"
+    return SETTINGS[kind][config.testing]
