@@ -25,7 +25,7 @@ def brute(rows, k, every):
 @pytest.mark.parametrize("small", [False, True])
 def test_against_all_pairs(spark, monkeypatch, small):
     if small:  # several blocks, passes, shards and levels of the tree
-        for name, value in (("SHARD_ROWS", 8), ("BLOCK_ROWS", 3), ("BLOCKS_AT_ONCE", 2),
+        for name, value in (("SHARD_ROWS", 8), ("BLOCK_ROWS", 3), ("CELL_SHARDS", 2), ("CELL_BLOCKS", 2),
                             ("FAN", 2)):
             monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(2)
@@ -34,6 +34,15 @@ def test_against_all_pairs(spark, monkeypatch, small):
     assert sorted(map(tuple, got.collect())) == brute(rows, 5, 10)
 
 
+def test_the_plan_does_not_grow_with_the_queries(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 2)
+    rows = [(i, [float(i % 7), 1.0]) for i in range(400)]
+    plans = [topk.search(table(spark, rows), F.col("vec_id") % every == 0)._jdf.queryExecution()
+             .optimizedPlan().toString() for every in (200, 2)]
+    assert plans[0].count("\n") == plans[1].count("\n")
+    assert all(p.count("FlatMapCoGroups") == 1 and p.count("Union") == 0 for p in plans)
+
+
 def test_ties_and_few_candidates(spark):
     rows = [(0, [1.0, 0.0]), (5, [0.5, 0.0]), (3, [0.5, 1.0]), (4, [0.25, 0.0])]
     got = topk.search(table(spark, rows), F.col("vec_id") == 0, 5).orderBy("rank").collect()

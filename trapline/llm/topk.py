@@ -1,8 +1,9 @@
 """Exact top-k search by integer inner product.
 
-Vectors are packed into shards and queries into blocks, one row each. A task multiplies one block
-by one shard, keeps the k best of every query in that tile, and the short lists are merged in a
-tree: lists of a few tiles meet first, then lists of lists, until one is left."""
+Vectors are packed into shards and queries into blocks, one row each. A few shards and a few blocks
+meet in a cell, by one join whatever their number; a task multiplies block by shard, keeps the k
+best of every query in that tile, and the short lists are merged in a tree: lists of a cell meet
+first, then lists of a few cells, then lists of lists, until one is left."""
 
 from __future__ import annotations
 
@@ -16,14 +17,17 @@ from trapline.llm.common import settle
 #: Rows of a shard and of a block of queries; they bound the matrices of a task.
 SHARD_ROWS = 4096
 BLOCK_ROWS = 1024
-#: Blocks that are sent to the tasks at once; they bound what is broadcast.
-BLOCKS_AT_ONCE = 8
+#: About how many shards and blocks of queries meet in a cell.
+CELL_SHARDS = 8
+CELL_BLOCKS = 16
 #: Lists that one step of the tree merges.
 FAN = 16
 SCALE = 256
 LONGEST = 2 ** 63 - 1
 
 LISTS = "query_id long, vec_id long, score long, _tile long"
+LIST_SCHEMA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()),
+                         ("_tile", pa.int64())])
 PACKED = "_dim int, _ids binary, _values binary"
 
 
@@ -90,27 +94,35 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return chosen[np.lexsort((ids[chosen], -scores[chosen]))][:k]
 
 
-def _tiles(k: int):
-    def search(batches):
-        for batch in batches:
-            found: dict[str, list] = {n: [] for n in ("query_id", "vec_id", "score", "_tile")}
-            for row in batch.to_pylist():
-                dim = row["_dim"]
-                ids = np.frombuffer(row["_ids"], np.int64)
-                shard = np.frombuffer(row["_values"]).reshape(-1, dim)
-                wanted = np.frombuffer(row["_query_ids"], np.int64)
-                queries = np.frombuffer(row["_queries"]).reshape(-1, dim)
+def _cell(k: int):
+    """The k best candidates of every query among the shards of a cell, tile by tile."""
+    def unpacked(table: pa.Table):
+        for dim, ids, values in zip(*(table.column(c).to_pylist()
+                                      for c in ("_dim", "_ids", "_values"))):
+            yield dim, np.frombuffer(ids, np.int64), np.frombuffer(values).reshape(-1, dim)
+
+    def search(shards: pa.Table, blocks: pa.Table) -> pa.Table:
+        found: list[list[np.ndarray]] = [[], [], []]
+        for dim, wanted, queries in unpacked(blocks):
+            lists = [[] for _ in wanted]
+            for width, ids, shard in unpacked(shards):
+                if width != dim:
+                    continue
                 scores = _products(queries, shard)
                 for i, q in enumerate(wanted):
                     own = np.flatnonzero(ids != q)
                     top = own[best(scores[i][own], ids[own], k)]
-                    found["query_id"].append(np.full(len(top), q))
-                    found["vec_id"].append(ids[top])
-                    found["score"].append(scores[i][top])
-                    found["_tile"].append(np.full(len(top), row["_shard"]))
-            yield pa.RecordBatch.from_pydict({
-                n: pa.array(np.concatenate(v) if v else [], pa.int64())
-                for n, v in found.items()})
+                    lists[i].append((ids[top], scores[i][top]))
+            for q, parts in zip(wanted, lists):
+                if parts:
+                    ids, values = map(np.concatenate, zip(*parts))
+                    top = best(values, ids, k)
+                    for column, part in zip(found, (np.full(len(top), q), ids[top], values[top])):
+                        column.append(part)
+        columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in found]
+        tile = shards.column("_i")[0].as_py() if len(shards) else 0
+        return pa.table([*map(pa.array, columns), pa.array(np.full(len(columns[0]), tile))],
+                        schema=LIST_SCHEMA)
     return search
 
 
@@ -136,21 +148,27 @@ def search(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id",
     no part; vectors of different lengths do not meet. Rows that repeat an id: candidates of the
     query's own id are left out, other repeats are candidates each, and a repeated query is asked
     once, with its first vector in the order of components. No rows give an empty result."""
-    spark = vectors.sparkSession
     sound = integers(vectors, key, value)
-    packed = settle(sound.mapInArrow(_pack(SHARD_ROWS), PACKED))
-    shards = packed.withColumn("_shard", F.monotonically_increasing_id())
-    count = max(packed.count(), 1)
-    tiles_of = F.pmod(F.xxhash64("_shard"), F.lit(count))
     asked = integers(vectors.where(is_query), key, value).groupBy("_id").agg(
         F.min("_v").alias("_v"))
-    blocks = settle(asked.mapInArrow(_pack(BLOCK_ROWS), PACKED).withColumn(
-        "_block", F.monotonically_increasing_id()))
-    numbers = sorted(r[0] for r in blocks.select("_block").collect())  # one per BLOCK_ROWS rows
-    lists = spark.createDataFrame([], LISTS)
-    for start in range(0, len(numbers), BLOCKS_AT_ONCE):
-        part = blocks.where(F.col("_block").isin(numbers[start:start + BLOCKS_AT_ONCE])).select(
-            "_dim", F.col("_ids").alias("_query_ids"), F.col("_values").alias("_queries"))
-        tiles = shards.withColumn("_shard", tiles_of).join(F.broadcast(part), "_dim")
-        lists = lists.unionByName(tiles.mapInArrow(_tiles(k), LISTS))
-    return merged(lists, k, count)
+    shards, across = _grouped(sound, SHARD_ROWS, CELL_SHARDS, "_i")
+    blocks, down = _grouped(asked, BLOCK_ROWS, CELL_BLOCKS, "_j")
+
+    def every(name: str, cells: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias(name)
+
+    # a group of shards goes to each group of blocks, and the reverse
+    left = shards.select("*", every("_j", down)).groupBy("_i", "_j")
+    right = blocks.select("*", every("_i", across)).groupBy("_i", "_j")
+    lists = left.cogroup(right).applyInArrow(_cell(k), LISTS)
+    return merged(lists, k, across)
+
+
+def _grouped(vectors: DataFrame, rows: int, packs: int, name: str) -> tuple[DataFrame, int]:
+    """Packs of ``rows`` vectors, settled and dealt into groups of about ``packs``, and the number
+    of groups."""
+    packed = settle(vectors.mapInArrow(_pack(rows), PACKED).withColumn(
+        "_pack", F.monotonically_increasing_id()))
+    groups = max(1, -(-packed.count() // packs))
+    return packed.withColumn(name, F.pmod(F.xxhash64("_pack"), F.lit(groups)).cast("int")).drop(
+        "_pack"), groups
