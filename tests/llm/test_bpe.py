@@ -40,6 +40,37 @@ def test_equals_the_known_encoder_and_round_trips(spark, known):
     assert back == sorted((str(i), (t or "").encode()) for i, t in rows)
 
 
+def test_long_pre_tokens_are_merged_in_the_same_order(known, monkeypatch):
+    """By the heap and by the matrices, also where parts of a token are later than the token."""
+    rng = random.Random(9)
+    table = bpe.table(PATH)
+    tokens = [b"x" * 3000, b"ab" * 900, b"a" * 1025, "é🙂".encode() * 400] + [
+        "".join(rng.choices(s, k=rng.randint(1025, 3000))).encode()
+        for s in ("ab", "abc", "etaoinshr", "ABCDEFGHabcdefgh0123+/=", "éß你", ".-_=") for _ in range(4)]
+    long = table.encode(tokens)
+    monkeypatch.setattr(bpe, "LONG_ROW", 1 << 30)
+    assert table.encode(tokens) == long
+    short = [bytes(rng.choices(b"abcde. -", k=rng.randint(1, 40))) for _ in range(2000)]
+    monkeypatch.setattr(bpe, "LONG_ROW", 0)
+    heaped = table.encode(short)
+    monkeypatch.setattr(bpe, "LONG_ROW", 1 << 30)
+    assert heaped == table.encode(short)
+
+
+def test_a_megabyte_of_letters(spark, known):
+    import time
+    rng = random.Random(4)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1 << 20))
+    base64 = "".join(rng.choices("ABCDEFGHabcdefgh0123456789", k=1 << 17))
+    docs = spark.createDataFrame([(1, text, "x", 1), (2, base64, "x", 1), (3, "z" * (1 << 18),
+                                  "x", 1)], SCHEMA)
+    started = time.time()
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist()
+           for r in bpe.encode(docs, PATH, public.PATTERN).collect()}
+    assert time.time() - started < 120
+    assert got == {r.doc_id: known.encode_ordinary(r.text) for r in docs.collect()}
+
+
 def test_pieces_end_where_pre_tokens_do(known):
     for text in texts():
         assert "".join(pieces(text)) == text

@@ -2,14 +2,17 @@
 
 The pieces of a batch are cut into pre-tokens; distinct pre-tokens are grouped by length into
 padded matrices of token ids. In each round every row merges its leftmost pair of minimum rank;
-pair ranks come from a hashed table, rows are compacted, and finished rows leave."""
+pair ranks come from a hashed table, rows are compacted, and finished rows leave. A round costs the
+width of the matrix, so a pre-token of more than ``LONG_ROW`` bytes would cost the square of its
+length; it is merged by itself in the same order, from a heap of its pairs."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import itertools
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,8 @@ from trapline.llm.pieces import Memo, bounded, gathered
 NONE = np.iinfo(np.int32).max
 #: Cells of a matrix; a matrix is at most twice as wide as its shortest row.
 MATRIX_CELLS = 1 << 18
+#: Bytes of the longest pre-token that goes into a matrix.
+LONG_ROW = 1024
 #: Texts decoded together.
 FEW = 64
 
@@ -121,13 +126,49 @@ class Table:
             ranks[gaps >= (sizes - 1)[:, None]] = NONE
         return done, lengths
 
+    @cached_property
+    def by_pair(self) -> dict[int, int]:
+        """Rank by pair, both ids in one number."""
+        held = self.keys >= 0
+        return dict(zip(self.keys[held].tolist(), self.values[held].tolist()))
+
+    def merge_long(self, token: bytes) -> bytes:
+        """Ids of one long pre-token: the least (rank, place) of its pairs comes from a heap, and a
+        merge puts the two new pairs beside it there. Entries of pairs that are gone are skipped.
+        Time grows as the length times its logarithm."""
+        ids = self.single[np.frombuffer(token, np.uint8)].tolist()
+        rank = self.by_pair.get
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        heap = [r << 32 | i for i, (a, b) in enumerate(zip(ids, ids[1:]))
+                if (r := rank(a << 32 | b)) is not None]
+        heapq.heapify(heap)
+        end = len(ids)
+        while heap:
+            least = heapq.heappop(heap)
+            made, i = least >> 32, least & 0xFFFFFFFF
+            j = after[i]
+            if ids[i] < 0 or j >= end or rank(ids[i] << 32 | ids[j]) != made:
+                continue
+            ids[i], ids[j], after[i] = made, -1, after[j]
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < end:
+                    before[b] = a
+                    r = rank(ids[a] << 32 | ids[b])
+                    if r is not None:
+                        heapq.heappush(heap, r << 32 | a)
+        return np.array([i for i in ids if i >= 0], "<u4").tobytes()
+
     def encode(self, tokens: list[bytes]) -> list[bytes]:
         """Ids of each pre-token as little-endian 32-bit bytes; the rows of a matrix are of like
-        length and bounded in number."""
+        length and bounded in number and width."""
         lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
         order = np.argsort(lengths, kind="stable")
         order = order[lengths[order] > 0]
         out = [b""] * len(tokens)
+        short = int(np.searchsorted(lengths[order], LONG_ROW, "right"))
+        for i in order[short:].tolist():
+            out[i] = self.merge_long(tokens[i])
+        order = order[:short]
         start = 0
         while start < len(order):
             shortest = lengths[order[start]]
@@ -209,8 +250,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
 
     Each match of ``pattern`` is encoded by itself by the file of ``ranks``, without special
     tokens. A null text is empty and has no ids; null keys and repeated rows are kept as they
-    are; no rows give an empty result; other columns are ignored. A run of one pre-token of any
-    length is merged as one row. Nothing is shuffled, so a lost task is run again by itself."""
+    are; no rows give an empty result; other columns are ignored. A pre-token of any length is merged
+    whole, in time that grows little more than its length. Nothing is shuffled, so a lost task is run again by itself."""
     kind = "ids_sha256 string, decoded_sha256 string" if digests else "ids binary"
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"),
                        F.coalesce(F.col(text), F.lit("")).alias("text"))
