@@ -51,6 +51,38 @@ def test_a_reader_fetches_only_the_frames_it_wants(spark, known, monkeypatch):
     assert row.frame < len(reader.table)
 
 
+@pytest.mark.parametrize("size,documents", [(1, 1 << 17), (5000, 1 << 17), (1 << 28, 3)])
+def test_files_roll(spark, known, monkeypatch, size, documents):
+    """The files of a range follow each other, and their index is passed on file by file."""
+    import pyarrow as pa
+    monkeypatch.setattr(token_files, "FRAME_BYTES", 1000)
+    monkeypatch.setattr(token_files, "FILE_BYTES", size)
+    monkeypatch.setattr(token_files, "FILE_DOCUMENTS", documents)
+    monkeypatch.setattr(token_files, "TaskContext", type("Task", (), {
+        "get": staticmethod(lambda: type("Part", (), {"partitionId": lambda self: 4})())}))
+    written = []
+    monkeypatch.setattr(token_files, "write_file", lambda folder, name, body: written.append(
+        (name, sum(map(len, body)))))
+    rows = [(i, t) for i, t in enumerate(texts()[:120])]
+    batch = pa.record_batch({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
+    index = []
+    for out in token_files._writer("folder", PATH, False)([batch.slice(0, 50), batch.slice(50)]):
+        index += out.to_pylist()
+        assert len(written) == len({r["file"] for r in index})
+    assert [r["doc_id"] for r in index] == [i for i, _ in rows]
+    assert len(written) > 5 and {r["part"] for r in index} == {4}
+    start = 0
+    for r, (_, text) in zip(index, rows):
+        assert (r["before"], r["n_tokens"]) == (start, len(known(text)) + 1)
+        start += r["n_tokens"]
+    for name, _ in written:
+        own = [r for r in index if r["file"] == name]
+        assert len({r["frame"] for r in own}) == max(r["frame"] for r in own) + 1
+        for a, b in zip(own, own[1:]):
+            same = a["frame"] == b["frame"]
+            assert b["offset"] == (a["offset"] + 4 * a["n_tokens"] if same else 0)
+
+
 def test_a_damaged_frame_is_found(spark):
     index, folder = token_files.write(table(spark, [(1, "some text")]).coalesce(1), PATH)
     store, path = open_store(folder)

@@ -1,12 +1,13 @@
 """Token-ID files: independent Zstandard frames with a seek table and a checksum per frame.
 
-Documents are dealt into ranges of their key; each range is encoded in order and written as one
-file of 32-bit little-endian ids, cut into frames at document ends. The index holds each
-document's file, frame, place in the frame and length, so a reader decompresses only the frames
+Documents are dealt into ranges of their key; each range is encoded in order and written as files
+of 32-bit little-endian ids, cut into frames at document ends and into files at frame ends. The
+index holds each document's file, frame, place in the frame and length, so a reader decompresses only the frames
 of the documents it is asked for."""
 
 from __future__ import annotations
 
+import itertools
 import uuid
 import zlib
 from array import array
@@ -23,6 +24,9 @@ from trapline.llm.pieces import Memo, bounded
 from trapline.llm.seekable import Reader, packed
 
 FRAME_BYTES = 1 << 20
+#: Bytes of ids and documents after which a file ends; the last frame may pass the bytes.
+FILE_BYTES = 1 << 28
+FILE_DOCUMENTS = 1 << 17
 END_ID = 0
 INDEX = ("doc_id long, part int, file string, frame int, offset long, before long, n_tokens long")
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("file", pa.string()),
@@ -52,38 +56,58 @@ def encoder(tokenizer: str, special: bool = False):
     return encode
 
 
-def _writer(folder: str, tokenizer: str, special: bool):
+def _frames(batches, memo: Memo):
+    """Frames of whole documents in order, each with the keys and the numbers of ids of its
+    documents."""
     end = np.array([END_ID], "<u4").tobytes()
+    frame, keys, counts, size = [], [], [], 0
+    for batch in batches:
+        ids_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for start, end_at in bounded(texts):
+            for key, ids in zip(ids_of[start:end_at], memo(texts[start:end_at])):
+                frame += (ids, end)
+                keys.append(key)
+                counts.append(len(ids) // 4 + 1)
+                size += 4 * counts[-1]
+                if size >= FRAME_BYTES:
+                    yield b"".join(frame), keys, counts
+                    frame, keys, counts, size = [], [], [], 0
+    if keys:
+        yield b"".join(frame), keys, counts
+
 
+def _writer(folder: str, tokenizer: str, special: bool):
+    """Files of bounded size from the frames of a range; the index of a file is passed on as soon
+    as the file is whole, so a range of any size takes the memory of one frame and one index."""
     def write(batches):
-        memo = memory(tokenizer, special)
-        part = TaskContext.get().partitionId()
-        name = f"{part:06d}-{uuid.uuid4().hex}.ids.zst"
-        index: list[dict] = []
-
-        def frames():
-            frame, size, number, before = [], 0, 0, 0
-            for batch in batches:
-                keys = batch.column(0).to_pylist()
-                texts = batch.column(1).to_pylist()
-                for start, end_at in bounded(texts):
-                    for key, ids in zip(keys[start:end_at], memo(texts[start:end_at])):
-                        tokens = len(ids) // 4 + 1
-                        index.append({"doc_id": key, "part": part, "file": name,
-                                      "frame": number, "offset": size, "before": before,
-                                      "n_tokens": tokens})
-                        frame.append(ids + end)
-                        size += 4 * tokens
-                        before += tokens
-                        if size >= FRAME_BYTES:
-                            yield b"".join(frame)
-                            frame, size, number = [], 0, number + 1
-            if frame:
-                yield b"".join(frame)
-
-        write_file(folder, name, packed(frames()))
-        for start in range(0, len(index), 10_000):
-            yield pa.RecordBatch.from_pylist(index[start:start + 10_000], schema=SCHEMA)
+        part, before = TaskContext.get().partitionId(), 0
+        stream = _frames(batches, memory(tokenizer, special))
+        head = next(stream, None)
+        while head is not None:
+            name, index = f"{part:06d}-{uuid.uuid4().hex}.ids.zst", []
+
+            def body():
+                nonlocal head, before
+                number = size = documents = 0
+                while head is not None and size < FILE_BYTES and documents < FILE_DOCUMENTS:
+                    data, keys, counts = head
+                    ends = np.cumsum(counts)
+                    index.append((keys, np.full(len(keys), number), 4 * (ends - counts),
+                                  before + ends - counts, counts))
+                    yield data
+                    number, before = number + 1, before + int(ends[-1])
+                    size, documents = size + len(data), documents + len(keys)
+                    head = next(stream, None)
+
+            write_file(folder, name, packed(body()))
+            keys, *columns = zip(*index)
+            keys = pa.array(list(itertools.chain.from_iterable(keys)), pa.int64())
+            frame, offset, start, tokens = map(np.concatenate, columns)
+            yield pa.RecordBatch.from_arrays([
+                keys, pa.array(np.full(len(keys), part), pa.int32()),
+                pa.array([name] * len(keys), pa.string()), pa.array(frame, pa.int32()),
+                pa.array(offset, pa.int64()), pa.array(start, pa.int64()),
+                pa.array(tokens, pa.int64())], schema=SCHEMA)
     return write
 
 
@@ -94,8 +118,9 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, key: str =
     folder; ``start`` counts the ids of all documents before. ``special`` as in ``encoder``.
 
     A null text is empty and has the end id only. Null keys come first; rows with equal keys are
-    ordered by a hash of the text; repeated rows are written each. No rows write files without
-    frames and give an empty index; other columns are ignored. A file is renamed into place when
+    ordered by a hash of the text; repeated rows are written each. A text of any length is one run
+    of ids in one frame, which must fit in a task. No rows write no files and give an empty index;
+    other columns are ignored. A file is renamed into place when
     it is whole, and the index names only files of tasks that ended."""
     folder = folder or scratch(docs.sparkSession)
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"),
@@ -103,7 +128,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, key: str =
     order = [F.col("doc_id"), F.xxhash64("text")]
     dealt = rows.repartitionByRange(partitions(docs), *order).sortWithinPartitions(*order)
     index = settle(dealt.mapInArrow(_writer(folder, tokenizer, special), INDEX))
-    # one row per file
+    # one row per range of keys
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = index.groupBy("part").agg(F.sum("n_tokens").alias("_ids")).select(
         "part", F.coalesce(F.sum("_ids").over(before), F.lit(0)).alias("_base"))
