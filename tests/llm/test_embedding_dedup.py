@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from trapline.llm import embedding_dedup
@@ -73,9 +74,38 @@ def test_a_large_group_is_cut_into_blocks(spark, monkeypatch):
     assert got == expected(rows) and got[5][0] == 89
 
 
+def test_collisions_are_those_of_all_windows(monkeypatch):
+    """Against comparing every pair on every direction, whatever the slices."""
+    rng = np.random.default_rng(6)
+    x, y = rng.standard_normal((70, 32)), rng.standard_normal((50, 32))
+    y[:30] = x[:30] + 0.05 * rng.standard_normal((30, 32))
+    for size in (1, 7, 256):
+        monkeypatch.setattr(embedding_dedup, "SLICE_ROWS", size)
+        for window, needed in ((0.05, 15), (0.1, 25), (1.0, 16), (5.0, 32)):
+            hits = (np.abs(x[:, None] - y[None]) <= window).sum(axis=2)
+            want = set(zip(*np.nonzero(hits >= needed)))
+            got = [(a, b) for one, two in embedding_dedup.colliding(x, y, window, needed)
+                   for a, b in zip(one.tolist(), two.tolist())]
+            assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_group_gives_a_row_for_each_vector_and_not_for_each_link(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 40)
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal(16)
+    rows = spark.createDataFrame([(i, 0, (base + 0.01 * rng.standard_normal(16)).tolist(), 1 + i % 2)
+                                  for i in range(120)],
+                                 "_g long, _label int, _vector array<double>, _copies long")
+    found = embedding_dedup.linked(rows, 0.98)
+    blocks = 120 // 40 + 1
+    assert found.count() <= 120 * blocks * 8
+    others = {r.id: r.o for r in found.groupBy("id").agg(F.sum("others").alias("o")).collect()}
+    assert others == {i: 180 - (1 + i % 2) for i in range(120)}
+
+
 def test_count_is_calibrated():
     rng = np.random.default_rng(5)
-    dim, cosine, trials = 64, 0.98, 4000
+    dim, cosine, trials = 64, 0.98, 100_000
     onto = embedding_dedup.directions(dim)
     a = rng.standard_normal((trials, dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
@@ -85,7 +115,7 @@ def test_count_is_calibrated():
     b = cosine * a + np.sqrt(1 - cosine ** 2) * b
     window = embedding_dedup.WINDOW * embedding_dedup.deviation(cosine, dim)
     hits = (np.abs((a - b) @ onto) <= window).sum(axis=1)
-    assert (hits >= embedding_dedup.collisions_needed()).mean() > 0.99
+    assert (hits >= embedding_dedup.collisions_needed()).mean() >= 1 - embedding_dedup.MISSED
     assert embedding_dedup.collisions_needed() == pytest.approx(20, abs=2)
 
 

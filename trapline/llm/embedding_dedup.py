@@ -1,8 +1,8 @@
 """Near duplicates of embeddings by counting collisions on projections.
 
-Unit vectors are projected onto many random directions and sorted on each. Two vectors collide
-on a direction if one lies in the window around the other; pairs with enough collisions are
-verified by their cosine. Width and count are calibrated for pairs just at the limit: their
+Unit vectors are projected onto many random directions and, in blocks, sorted on each. Two vectors
+collide on a direction if one lies in the window around the other; collisions are counted per
+pair, and pairs with enough are verified by their cosine. Width and count are calibrated for pairs just at the limit: their
 difference on a direction is near normal with deviation ``distance / sqrt(dimensions)``.
 
 The first ``ROUTES`` directions also deal the vectors out: each is cut into slices as wide as a
@@ -32,7 +32,9 @@ ROUTES_MISSED = MISSED / 5
 #: Half window for routing, which all ``ROUTES`` differences of a pair must fit (about 4.15).
 ROUTE_WINDOW = NormalDist().inv_cdf(1 - ROUTES_MISSED / (2 * ROUTES))
 BLOCK_ROWS = 1024
-ROUTED = "cell long, side int, id long, vector binary"
+#: Rows of a block whose collisions with another block are counted at once.
+SLICE_ROWS = 256
+ROUTED = "cell long, side int, id long, copies long, vector binary"
 
 
 def directions(dim: int, seed: int = 5) -> np.ndarray:
@@ -73,7 +75,7 @@ def _routed(cosine: float):
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            labels = batch.column(1).to_pylist()
+            labels, copies = batch.column(1).to_pylist(), batch.column(3).to_pylist()
             for at, units in _units(batch):
                 dim = units.shape[1]
                 width = max(ROUTE_WINDOW * deviation(cosine, dim), 1e-9)
@@ -85,40 +87,58 @@ def _routed(cosine: float):
                         cell = home + [(side >> j) & 1 for j in range(ROUTES)]
                         mark = repr((labels[k], dim)).encode() + cell.tobytes()
                         rows.append((xxhash.xxh3_64_intdigest(mark) - (1 << 63), side,
-                                     int(ids[k]), data))
+                                     int(ids[k]), int(copies[k]), data))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 4, (
-                        pa.int64(), pa.int32(), pa.int64(), pa.binary()))],
-                    ["cell", "side", "id", "vector"])
+                    [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, (
+                        pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))],
+                    ["cell", "side", "id", "copies", "vector"])
     return run
 
 
 def colliding(x: np.ndarray, y: np.ndarray, window: float, needed: int):
-    """Pairs of rows of the projections ``x`` and ``y`` with enough collisions. The window on the
-    first direction, sorted, gives the pairs; a pair leaves when it cannot reach the count."""
-    order = np.argsort(y[:, 0], kind="stable")
-    line = y[order, 0]
-    lo = np.searchsorted(line, x[:, 0] - ROUTE_WINDOW / WINDOW * window, "left")
-    hi = np.searchsorted(line, x[:, 0] + ROUTE_WINDOW / WINDOW * window, "right")
-    for start in range(0, len(x), 256):
-        sizes = (hi - lo)[start:start + 256]
-        a = np.repeat(np.arange(start, start + len(sizes)), sizes)
-        ends = np.cumsum(sizes)
-        b = order[np.repeat(lo[start:start + 256] - ends + sizes, sizes)
-                  + np.arange(ends[-1] if len(ends) else 0)]
-        count = np.zeros(len(a), np.int16)
+    """Pairs of rows of the projections ``x`` and ``y`` with enough collisions. Every direction of
+    ``y`` is sorted; the rows that collide with a row of ``x`` on it are a range around that row's
+    place, and each range adds one to the counts of its pairs. A slice of ``x`` ends early when none
+    of its pairs can reach the count any more."""
+    orders = np.argsort(y, axis=0, kind="stable")
+    lines = np.take_along_axis(y, orders, axis=0)
+    for start in range(0, len(x), SLICE_ROWS):
+        part = x[start:start + SLICE_ROWS]
+        count = np.zeros((len(part), len(y)), np.int8)
         for j in range(x.shape[1]):
-            count += np.abs(x[a, j] - y[b, j]) <= window
-            on = count + (x.shape[1] - 1 - j) >= needed
-            a, b, count = a[on], b[on], count[on]
-        yield a, b
+            lo = np.searchsorted(lines[:, j], part[:, j] - window, "left")
+            sizes = np.searchsorted(lines[:, j], part[:, j] + window, "right") - lo
+            ends = np.cumsum(sizes)
+            # a row meets another at most once on a direction, so no place is counted twice
+            count[np.repeat(np.arange(len(part)), sizes), orders[
+                np.repeat(lo - ends + sizes, sizes) + np.arange(ends[-1]), j]] += 1
+            if count.max(initial=0) + x.shape[1] - 1 - j < needed:
+                break
+        a, b = np.nonzero(count >= needed)
+        yield a + start, b
+
+
+def _rooted(one: np.ndarray, two: np.ndarray, n: int) -> np.ndarray:
+    """Smallest place reachable from each of ``n`` places by links."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        least = np.minimum(root[one], root[two])
+        np.minimum.at(root, one, least)
+        np.minimum.at(root, two, least)
+        root = root[root]
+        if (root == before).all():
+            return root
 
 
 def _met(cosine: float):
+    """Of a block or a pair of blocks: for each vector that has links there how many vectors these
+    are, copies counted, and one link to a vector that it reaches there. That is a row for each
+    vector and not for each link, however large a group of near copies is."""
     needed = collisions_needed()
 
     def run(table: pa.Table) -> pa.Table:
-        ids, sides = (table.column(n).to_numpy() for n in ("id", "side"))
+        ids, sides, copies = (table.column(n).to_numpy() for n in ("id", "side", "copies"))
         data = table.column("vector").to_pylist()
         block, (i, j) = table.column("block").to_numpy(), (
             table.column(n)[0].as_py() for n in ("i", "j"))
@@ -141,16 +161,27 @@ def _met(cosine: float):
                     fit &= ids[one[a]] < ids[two[b]]
                 a, b = a[fit], b[fit]
                 near = np.einsum("ij,ij->i", units[0][a], units[1][b]) >= cosine
-                found[0].append(np.minimum(ids[one[a[near]]], ids[two[b[near]]]))
-                found[1].append(np.maximum(ids[one[a[near]]], ids[two[b[near]]]))
-        return pa.table({n: pa.array(np.concatenate(f) if f else [], pa.int64())
-                         for n, f in zip("ab", found)})
+                found[0].append(one[a[near]])
+                found[1].append(two[b[near]])
+        # places among the vectors of the cell
+        known, place = np.unique(ids, return_inverse=True)
+        x, y = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in found)
+        others = np.bincount(place[x], copies[y], len(known)) + np.bincount(
+            place[y], copies[x], len(known))
+        linked = np.flatnonzero(others)
+        root = _rooted(place[x], place[y], len(known))
+        return pa.table({"id": pa.array(known[linked], pa.int64()),
+                         "others": pa.array(others[linked].astype(np.int64)),
+                         "root": pa.array(known[root[linked]], pa.int64())})
     return run
 
 
-def pairs(vectors: DataFrame, cosine: float) -> DataFrame:
-    """Links (``a`` < ``b``) between rows ``_g``, ``_label``, ``_vector`` (sound, not zero)."""
-    routed = settle(vectors.select("_g", "_label", "_vector").mapInArrow(_routed(cosine), ROUTED))
+def linked(vectors: DataFrame, cosine: float) -> DataFrame:
+    """From rows ``_g``, ``_label``, ``_vector`` (sound, not zero) and ``_copies``: settled rows
+    ``id``, ``others`` (linked vectors met in one cell, to be summed) and ``root`` (one that it
+    reaches). A pair is met in one cell and one pair of blocks only."""
+    routed = settle(vectors.select("_g", "_label", "_vector", "_copies").mapInArrow(
+        _routed(cosine), ROUTED))
     blocks = settle(routed.groupBy("cell").agg(
         F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_blocks"),
         F.count("*").alias("_rows")).where("_rows > 1").drop("_rows"))
@@ -160,7 +191,7 @@ def pairs(vectors: DataFrame, cosine: float) -> DataFrame:
         "_other", other).withColumn("i", F.least("block", "_other")).withColumn(
         "j", F.greatest("block", "_other")).drop("_blocks", "_other")
     return settle(dealt.groupBy("cell", "i", "j").applyInArrow(
-        _met(cosine), "a long, b long").distinct())
+        _met(cosine), "id long, others long, root long"))
 
 
 def dedup(vectors: DataFrame, key: str = "vec_id", value: str = "embedding",
@@ -173,7 +204,7 @@ def dedup(vectors: DataFrame, key: str = "vec_id", value: str = "embedding",
     or non-finite components, or has no label, links with nothing. Equal vectors, repeated rows
     too, are compared once and count as links of each other. A null key takes part; the smallest
     key that is not null names the component. No rows give an empty result; other columns are
-    ignored. Of the pairs just at the limit at most about six in ten thousand are missed, of
+    ignored, whatever their names. Cells are told apart by 64-bit hashes. Of the pairs just at the limit at most about six in ten thousand are missed, of
     closer pairs next to none."""
     x = F.col("_vector")
     sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v)
@@ -187,12 +218,11 @@ def dedup(vectors: DataFrame, key: str = "vec_id", value: str = "embedding",
     same = ["_label", "_hash", "_vector"]
     groups = settle(rows.where("_in").groupBy(*same).agg(F.count("*").alias("_copies")).withColumn(
         "_g", F.monotonically_increasing_id()))
-    found = pairs(groups, cosine)
-    ends = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = settle(ends.join(groups.select(F.col("_g").alias("b"), "_copies"), "b").groupBy(
-        F.col("a").alias("_g")).agg(F.sum("_copies").alias("_others")))
+    found = linked(groups, cosine)
+    others = found.groupBy(F.col("id").alias("_g")).agg(F.sum("others").alias("_others"))
+    reached = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     named = settle(groups.join(others, "_g", "left").join(
-        components(found).withColumnRenamed("id", "_g"), "_g", "left").select(
+        reached.withColumnRenamed("id", "_g"), "_g", "left").select(
         *same, F.coalesce("root", "_g").alias("_root"),
         (F.coalesce("_others", F.lit(0)) + F.col("_copies") - 1).alias("_links")))
     met = settle(rows.where("_in").join(named, same).select("_id", "_root", "_links"))
