@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from trapline import session
 from trapline.operators import ranks, summaries
 from trapline.session import attach, counted, heavy_keys, settle
 
@@ -127,3 +129,15 @@ def test_settled_rows_are_counted(spark):
     table, rows = counted(spark.range(1234).repartition(5))
     assert rows == 1234 == table.count()
     assert counted(spark.range(0))[1] == 0
+
+
+def test_lost_events_do_not_stop_a_count(spark, monkeypatch):
+    class Silent(session.Observation):
+        @property
+        def get(self):
+            raise RuntimeError("never came")
+
+    monkeypatch.setattr(session, "Observation", Silent)
+    monkeypatch.setattr(session.threading, "excepthook", lambda _: None)
+    table, seen = session.measured(spark.range(50), rows=F.count(F.lit(1)), top=F.max("id"))
+    assert seen == {"rows": 50, "top": 49} and table.count() == 50

@@ -11,7 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trapline.functions.probability import normal_quantile
@@ -19,7 +19,7 @@ from trapline.operators.filters import with_base
 from trapline.operators.posterior import posterior_summary
 from trapline.operators.ranks import (average_ranks, exact_quantiles, picked_quantiles,
                                       value_positions)
-from trapline.session import attach, counted, settle
+from trapline.session import attach, counted, measured, settle
 
 BLOCK = 4096
 FIRST_LAGS = 64
@@ -220,16 +220,14 @@ def autoregressive_size(cov: Column, n: Column) -> Column:
 def chain_lengths(draws: DataFrame) -> tuple[DataFrame, int]:
     """Draws per parameter and chain, settled, and how many rows these are; raises unless they
     are numbered 1, 2, ... without gaps."""
-    seen = Observation()
-    whole = (F.col("n") == F.col("rows")) & (F.col("low") == 1)
-    lengths = settle(draws.groupBy("parameter", "chain").agg(
+    whole = (F.col("n") == F.col("values")) & (F.col("low") == 1)
+    lengths, seen = measured(draws.groupBy("parameter", "chain").agg(
         F.max("iteration").alias("n"), F.min("iteration").alias("low"),
-        F.count("value").alias("rows")).observe(
-        seen, F.count(F.lit(1)).alias("rows"),
-        F.count_if(~F.coalesce(whole, F.lit(False))).alias("odd")))
-    if seen.get["odd"]:
+        F.count("value").alias("values")), rows=F.count(F.lit(1)),
+        odd=F.count_if(~F.coalesce(whole, F.lit(False))))
+    if seen["odd"]:
         raise ValueError("number the draws 1, 2, ... in each chain (see posterior.thin)")
-    return lengths.select("parameter", "chain", "n"), seen.get["rows"]
+    return lengths.select("parameter", "chain", "n"), seen["rows"]
 
 
 def split_halves(draws: DataFrame) -> DataFrame:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A lookup is broadcast only after it was counted and found to hold at most this many rows.
 BROADCAST_ROWS = 200_000
+# Seconds after a write by which its observed numbers should be there.
+OBSERVED_WITHIN = 10
 # A key is heavy if it holds more than one in so many rows.
 HOT_SHARE = 500
 
@@ -83,10 +86,22 @@ def task_count(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def measured(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """``settle`` and aggregates of the rows, which the write itself observes. What it observed
+    comes as an event, and a busy driver may lose events; then the written table is asked."""
+    seen, found = Observation(), {}
+    named = [measure.alias(name) for name, measure in measures.items()]
+    table = settle(df.observe(seen, *named))
+    wait = threading.Thread(target=lambda: found.update(seen.get), daemon=True)
+    wait.start()
+    wait.join(OBSERVED_WITHIN)
+    return table, dict(found) if found else table.agg(*named).first().asDict()
+
+
 def counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """``settle`` and the number of rows, which the write itself observes."""
-    seen = Observation()
-    return settle(df.observe(seen, F.count(F.lit(1)).alias("rows"))), seen.get["rows"]
+    """``settle`` and the number of rows."""
+    table, seen = measured(df, rows=F.count(F.lit(1)))
+    return table, seen["rows"]
 
 
 def attach(facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner",
