@@ -113,3 +113,22 @@ def test_near_copies_go_by_row(spark):
     assert [r for r in got if r != (None, ends[0])] == sorted([
         (1, text["a"]), (2, text["b"]), (2, text["c"]), (4, ""), (4, None), (5, ""),
         (None, ""), (None, "")], key=repr)
+
+
+CLASHING = ["_s_words", "_s_word_length", "n_lines", "n_removed", "_row", "_lines", "_removed",
+            "size", "copies", "target", "_n", "_key", "_text", "_whole", "score", "_order", "_tie",
+            "n_shingles", "component_id", "_draw", "_hash", "_"]
+
+
+def test_no_stage_overwrites_a_further_column(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs = docs.select("*", *[F.concat(F.lit(f"{c}="), F.col("doc_id").cast("string")).alias(c)
+                              for c in CLASHING])
+    plain = common.settle(docs)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain = common.settle(stage(spark, plain, SMALL))
+        assert plain.columns == docs.columns, name
+        rows = plain.select("doc_id", *CLASHING).collect()
+        assert rows, name
+        for r in rows:
+            assert [r[c] for c in CLASHING] == [f"{c}={r.doc_id}" for c in CLASHING], name

@@ -89,3 +89,53 @@ def test_no_rows_no_labels_one_class(spark):
     good = labels_of(spark, [(i, 1) for i in range(20)])
     assert {r.predicted for r in quality.score(docs, good).collect()} == {1}
     assert quality.accepted(docs, good).count() == 20
+
+
+def plain_statistics(text):
+    """What ``quality.statistics`` states, without Spark."""
+    import math
+    import re
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    cut, lines = re.split(r"[\x20\x09-\x0D]+", text), text.split("\n")
+
+    def share(part, whole):
+        return part / whole if whole else 0.0
+
+    def held(characters):
+        return sum(text.count(c) for c in characters)
+
+    return {
+        "size": math.log1p(len(text)), "words": math.log1p(len(words)),
+        "word_length": share(len(text), len(words)), "distinct_words": share(len(set(cut)), len(cut)),
+        "symbols": share(held("#$%&*|<>=@^~\\_{}[]+/"), len(text)),
+        "bars": share(held("|"), len(words)), "digits": share(held("0123456789"), len(text)),
+        "capitals": share(sum("A" <= c <= "Z" for c in text), len(text)),
+        "calls": share(held("!?"), len(words)), "stops": share(held(".,;:"), len(words)),
+        "bytes": share(len(text.encode()), len(text)), "lines": share(len(lines), len(words)),
+        "distinct_lines": share(len(set(lines)), len(lines))}
+
+
+def test_statistics_rules_and_scores_in_plain_python(spark):
+    """Every rule is applied to statistics made anew, and the weights are summed by hand."""
+    import math
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    odd = docs_of(spark, [(-1, ""), (-2, None), (-3, " \t\n "), (-4, "é\n\n|x| A!"), (-5, "  a b ")])
+    every = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    stats, names = quality.measured(every, "doc_id", "text")
+    rules = quality.learnt(stats, names, labels)
+    assert len(rules.weights) > 2
+    texts = {r.doc_id: r.text or "" for r in every.collect()}
+    measured = {r._key: r for r in stats.collect()}
+    scores = {r.doc_id: r for r in quality.score(every, labels).collect()}
+    kept = {r.doc_id for r in quality.accepted(every, labels).collect()}
+    for key, text in texts.items():
+        plain = plain_statistics(text)
+        for name, value in plain.items():
+            assert measured[key][f"_s_{name}"] == pytest.approx(value, rel=1e-12), (key, name)
+        total = rules.constant
+        for rule, weight in rules.weights.items():
+            if all((measured[key][names[f]] <= v) == at_most for f, at_most, v in rule):
+                total += weight
+        assert scores[key].score == pytest.approx(1 / (1 + math.exp(-total)), rel=1e-9)
+        assert scores[key].predicted == (scores[key].score >= 0.3) == (key in kept)

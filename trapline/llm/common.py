@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from trapline.session import shared_folder
+from trapline import session
 
 # Words are runs of bytes other than ASCII white space; the regular expression of Java and DuckDB.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,8 +19,9 @@ _written: list[str] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name below the shared folder of the session."""
-    path = f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    """A new folder name below the shared folder of the session; ``session.release`` deletes it
+    unless ``remove`` did before."""
+    path = session.scratch(spark, "llm")
     _written.append(path)
     return path
 

@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 from trapline.llm.common import numbered, settle
 
 MIN_WORDS = 50
-#: Bits of a place that number the lines of a document.
-LINE_BITS = 24
 
 LINES = "_row long, line long, id long, ahead int, back int"
 
@@ -52,8 +50,6 @@ def _lines(least: int):
                         if (w := len(line.encode().split()))]
                 if not kept:
                     continue
-                if len(kept) >> (LINE_BITS - 1):
-                    raise ValueError(f"a document has more than 2^{LINE_BITS - 1} lines")
                 ahead, back = _windows(np.array([w for w, _ in kept]), least)
                 ids = np.array([xxhash.xxh3_64_intdigest(line.encode()) for _, line in kept],
                                np.uint64).view(np.int64)
@@ -135,31 +131,35 @@ def _cut(batches):
              pa.array(removed, pa.int64())], ["_whole", "_kept", "n_lines", "n_removed"])
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text",
-          min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of ``docs`` with ``text`` less the later copies of repeated runs, and the columns
-    ``n_lines`` (lines with words) and ``n_removed``.
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
+          counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """The rows of ``docs`` with ``text`` less the later copies of repeated runs, and two columns
+    called as ``counts`` say: the number of lines with words, and of those removed.
 
     Documents are ordered by key, null keys first, equal keys by their place in the input; the
     first copy of a run stays, also when the later one is in the same document. Lines are equal
     if their bytes are. Lines without words are no part of a run and go only between two deleted
     lines. A text whose words all go becomes empty; a null text stays null with no lines. Repeated
     rows keep the first. No rows give an empty result. Lines and runs of any number of
-    copies are pre-aggregated before they meet. Input columns called ``n_lines`` or ``n_removed``
-    give way to the result's."""
-    others = [c for c in docs.columns if c not in (text, "n_lines", "n_removed")]
+    copies are pre-aggregated before they meet. A text of any length and number of lines is cut
+    whole, in the memory of a task. Input columns called as ``counts`` say give way to the
+    result's; name others to keep them."""
+    others = [c for c in docs.columns if c not in (text, *counts)]
     whole = F.struct(*[F.col(f"`{c}`") for c in others]).alias("_whole")
     held = settle(docs.select(whole, F.col(key).alias("_key"), F.col(text).alias("_text"),
                               F.monotonically_increasing_id().alias("_row")))
     order = numbered(held.select("_row", "_key"), [F.col("_key"), F.col("_row")])
-    lines = held.where("_text is not null").select("_row", "_text").mapInArrow(
-        _lines(min_words), LINES)
-    place = F.shiftleft(F.col("_n"), LINE_BITS) + F.col("line")
-    places = settle(settle(lines).join(order.select("_row", "_n"), "_row").select(
+    lines = settle(held.where("_text is not null").select("_row", "_text").mapInArrow(
+        _lines(min_words), LINES))
+    # a place is the number of a text and, in so many bits, of a line; the bits hold twice the
+    # lines of the longest text, so a place some lines further on never falls into the next text
+    bits = (lines.agg(F.max("line")).first()[0] or 0).bit_length() + 2
+    place = F.shiftleft(F.col("_n"), bits) + F.col("line")
+    places = settle(lines.join(order.select("_row", "_n"), "_row").select(
         place.alias("place"), "id", "ahead", "back"))
-    number = F.shiftright("place", LINE_BITS)
+    number = F.shiftright("place", bits)
     gone = repeated(places).groupBy(number.alias("_n")).agg(F.collect_list(F.struct(
-        F.col("place").bitwiseAND((1 << LINE_BITS) - 1).alias("_at"), "lines")).alias("_runs"))
+        F.col("place").bitwiseAND((1 << bits) - 1).alias("_at"), "lines")).alias("_runs"))
     gone = settle(gone.join(order.select("_row", "_n"), "_n").select("_row", "_runs"))
     kind = held.schema["_whole"].dataType.simpleString()
     # by a shuffle at any size: what a broadcast would send grows with the table
@@ -168,4 +168,5 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text",
         _cut, f"_whole {kind}, _kept string, n_lines long, n_removed long")
     return cut.select(*[F.col("_kept").alias(c) if c == text else
                         F.col(f"_whole.`{c}`").alias(c) for c in docs.columns
-                        if c in others or c == text], "n_lines", "n_removed")
+                        if c in others or c == text], *[
+        F.col(c).alias(name) for c, name in zip(("n_lines", "n_removed"), counts)])

@@ -68,7 +68,8 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     A null text has size 0; a null source is a source of its own, the last; null keys draw like
     any other. Sources without words have target 0 and take nothing. Repeated rows share a draw
     and differ in place only. No rows give an empty result; other columns are ignored. A re-run
-    gives the same copies. A source of any share of the rows is cut by size class and draw."""
+    gives the same copies. A source of any share of the rows is cut by size class and draw. A long
+    text is counted whole and is one row like any other."""
     draw = F.expr(unit_draw(f"'{seed}'", "coalesce(cast(_key as string), '')"))
     carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
                F.xxhash64(F.col(text)).alias("_text")] if whole_rows else []

@@ -7,6 +7,7 @@ weighs the rules, and the rules that keep a weight are compiled into one Spark c
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -79,21 +80,23 @@ def paths(described: str) -> list[Rule]:
     return list(found)
 
 
-def holds(rule: Rule, names: list[str]) -> Column:
+def holds(rule: Rule, names: list[str], value: Callable[[str], Column] = F.col) -> Column:
     return reduce(lambda a, b: a & b, [
-        F.col(names[f]) <= v if at_most else F.col(names[f]) > v for f, at_most, v in rule])
+        value(names[f]) <= v if at_most else value(names[f]) > v for f, at_most, v in rule])
 
 
 class Rules:
-    """Weighed rules; ``score`` is a Spark column in [0, 1] over the statistics."""
+    """Weighed rules; ``score`` is a Spark column in [0, 1] over the statistics, which ``value``
+    gives by name."""
 
     def __init__(self, names: list[str], constant: float, weights: dict[Rule, float]):
         self.names, self.constant, self.weights = names, constant, weights
 
-    def score(self) -> Column:
+    def score(self, value: Callable[[str], Column] = F.col) -> Column:
         total = F.lit(self.constant)
         for rule, weight in self.weights.items():
-            total = total + F.when(holds(rule, self.names), F.lit(weight)).otherwise(F.lit(0.0))
+            total = total + F.when(holds(rule, self.names, value), F.lit(weight)).otherwise(
+                F.lit(0.0))
         return 1.0 / (1.0 + F.exp(-total))
 
 
@@ -144,7 +147,8 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     likelier), ``predicted`` (1 from ``threshold`` on).
 
     Labels of held-out keys are never read; labels other than 0 and 1 and null keys are not
-    learnt from. Scores see the text only. A null text is scored as an empty one; repeated rows
+    learnt from. Scores see the text only. A null text is scored as an empty one; a long text is
+    measured whole, and the list of its words must fit in a task; repeated rows
     are scored each; a document with several labels is learnt from with each; no rows give an
     empty result; other columns are ignored."""
     stats, names = measured(docs, key, text)
@@ -156,11 +160,14 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
              threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose text scores ``threshold`` or more. The rules are compiled onto
-    the texts themselves, so no row is moved."""
+    """The rows of ``docs``, with all their columns as they are, whose text scores ``threshold``
+    or more. The rules are compiled onto the texts themselves, so no row is moved. The statistics
+    of a text are bound once, as the one element of an array, and every rule reads that; as plain
+    columns the optimiser would copy them into each rule."""
     stats, names = measured(docs, key, text)
     rules = learnt(stats, names, labels)
     known = statistics(F.coalesce(F.col(text), F.lit("")))
     used = sorted({names[f] for rule in rules.weights for f, _, _ in rule})
-    return docs.withColumns({n: known[n.removeprefix("_s_")] for n in used}).where(
-        rules.score() >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    bound = F.array(F.struct(F.lit(0).alias("_"), *[
+        known[n.removeprefix("_s_")].alias(n) for n in used]))
+    return docs.where(F.exists(bound, lambda s: rules.score(lambda n: s[n]) >= threshold))

@@ -62,7 +62,7 @@ def assign(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text"
     A null text counts as empty (size 8, checksum 0). Rows are numbered by key, then size, then
     checksum, null keys first; rows equal in all three are interchangeable. No rows give an
     empty result; other columns are ignored. Only narrow rows are moved: the text is read once
-    to be measured."""
+    to be measured, whole, however long it is."""
     body = F.coalesce(F.col(text), F.lit(""))
     narrow = settle(docs.select(
         F.col(key), (F.octet_length(body) + F.lit(8)).cast("bigint").alias("size"),

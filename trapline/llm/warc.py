@@ -140,7 +140,8 @@ def write(pages: DataFrame, folder: str | None = None, key: str = "page_id", url
     ``REVISIT_BYTES`` or more the smallest page holds the payload and the others refer to it; rows
     that repeat that page are responses too; a null page comes after all others and refers to the
     smallest, and if all pages of a payload are null each is a response. No pages give no bundle
-    and an empty index. Other columns are ignored. A bundle is renamed into place when it is
+    and an empty index. Other columns are ignored. A long body is one record in one frame, which
+    must fit in a task. A bundle is renamed into place when it is
     whole and the index names only bundles of tasks that ended, so lost executors leave at most
     files that nothing refers to."""
     folder = folder or scratch(pages.sparkSession)
