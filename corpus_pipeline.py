@@ -32,6 +32,14 @@ def _stage(work):
     return run
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the documents do not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 @_stage
 def good_quality(spark, docs, sf_dir):
     """Documents that the quality classifier accepts, as they are. It learns from the labels of
@@ -43,10 +51,11 @@ def good_quality(spark, docs, sf_dir):
 def without_line_copies(spark, docs, sf_dir):
     """Documents less the later copies of runs of lines of 50 words or more; ``n_chars`` follows
     the text. Documents of which nothing is left go; empty and null texts stay."""
-    cut = line_dedup.dedup(docs)
-    kept = cut.where("n_removed = 0 or n_lines > n_removed")
+    lines, removed = (_free(docs, name) for name in ("_lines", "_removed"))
+    cut = line_dedup.dedup(docs, counts=(lines, removed))
+    kept = cut.where((F.col(removed) == 0) | (F.col(lines) > F.col(removed)))
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(
+        kept = kept.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast(
             docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -57,9 +66,7 @@ def without_near_copies(spark, docs, sf_dir):
     smallest ``doc_id``, nulls last, then by a hash of the text and the row number. Rows without
     words stay, but of those that repeat a ``doc_id`` and a text one stays. Rows with different
     texts are not repeated, also if they share a ``doc_id``."""
-    row = "_row"
-    while row in docs.columns:
-        row += "_"
+    row = _free(docs, "_row")
     rows = common.settle(docs.withColumn(row, F.monotonically_increasing_id()))
     joined = ngram_join.join(rows, key=row, words=5, similarity=(80, 100)).withColumnRenamed(
         row, "_n")
