@@ -94,7 +94,6 @@ def test_a_settled_series_does_not_wait_again(spark, series, monkeypatch):
 
 def test_a_chain_that_never_mixes_is_worked_on_in_tiles(spark, monkeypatch):
     """All lags of 10^5 draws: no task row holds more than two blocks."""
-    import pyarrow as pa
     largest, tile = [], convergence._tile_sums
 
     def watched(width, size):

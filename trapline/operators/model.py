@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trapline.functions import probability as pr
-from trapline.operators.histories import cell_day, cell_key, cell_trap
+from trapline.operators.histories import cell_key, cell_trap
 from trapline.session import attach, settle, spread
 
 DRAW = ["chain", "iteration"]
