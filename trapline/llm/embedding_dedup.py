@@ -2,8 +2,8 @@
 
 Unit vectors are projected onto many random directions and, in blocks, sorted on each. Two vectors
 collide on a direction if one lies in the window around the other; collisions are counted per
-pair, and pairs with enough are verified by their cosine. Width and count are calibrated for pairs just at the limit: their
-difference on a direction is near normal with deviation ``distance / sqrt(dimensions)``.
+pair, and pairs with enough are verified by their cosine. Width and count are calibrated for pairs
+just at the limit: their difference on a direction is near normal with deviation ``distance / sqrt(dimensions)``.
 
 The first ``ROUTES`` directions also deal the vectors out: each is cut into slices as wide as a
 generous window, and a vector goes to its own slice and the next, so a pair meets exactly in the
@@ -204,8 +204,8 @@ def dedup(vectors: DataFrame, key: str = "vec_id", value: str = "embedding",
     or non-finite components, or has no label, links with nothing. Equal vectors, repeated rows
     too, are compared once and count as links of each other. A null key takes part; the smallest
     key that is not null names the component. No rows give an empty result; other columns are
-    ignored, whatever their names. Cells are told apart by 64-bit hashes. Of the pairs just at the limit at most about six in ten thousand are missed, of
-    closer pairs next to none."""
+    ignored, whatever their names. Cells are told apart by 64-bit hashes. Of the pairs just at the
+    limit at most about six in ten thousand are missed, of closer pairs next to none."""
     x = F.col("_vector")
     sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v)
                      & (F.abs(v) < F.lit(float("inf")))) & F.exists(x, lambda v: v != 0)

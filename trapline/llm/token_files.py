@@ -2,8 +2,8 @@
 
 Documents are dealt into ranges of their key; each range is encoded in order and written as files
 of 32-bit little-endian ids, cut into frames at document ends and into files at frame ends. The
-index holds each document's file, frame, place in the frame and length, so a reader decompresses only the frames
-of the documents it is asked for."""
+index holds each document's file, frame, place in the frame and length, so a reader decompresses
+only the frames of the documents it is asked for."""
 
 from __future__ import annotations
 
