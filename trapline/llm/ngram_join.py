@@ -297,15 +297,18 @@ def _may_miss(n: int, similarity: tuple[int, int]) -> int:
 
 
 CANDIDATES = "id long, n int, " + ", ".join(f"m{i} long" for i in range(
-    MAP_LONGS)) + ", rare array<long>, shingles binary"
+    MAP_LONGS)) + ", rare array<long>, core int, shingles binary"
 
 
 def _candidates(similarity):
     """The sets of counted blocks that miss no more shingles than a link may, each with the
     shingles by which it can be found: the rarest, one more than a link may miss, less those that
-    no other document holds."""
-    names = ["id", "n", *[f"m{i}" for i in range(MAP_LONGS)], "rare", "shingles"]
-    kinds = [pa.int64(), pa.int32(), *[pa.int64()] * MAP_LONGS, pa.list_(pa.int64()), pa.binary()]
+    no other document holds. The first ``core`` of them are one more than a link with a set that
+    is no smaller may miss."""
+    names = ["id", "n", *[f"m{i}" for i in range(MAP_LONGS)], "rare", "core", "shingles"]
+    kinds = [pa.int64(), pa.int32(), *[pa.int64()] * MAP_LONGS, pa.list_(pa.int64()), pa.int32(),
+             pa.binary()]
+    num, den = similarity
 
     def run(batches):
         for batch in batches:
@@ -315,9 +318,11 @@ def _candidates(similarity):
                 if (counts < 2).sum() > most:
                     continue
                 first = np.lexsort((shingles, counts))[:most + 1]
+                core = int((counts[first[:_may_miss(row["ns"][k], (2 * num, num + den)) + 1]]
+                            > 1).sum())
                 first = first[counts[first] > 1]
                 rows.append((row["sets"][k], row["ns"][k], *row["maps"][k],
-                             shingles[first].view(np.int64).tolist(), shingles.tobytes()))
+                             shingles[first].view(np.int64).tolist(), core, shingles.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
                 list(zip(*rows)) or [[]] * len(names), kinds)], names)
     return run
@@ -387,14 +392,15 @@ def links(texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFram
     blocks = settle(texts.select("_text").mapInArrow(_packed(words), BLOCKS).withColumn(
         "_block", F.monotonically_increasing_id()))
     sets = settle(counted(blocks).mapInArrow(_candidates(similarity), CANDIDATES))
-    postings = sets.select("id", F.explode("rare").alias("shingle"))
+    postings = sets.select("id", "core", F.posexplode("rare").alias("_k", "shingle")).select(
+        "id", "shingle", (F.col("_k") < F.col("core")).alias("core"))
     longest = sets.agg(F.max("n")).first()[0] or 0
     segments = sets.select("id", "shingles").mapInArrow(
         _segments(max(OVERLAP_FRAGMENTS, longest // SEGMENT_SHINGLES + 1)),
         "id long, fragment int, shingles binary")
     heads = settle(postings.groupBy("shingle").agg(
         F.min("id").alias("head"), F.count("*").alias("_many")).where("_many > 1").drop("_many"))
-    stars = settle(postings.join(heads, "shingle").where(
+    stars = settle(postings.drop("core").join(heads, "shingle").where(
         "id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
     near = stars.alias("p").join(sets.alias("x"), F.expr("p.a = x.id")).join(
         sets.alias("y"), F.expr("p.b = y.id")).where(_possible(
@@ -409,15 +415,17 @@ def links(texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFram
         F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("blocks")).where("_lo < _hi").select(
         "shingle", "blocks"))
     rest = settle(placed.join(open_lists, "shingle").join(
-        sets.drop("rare", "shingles"), "id"))
+        sets.drop("rare", "core", "shingles"), "id"))
     pairs = settle(apart(rest, similarity).distinct())
     return settle(first.unionByName(linked(pairs, segments, similarity)))
 
 
 def apart(rest: DataFrame, similarity) -> DataFrame:
     """Pairs (``a``, ``b``, sizes) of a shingle's list that lie in different components and can
-    link. A list of several blocks is met in pairs of blocks, a task's worth each, and the sizes
-    and parity maps are compared before a pair leaves its task."""
+    link. The smaller set of a pair must be found by its core: the first shingle that both hold is
+    within it, as less of the smaller set may be missing in the larger one. A list of several
+    blocks is met in pairs of blocks, a task's worth each, and the sizes and parity maps are compared
+    before a pair leaves its task."""
     block = rest.withColumn("_own", F.when(F.col("blocks") > 1, F.pmod(
         F.xxhash64("id"), F.col("blocks"))).otherwise(F.lit(0)).cast("int"))
     x = block.withColumn("_i", F.col("_own")).withColumn("_j", F.explode(
@@ -426,7 +434,8 @@ def apart(rest: DataFrame, similarity) -> DataFrame:
         F.sequence(F.lit(0), F.col("_own")))).alias("y")
     met = x.join(y, F.expr(
         "x.shingle = y.shingle and x._i = y._i and x._j = y._j and x.root <> y.root"
-        " and (x._i < x._j or x.id < y.id)") & _possible(
+        " and (x._i < x._j or x.id < y.id)"
+        " and if(x.n < y.n or (x.n = y.n and x.id < y.id), x.core, y.core)") & _possible(
         (F.col("x.n"), F.col("y.n")), (_maps("x"), _maps("y")), similarity))
     swap = F.expr("x.id > y.id")
     return met.select(*[F.when(swap, F.col(f"{v}.{c}")).otherwise(F.col(f"{u}.{c}")).alias(name)
