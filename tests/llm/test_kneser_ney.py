@@ -113,10 +113,9 @@ def test_parts_of_long_texts(monkeypatch):
 def test_texts_across_chunks(monkeypatch):
     import pyarrow as pa
     monkeypatch.setattr(kneser_ney, "SLICE_BYTES", 64)
-    monkeypatch.setattr(kneser_ney, "CHUNK_TOKENS", 7)
     batches = [pa.record_batch({"t": pa.array(t, pa.string())}) for t in (
         texts(9), [], ODD, texts(3, 4))]
-    got = np.concatenate([c[0] for c in kneser_ney._chunks(batches, 0)])
+    got = np.concatenate([c[0] for c in kneser_ney._chunks(batches, 0, 7)])
     assert np.bincount(got).tolist() == [len(spoken(t)) for t in texts(9) + ODD + texts(3, 4)]
 
 
@@ -160,7 +159,7 @@ def test_scores_do_not_depend_on_chunks(spark, monkeypatch):
     want = [tuple(r.values()) for b in kneser_ney._scored(model)(whole) for r in b.to_pylist()]
     assert [r[0] for r in want] == list(range(len(asked)))
     for chunk in (1, 7, 100):
-        monkeypatch.setattr(kneser_ney, "CHUNK_TOKENS", chunk)
+        monkeypatch.setattr(kneser_ney, "SCORE_TOKENS", chunk)
         monkeypatch.setattr(kneser_ney, "SLICE_BYTES", 64)
         parts = [whole[0].slice(0, 5), whole[0].slice(5, 0), whole[0].slice(5)]
         got = [tuple(r.values()) for b in kneser_ney._scored(model)(parts) for r in b.to_pylist()]

@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 
 from trapline.llm.common import open_store, scratch, settle, write_file
 
-#: Bytes of text that are cut into words at once, tokens that are counted or scored at once, and
-#: training tokens for each shard.
+#: Bytes of text that are cut into words at once, tokens that are counted and that are scored at
+#: once, and bytes of training texts for each shard.
 SLICE_BYTES = 1 << 21
 CHUNK_TOKENS = 1 << 20
+SCORE_TOKENS = 1 << 18
 SHARD_BYTES = 6 << 21
 #: A first word with more than one token in so many is spread; there are fewer than that.
 HOT = 1000
@@ -85,14 +86,14 @@ def tokens(texts: Iterable[str | None]):
         yield flush()
 
 
-def _chunks(batches, column: int):
-    """Arrays of ``tokens`` joined to about CHUNK_TOKENS; owners are numbered through."""
+def _chunks(batches, column: int, most: int):
+    """Arrays of ``tokens`` joined to about ``most``; owners are numbered through."""
     held, size, first = [], 0, 0
     for batch in batches:
         for owner, before, token in tokens(v.as_py() for v in batch.column(column)):
             held.append((owner + first, before, token))
             size += len(token)
-            if size >= CHUNK_TOKENS:
+            if size >= most:
                 yield tuple(map(np.concatenate, zip(*held)))
                 held, size = [], 0
         first += batch.num_rows
@@ -158,7 +159,7 @@ def _i64(values) -> np.ndarray:
 def _count_words(shards: int):
     """Distinct tokens of a chunk with their counts, and the begin token with the texts."""
     def run(batches):
-        for owner, before, token in _chunks(batches, 0):
+        for owner, before, token in _chunks(batches, 0, CHUNK_TOKENS):
             keys, counts = np.unique(np.concatenate([token, before[before == _BEGIN]]),
                                      return_counts=True)
             yield _batch([(s, "word", keys[a:b].tobytes(), None, None,
@@ -193,7 +194,7 @@ def _count_pairs(shards: int, hot: np.ndarray):
     """Distinct pairs of a chunk by shard: first words with the lengths of their runs, second
     words and counts."""
     def run(batches):
-        for owner, before, token in _chunks(batches, 0):
+        for owner, before, token in _chunks(batches, 0, CHUNK_TOKENS):
             keys, place, counts = np.unique(_pair(before, token), return_index=True,
                                             return_counts=True)
             first, last = before[place], token[place]
@@ -451,7 +452,7 @@ def _scored(model: Model):
 
         keys, held = [], np.zeros((4, 0))
         start = 0  # row of the first column of ``held``
-        for chunk in _chunks(numbered(), 0):
+        for chunk in _chunks(numbered(), 0, SCORE_TOKENS):
             low, found = sums(*chunk)
             grown = np.zeros((4, max(held.shape[1], low - start + len(found[0]))))
             grown[:, :held.shape[1]] = held
