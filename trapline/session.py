@@ -119,11 +119,12 @@ def attach(facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner
     if rows <= max_rows:
         return facts.join(F.broadcast(lookup), on, how)
     hot = heavy_keys(facts, on)
+    # facts that compress well look small to the planner, which would broadcast them
     if not hot:
-        return facts.join(lookup, on, how)
+        return facts.join(lookup.hint("merge"), on, how)
     heavy = F.xxhash64(*on).isin(hot)
     return facts.where(heavy).join(F.broadcast(lookup.where(heavy)), on, how).unionByName(
-        facts.where(~heavy).join(lookup.where(~heavy), on, how))
+        facts.where(~heavy).join(lookup.where(~heavy).hint("merge"), on, how))
 
 
 def heavy_keys(facts: DataFrame, on: list[str]) -> list[int]:

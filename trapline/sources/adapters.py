@@ -11,6 +11,8 @@ from trapline.operators.histories import Widths, widths
 from trapline.sources.lookups import N_DAYS, covariate_table, effort_table, species_caps
 
 LETTERS = "ACDEFGJKLMNOHI"
+#: Latent slots of a site that rows of lineitem fall on.
+SLOTS = 200
 PARAMETERS = ("N[1]", "N[2]", "sigma", "beta_1", "alpha0[1,1]")
 
 
@@ -149,7 +151,7 @@ class Tables:
             (F.col("l_orderkey") % 4).cast("int").alias("chain"),
             lineitem_iteration().alias("iteration"),
             ((F.col("l_suppkey") % 12).cast("int") + 1).alias("site_num"),
-            ((F.col("l_partkey") % 200).cast("int") + 1).alias("id_site"),
+            ((F.col("l_partkey") % SLOTS).cast("int") + 1).alias("id_site"),
             "l_discount", "l_quantity", "l_partkey")
         return keyed.groupBy((F.col("chain") + 1).alias("chain"), "iteration", "site_num",
                              "id_site").agg(
