@@ -147,17 +147,20 @@ class Tables:
 
     @cached_property
     def latent(self) -> DataFrame:
+        """One row per draw, site and slot. The rows are dealt by draw and site once (a draw and
+        site have one line of each of 3,750 orders at most), so what is worked out per draw and
+        site, however finely, does not move again."""
         keyed = self.raw("lineitem").select(
-            (F.col("l_orderkey") % 4).cast("int").alias("chain"),
+            ((F.col("l_orderkey") % 4).cast("int") + 1).alias("chain"),
             lineitem_iteration().alias("iteration"),
             ((F.col("l_suppkey") % 12).cast("int") + 1).alias("site_num"),
             ((F.col("l_partkey") % SLOTS).cast("int") + 1).alias("id_site"),
-            "l_discount", "l_quantity", "l_partkey")
-        return keyed.groupBy((F.col("chain") + 1).alias("chain"), "iteration", "site_num",
-                             "id_site").agg(
-            F.max(F.when(F.col("l_discount") >= 0.05, 1).otherwise(0)).alias("z"),
-            (F.min("l_quantity") / 10).alias("s"),
-            F.max(F.col("l_partkey") % 2).cast("int").alias("sex"))
+            F.when(F.col("l_discount") >= 0.05, 1).otherwise(0).alias("z"), "l_quantity",
+            (F.col("l_partkey") % 2).cast("int").alias("sex"))
+        keys = ["chain", "iteration", "site_num"]
+        return keyed.repartition(*keys).groupBy(*keys, "id_site").agg(
+            F.max("z").alias("z"), (F.min("l_quantity") / 10).alias("s"),
+            F.max("sex").alias("sex"))
 
     @cached_property
     def params(self) -> DataFrame:
